@@ -16,20 +16,28 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import bounded, let, split_words
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What separates words: ASCII other than digits and (lower-cased) letters.
-BREAKS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: What separates words: ASCII other than digits and letters (before A-Z are lower-cased).
+BREAKS_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: Up to so many distinct benchmark windows (about 100 MB as a hash table) are broadcast; beyond, the join shuffles.
 BROADCAST_WINDOWS = 400_000
 
 
 def normal_words(text: Column) -> Column:
-    return split_words(F.translate(text, UPPER, LOWER), BREAKS)
+    """Words with A-Z in lower case. lower() is the faster form and equal to it where a word is ASCII."""
+    upper_only = lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
+    return F.transform(split_words(text, BREAKS_ANY_CASE), upper_only)
+
+
+def window_hash(words: Column, start: Column, length: int) -> Column:
+    """The key of the `length` words from `start` (0-based): a hash of the length and of at most four of them. Hits
+    are verified on all words."""
+    return F.xxhash64(F.lit(length), *[F.get(words, start + k) for k in sorted({0, length // 3, 2 * length // 3, length - 1})])
 
 
 def _windows(words: Column, length: int) -> Column:
-    """An array of (p, l, h): start, length and hash of each run of `length` words."""
-    starts = F.when(F.size(words) >= length, F.sequence(F.lit(1), F.size(words) - length + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(starts, lambda i: F.struct(i.alias("p"), F.lit(length).alias("l"), F.xxhash64(F.slice(words, i, length)).alias("h")))
+    """The hashes of each run of `length` words, in order."""
+    starts = F.when(F.size(words) >= length, F.sequence(F.lit(0), F.size(words) - length)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(starts, lambda i: window_hash(words, i, length))
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -37,7 +45,11 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     words = benchmark.select(F.col("item_id").cast("string").alias("item"), normal_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
     each = words.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("window"))
-    return each.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.xxhash64("window").alias("h"), "window", "items")
+    found = each.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    h = F.lit(None).cast("long")
+    for k in range(n, 0, -1):
+        h = F.when(F.size("window") == k, window_hash(F.col("window"), F.lit(0), k)).otherwise(h)
+    return found.select(h.alias("h"), "window", "items", F.size("window").alias("l"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -46,15 +58,19 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     One scan of the texts: a marker row for each document goes through the broadcast join beside its windows, so that
     documents without a hit need no second pass; only markers and hits are shuffled, keyed by document."""
     windows = benchmark_windows(benchmark, n)
-    lengths = sorted(r[0] for r in windows.select(F.size("window")).distinct().collect())  # 1 to n: at most n rows
-    key = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.col("text"))
-    marker = F.array(F.struct(F.lit(0).alias("p"), F.lit(0).alias("l"), F.lit(None).cast("long").alias("h")))
-    both = let(normal_words(F.col("text")), lambda w: F.struct(w.alias("w"), F.concat(marker, *[_windows(w, k) for k in lengths]).alias("all")))
-    each = key.select("doc_id", "th", both.alias("s")).select("doc_id", "th", F.col("s.w").alias("w"), F.explode("s.all").alias("x"))
+    lengths = sorted(r[0] for r in windows.select("l").distinct().collect())  # 1 to n: at most n rows
+    key = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), normal_words(F.col("text")).alias("w"))
+    marker = F.array(F.lit(0).cast("long"))
+    hashes = let(F.col("w"), lambda w: F.concat(marker, *[_windows(w, k) for k in lengths]))
+    each = key.select("doc_id", "th", "w", F.size("w").alias("n_words"), hashes.alias("hashes")).select("doc_id", "th", "w", "n_words", F.posexplode("hashes").alias("at", "k"))
     side = F.broadcast(windows) if bounded(windows, BROADCAST_WINDOWS) else windows
-    found = each.join(side, (F.col("x.h") == F.col("h")) & (F.col("x.l") == F.size("window")), "left")
-    verified = F.slice("w", F.greatest(F.col("x.p"), F.lit(1)), F.col("x.l")) == F.col("window")
-    hits = found.where((F.col("x.p") == 0) | verified).select("doc_id", "th", F.size("w").alias("n_words"), F.col("x.p").alias("p"), F.col("x.l").alias("l"), "items")
+    found = each.join(side, F.col("k") == F.col("h"), "left").where((F.col("at") == 0) | F.col("l").isNotNull())
+    before = F.lit(0)  # entries before those of the hit's length; then `at` counts from 1 among them
+    for k in lengths:
+        before = before + F.when(F.col("l") > k, F.greatest(F.col("n_words") - k + 1, F.lit(0))).otherwise(0)
+    start = F.when(F.col("at") == 0, F.lit(0)).otherwise(F.col("at") - before)
+    hits = found.withColumn("p", start).where((F.col("at") == 0) | ((F.col("p") >= 1) & (F.slice("w", F.greatest(F.col("p"), F.lit(1)), F.coalesce("l", F.lit(0))) == F.col("window"))))
+    hits = hits.select("doc_id", "th", "n_words", "p", F.when(F.col("p") > 0, F.col("l")).alias("l"), F.when(F.col("p") > 0, F.col("items")).alias("items"))
     # A document's hits are at most its windows, so the lists are bounded by its own text.
     per_doc = hits.groupBy("doc_id", "th").agg(
         F.max("n_words").cast("long").alias("n_words"),

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import SPACE, let, split_words, staged
+from graphloom.llm.shared import let, split_words, staged
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -58,14 +58,16 @@ def document_features(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     host = F.lower(F.coalesce(F.col("source"), F.lit("")))
     host = F.when(host.contains("://"), F.regexp_extract(host, "://([^/?#:]*)", 1)).otherwise(host)
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE, "") != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     base = docs.select("doc_id", host.alias("host"), text.alias("text"))
+    plain = F.col("text")
+    for symbol in SYMBOLS:  # one byte each
+        plain = F.replace(plain, F.lit(symbol), F.lit(""))
     base = base.select(
         "doc_id",
         "host",
         split_words(F.col("text")).alias("words"),
-        F.length(F.translate("text", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.octet_length("text") - F.octet_length(plain)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
     )
     n_words = F.size("words").cast("long")
@@ -73,7 +75,7 @@ def document_features(docs: DataFrame) -> DataFrame:
         "doc_id",
         "host",
         n_words.alias("n_words"),
-        "word_chars",
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         "n_symbols",
         F.col("lines.n").alias("n_lines"),
         F.col("lines.dup").alias("n_dup_lines"),
