@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontamination, quality_rules
+from graphloom.llm import decontamination, html_text, language_id, packing, quality_rules, token_store, warc
 
 
 def queries() -> dict:
     return {
+        "op2_warc": warc.op2_warc,
+        "op3_language_id": language_id.op3_language_id,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_packing": packing.op6_packing,
         "op7_decontamination": decontamination.op7_decontamination,
+        "op8_token_store": token_store.op8_token_store,
+        "op9_html_text": html_text.op9_html_text,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op2_warc": warc.ORACLE_SQL,
         "op5_quality_rules": quality_rules.ORACLE_SQL,
         "op7_decontamination": decontamination.ORACLE_SQL,
     }
