@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontamination, html_text, language_id, packing, quality_rules, token_store, warc
+from graphloom.llm import decontamination, html_text, language_id, packing, quality_rules, substring_dedup, token_store, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_decontamination": decontamination.op7_decontamination,
         "op8_token_store": token_store.op8_token_store,
         "op9_html_text": html_text.op9_html_text,
+        "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
 
@@ -22,4 +23,5 @@ def oracle_sql() -> dict:
         "op2_warc": warc.ORACLE_SQL,
         "op5_quality_rules": quality_rules.ORACLE_SQL,
         "op7_decontamination": decontamination.ORACLE_SQL,
+        "op10_substring_dedup": substring_dedup.ORACLE_SQL,
     }
