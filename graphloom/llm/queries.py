@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontamination, html_text, language_id, packing, quality_rules, substring_dedup, token_store, warc
+from graphloom.llm import decontamination, html_text, jaccard_join, language_id, packing, quality_rules, substring_dedup, token_store, warc
 
 
 def queries() -> dict:
     return {
         "op2_warc": warc.op2_warc,
         "op3_language_id": language_id.op3_language_id,
+        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_packing": packing.op6_packing,
         "op7_decontamination": decontamination.op7_decontamination,
@@ -21,6 +22,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op2_warc": warc.ORACLE_SQL,
+        "op4_jaccard_join": jaccard_join.ORACLE_SQL,
         "op5_quality_rules": quality_rules.ORACLE_SQL,
         "op7_decontamination": decontamination.ORACLE_SQL,
         "op10_substring_dedup": substring_dedup.ORACLE_SQL,

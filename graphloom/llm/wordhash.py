@@ -56,8 +56,13 @@ def _block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return mix((sums[ends] - sums[starts]) * powers(inverse(_R), len(data) + 1)[starts]), starts
 
 
-def words_of(column) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): the words of all texts of a string column in order; text i has words first[i] to first[i + 1]."""
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def words_of(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): the words of all texts of a string column in order; text i has words first[i] to first[i + 1].
+    `lower` takes A-Z as a-z."""
     import pyarrow as pa
 
     column = column.cast(pa.large_string())
@@ -71,6 +76,7 @@ def words_of(column) -> tuple[np.ndarray, np.ndarray]:
     if end == base:
         return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8, end - base, base)
+    data = _LOWER[data] if lower else data
     edges = offsets - base
     hashes, starts, at = [], [], 0
     while at < len(data):
