@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontamination, html_text, jaccard_join, language_id, packing, quality_rules, substring_dedup, token_store, warc
+from graphloom.llm import decontamination, html_text, jaccard_join, language_id, packing, quality_rules, quotations, substring_dedup, token_store, warc
 
 
 def queries() -> dict:
     return {
+        "op1_quotations": quotations.op1_quotations,
         "op2_warc": warc.op2_warc,
         "op3_language_id": language_id.op3_language_id,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,
