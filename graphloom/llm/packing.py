@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.tokens import ChunkEncoder, default_tokenizer, slices
+from graphloom.llm.tokens import WordEncoder, default_tokenizer, slices
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, width:
         from pyspark import TaskContext
 
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-        encoder, packer = ChunkEncoder.of(path), SumOfSquares(width, max_open)
+        encoder, packer = WordEncoder.of(path), SumOfSquares(width, max_open)
         end, sequence = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 40
 
         def rows(windows):
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, width:
         for batch in batches:
             for part in slices(batch):
                 windows = []
-                for doc, ids in zip(part["doc_id"].to_pylist(), encoder.ids(part["text"].to_pylist()), strict=True):
+                for doc, ids in zip(part["doc_id"].to_pylist(), encoder.ids(part["text"]), strict=True):
                     ids += end
                     total = len(ids) // 4
                     whole = total - total % width

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import new_folder
-from graphloom.llm.tokens import ChunkEncoder, default_tokenizer, slices
+from graphloom.llm.tokens import WordEncoder, default_tokenizer, slices
 
 MARK = b"IDSHARD1"
 #: Keys in a part of the index, on average.
@@ -148,7 +148,7 @@ class TokenStore:
             got = look_up(right["blob"].iloc[0], left["kh"].to_numpy().view(np.uint64), left["fp"].to_numpy().astype(np.int32).view(np.uint32))
             return left[["doc_id", "nth"]].assign(shard=got["shard"], offset=got["offset"], n=got["n"])
 
-        index = self.spark.read.parquet(f"{self.folder}/index")
+        index = self.spark.read.schema("part int, blob binary").parquet(f"{self.folder}/index")
         keyed = _keyed(keys, self.n_parts)
         # doc_id travels as text: pandas has no whole numbers beside nulls.
         keyed = keyed.withColumn("doc_id", F.col("doc_id").cast("string"))
@@ -188,7 +188,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
     """Encodes the documents into shards under `folder` and builds the index beside them. Each byte of the end id must
     be below 128, since it is the text writer's separator."""
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
-    dtype = "<u2" if ChunkEncoder.of(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    dtype = "<u2" if WordEncoder.of(path).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
     width = int(dtype[-1])
     end = np.array([end_id], dtype).tobytes()
     if max(end) > 127:
@@ -199,10 +199,10 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, offset, doc, nth, starts, sizes = ChunkEncoder.of(path, dtype), 0, [], [], [], []
+        encoder, offset, doc, nth, starts, sizes = WordEncoder.of(path), 0, [], [], [], []
         for batch in batches:
             for part in slices(batch):
-                raw = encoder.ids(part["text"].to_pylist())
+                raw = encoder.ids(part["text"], dtype)
                 for d, ids in zip(part["doc_id"].to_pylist(), raw, strict=True):
                     nth.append(nth[-1] + 1 if doc and doc[-1] == d else 0)
                     doc.append(d)

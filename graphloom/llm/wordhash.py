@@ -12,6 +12,8 @@ BLOCK = 1 << 20
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _R, _C = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _powers: dict[tuple[int, int], np.ndarray] = {}
 
@@ -40,61 +42,69 @@ def mix(z: np.ndarray, seed: int = 0) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and starts of the words of `data`; `breaks` are positions at which a word ends in any case."""
+def _spans(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of `data`; `breaks` are positions at which a word ends in any case."""
     word = ~_IS_SPACE[data]
     before = np.empty(len(word), bool)
     before[0], before[1:] = False, word[:-1]
     before[breaks] = False
-    starts = np.flatnonzero(word & ~before)
     after = np.empty(len(word), bool)
     after[-1], after[:-1] = False, word[1:]
     after[breaks[breaks > 0] - 1] = False
-    ends = np.flatnonzero(word & ~after) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * powers(_R, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(inverse(_R), len(data) + 1)[starts]), starts
+    return np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * powers(_R, len(data)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(inverse(_R), len(data) + 1)[starts])
 
 
 def words_of(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): the words of all texts of a string column in order; text i has words first[i] to first[i + 1].
     `lower` takes A-Z as a-z."""
+    hashes, first, _, _, _ = word_spans(column, lower)
+    return hashes, first
+
+
+def word_spans(column, lower: bool = False, refine=None):
+    """(hashes, first, data, starts, ends): words_of, with the texts' bytes and each word's place in them. `refine` may
+    cut words into pieces and change their bytes, block by block: (data, starts, ends) to the same."""
     import pyarrow as pa
 
     column = column.cast(pa.large_string())
-    if len(column) == 0:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     if column.null_count:  # a null's bytes, if it has any, aren't text
         column = column.fill_null("")
-        offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    none = np.zeros(0, np.int64)
+    nothing = np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64), np.zeros(0, np.uint8), none, none
+    if len(column) == 0:
+        return nothing
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     base, end = int(offsets[0]), int(offsets[-1])
     if end == base:
-        return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+        return nothing
     data = np.frombuffer(column.buffers()[2], np.uint8, end - base, base)
     data = _LOWER[data] if lower else data
     edges = offsets - base
-    hashes, starts, at = [], [], 0
+    parts, changed, at = [], [], 0
     while at < len(data):
         stop = min(at + BLOCK, len(data))
         while stop < len(data) and not _IS_SPACE[data[stop]]:  # blocks end at white space, or where a text ends
             window = data[stop : stop + 4096]
             space = np.flatnonzero(_IS_SPACE[window])
-            edge = edges[np.searchsorted(edges, stop)] if stop <= edges[-1] else len(data)
-            stop = min(stop + (int(space[0]) if len(space) else len(window)), int(edge))
+            edge = int(edges[np.searchsorted(edges, stop)])
+            stop = min(stop + (int(space[0]) if len(space) else len(window)), edge)
             if stop == edge:
                 break
-        inside = edges[(edges >= at) & (edges < stop)] - at
-        h, s = _block(data[at:stop], inside)
-        hashes.append(h)
-        starts.append(s + at)
+        block = data[at:stop]
+        s, e = _spans(block, edges[(edges >= at) & (edges < stop)] - at)
+        if refine:
+            block, s, e = refine(block, s, e)
+            changed.append(block)
+        parts.append((_hashes(block, s, e), s + at, e + at))
         at = stop
-    hashes, starts = np.concatenate(hashes), np.concatenate(starts)
-    return hashes, np.searchsorted(starts, edges)
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return hashes, np.searchsorted(starts, edges), np.concatenate(changed) if refine else data, starts, ends
 
 
 class Runs:
