@@ -92,14 +92,16 @@ def hit_words(spans: Column) -> Column:
 def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "documents") -> DataFrame:
     """The documents with all their columns, without those that have a hit (`documents`), or with hit words cut out of
     the texts that have any (`spans`; their other words are joined by one space and are normalised)."""
-    found = find_hits(docs, benchmark, n).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_th"])
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_th"))
+    found = find_hits(docs, benchmark, n).where(F.size("spans") > 0).select("doc_id", "th", "spans").dropDuplicates(["doc_id", "th"]).toDF("hit_id", "hit_th", "hit_spans")
+    # The row travels as one struct, so that no column of the documents can clash.
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("hit_th"))
     if mode == "documents":
-        return docs.join(found, same, "left_anti")
-    words = normal_words(docs["text"])
-    kept = F.filter(F.transform(words, lambda w, i: F.when(~F.exists("_spans", lambda s: (i + 1 >= s["p"]) & (i + 1 < s["p"] + s["l"])), w)), lambda w: w.isNotNull())
-    text = F.when(F.col("_spans").isNull(), docs["text"]).otherwise(F.array_join(kept, " "))
-    return docs.join(found, same, "left").select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+        return rows.join(found, same, "left_anti").select("row.*")
+    words = normal_words(F.col("row.text"))
+    kept = F.filter(F.transform(words, lambda w, i: F.when(~F.exists("hit_spans", lambda s: (i + 1 >= s["p"]) & (i + 1 < s["p"] + s["l"])), w)), lambda w: w.isNotNull())
+    text = F.when(F.col("hit_spans").isNull(), F.col("row.text")).otherwise(F.array_join(kept, " "))
+    return rows.join(found, same, "left").select(*[text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op7_decontamination(spark, sf_dir):
