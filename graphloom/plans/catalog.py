@@ -21,6 +21,7 @@ from graphloom.operators import regressions as reg
 from graphloom.operators import resolution as res
 from graphloom.operators import sessions as ses
 from graphloom.operators import syntax_context as syn
+from graphloom.plans import round_trips
 from graphloom.plans.inputs import oracle, relation
 from graphloom.streaming import coalesce as stream
 
@@ -348,8 +349,8 @@ def _query(build):
 
 
 def queries() -> dict:
-    return {name: _query(build) for name, (build, _) in ENTRIES.items()}
+    return {name: _query(build) for name, (build, _) in (ENTRIES | round_trips.ENTRIES).items()}
 
 
 def oracle_sql() -> dict:
-    return {name: oracle(sql) for name, (_, sql) in ENTRIES.items() if sql}
+    return {name: oracle(sql) for name, (_, sql) in ENTRIES.items() if sql} | round_trips.oracle_sql()
