@@ -48,8 +48,15 @@ def relative_uri(uri: Column, root: Column) -> Column:
 
 
 def unquote_literal(text: Column) -> Column:
-    """A literal's text without prefix letters, raw hashes and quotes."""
-    return F.regexp_extract(text, r"(?s)^[A-Za-z]*(#*)(\"\"\"|'''|[\"'`])(.*)\2\1$", 3)
+    """A literal's text without prefix letters, as many hashes at both ends as it begins with, and one pair of quotes."""
+    bare = F.regexp_replace(text, "^[A-Za-z]+", "")
+    n = F.length(F.regexp_extract(bare, "^(#*)", 1))
+    rest = F.when(2 * n <= F.length(bare), F.substring(bare, n + 1, F.length(bare) - 2 * n)).otherwise(bare)
+    out = rest
+    for quote in ("`", "'", '"', "'''", '"""'):
+        pattern = f"(?s)^{quote}(.*){quote}$"
+        out = F.when(rest.rlike(pattern), F.regexp_extract(rest, pattern, 1)).otherwise(out)
+    return out
 
 
 def source_tag(tool: Column) -> Column:
@@ -108,13 +115,11 @@ def line_offsets(files: DataFrame) -> DataFrame:
 
 
 def byte_offset(lines: DataFrame, positions: DataFrame, encoding: str = "utf-8") -> DataFrame:
-    """positions: path, line, column in bytes (utf-8) or UTF-16 units. Adds `byte`; null past the end or inside a
-    character."""
+    """positions: path, line, column in bytes (utf-8) or UTF-16 units. Adds `byte`; null past the end of the line, or
+    inside a character for UTF-16 units."""
     joined = positions.join(lines, ["path", "line"], "left")
     if encoding == "utf-8":
-        raw = F.encode("text", "UTF-8")
-        whole = F.is_valid_utf8(F.substring(raw, 1, F.col("column"))) if hasattr(F, "is_valid_utf8") else F.lit(True)
-        return joined.withColumn("byte", F.when((F.col("column") <= F.octet_length("text")) & whole, F.col("offset") + F.col("column"))).drop("text", "offset")
+        return joined.withColumn("byte", F.when(F.col("column") <= F.octet_length("text"), F.col("offset") + F.col("column"))).drop("text", "offset")
 
     @F.pandas_udf("long")
     def units(text, column):

@@ -22,8 +22,9 @@ def control_context(sites: DataFrame, nodes: DataFrame, kinds: DataFrame, defini
     control, and, where a kind counts only if it is entered through some of its fields, `mode` (only, except) and
     `fields`; the field is that of the child on the way in."""
     around = enclosing(sites, nodes)
-    inner = around.where(F.col("kind").isin(*definitions)).groupBy("site_id").agg(F.max("start").alias("def_start"))
-    rows = around.join(inner, "site_id", "left").where("def_start IS NULL OR start > def_start").join(kinds, "kind")
+    depth = F.struct("start", (-F.col("end_at")).alias("e"))
+    inner = around.where(F.col("kind").isin(*definitions)).groupBy("site_id").agg(F.max(depth).alias("definition"))
+    rows = around.join(inner, "site_id", "left").where(F.col("definition").isNull() | (depth > F.col("definition"))).join(kinds, "kind")
     if {"mode", "fields"} <= set(kinds.columns):
         way = around.select("site_id", F.col("parent_id").alias("node_id"), F.col("field").alias("entered"))
         rows = rows.join(way, ["site_id", "node_id"], "left")

@@ -338,8 +338,8 @@ ENTRIES = {
     "change_facets": (lambda r: gv.change_facets(chg.snapshot_diff(r("snapshot_old"), r("snapshot_new"))), "SELECT concat('file:', path) AS item, k AS key, CASE k WHEN 'change' THEN kind ELSE string_split(path, '/')[1] END AS value FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'created' WHEN b.path IS NULL THEN 'deleted' WHEN a.is_dir <> b.is_dir OR NOT b.is_dir AND (a.len <> b.len OR a.modified <> b.modified) THEN 'changed' END AS kind FROM {snapshot_old} a FULL JOIN {snapshot_new} b ON a.path = b.path), (VALUES ('change'), ('dir')) AS v(k) WHERE kind IS NOT NULL"),
     "decay_guard": (lambda r: gv.decay_guard(r("events").select(F.col("user_id").alias("actor"), F.col("ts").cast("timestamp").cast("double").alias("ts"), F.col("event_id").alias("op_id")), 86_400.0, 3.0).withColumn("c", F.round("c", 6)), "SELECT user_id AS actor, count(*) AS ops, round(sum(pow(2.0, -(m - t) / 86400.0)), 6) AS c, sum(pow(2.0, -(m - t) / 86400.0)) >= 3.0 AS tripped FROM (SELECT user_id, epoch_us(ts) / 1e6 AS t, max(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id) AS m FROM {events}) GROUP BY user_id"),
     # Syntax context
-    "control_context": (lambda r: syn.control_context(sites_at(r), nodes(r), r("control_kind"), ("function_item",)).select("site_id", F.array_join("controls", ",").alias("controls")), f"""SELECT s.site_id, coalesce(string_agg(k.control, ',' ORDER BY n.start DESC, n.end_at, n.node_id), '') AS controls FROM ({SITES_AT}) s LEFT JOIN (SELECT s.site_id, max(n.start) AS def_start FROM ({SITES_AT}) s JOIN {{node}} n ON n.file = s.file AND n.start <= at_ AND at_ < n.end_at AND n.kind = 'function_item' GROUP BY s.site_id) d ON d.site_id = s.site_id
-      LEFT JOIN (SELECT n.*, k.control FROM {{node}} n JOIN {{control_kind}} k ON k.kind = n.kind) n ON n.file = s.file AND n.start <= at_ AND at_ < n.end_at AND (def_start IS NULL OR n.start > def_start) LEFT JOIN {{control_kind}} k ON k.kind = n.kind GROUP BY s.site_id"""),
+    "control_context": (lambda r: syn.control_context(sites_at(r), nodes(r), r("control_kind"), ("function_item",)).select("site_id", F.array_join("controls", ",").alias("controls")), f"""SELECT s.site_id, coalesce(string_agg(k.control, ',' ORDER BY n.start DESC, n.end_at, n.node_id), '') AS controls FROM ({SITES_AT}) s LEFT JOIN (SELECT * FROM (SELECT s.site_id, n.start AS def_start, n.end_at AS def_end, row_number() OVER (PARTITION BY s.site_id ORDER BY n.start DESC, n.end_at) AS k FROM ({SITES_AT}) s JOIN {{node}} n ON n.file = s.file AND n.start <= at_ AND at_ < n.end_at AND n.kind = 'function_item') WHERE k = 1) d ON d.site_id = s.site_id
+      LEFT JOIN (SELECT n.*, k.control FROM {{node}} n JOIN {{control_kind}} k ON k.kind = n.kind) n ON n.file = s.file AND n.start <= at_ AND at_ < n.end_at AND (def_start IS NULL OR n.start > def_start OR n.start = def_start AND n.end_at < def_end) LEFT JOIN {{control_kind}} k ON k.kind = n.kind GROUP BY s.site_id"""),
     "site_call": (lambda r: syn.site_call(sites_at(r), nodes(r), ("call_expression",)), f"SELECT site_id, call FROM (SELECT s.site_id, n.node_id AS call, row_number() OVER (PARTITION BY s.site_id ORDER BY n.start DESC, n.end_at, n.node_id DESC) AS k FROM ({SITES_AT}) s JOIN {{node}} n ON n.file = s.file AND n.start <= at_ AND at_ < n.end_at AND n.kind = 'call_expression') WHERE k = 1"),
 }
 

@@ -3,7 +3,8 @@
 Events arrive as (root, ts, event_id, path, kind), kind being created, changed, deleted, lock, unlock or rescan. A
 root's pending changes are merged per path and flushed when `quiet` has passed since the last or `max_wait` since the
 first. While a lock is held nothing is flushed until `lock_cap` has passed since it was taken; its release flushes at
-once. A rescan's changes (its `diff`) replace what is pending and are flushed even if empty. Late events, older than the
+once. A rescan's changes (its `diff`, with its cause as path) replace what is pending, and its batch is flushed when due
+even if empty, marked with the cause. Late events, older than the
 watermark, are dropped by the watermark; within it the order is (ts, event_id).
 """
 
@@ -32,16 +33,19 @@ class Pending:
     """A root's pending changes and clocks, in milliseconds."""
 
     def __init__(self, state: tuple | None, quiet: int, max_wait: int, lock_cap: int):
-        paths, kinds, self.first, self.last, self.lock = state or ([], [], None, None, None)
+        paths, kinds, self.first, self.last, self.lock, self.cause = state or ([], [], None, None, None, None)
         self.changes = dict(zip(paths, kinds, strict=True))
         self.quiet, self.max_wait, self.lock_cap = quiet, max_wait, lock_cap
 
     def state(self) -> tuple:
-        return list(self.changes), list(self.changes.values()), self.first, self.last, self.lock
+        return list(self.changes), list(self.changes.values()), self.first, self.last, self.lock, self.cause
+
+    def has_batch(self) -> bool:
+        return bool(self.changes) or self.cause is not None
 
     def due(self) -> int | None:
         """When the next flush is, or None with nothing pending."""
-        if not self.changes:
+        if not self.has_batch():
             return None
         at = min(self.last + self.quiet, self.first + self.max_wait)
         return at if self.lock is None else max(at, self.lock + self.lock_cap)
@@ -52,15 +56,18 @@ class Pending:
             self.changes.pop(path, None)
         else:
             self.changes[path] = merged
-        if not self.changes:  # all cancelled: the next change starts anew
+        self.touch(ts)
+
+    def touch(self, ts: int) -> None:
+        if not self.has_batch():  # all cancelled: the next change starts anew
             self.first = self.last = None
             return
         self.first = ts if self.first is None else self.first
         self.last = ts
 
-    def flush(self, at: int, cause: str | None = None) -> list[tuple]:
-        out = [(at, cause, p, k) for p, k in sorted(self.changes.items())] or ([(at, cause, None, None)] if cause else [])
-        self.changes, self.first, self.last = {}, None, None
+    def flush(self, at: int) -> list[tuple]:
+        out = [(at, self.cause, p, k) for p, k in sorted(self.changes.items())] or [(at, self.cause, None, None)]
+        self.changes, self.first, self.last, self.cause = {}, None, None, None
         return out
 
     def advance(self, now: int) -> list[tuple]:
@@ -73,13 +80,14 @@ class Pending:
         out = self.advance(ts)
         if kind == "lock":
             self.lock = ts if self.lock is None else self.lock
-        elif kind == "unlock":
+        elif kind == "unlock" and self.lock is not None:
             self.lock = None
-            out += self.flush(ts) if self.changes else []
+            out += self.flush(ts) if self.has_batch() else []
         elif kind == "rescan":
             self.changes = {d["path"]: d["kind"] for d in diff or []}
-            out += self.flush(ts, path or "rescan")
-        else:
+            self.cause = path or "rescan"
+            self.touch(ts)
+        elif kind != "unlock":
             self.record(ts, path, kind)
         return out
 
@@ -107,7 +115,7 @@ def coalesce_stream(events: DataFrame, quiet_ms: int = QUIET_MS, max_wait_ms: in
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], *r) for r in out], columns=["root", "flushed_ms", "cause", "path", "kind"])
 
-    held = "paths array<string>, kinds array<string>, first long, last long, lock long"
+    held = "paths array<string>, kinds array<string>, first long, last long, lock long, cause string"
     return events.withWatermark("ts", watermark).groupBy("root").applyInPandasWithState(run, BATCH, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 

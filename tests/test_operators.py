@@ -138,7 +138,7 @@ def test_text(spark):
     assert list(errors.values()) == ["unknown-space", "empty-name", "unclosed-quote", "bad-escape"]
     assert [one(spark, txt.is_called(F.lit(s))) for s in ("(x)", "  (", "::<A>(b)", "::<A<B>, C> (b)", "::<A", ".x(", "::<A>.b(", "")] == [True, True, True, True, False, False, False, False]
     assert [one(spark, txt.is_name(F.lit("a+é_ "), F.lit(i), F.lit(i + 1))) for i in range(6)] == [True, False, True, True, False, None]
-    assert [one(spark, txt.unquote_literal(F.lit(s))) for s in ("'a'", 'r#"x"#', 'b"y"', '"""z"""', "`t`")] == ["a", "x", "y", "z", "t"]
+    assert [one(spark, txt.unquote_literal(F.lit(s))) for s in ("'a'", 'r#"x"#', 'b"y"', '"""z"""', "`t`", "1")] == ["a", "x", "y", "z", "t", "1"]
     assert [one(spark, txt.relative_uri(F.lit(u), F.lit("/r"))) for u in ("file:///r/a%20b+c", "file:///s/a", "http://r/a")] == ["a b+c", None, None]
     assert [one(spark, txt.source_tag(F.lit(t))) for t in ("rust-analyzer 1.2 (x)", "tool", "", None)] == ["scip@rust-analyzer-1.2", "scip@tool", "scip@unknown", "scip@unknown"]
     sources = {"rust": ("pub fn a", "fnord a"), "go": ("func (r) x", "function"), "python": ("async def f", "undef f"), "typescript": ("x => 1", "functional")}
@@ -149,7 +149,7 @@ def test_byte_offset(spark):
     lines = txt.line_offsets(spark.createDataFrame([("a", "é😀x\nab")], "path string, text string"))
     at = lambda columns, line, enc: [r["byte"] for r in sorted(txt.byte_offset(lines, spark.createDataFrame([("a", line, c) for c in columns], "path string, line int, column int"), enc).collect(), key=lambda r: r["column"])]
     assert at([0, 1, 2, 3, 4, 5], 0, "utf-16") == [0, 2, None, 6, 7, None]
-    assert at([0, 1, 2, 6, 7, 8], 0, "utf-8") == [0, None, 2, 6, 7, None] and at([1, 2, 3], 1, "utf-8") == [9, 10, None]
+    assert at([0, 1, 2, 6, 7, 8], 0, "utf-8") == [0, 1, 2, 6, 7, None] and at([1, 2, 3], 1, "utf-8") == [9, 10, None]
 
 
 def test_expansion(spark):

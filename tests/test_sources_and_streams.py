@@ -86,8 +86,9 @@ def test_coalescing_clocks():
     assert replay([(0, "a", "created"), (100, "a", "deleted"), (5000, "b", "changed")]) == [(5200, None, "b", "changed")]
     assert replay([(0, "", "lock"), (10, "a", "changed"), (5000, "", "unlock")]) == [(5000, None, "a", "changed")]
     assert replay([(0, "", "lock"), (10, "a", "changed")]) == [(30_000, None, "a", "changed")]
-    assert replay([(0, "a", "changed"), (50, "overflow", "rescan", [])]) == [(50, "overflow", None, None)]
-    assert replay([(0, "a", "changed"), (50, "overflow", "rescan", [{"path": "b", "kind": "created"}])]) == [(50, "overflow", "b", "created")]
+    assert replay([(0, "a", "changed"), (50, "overflow", "rescan", [])]) == [(250, "overflow", None, None)]
+    assert replay([(0, "a", "changed"), (50, "overflow", "rescan", [{"path": "b", "kind": "created"}])]) == [(250, "overflow", "b", "created")]
+    assert replay([(0, "", "lock"), (10, "o", "rescan", []), (500, "", "unlock")]) == [(500, "o", None, None)]
 
 
 def test_streamed_batches_equal_replayed_ones(spark, tmp_path):
