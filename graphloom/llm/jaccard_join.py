@@ -6,11 +6,14 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. Two link
 2. Two linked sets share a shingle among the first n - ceil(0.8 n) + 1 of each in any common order. Heavy shingles come
    last in that order (a sketch of fixed size finds them), so the groups of a shared shingle stay small.
 3. In each such group the classes of least and of greatest key are hubs. Pairs of a class and a hub are bounded by their
-   count vectors, verified on their texts, and joined into components. That links most near copies with few pairs.
-4. Groups that still hold several components are searched in full: shingles are hashed into 64 coordinates, each class
-   is the point of its counts, an R-tree holds the group's points, and a search descends where the sum of coordinate
-   minima with a node's upper corner still allows the needed overlap. Surviving pairs between components are verified.
-   A large group is searched block against block, so that a task holds a bounded number of points.
+   count vectors, verified on their texts, and joined into components. Groups of more than a leaf that still hold several
+   components get four further hubs a round, for as long as that joins components. So most near copies link by few pairs.
+4. Groups that still hold several components are searched in full, those with the same members once: shingles are
+   hashed into coordinates, about one for four shingles, each class is the point of its counts, an R-tree holds the
+   group's points, and a search descends where the sum of coordinate minima with a node's upper corner still allows the
+   needed overlap. Points of twice the coordinates are folded to meet. Surviving pairs between components are verified.
+   A group of one leaf is compared point by point; a large one is searched block against block, so that a task holds a
+   bounded number of points.
 
 No link between different components is lost: each pair in a group is bounded by a tree, and bounds never exclude a link.
 
@@ -30,9 +33,13 @@ from graphloom.llm.shared import bounded, staged
 from graphloom.llm.tokens import slices
 from graphloom.llm.wordhash import Runs, mix, words_of
 
-SHINGLE, GROUPS = 5, 64
+SHINGLE = 5
+#: Least and most coordinates of a point (powers of two).
+LEAST_GROUPS, MOST_GROUPS = 32, 8192
 #: Slots of the sketch of heavy shingles; points in an R-tree's leaf and in one block; group rows that a task takes.
 SLOTS, LEAF, BLOCK, TASK_ROWS = 1 << 20, 32, 4096, 20_000
+#: Bytes of text that a task turns into sets at once.
+SLICE = 1_000_000
 #: Up to so many doc_ids (8 bytes each) are broadcast to pick their texts; beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -58,47 +65,59 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """id, n, k1, k2 (which name the set) and v (counts of shingles by group, 64 little-endian u32) of each row."""
-
-    def run(batches):
-        import pyarrow as pa
+def coordinates(n: np.ndarray) -> np.ndarray:
+    """The number of coordinates for a set of n shingles: the power of two from n / 4 on, within bounds. Sets that may
+    link differ by a factor of two at most."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n / 4, 1))).astype(np.int64), LEAST_GROUPS, MOST_GROUPS)
 
-        for batch in batches:
-            for part in slices(batch):
-                h, first = sets_of(part["text"])
-                n = np.diff(first)
-                text = np.repeat(np.arange(len(n)), n)
-                v = np.bincount(text * GROUPS + (mix(h, 5) % np.uint64(GROUPS)).astype(np.int64), minlength=len(n) * GROUPS).astype("<u4").reshape(-1, GROUPS)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(n.astype(np.int64)), pa.array(_sums(mix(h, 6), first).view(np.int64)), pa.array(_sums(mix(h, 7), first).view(np.int64)), pa.array([x.tobytes() for x in v], pa.binary())], ["id", "n", "k1", "k2", "v"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long, v binary")
+def points(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Counts of each set's shingles by group, as little-endian u16. Counts that don't fit fill the point, which then
+    bounds nothing."""
+    n = np.diff(first)
+    d = coordinates(n)
+    offset = np.append(0, np.cumsum(d))
+    own = np.repeat(np.arange(len(n)), n)
+    counts = np.bincount(offset[own] + (mix(h, 5) % d[own].astype(np.uint64)).astype(np.int64), minlength=offset[-1])
+    out = []
+    for i, j in zip(offset[:-1].tolist(), offset[1:].tolist(), strict=True):
+        c = counts[i:j]
+        out.append((c if c.max(initial=0) <= 65535 else np.full(j - i, 65535)).astype("<u2").tobytes())
+    return out
 
 
-def heavy_slots(docs: DataFrame) -> np.ndarray:
-    """A byte for each slot of the sketch: 0, or the logarithm of how often its shingles occur where that is far above
-    the mean. It only orders shingles: links don't depend on how well it counts."""
+def classes(docs: DataFrame) -> DataFrame:
+    """id, n, k1, k2 (which name the set) and v (its point) of each row, and after them the rows of a sketch of heavy
+    shingles, which have n = -1, a slot as k1 and its count as k2: one pass over the texts gives both."""
 
     def run(batches):
         import pyarrow as pa
 
-        count = np.zeros(SLOTS, np.int64)
+        names, count = ["id", "n", "k1", "k2", "v"], np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for part in slices(batch):
-                h, _ = sets_of(part["text"])
+            for part in slices(batch, SLICE):
+                h, first = sets_of(part["text"])
                 count += np.bincount((h % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(np.diff(first).astype(np.int64)), pa.array(_sums(mix(h, 6), first).view(np.int64)), pa.array(_sums(mix(h, 7), first).view(np.int64)), pa.array(points(h, first), pa.binary())], names)
         mean = count.mean()
         heavy = np.flatnonzero(count > mean + 6 * np.sqrt(mean) + 8)
-        yield pa.RecordBatch.from_arrays([pa.array(heavy), pa.array(count[heavy])], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(heavy), pa.int64()), pa.array(np.full(len(heavy), -1)), pa.array(heavy), pa.array(count[heavy]), pa.nulls(len(heavy), pa.binary())], names)
 
-    rows = docs.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, k1 long, k2 long, v binary")
+
+
+def heavy_slots(sets: DataFrame) -> np.ndarray:
+    """A byte for each slot of the sketch: 0, or the logarithm of how often its shingles occur where that is far above
+    the mean. It only orders shingles: links don't depend on how well it counts."""
+    rows = sets.where("n = -1").groupBy(F.col("k1").alias("slot")).agg(F.sum("k2").alias("n")).toPandas()  # SLOTS rows at most
     out = np.zeros(SLOTS, np.uint8)
-    out[rows["slot"].to_numpy(np.int64)] = np.log2(rows["n"].to_numpy(np.float64)).astype(np.uint8) * 4 if len(rows) else 0
+    if len(rows):
+        out[rows["slot"].to_numpy(np.int64)] = np.log2(rows["n"].to_numpy(np.float64)).astype(np.uint8) * 4
     return out
 
 
 def prefixes(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """s, k1, k2: the prefix shingles of each class; rows that meet in a task are sent once."""
+    """s, k1: the prefix shingles of each class; rows that meet in a task are sent once."""
     packed = np.packbits(heavy > 0).tobytes(), heavy[heavy > 0].tobytes()
 
     def run(batches):
@@ -106,28 +125,29 @@ def prefixes(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
 
         weight = np.unpackbits(np.frombuffer(packed[0], np.uint8)).astype(np.uint8)
         weight[weight > 0] = np.frombuffer(packed[1], np.uint8)
-        seen: set[tuple] = set()
+        seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE):
                 h, first = sets_of(part["text"])
                 n = np.diff(first)
-                k1, k2 = _sums(mix(h, 6), first), _sums(mix(h, 7), first)
+                k1 = _sums(mix(h, 6), first)
                 fresh = np.zeros(len(n), bool)
                 if len(seen) > 500_000:
                     seen.clear()
-                for i, key in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)):
+                for i, key in enumerate(k1.tolist()):
                     if n[i] and key not in seen:
                         seen.add(key)
                         fresh[i] = True
                 text = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((mix(h, 8), weight[(h % np.uint64(SLOTS)).astype(np.int64)], text))
-                place = np.arange(len(h)) - first[text]
-                keep = (place < (n - (4 * n + 4) // 5 + 1)[text]) & fresh[text]
-                owner = text[keep]
-                if len(owner):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (h[order][keep], k1[owner], k2[owner])], ["s", "k1", "k2"])
+                h, own = h[fresh[text]], text[fresh[text]]
+                order = np.lexsort((mix(h, 8), weight[(h % np.uint64(SLOTS)).astype(np.int64)], own))
+                own = own[order]
+                place = np.arange(len(h)) - np.searchsorted(own, own)
+                keep = place < (n - (4 * n + 4) // 5 + 1)[own]
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(h[order][keep].view(np.int64)), pa.array(k1[own[keep]].view(np.int64))], ["s", "k1"])
 
-    return docs.select("text").mapInArrow(run, "s long, k1 long, k2 long")
+    return docs.select("text").mapInArrow(run, "s long, k1 long")
 
 
 def needed(na, nb):
@@ -177,8 +197,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part in slices(batch, 2_000_000, "ta"):
-                for half in slices(part, 2_000_000, "tb"):
+            for part in slices(batch, SLICE, "ta"):
+                for half in slices(part, SLICE, "tb"):
                     x, fx = sets_of(half["ta"])
                     y, fy = sets_of(half["tb"])
                     keep = []
@@ -191,62 +211,115 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def fold(v: np.ndarray, d: int) -> np.ndarray:
+    """Points of more coordinates as points of d."""
+    return v.reshape(len(v), -1, d).sum(1) if v.shape[1] > d else v
+
+
+def bounded_rows(va: list[bytes], na: np.ndarray, vb: list[bytes], nb: np.ndarray) -> np.ndarray:
+    """For each pair of points, whether its sum of coordinate minima allows a link."""
+    la, lb = np.array([len(x) for x in va]) // 2, np.array([len(x) for x in vb]) // 2
+    keep = np.zeros(len(va), bool)
+    size = (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (np.maximum(la, lb) <= 2 * np.minimum(la, lb))
+    for x, y in {*zip(la[size].tolist(), lb[size].tolist(), strict=True)}:
+        rows = np.flatnonzero(size & (la == x) & (lb == y))
+        for at in range(0, len(rows), max(1, 4_000_000 // max(x, y))):
+            r = rows[at : at + max(1, 4_000_000 // max(x, y))]
+            p = np.frombuffer(b"".join([va[i] for i in r.tolist()]), "<u2").reshape(-1, x).astype(np.int32)
+            q = np.frombuffer(b"".join([vb[i] for i in r.tolist()]), "<u2").reshape(-1, y).astype(np.int32)
+            keep[r] = np.minimum(fold(p, min(x, y)), fold(q, min(x, y))).sum(1) >= needed(na[r], nb[r])
+    return keep
+
+
 def _bounded_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, na, va, b, nb, vb) that their count vectors allow."""
+    """Pairs (a, na, va, b, nb, vb) that their points allow."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             if len(batch):
-                va, vb = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("va", "vb"))
-                keep = pa.array(np.minimum(va, vb).sum(1) >= needed(batch["na"].to_numpy(), batch["nb"].to_numpy()))
+                keep = pa.array(bounded_rows(batch["va"].to_pylist(), batch["na"].to_numpy(), batch["vb"].to_pylist(), batch["nb"].to_numpy()))
                 yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
 
-    return pairs.select("a", "na", "va", "b", "nb", "vb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "na", "va", "b", "nb", "vb").where("5 * least(na, nb) >= 4 * greatest(na, nb)").mapInArrow(run, "a long, b long").distinct()
+
+
+def tree_pairs(v: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray):
+    """Row pairs of left and right, of different components, that the trees let through. Trees hold points of equal
+    coordinates; points of twice as many are folded."""
+    d = np.array([len(x) for x in v]) // 2
+    point = lambda rows, k: fold(np.frombuffer(b"".join([v[i] for i in rows.tolist()]), "<u2").reshape(len(rows), -1).astype(np.int64), k)
+    for k in np.unique(d[right]).tolist():
+        at = right[d[right] == k]
+        small, tree = point(at, k), None
+        for e in (k // 2, k, 2 * k):
+            asked = left[d[left] == e]
+            if not len(asked):
+                continue
+            if e < k:
+                tree_e, queries = CountTree(fold(small, e), n[at]), point(asked, e)
+            else:
+                tree = tree or CountTree(small, n[at])
+                tree_e, queries = tree, point(asked, k)
+            for q, x in zip(asked.tolist(), queries, strict=True):
+                got = at[tree_e.search(x, int(n[q]))]
+                for g in got[comp[got] != comp[q]].tolist():
+                    yield q, g
 
 
 def _group_pairs(members: DataFrame) -> DataFrame:
-    """members: s, i, j (blocks), block, id, n, v, component. Pairs of different components that the trees let through."""
+    """members: g (group), i, j (blocks), task, block, id, n, v, component. Pairs of different components that the trees
+    let through. The groups of one leaf in a task are compared together."""
 
     def run(pdf):
         import pandas as pd
 
-        out = []
-        for (_, i, j), g in pdf.groupby(["s", "i", "j"], sort=False):
-            v = np.frombuffer(b"".join(g["v"]), "<u4").reshape(-1, GROUPS).astype(np.int64)
-            ids, n, comp, block = g["id"].to_numpy(), g["n"].to_numpy(), g["component"].to_numpy(), g["block"].to_numpy()
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            if not len(left) or not len(right) or (comp == comp[0]).all():
-                continue
-            tree = CountTree(v[right], n[right])
-            for q in left:
-                got = right[tree.search(v[q], n[q])]
-                got = got[(comp[got] != comp[q]) & ((ids[got] > ids[q]) if i == j else True)]
-                out.extend((min(ids[q], x), max(ids[q], x)) for x in ids[got])
-        return pd.DataFrame(out, columns=["a", "b"]).drop_duplicates()
-
-    rows = members.count()
-    n = max(1, -(-rows // TASK_ROWS))
-    task = F.pmod(F.xxhash64("s", "i", "j"), F.lit(n))
-    return members.withColumn("task", task).groupBy("task").applyInPandas(run, "a long, b long").distinct()
+        pdf = pdf.sort_values(["g", "i", "j"]).reset_index(drop=True)
+        ids, n, comp, block = (pdf[c].to_numpy() for c in ("id", "n", "component", "block"))
+        v = pdf["v"].tolist()
+        cell = pdf.groupby(["g", "i", "j"], sort=False).ngroup().to_numpy()
+        edges = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
+        size = np.diff(edges)
+        out, leaf = [np.zeros((0, 2), np.int64)], size <= LEAF
+        rows_in_leaf = leaf[cell]
+        for k in range(1, int(size[leaf].max(initial=1))):
+            x = np.flatnonzero(rows_in_leaf[:-k] & (cell[:-k] == cell[k:])) if len(cell) > k else np.zeros(0, np.int64)
+            y = x + k
+            ok = (comp[x] != comp[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
+            out.append(np.stack([x[ok], y[ok]], 1))
+        close = np.concatenate(out)
+        pairs = np.sort(np.stack([ids[close[:, 0]], ids[close[:, 1]]], 1), 1)
+        pairs, where = np.unique(pairs, axis=0, return_index=True)
+        a, b = close[where, 0], close[where, 1]
+        found = [pairs[bounded_rows([v[i] for i in a.tolist()], n[a], [v[i] for i in b.tolist()], n[b])]] if len(pairs) else []
+        for g in np.flatnonzero(~leaf):
+            rows = np.arange(edges[g], edges[g + 1])
+            i, j = pdf["i"].iloc[rows[0]], pdf["j"].iloc[rows[0]]
+            got = list(tree_pairs(v, n, rows[block[rows] == i], rows[block[rows] == j], comp))
+            if got:
+                found.append(np.sort(ids[np.array(got)], 1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return members.groupBy("task").applyInPandas(run, "a long, b long").distinct()
 
 
 def link(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    sets = staged(classes(rows), "sets")
+    passed = staged(classes(rows), "sets")
+    sets = passed.where("n >= 0")
     named = sets.where("n > 0 AND id IS NOT NULL")
     reps = staged(named.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("v").alias("v")), "classes")
-    shingles = prefixes(rows.where("id IS NOT NULL"), heavy_slots(rows))
-    key = F.struct("k1", "k2")
-    hubs = shingles.groupBy("s").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi")
-    shared = staged(shingles.join(hubs, "s").select("s", "k1", "k2", "lo", "hi"), "shared-shingles")
+    shingles = staged(prefixes(rows.where("id IS NOT NULL"), heavy_slots(passed)), "prefixes")
+    hubs = shingles.groupBy("s").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi")
+    shared = staged(shingles.join(hubs, "s").select("s", "k1", "lo", "hi"), "shared-shingles")
 
     def named_as(c: str) -> DataFrame:
-        return reps.select(F.struct("k1", "k2").alias(f"k{c}"), F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"))
+        return reps.select(F.col("k1").alias(f"k{c}"), F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"))
 
-    stars = shared.select(key.alias("ka"), F.explode(F.array("lo", "hi")).alias("kb")).where("ka <> kb").distinct()
+    stars = shared.select(F.col("k1").alias("ka"), F.explode(F.array("lo", "hi")).alias("kb")).where("ka <> kb").distinct()
     near = staged(_bounded_pairs(stars.join(named_as("a"), "ka").join(named_as("b"), "kb").where("a <> b")), "star-pairs")
     links = staged(verified(near, rows), "star-links")
     # A doc_id with several texts is one document: its classes are linked.
@@ -258,11 +331,39 @@ def link(docs: DataFrame) -> DataFrame:
     def component_of(df: DataFrame, column: str) -> DataFrame:
         return df.join(found.select(F.col("id").alias(column), "component"), column, "left").withColumn("component", F.coalesce("component", column))
 
-    member = component_of(shared.select("s", "k1", "k2").distinct().join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).select("s", "rep"), "rep")
-    open_groups = member.groupBy("s").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("size")).where("c1 <> c2").select("s", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    placed = member.join(open_groups, "s").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("s", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("id"), "component")
+    def still_open(df: DataFrame) -> DataFrame:
+        """Members (with component) of the groups that hold several components."""
+        several = df.groupBy("g").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("g")
+        return df.join(several, "g")
+
+    member = shared.select("s", "k1").distinct().join(reps.select("k1", "rep"), "k1").select("s", "rep")
+    mark = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    groups = member.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("g1"), *mark)
+    groups = groups.groupBy("size", "g1", "m1", "m2").agg(F.min("s").alias("s"))  # shingles with the same members: one group
+    grouped = staged(member.join(groups.select("s", "g1", "size"), "s").withColumnRenamed("s", "g"), "groups")
+
+    # Further hubs, four a round, for the groups of more than a leaf, for as long as they join components.
+    before, turn = None, 0
+    while True:
+        live = staged(still_open(component_of(grouped.where(F.col("size") > LEAF), "rep")), "open-groups")
+        left = live.select("component").distinct().count()
+        if not left or before is not None and 10 * left > 9 * before:
+            break
+        picks = [F.min(F.struct(F.xxhash64("rep", F.lit(4 * turn + k)).alias("h"), "rep", "component")).alias(f"p{k}") for k in range(4)]
+        more = live.groupBy("g").agg(*picks).select("g", F.explode(F.array(*[F.col(f"p{k}") for k in range(4)])).alias("p"))
+        pairs = live.join(more, "g").where("component <> p.component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+        point = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"))
+        near = staged(_bounded_pairs(pairs.join(point("a"), "a").join(point("b"), "b")), "hub-pairs")
+        links = staged(links.unionByName(verified(near, rows)), "hub-links")
+        found = staged(components(links), "hub-components")
+        before, turn = left, turn + 1
+
+    placed = still_open(component_of(grouped, "rep")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = placed.select("g", "g1", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("id"), "component")
     members = staged(paired.join(reps.select(F.col("rep").alias("id"), "n", "v"), "id"), "group-members")
+    tasks = max(1, -(-members.count() // TASK_ROWS))
+    members = members.withColumn("task", F.pmod(F.xxhash64("g1", "i", "j"), F.lit(tasks)))  # groups with one least member meet
     more = staged(verified(staged(_group_pairs(members), "tree-pairs"), rows), "tree-links")
     if not more.isEmpty():
         found = staged(components(links.unionByName(more)), "components")
