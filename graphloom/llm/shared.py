@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Whitespace that separates words: space and TAB to CR, and nothing else.
-SPACE = " \t\n\x0b\x0c\r"
-SPACE_RUN = "[\\x20\\x09-\\x0D]+"
-
+from graphloom.functions.frames import shared_folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see (spark.checkpoint.dir); only where it is unset, a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+#: White space that separates words: space and TAB to CR, and nothing else.
+SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

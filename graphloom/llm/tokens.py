@@ -146,7 +146,7 @@ class WordEncoder:
         return [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def slices(batch, most_bytes: int = 4_000_000, column: str = "text"):
+def slices(batch, most_bytes: int = 2_000_000, column: str = "text"):
     """Parts of an Arrow batch with at most about `most_bytes` of text each; a longer text stands alone."""
     import pyarrow.compute as pc
 
