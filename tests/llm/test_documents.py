@@ -51,8 +51,11 @@ def test_jaccard_join(docs, rows):
     assert collected(jaccard_join.link(docs)) == jaccard_components(rows)
 
 
-def test_jaccard_join_of_families(spark):
-    """Near copies at all distances around the threshold, whose links the hubs alone don't find."""
+@pytest.mark.parametrize("leaf", [32, 3])
+def test_jaccard_join_of_families(spark, monkeypatch, leaf):
+    """Near copies at all distances around the threshold, whose links the first hubs alone don't find; with small leaves
+    their groups get further hubs."""
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
     r = np.random.default_rng(5)
     rows, n = [], 0
     for family in range(6):
