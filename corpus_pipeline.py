@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, jaccard_join, language_id, packing, substring_dedup
-from graphloom.llm.shared import staged
+from graphloom.llm.shared import once, staged
 
 #: Packing and the learned language model are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -21,8 +21,9 @@ def identify_language(spark, docs, sf_dir):
 
 
 def one_of_each_group(spark, docs, sf_dir):
-    """One document of each group of near copies stays."""
-    return jaccard_join.keep_one(docs)
+    """One document of each group of near copies stays, and one of rows that repeat a doc_id (or null) with its text."""
+    kept = jaccard_join.keep_one(docs)
+    return once(staged(kept, "kept-rows"), "doc_id", "text") if not docs.groupBy("doc_id").count().where("count > 1").isEmpty() else kept
 
 
 def drop_repeats(spark, docs, sf_dir):

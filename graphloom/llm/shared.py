@@ -38,3 +38,13 @@ def split_words(text: Column, run: str = SPACE_RUN) -> Column:
 def bounded(df: DataFrame, limit: int) -> bool:
     """Whether `df` has at most `limit` rows; never counts far beyond it."""
     return df.limit(limit + 1).count() <= limit
+
+
+def once(df: DataFrame, key: str, *others: str) -> DataFrame:
+    """`df` with one row for each (key, *others). Only the rows whose key repeats are shuffled for it; `df` is read
+    more than once."""
+    repeated = staged(df.groupBy(key).count().where("count > 1").select(F.col(key).alias("again")), "repeated")
+    if repeated.isEmpty():
+        return df
+    met = df[key].eqNullSafe(repeated["again"])
+    return df.join(repeated, met, "left_anti").unionByName(df.join(repeated, met, "left_semi").dropDuplicates([key, *others]))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from graphloom.llm.shared import staged
+from graphloom.llm.shared import once, staged
 from graphloom.llm.tokens import slices
 from graphloom.llm.wordhash import Runs, mix, words_of
 
@@ -190,7 +190,7 @@ SPANS = "id long, th long, lo int, end int"
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """docs: id, th, text. The spans (id, th, lo, end) of words to remove; they may overlap."""
+    """docs: id, th, text, one row for each (id, th). The spans (id, th, lo, end) of words to remove; they may overlap."""
     regions = anchored(docs)
     same = Window.partitionBy("h", "rh").orderBy("id", "th", "lo")
     alike = Window.partitionBy("h")
@@ -244,7 +244,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # The text column travels once: it is put back in its place at the end.
     text_at = own.index("text")
     rows = rows.drop(f"c{text_at}")
-    found = repeated_spans(rows.select("id", "th", "text")).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("lo", "end"))).alias("spans"))
+    judged = rows.select("id", "th", "text")  # a second row of a document would count as a repeat of the first
+    found = repeated_spans(once(judged, "id", "th") if repeats else judged).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("lo", "end"))).alias("spans"))
     joined = rows.join(found, ["id", "th"], "left")
     others = [f"c{i}" for i in range(len(own)) if i != text_at]
     kinds = dict(joined.dtypes)

@@ -137,6 +137,18 @@ def test_substring_dedup(docs, rows):
     assert collected(got.select("doc_id", "n_words", "n_removed", "kept")) == kept_words(rows)
 
 
+def test_substring_dedup_of_repeated_rows(spark):
+    """Rows that repeat a document lose no word that occurs in no other document."""
+    from tests.llm.conftest import text_of
+
+    shared = text_of(81, 40)
+    one, two, other = " ".join(f"w{i}" for i in range(100)), text_of(82, 60) + " " + shared, shared + " " + text_of(83, 60)
+    rows = [(1, one), (1, one), (2, two), (3, other), (3, other), (3, other), (3, text_of(84, 50)), (None, text_of(85, 70)), (None, text_of(85, 70)), (4, ""), (4, None), (4, None)]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    found = collected(got.select("doc_id", "n_words", "n_removed", "kept"))
+    assert found == kept_words(rows) and found.count((1, 100, 0, one)) == 2 and sorted(r[2] for r in found if r[0] == 3) == [0, 40, 40, 40]
+
+
 def test_substring_dedup_of_hot_passages(spark, monkeypatch):
     """Many different regions with one anchor go window by window."""
     from tests.llm.conftest import text_of

@@ -139,6 +139,23 @@ def test_pipeline(spark, tmp_path):
     assert kept[4] == kept[3] and {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[3]
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark, tmp_path):
+    from tests.llm.conftest import text_of
+
+    texts = [text_of(400 + i, 120) for i in range(30)]
+    rows = [(i, t, "en", "src", len(t)) for i, t in enumerate(texts)]
+    rows += [rows[3], rows[3], rows[7], (None, *rows[8][1:]), (None, *rows[8][1:])]
+    rows[8] = (8, *rows[9][1:])
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    want = [(i, t) for i, t in enumerate(texts) if i not in (8, 9)] + [(8, texts[9]), (None, texts[8])]
+    assert sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_pipeline_keeps_nothing_of_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     empty.write.parquet(f"{tmp_path}/documents.parquet")
