@@ -3,7 +3,9 @@
 Texts become normalised TF-IDF vectors over hashed byte n-grams (1 to 3, of the lower-cased text with
 ASCII other than letters as spaces). Each language has
 several centroids, found by spherical k-means; a text gets the language of the nearest by cosine, and is rejected when
-that cosine is under the centroid's radius. Document frequencies cover all learnable documents; the k-means is fitted to
+that cosine is under the language's radius for texts of like length. Radii come from the cosines of the sampled texts and
+of pieces of them: the 1 % quantile of those of like length, less half its distance to the median, and at
+most 0.6 times the median. Document frequencies cover all learnable documents; the k-means is fitted to
 a sample of about `sample_per_language` documents of each language, chosen by a hash of doc_id.
 
 Defined results: null text, or one without a letter, is `und` with score 0 and rejected; rows with a null lang teach
@@ -14,6 +16,7 @@ repeated rows are judged one by one; other columns pass through `identify` uncha
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -23,6 +26,9 @@ from graphloom.llm.tokens import slices
 
 #: Hashed n-grams (a power of two), documents a language that k-means sees, and centroids a language.
 DIMS, SAMPLE_PER_LANGUAGE, CENTROIDS = 4096, 300, 4
+#: Characters of the pieces of sampled texts whose cosines give radii, bands of length (each four times the one before),
+#: the quantile, and how many cosines a band needs for a radius of its own.
+PIECES, BANDS, QUANTILE, LEAST_BAND = (8, 32, 128, 512, 2048), 24, 0.01, 20
 #: ASCII other than lower-case letters becomes a space.
 LETTERS_ONLY = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 LETTER = re.compile(r"[^\W\d_]")
@@ -48,19 +54,39 @@ def unit(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32)
 
 
-def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centroids, and the least cosine of each one's members. Starts from the mean's nearest row, then farthest."""
-    picks = [int(np.argmax(x @ x.mean(0)))]
-    while len(picks) < min(k, len(x)):
-        picks.append(int(np.argmin((x @ x[picks].T).max(1))))
-    c = x[picks]
+def band(tf: np.ndarray) -> int:
+    return min(int(np.log2(max(tf.sum(), 1))) // 2, BANDS - 1)
+
+
+def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """Unit centroids. Starts from rows spread evenly along the direction of greatest variance, where outliers are but
+    the ends; a centroid that keeps under a fiftieth of the rows, or a single one, goes if others are left."""
+    centred = x - x.mean(0)
+    along = np.ones(len(x)) + np.arange(len(x)) / len(x)
+    for _ in range(20):  # power iteration
+        along = centred @ (centred.T @ along)
+        along = along / max(np.linalg.norm(along), 1e-12)
+    order = np.argsort(along, kind="stable")
+    c = x[order[np.unique(((np.arange(k) + 0.5) * len(x) / k).astype(int))]]
     for _ in range(rounds):
         near = (x @ c.T).argmax(1)
         sums = np.stack([x[near == j].sum(0) if (near == j).any() else c[j] for j in range(len(c))])
         c = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-    cos = x @ c.T
-    near = cos.argmax(1)
-    return c.astype(np.float32), np.array([cos[near == j, j].min() if (near == j).any() else 1.0 for j in range(len(c))], np.float32)
+    size = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+    large = size >= max(2, len(x) / 50)
+    return c[large if large.any() else size > 0].astype(np.float32)
+
+
+def radii(cos: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """The least cosine that isn't rejected, by band. A band with too few cosines takes the next shorter one's, which is
+    lower; without any shorter, the next longer one's."""
+    known = [b for b in range(BANDS) if (bands == b).sum() >= LEAST_BAND]
+    out = np.zeros(BANDS)
+    for b in range(BANDS):
+        use = max((x for x in known if x <= b), default=min(known, default=None))
+        low, middle = np.quantile(cos if use is None else cos[bands == use], [QUANTILE, 0.5])
+        out[b] = min(max(low - (middle - low) / 2, low / 2), 0.6 * middle)  # a few alike cosines tell little of the spread
+    return out
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -92,21 +118,22 @@ class Centroids:
         """Language, cosine, and whether it is rejected as too far."""
         if not text or not LETTER.search(text) or not self.languages:
             return "und", 0.0, True
-        cos = self.centroids @ unit(counts(text), self.idf)
+        tf = counts(text)
+        cos = self.centroids @ unit(tf, self.idf)
         best = int(np.argmax(cos))
         score = float(min(max(cos[best], 0.0), 1.0))
-        return self.languages[best], score, score < float(self.radius[best])
+        return self.languages[best], score, score < float(self.radius[best, band(tf)])
 
 
-def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS, slack: float = 0.25) -> Centroids:
-    """Learns from the rows whose lang isn't null. The radius is `slack` times the least cosine within a cluster: short
-    texts are far from any centroid, and only what is much farther than all learned rows is rejected."""
+def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> Centroids:
+    """Learns from the rows whose lang isn't null. Short texts are far from any centroid, so each language has a radius
+    for each band of length; pieces of the sampled texts show the cosines of short texts where the rows have few."""
     docs = docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     per_language = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}  # a row per language
     df, n = document_frequencies(docs)
     idf = np.log((1 + n) / (1 + df)) + 1
     if not per_language or not n:
-        return Centroids(idf, [], np.zeros((0, DIMS), np.float32), np.zeros(0, np.float32))
+        return Centroids(idf, [], np.zeros((0, DIMS), np.float32), np.zeros((0, BANDS)))
     share = F.create_map(*[F.lit(x) for lang, m in per_language.items() for x in (lang, min(1.0, sample_per_language / m))])
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
@@ -114,19 +141,26 @@ def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, k: int
         import pyarrow as pa
 
         for batch in batches:
-            got = [(lang, unit(counts(t), idf).tobytes()) for lang, t in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True) if t and LETTER.search(t)]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.binary())], ["lang", "v"])
+            for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                if not text or not LETTER.search(text):
+                    continue
+                starts = [(crc32(text[:64].encode("utf-8", "replace")) % (len(text) - n), n) for n in PIECES if n < len(text)]
+                parts = [text, *[x for at, n in starts if LETTER.search(x := text[at : at + n])]]
+                tfs = [counts(x) for x in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(tfs)), pa.array([unit(tf, idf).tobytes() for tf in tfs], pa.binary()), pa.array([band(tf) for tf in tfs], pa.int32()), pa.array([i == 0 for i in range(len(tfs))])], ["lang", "v", "band", "whole"])
 
     def cluster(pdf):
         import pandas as pd
 
-        c, radius = spherical_kmeans(np.stack([np.frombuffer(v, np.float32) for v in sorted(pdf["v"])]), k)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "c": [x.tobytes() for x in c], "radius": radius.astype(float)})
+        pdf = pdf.sort_values(["v", "band"])
+        x = np.stack([np.frombuffer(v, np.float32) for v in pdf["v"]])
+        c = spherical_kmeans(x[pdf["whole"].to_numpy()], k)
+        radius = radii((x @ c.T).max(1), pdf["band"].to_numpy()).tolist()
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "c": [y.tobytes() for y in c], "radius": [radius] * len(c)})
 
-    found = sample.mapInArrow(vectors, "lang string, v binary").groupBy("lang").applyInPandas(cluster, "lang string, c binary, radius double")
-    rows = sorted(found.collect(), key=lambda r: (r["lang"], r["c"]))  # k rows per language
-    return Centroids(idf, [r["lang"] for r in rows], np.array([np.frombuffer(r["c"], np.float32) for r in rows]).reshape(-1, DIMS), slack * np.array([r["radius"] for r in rows]))
+    found = sample.mapInArrow(vectors, "lang string, v binary, band int, whole boolean").groupBy("lang").applyInPandas(cluster, "lang string, c binary, radius array<double>")
+    rows = sorted(found.collect(), key=lambda r: (r["lang"], r["c"]))  # at most k rows per language
+    return Centroids(idf, [r["lang"] for r in rows], np.array([np.frombuffer(r["c"], np.float32) for r in rows]).reshape(-1, DIMS), np.array([r["radius"] for r in rows]).reshape(-1, BANDS))
 
 
 def identify(docs: DataFrame, model: Centroids) -> DataFrame:

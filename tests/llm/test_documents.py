@@ -337,6 +337,40 @@ def test_language_id(spark, docs, rows, empty):
     assert {r["lang_pred"] for r in language_id.identify(docs, none).collect()} == {"und"} and language_id.identify(empty, none).count() == 0
 
 
+def test_language_id_rejects_junk_and_unlearned_languages(spark):
+    import base64
+    import random
+
+    r = random.Random(9)
+    lexicon = {"aa": "the of and to in is that for on with as by this be at from or an are it was not which their has", "bb": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden", "cc": "le la les de des et en un une que est pour qui dans par plus pas au sur ne se ce il sont avec été"}
+    stems = {k: [w + x for w in v.split() for x in ("", *v.split()[:6])] for k, v in lexicon.items()}
+    data = [(i, " ".join(r.choice(stems[k]) for _ in range(r.choice([8, 40, 300]))), k) for i in range(900) for k in [["aa", "bb", "cc"][i % 3]]]
+    data += [(1000 + i, f"{w} " * 200, "aa") for i, w in enumerate(["zq", "xj", "vv"])]  # outliers that must not take centroids
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language_id.fit(df.where(~language_id.held_out(F.col("doc_id"))))
+    clean = language_id.identify(df.where(language_id.held_out(F.col("doc_id")) & (F.col("doc_id") < 1000)), model)
+    assert clean.where("NOT rejected AND lang = lang_pred").count() >= 0.98 * clean.count()
+    polish, russian = "szczęście źródło które przez wszystko jest nie będzie można także więc jednak właśnie".split(), "это что как для все они было быть время человек который только можно".split()
+    junk = [
+        base64.b64encode(r.randbytes(2250)).decode(),
+        " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randint(3, 9))) for _ in range(300)),
+        "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(3000)),
+        " ".join(r.choice(polish) for _ in range(400)),
+        " ".join(r.choice(russian) for _ in range(300)),
+        "这是一段没有学过的文字", "это время человек который только",
+    ]
+    got = language_id.identify(spark.createDataFrame(list(enumerate(junk)), "doc_id long, text string"), model).collect()
+    assert [x["doc_id"] for x in got if not x["rejected"]] == []
+
+
+def test_kmeans_spends_no_centroid_on_an_outlier():
+    r = np.random.default_rng(8)
+    x = np.abs(np.concatenate([m + r.normal(0, 0.1, (50, 32)) for m in np.eye(32)[:2]] + [np.eye(32)[20:23]]))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    near = (x @ language_id.spherical_kmeans(x, 4).T).argmax(1)
+    assert np.bincount(near).min() >= 2 and not set(near[:50]) & set(near[50:100])
+
+
 def test_held_out_is_by_crc(spark):
     got = spark.range(50).select("id", language_id.held_out(F.col("id")).alias("x")).collect()
     assert all(r["x"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in got)
