@@ -2,11 +2,14 @@
 
 Lines that begin with '>' marks are quoted, and their number is the nested level. Runs of lines at one level are
 passages; their normalised text is hashed and joined to the earliest message of the conversation that holds it, as its
-whole own text or as one of its lines. A message replies to the latest message that its level-1 passages come from.
+whole own text or as one of its lines. What no message holds so is looked for as a run of tokens (words, ideographs and
+marks) in the messages' own texts, whatever their line breaks: runs of up to 8 tokens meet by themselves, longer ones by
+their 8-token run of least hash, and are then compared. A message replies to the latest message that its level-1 passages come from.
 Messages leave in reply order, without quotes: by conversation, by the first message of their thread, by turn.
 
 Defined results: null text is the empty message; a passage that no earlier message of its conversation holds is counted
-but not linked; lines under 12 characters link only as a whole passage; rows that repeat (conv_id, turn) are handled one
+but not linked; a passage links as a whole if it can, or else by its lines, of which those under 12 characters link only
+to equal lines; rows that repeat (conv_id, turn) are handled one
 by one and share links; a null conv_id or turn links with nothing and comes first; an empty table gives an empty table;
 other columns are ignored.
 """
@@ -19,8 +22,12 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import let, staged
 
 MARKS = r"^((?:[ \t]*>)+)[ \t]?"
-#: The shortest line that links on its own, in characters.
+#: The shortest line of a longer passage that links to a part of a line, in characters.
 LEAST_LINE = 12
+#: Tokens: ideographs and kana one by one, words, and other marks one by one. Most tokens of an anchor.
+IDEOGRAPH = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"
+TOKEN = rf"{IDEOGRAPH}|(?:(?!{IDEOGRAPH})[\p{{L}}\p{{M}}\p{{N}}_])+|\S"
+ANCHOR = 8
 
 
 def normal(text: Column) -> Column:
@@ -39,6 +46,33 @@ def own_lines(lines: Column) -> Column:
     return F.transform(F.filter(lines, lambda x, i: (x["level"] == 0) & ~announces(x, i)), lambda x: x["line"])
 
 
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def held_parts(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: conv_id, turn, t. Adds part_turn, the earliest turn before whose message's own text holds t's tokens in a
+    row; rows without one go. Only conversations in `wanted` are cut into runs, of the lengths asked for there."""
+    run = lambda w, at, k: F.array_join(F.slice(w, at + 1, k), " ")
+    want = wanted.distinct().withColumn("w", tokens(F.col("t"))).withColumn("n", F.size("w")).where("n > 0").withColumn("k", F.least("n", F.lit(ANCHOR)))
+    places = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("k")), lambda i: F.struct(F.xxhash64(run(F.col("w"), i, F.col("k"))).alias("h"), i.alias("at")))
+    want = want.withColumn("at", F.array_min(places)["at"]).withColumn("gram", run(F.col("w"), F.col("at"), F.col("k")))
+    want = staged(want, "quoted-parts")
+
+    needs = want.groupBy("conv_id").agg(F.collect_set("k").alias("ks"))  # at most ANCHOR numbers
+    held = base.join(needs, "conv_id").select("mid", "conv_id", F.col("turn").alias("part_turn"), "ks", tokens(F.array_join("own", " ")).alias("held"))
+    dealt = held.select("mid", "conv_id", "part_turn", "held", F.explode("ks").alias("k")).where(F.size("held") >= F.col("k"))
+    grams = dealt.select("mid", "conv_id", "part_turn", "k", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("held") - F.col("k")), lambda i: run(F.col("held"), i, F.col("k")))).alias("pos", "gram"))
+
+    keys = ["conv_id", "k", "gram"]
+    firsts = grams.groupBy(*keys).agg(F.min("part_turn").alias("part_turn"))
+    short = want.where(F.col("n") <= ANCHOR).join(firsts, keys).where("part_turn < turn").select("conv_id", "turn", "t", "part_turn")
+    met = want.where(F.col("n") > ANCHOR).join(grams, keys).where("part_turn < turn AND pos >= at")
+    met = met.join(held.select("mid", "held"), "mid").where(F.slice("held", F.greatest(F.col("pos") - F.col("at"), F.lit(0)) + 1, F.col("n")) == F.col("w"))
+    long = met.groupBy("conv_id", "turn", "t").agg(F.min("part_turn").alias("part_turn"))
+    return short.unionByName(long)
+
+
 def link_quotations(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (without quotes), n_quotes, n_linked, parent_turn, root_turn, depth, in reply order."""
     base = messages.select("conv_id", "turn", "role", quoted_lines(F.col("text")).alias("lines"))
@@ -47,7 +81,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
 
     # The earliest message for each text, summed before the shuffle: a common first turn is one row for its conversation.
     whole = normal(F.array_join("own", " "))
-    texts = base.select("conv_id", "turn", F.explode(F.array_append(F.filter(F.transform("own", normal), lambda x: F.length(x) >= LEAST_LINE), whole)).alias("t")).where("t <> ''")
+    texts = base.select("conv_id", "turn", F.explode(F.array_append(F.transform("own", normal), whole)).alias("t")).where("t <> ''")
     originals = texts.groupBy("conv_id", F.xxhash64("t").alias("h"), F.col("t").alias("original")).agg(F.min("turn").alias("source_turn"))
 
     quoting = base.where(F.exists("lines", lambda x: x["level"] > 0)).select("mid", "conv_id", "turn", F.posexplode("lines").alias("pos", "x"))
@@ -55,11 +89,15 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     starts = (F.lag("x.level", 1, 0).over(in_order) != F.col("x.level")).cast("int")
     runs = quoting.withColumn("new", starts).withColumn("passage", F.sum("new").over(in_order)).where("x.level > 0")
     passages = runs.groupBy("mid", "conv_id", "turn", "passage").agg(F.first("x.level").alias("level"), F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("x.line").alias("line")))), lambda x: x["line"]).alias("quoted"))
-    keys = F.array_append(F.filter(F.transform("quoted", normal), lambda x: F.length(x) >= LEAST_LINE), normal(F.array_join("quoted", " ")))
+    keys = F.array_append(F.transform("quoted", normal), normal(F.array_join("quoted", " ")))
     tried = passages.select("mid", "conv_id", "turn", "passage", "level", F.posexplode(F.reverse(keys)).alias("line", "t"))  # 0: the whole
     same = (tried["conv_id"] == originals["conv_id"]) & (F.xxhash64("t") == originals["h"]) & (F.col("t") == F.col("original")) & (F.col("source_turn") < tried["turn"])
-    found = tried.join(originals, same, "left").groupBy("mid", "passage").agg(F.first("level").alias("level"), F.max(F.when(F.col("line") == 0, F.col("source_turn"))).alias("by_whole"), F.max("source_turn").alias("by_line"))
-    found = found.withColumn("source", F.coalesce("by_whole", "by_line"))
+    matched = staged(tried.join(originals, same, "left").select("mid", tried["conv_id"], tried["turn"], "passage", "level", "line", tried["t"], "source_turn"), "passages")
+    parts = held_parts(base, matched.where((F.col("line") == 0) | (F.length("t") >= LEAST_LINE)).where("source_turn IS NULL AND conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "t"))
+    found = matched.join(parts, ["conv_id", "turn", "t"], "left")
+    whole_by = lambda c: F.max(F.when(F.col("line") == 0, F.col(c)))
+    found = found.groupBy("mid", "passage").agg(F.first("level").alias("level"), whole_by("source_turn").alias("by_whole"), whole_by("part_turn").alias("by_part"), F.max(F.coalesce("source_turn", "part_turn")).alias("by_line"))
+    found = found.withColumn("source", F.coalesce("by_whole", "by_part", "by_line"))
     per_message = staged(found.groupBy("mid").agg(F.count(F.lit(1)).alias("n_quotes"), F.count("source").alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("source"))).alias("parent_turn")), "quotations")
 
     links = per_message.where("parent_turn IS NOT NULL").join(base.select("mid", "conv_id", "turn"), "mid").groupBy("conv_id", "turn").agg(F.max("parent_turn").alias("up"))

@@ -108,6 +108,29 @@ def test_quotations(spark):
     assert quotations.link_quotations(df.limit(0)).count() == 0
 
 
+def test_quotations_of_parts(spark):
+    """Short, rewrapped and partial quotes link to the message that holds them."""
+    long = "The first part of a message that goes on for more than eight words, and then\nends on its second line."
+    rows = [
+        (1, 0, "user", "Shall we go?\nSay when.\n- tea\n- milk\n- rye"),
+        (1, 1, "assistant", "Well, yes, please do. 我们明天去北京吧"),
+        (1, 2, "user", long),
+        (1, 3, "user", "> yes, please\nGood"),
+        (1, 4, "user", "> - tea\n> - milk\nBought"),
+        (1, 5, "user", "> goes on for more than\n> eight words, and then ends\n> on its\nRight"),
+        (1, 6, "user", "> 明天去北京\nOK"),
+        (1, 7, "user", "> goes on for more than eight words, and then stops on its second\nNo"),
+        (1, 8, "user", "> - rye\n> - tea\nOut of order"),
+        (1, 9, "user", "> later words\nx"),
+        (1, 10, "user", "later words"),
+        (2, 0, "user", "> yes, please\nfrom elsewhere"),
+    ]
+    df = spark.createDataFrame([(*r, "l", "o") for r in rows], MESSAGE).repartition(3)
+    by = {(r["conv_id"], r["turn"]): (r["n_quotes"], r["n_linked"], r["parent_turn"]) for r in quotations.link_quotations(df).collect()}
+    assert [by[1, t] for t in (3, 4, 5, 6, 8)] == [(1, 1, 1), (1, 1, 0), (1, 1, 2), (1, 1, 1), (1, 1, 0)]
+    assert by[1, 7] == by[1, 9] == by[2, 0] == (1, 0, None)
+
+
 def test_pipeline(spark, tmp_path):
     from tests.llm.conftest import text_of
     from tests.llm.test_documents import kept_words, words
