@@ -46,6 +46,15 @@ def call_graph(r):
     return got["functions"].select("path", "id", "is_module", "start_line", "start_character")
 
 
+def call_graph_of_all(r):
+    """All orders as functions, in one graph per 256 order keys, so that no graph grows with the input."""
+    o = r("orders").select("o_orderkey", F.expr("o_orderkey DIV 256").alias("bucket"))
+    place = F.concat_ws(":", F.lit("0"), *[F.col("o_orderkey") % k + 1 for k in (97, 31, 89, 29)])
+    graphs = o.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), place))).alias("functions"), F.collect_list(F.array("o_orderkey", "o_orderkey")).alias("call2fun"))
+    rows = graphs.select(F.to_json(F.struct(F.array(F.concat(F.lit("b"), "bucket")).alias("files"), "functions", F.col("functions").alias("calls"), "call2fun")).alias("value"))
+    return readers.read_call_graph_maps(rows)["functions"].select("path", "id", "is_module", "start_line", "start_character")
+
+
 def session_log(r):
     to = folder(r, "session")
     m = r("log_message").withColumn("from", F.col("sender"))
@@ -117,6 +126,7 @@ ENTRIES = {
     "flatten_index": (flatten_index, "SELECT concat('src/', path) AS path, CAST(row_number() OVER (PARTITION BY path ORDER BY pos) - 1 AS INT) AS pos, symbol, line, roles FROM {occurrence}"),
     "read_jsonl_strict": (jsonl, "SELECT site_id, caller, line FROM {call_site}"),
     "read_call_graph_maps": (call_graph, "SELECT concat('n', c_nationkey) AS path, o_orderkey AS id, o_orderkey = max(o_orderkey) OVER (PARTITION BY c_nationkey) AS is_module, CAST(o_orderkey % 97 AS INT) AS start_line, CAST(o_orderkey % 31 AS INT) AS start_character FROM {orders} JOIN {customer} ON c_custkey = o_custkey WHERE c_nationkey < 5"),
+    "read_call_graph_maps_of_all": (call_graph_of_all, "SELECT concat('b', o_orderkey // 256) AS path, o_orderkey AS id, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_orderkey // 256) AS is_module, CAST(o_orderkey % 97 AS INT) AS start_line, CAST(o_orderkey % 31 AS INT) AS start_character FROM {orders}"),
     "read_session_log": (session_log, "SELECT ts_ms, sender, kind, method, concat('\"', id, '\"') AS id, bytes FROM {log_message}"),
     "edge_baseline": (baseline, "SELECT provider, path, edge_count FROM {edges_by_year} WHERE generation = 1997"),
     "file_table": (files, "SELECT n_regionkey AS region, 'text' AS language, concat('sha256:', sha256(s)) AS content_hash, CAST(length(s) AS BIGINT) AS size FROM (SELECT n_regionkey, concat(string_agg(n_name, chr(10) ORDER BY n_name), chr(10)) AS s FROM {nation} GROUP BY n_regionkey)"),

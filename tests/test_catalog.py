@@ -42,3 +42,9 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_call_graphs_of_all_orders(spark):
+    got = catalog.queries()["read_call_graph_maps_of_all"](spark, DIR)
+    assert got.count() == spark.read.parquet(f"{DIR}/orders.parquet").count()
+    assert got.groupBy("path").count().where("count > 256").isEmpty()
