@@ -102,7 +102,7 @@ def is_called(after: Column) -> Column:
         F.when((a["done"] == 0) & (c == ">") & (a["depth"] == 1), a["at"] + 1).otherwise(a["done"]).alias("done"),
     )
     zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("done"))
-    close = F.aggregate(F.split(F.substring(rest, 3, 1_000_000), ""), zero, step, lambda a: a["done"])
+    close = F.aggregate(F.split(F.substring(rest, F.lit(3), F.length(rest)), ""), zero, step, lambda a: a["done"])
     tail = F.ltrim(F.substring(rest, F.lit(3) + close, F.length(rest)))
     return F.when(rest.startswith("("), True).when(generic, F.when(close > 0, tail.startswith("(")).otherwise(False)).otherwise(False)
 

@@ -50,6 +50,11 @@ def answers_by_method(exchanges: DataFrame) -> DataFrame:
     return first.groupBy("method").agg(F.transform(ordered, lambda x: x["answer"]).alias("answers"))
 
 
+def first_answers(exchanges: DataFrame) -> DataFrame:
+    """method, answer, pos: its distinct answers, whole, each with the position at which it was first asked for."""
+    return exchanges.where("answer IS NOT NULL").groupBy("method", "answer").agg(F.min("pos").alias("pos"))
+
+
 def step_bounds(marks: DataFrame) -> DataFrame:
     """Adds `end_ms`: the next mark, or the largest number for the last. The marks of a session are few."""
     return marks.withColumn("end_ms", F.lead("ts_ms", 1, MAX_TS).over(Window.orderBy("ts_ms", "step")))

@@ -307,6 +307,7 @@ ENTRIES = {
     "notification_counts": (lambda r: ses.notification_counts(r("log_message")), "SELECT sender, method, count(*) AS n FROM {log_message} WHERE kind = 'notification' GROUP BY sender, method"),
     "document_sync_pivot": (lambda r: ses.document_sync_pivot(r("events").select(F.concat(F.lit("file:///u"), "user_id").alias("uri"), F.concat(F.lit("textDocument/"), F.when(F.col("event_type") == "signup", "didOpen").when(F.col("event_type") == "view", "didChange").when(F.col("event_type") == "error", "didClose").otherwise("hover")).alias("method"))), "SELECT concat('file:///u', user_id) AS uri, count(*) FILTER (WHERE event_type = 'signup') AS \"didOpen\", count(*) FILTER (WHERE event_type = 'view') AS \"didChange\", CAST(0 AS BIGINT) AS \"didSave\", count(*) FILTER (WHERE event_type = 'error') AS \"didClose\" FROM {events} WHERE event_type IN ('signup', 'view', 'error') GROUP BY user_id"),
     "answers_by_method": (lambda r: ses.answers_by_method(exchanges(r).withColumn("answer", F.substring("answer", 1, 2))), f"SELECT method, list(answer ORDER BY pos) AS answers FROM (SELECT method, substr(answer, 1, 2) AS answer, min(pos) AS pos FROM ({EXCHANGES}) WHERE answer IS NOT NULL GROUP BY ALL) GROUP BY method"),
+    "first_answers": (lambda r: ses.first_answers(exchanges(r)), f"SELECT method, answer, min(pos) AS pos FROM ({EXCHANGES}) WHERE answer IS NOT NULL GROUP BY method, answer"),
     "step_bounds": (lambda r: ses.step_bounds(r("mark")), "SELECT ts_ms, step, lead(ts_ms, 1, 9223372036854775807) OVER (ORDER BY ts_ms, step) AS end_ms FROM {mark}"),
     "assign_step": (lambda r: ses.assign_step(r("log_message"), r("mark")).select("pos", "step"), f"SELECT pos, step FROM ({STEPPED})"),
     "step_summary": (lambda r: ses.step_summary(r("log_message"), r("mark")), f"""SELECT m.step, coalesce((SELECT string_agg(method, ', ' ORDER BY pos) FROM (SELECT step, method, min(pos) AS pos FROM ({STEPPED}) WHERE kind = 'request' GROUP BY step, method) x WHERE x.step = m.step), 'none') AS requests,

@@ -3,7 +3,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from graphloom.functions.text import is_called
 from graphloom.plans import catalog
 from graphloom.plans.inputs import TABLES
 
@@ -48,3 +50,13 @@ def test_call_graphs_of_all_orders(spark):
     got = catalog.queries()["read_call_graph_maps_of_all"](spark, DIR)
     assert got.count() == spark.read.parquet(f"{DIR}/orders.parquet").count()
     assert got.groupBy("path").count().where("count > 256").isEmpty()
+
+
+def test_answers_are_whole(spark):
+    got = catalog.queries()["first_answers"](spark, DIR)
+    assert got.select("answer").distinct().count() > got.select(F.substring("answer", 1, 2)).distinct().count()
+
+
+def test_is_called_reads_long_generics(spark):
+    after = F.concat(F.lit("::<"), F.repeat(F.lit("a"), 1_000_100), F.lit(">("))
+    assert spark.range(1).select(is_called(after).alias("x")).first()["x"]
