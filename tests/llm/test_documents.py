@@ -1,5 +1,6 @@
 """Operators over documents against brute force, on rows with every odd case."""
 
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -363,6 +364,21 @@ def test_language_id_rejects_junk_and_unlearned_languages(spark):
     assert [x["doc_id"] for x in got if not x["rejected"]] == []
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_language_id_rejects_long_junk_beside_the_given_tables(spark):
+    import base64
+    import random
+
+    r = random.Random(1)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.where(~held))
+    junk = [base64.b64encode(r.randbytes(2250)).decode(), " ".join("".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(r.randint(3, 9))) for _ in range(300)), "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(3000))]
+    assert all(model.predict(x)[2] for x in junk)
+    clean = language_id.identify(docs.where(held & F.col("text").rlike(r"\p{L}")), model)
+    assert clean.where("NOT rejected AND lang = lang_pred").count() >= 0.98 * clean.count() > 0
+
+
 def test_kmeans_spends_no_centroid_on_an_outlier():
     r = np.random.default_rng(8)
     x = np.abs(np.concatenate([m + r.normal(0, 0.1, (50, 32)) for m in np.eye(32)[:2]] + [np.eye(32)[20:23]]))
