@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import staged
+from graphloom.llm.shared import staged, unstaged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,7 +23,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     while True:
-        now = staged(_star(_star(now, True), False), "stars")
+        now, old = staged(_star(_star(now, True), False), "stars"), now
+        unstaged(old)
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -8,12 +8,12 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. Two link
 3. In each such group the classes of least and of greatest key are hubs. Pairs of a class and a hub are bounded by their
    count vectors, verified on their texts, and joined into components. Groups of more than a leaf that still hold several
    components get four further hubs a round, for as long as that joins components. So most near copies link by few pairs.
-4. Groups that still hold several components are searched in full, those with the same members once: shingles are
-   hashed into coordinates, about one for four shingles, each class is the point of its counts, an R-tree holds the
-   group's points, and a search descends where the sum of coordinate minima with a node's upper corner still allows the
-   needed overlap. Points of twice the coordinates are folded to meet. Surviving pairs between components are verified.
-   A group of one leaf is compared point by point; a large one is searched block against block, so that a task holds a
-   bounded number of points.
+4. Groups that still hold several components are cut into cells of like set sizes and searched, cells of the same
+   members once: shingles are hashed into coordinates, about one for eight shingles, each class is the point of its
+   counts, an R-tree holds the cell's points, and a search descends where another component is and where the sum of
+   coordinate minima with a node's upper corner still allows the needed overlap. Points of twice the coordinates are
+   folded to meet. Surviving pairs between components are verified. Cells of one leaf are compared point by point; a
+   large one is searched block against block, so that a task holds a bounded number of points.
 
 No link between different components is lost: each pair in a group is bounded by a tree, and bounds never exclude a link.
 
@@ -24,20 +24,28 @@ has the links of any of its texts; an empty table gives an empty table; other co
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.shared import bounded, staged
+from graphloom.llm.shared import bounded, staged, unstaged
 from graphloom.llm.tokens import slices
 from graphloom.llm.wordhash import Runs, mix, words_of
 
 SHINGLE = 5
 #: Least and most coordinates of a point (powers of two).
-LEAST_GROUPS, MOST_GROUPS = 32, 8192
-#: Slots of the sketch of heavy shingles; points in an R-tree's leaf and in one block; group rows that a task takes.
-SLOTS, LEAF, BLOCK, TASK_ROWS = 1 << 20, 32, 4096, 20_000
+LEAST_GROUPS, MOST_GROUPS = 32, 2048
+#: Slots of the sketch of heavy shingles; points in an R-tree's leaf and in one block; groups above this get more hubs.
+SLOTS, LEAF, BLOCK, HUBS_ABOVE = 1 << 20, 4, 4096, 32
+#: Bytes of points that a task of the group search takes, and that are compared at once.
+TASK_BYTES, POINT_BYTES = 2_000_000, 4_000_000
+#: Sets that may link lie in the same or in neighbouring bands of sizes: a band is a little wider than the ratio 1.25.
+BAND = 1.26
+#: A coordinate of a point that doesn't fit bytes: it bounds nothing.
+FULL = 1 << 19
 #: Bytes of text that a task turns into sets at once.
 SLICE = 1_000_000
 #: Up to so many doc_ids (8 bytes each) are broadcast to pick their texts; beyond, the texts are joined by a shuffle.
@@ -66,14 +74,13 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def coordinates(n: np.ndarray) -> np.ndarray:
-    """The number of coordinates for a set of n shingles: the power of two from n / 4 on, within bounds. Sets that may
+    """The number of coordinates for a set of n shingles: the power of two from n / 8 on, within bounds. Sets that may
     link differ by a factor of two at most."""
-    return np.clip(1 << np.ceil(np.log2(np.maximum(n / 4, 1))).astype(np.int64), LEAST_GROUPS, MOST_GROUPS)
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n / 8, 1))).astype(np.int64), LEAST_GROUPS, MOST_GROUPS)
 
 
 def points(h: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Counts of each set's shingles by group, as little-endian u16. Counts that don't fit fill the point, which then
-    bounds nothing."""
+    """Counts of each set's shingles by group, as bytes. Where a count reaches 255 the whole point is 255s."""
     n = np.diff(first)
     d = coordinates(n)
     offset = np.append(0, np.cumsum(d))
@@ -82,10 +89,17 @@ def points(h: np.ndarray, first: np.ndarray) -> list[bytes]:
     out = []
     for i, j in zip(offset[:-1].tolist(), offset[1:].tolist(), strict=True):
         c = counts[i:j]
-        out.append((c if c.max(initial=0) <= 65535 else np.full(j - i, 65535)).astype("<u2").tobytes())
+        out.append((c if c.max(initial=0) < 255 else np.full(j - i, 255)).astype(np.uint8).tobytes())
     return out
 
 
+def counts_of(v: list[bytes]) -> np.ndarray:
+    """The counts of points of one length, a row each."""
+    p = np.frombuffer(b"".join(v), np.uint8).reshape(len(v), -1).astype(np.int32)
+    p[p[:, 0] == 255] = FULL
+    return p
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """id, n, k1, k2 (which name the set) and v (its point) of each row, and after them the rows of a sketch of heavy
     shingles, which have n = -1, a slot as k1 and its count as k2: one pass over the texts gives both."""
@@ -157,37 +171,38 @@ def needed(na, nb):
 
 class CountTree:
     """R-tree over count vectors, packed by splitting at the median of the widest coordinate. A node keeps its points'
-    greatest counts and the least set size."""
+    greatest counts, the least set size, and their component where it is one."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.points, self.sizes = points, sizes
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, comps: np.ndarray):
+        self.points, self.sizes, self.comps = points, sizes, comps
         self.root = self._node(np.arange(len(points)))
 
     def _node(self, rows: np.ndarray):
-        corner, least = self.points[rows].max(0), self.sizes[rows].min()
+        at, comp = self.points[rows], self.comps[rows]
+        corner, least, only = at.max(0), self.sizes[rows].min(), comp[0] if (comp == comp[0]).all() else None
         if len(rows) <= LEAF:
-            return corner, least, rows, None
-        at = self.points[rows]
-        order = np.argsort(at[:, np.argmax(at.max(0) - at.min(0))], kind="stable")
+            return corner, least, only, rows, None
+        order = np.argsort(at[:, np.argmax(corner - at.min(0))], kind="stable")
         half = len(rows) // 2
-        return corner, least, None, (self._node(rows[order[:half]]), self._node(rows[order[half:]]))
+        return corner, least, only, None, (self._node(rows[order[:half]]), self._node(rows[order[half:]]))
 
-    def search(self, point: np.ndarray, size: int) -> np.ndarray:
-        """Rows whose sum of coordinate minima with `point` reaches the overlap that a link needs."""
+    def search(self, point: np.ndarray, size: int, comp: int) -> np.ndarray:
+        """Rows of other components whose sum of coordinate minima with `point` reaches the overlap that a link needs."""
         found, todo = [], [self.root]
         while todo:
-            corner, least, rows, children = todo.pop()
-            if np.minimum(point, corner).sum() < needed(size, least):
+            corner, least, only, rows, children = todo.pop()
+            if only == comp or np.minimum(point, corner).sum() < needed(size, least):
                 continue
             if children:
                 todo.extend(children)
             else:
-                found.append(rows[np.minimum(self.points[rows], point).sum(1) >= needed(size, self.sizes[rows])])
+                found.append(rows[(np.minimum(self.points[rows], point).sum(1) >= needed(size, self.sizes[rows])) & (self.comps[rows] != comp)])
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids whose texts link. Only the texts that occur in a pair move."""
+    """Those of the pairs (a, b) of doc_ids whose texts link, by the shingles of both texts hashed anew. Only the texts
+    that occur in a pair move."""
     ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
     side = F.broadcast(ids) if bounded(ids, BROADCAST_IDS) else ids
     texts = docs.select("id", "text").join(side, "id", "left_semi")
@@ -199,16 +214,19 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, SLICE, "ta"):
                 for half in slices(part, SLICE, "tb"):
-                    x, fx = sets_of(half["ta"])
-                    y, fy = sets_of(half["tb"])
+                    sides = []
+                    for c in ("ta", "tb"):  # a text that many pairs of the slice have is taken apart once
+                        coded = half[c].dictionary_encode()
+                        h, first = sets_of(coded.dictionary)
+                        sides.append([h[first[i] : first[i + 1]] for i in coded.indices.to_pylist()])
                     keep = []
-                    for i in range(len(half)):
-                        p, q = x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]
-                        common = len(np.intersect1d(p, q, assume_unique=True))
+                    for p, q in zip(*sides, strict=True):
+                        common = len(np.intersect1d(p, q, assume_unique=True)) if 5 * min(len(p), len(q)) >= 4 * max(len(p), len(q)) else 0
                         keep.append(common > 0 and 100 * common >= 80 * (len(p) + len(q) - common))
-                    yield pa.RecordBatch.from_arrays([half["a"].filter(pa.array(keep)), half["b"].filter(pa.array(keep))], ["a", "b"])
+                    keep = pa.array(keep, pa.bool_())
+                    yield pa.RecordBatch.from_arrays([half["a"].filter(keep), half["b"].filter(keep)], ["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    return both.where("ta IS NOT NULL AND tb IS NOT NULL").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
 def fold(v: np.ndarray, d: int) -> np.ndarray:
@@ -218,38 +236,44 @@ def fold(v: np.ndarray, d: int) -> np.ndarray:
 
 def bounded_rows(va: list[bytes], na: np.ndarray, vb: list[bytes], nb: np.ndarray) -> np.ndarray:
     """For each pair of points, whether its sum of coordinate minima allows a link."""
-    la, lb = np.array([len(x) for x in va]) // 2, np.array([len(x) for x in vb]) // 2
+    la, lb = np.array([len(x) for x in va], np.int64), np.array([len(x) for x in vb], np.int64)
     keep = np.zeros(len(va), bool)
     size = (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (np.maximum(la, lb) <= 2 * np.minimum(la, lb))
     for x, y in {*zip(la[size].tolist(), lb[size].tolist(), strict=True)}:
         rows = np.flatnonzero(size & (la == x) & (lb == y))
-        for at in range(0, len(rows), max(1, 4_000_000 // max(x, y))):
-            r = rows[at : at + max(1, 4_000_000 // max(x, y))]
-            p = np.frombuffer(b"".join([va[i] for i in r.tolist()]), "<u2").reshape(-1, x).astype(np.int32)
-            q = np.frombuffer(b"".join([vb[i] for i in r.tolist()]), "<u2").reshape(-1, y).astype(np.int32)
+        step = max(1, POINT_BYTES // (x + y))
+        for at in range(0, len(rows), step):
+            r = rows[at : at + step]
+            p, q = counts_of([va[i] for i in r.tolist()]), counts_of([vb[i] for i in r.tolist()])
             keep[r] = np.minimum(fold(p, min(x, y)), fold(q, min(x, y))).sum(1) >= needed(na[r], nb[r])
     return keep
 
 
-def _bounded_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, na, va, b, nb, vb) that their points allow."""
+def _allowed(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids, from pairs (ka, kb) of the keys of `points` (key, rep, n, v), that their sizes and then their
+    points allow. Sizes meet first, so that few points are sent."""
+    size = points.select(F.col("key").alias("ka"), F.col("n").alias("na"))
+    left = points.select(F.col("key").alias("ka"), F.col("rep").alias("a"), F.col("v").alias("va"))
+    right = points.select(F.col("key").alias("kb"), F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("v").alias("vb"))
+    met = pairs.join(size, "ka").join(right, "kb").where("5 * least(na, nb) >= 4 * greatest(na, nb)").join(left, "ka").where("a <> b")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            if len(batch):
-                keep = pa.array(bounded_rows(batch["va"].to_pylist(), batch["na"].to_numpy(), batch["vb"].to_pylist(), batch["nb"].to_numpy()))
-                yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
+            for part in slices(batch, POINT_BYTES, "va"):
+                for half in slices(part, POINT_BYTES, "vb"):
+                    keep = pa.array(bounded_rows(half["va"].to_pylist(), half["na"].to_numpy(), half["vb"].to_pylist(), half["nb"].to_numpy()))
+                    yield pa.RecordBatch.from_arrays([half["a"].filter(keep), half["b"].filter(keep)], ["a", "b"])
 
-    return pairs.select("a", "na", "va", "b", "nb", "vb").where("5 * least(na, nb) >= 4 * greatest(na, nb)").mapInArrow(run, "a long, b long").distinct()
+    return met.select("a", "na", "va", "b", "nb", "vb").mapInArrow(run, "a long, b long").distinct()
 
 
 def tree_pairs(v: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray):
     """Row pairs of left and right, of different components, that the trees let through. Trees hold points of equal
     coordinates; points of twice as many are folded."""
-    d = np.array([len(x) for x in v]) // 2
-    point = lambda rows, k: fold(np.frombuffer(b"".join([v[i] for i in rows.tolist()]), "<u2").reshape(len(rows), -1).astype(np.int64), k)
+    d = np.array([len(x) for x in v])
+    point = lambda rows, k: fold(counts_of([v[i] for i in rows.tolist()]), k)
     for k in np.unique(d[right]).tolist():
         at = right[d[right] == k]
         small, tree = point(at, k), None
@@ -258,51 +282,68 @@ def tree_pairs(v: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarra
             if not len(asked):
                 continue
             if e < k:
-                tree_e, queries = CountTree(fold(small, e), n[at]), point(asked, e)
+                tree_e, queries = CountTree(fold(small, e), n[at], comp[at]), point(asked, e)
             else:
-                tree = tree or CountTree(small, n[at])
+                tree = tree or CountTree(small, n[at], comp[at])
                 tree_e, queries = tree, point(asked, k)
             for q, x in zip(asked.tolist(), queries, strict=True):
-                got = at[tree_e.search(x, int(n[q]))]
-                for g in got[comp[got] != comp[q]].tolist():
+                for g in at[tree_e.search(x, int(n[q]), int(comp[q]))].tolist():
                     yield q, g
 
 
-def _group_pairs(members: DataFrame) -> DataFrame:
-    """members: g (group), i, j (blocks), task, block, id, n, v, component. Pairs of different components that the trees
-    let through. The groups of one leaf in a task are compared together."""
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["g", "i", "j"]).reset_index(drop=True)
-        ids, n, comp, block = (pdf[c].to_numpy() for c in ("id", "n", "component", "block"))
-        v = pdf["v"].tolist()
-        cell = pdf.groupby(["g", "i", "j"], sort=False).ngroup().to_numpy()
-        edges = np.append(np.flatnonzero(np.append(True, cell[1:] != cell[:-1])), len(cell))
-        size = np.diff(edges)
-        out, leaf = [np.zeros((0, 2), np.int64)], size <= LEAF
-        rows_in_leaf = leaf[cell]
-        for k in range(1, int(size[leaf].max(initial=1))):
-            x = np.flatnonzero(rows_in_leaf[:-k] & (cell[:-k] == cell[k:])) if len(cell) > k else np.zeros(0, np.int64)
-            y = x + k
-            ok = (comp[x] != comp[y]) & (5 * np.minimum(n[x], n[y]) >= 4 * np.maximum(n[x], n[y]))
-            out.append(np.stack([x[ok], y[ok]], 1))
-        close = np.concatenate(out)
-        pairs = np.sort(np.stack([ids[close[:, 0]], ids[close[:, 1]]], 1), 1)
-        pairs, where = np.unique(pairs, axis=0, return_index=True)
-        a, b = close[where, 0], close[where, 1]
-        found = [pairs[bounded_rows([v[i] for i in a.tolist()], n[a], [v[i] for i in b.tolist()], n[b])]] if len(pairs) else []
-        for g in np.flatnonzero(~leaf):
-            rows = np.arange(edges[g], edges[g + 1])
-            i, j = pdf["i"].iloc[rows[0]], pdf["j"].iloc[rows[0]]
-            got = list(tree_pairs(v, n, rows[block[rows] == i], rows[block[rows] == j], comp))
-            if got:
-                found.append(np.sort(ids[np.array(got)], 1))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return members.groupBy("task").applyInPandas(run, "a long, b long").distinct()
+def cell_pairs(pdf):
+    """Pairs (a, b) of ids of different components that points let through, within each cell of a task. Columns: g and
+    cell (the cell), i and j (blocks), block, band, id, n, v, component. Cells of one leaf are compared together."""
+    import pandas as pd
+
+    pdf = pdf.sort_values(["g", "cell", "i", "j", "id"]).reset_index(drop=True)
+    ids, n, comp, block = (pdf[c].to_numpy() for c in ("id", "n", "component", "block"))
+    top = (pdf["band"] == pdf["cell"]).to_numpy()  # a pair is searched in the cell of its greater band
+    v = pdf["v"].tolist()
+    place = pdf.groupby(["g", "cell", "i", "j"], sort=False).ngroup().to_numpy()
+    edges = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place))
+    size = np.diff(edges)
+    out, leaf = [np.zeros((0, 2), np.int64)], size <= LEAF
+    in_leaf = leaf[place]
+    for k in range(1, min(LEAF, len(place))):
+        x = np.flatnonzero(in_leaf[:-k] & (place[:-k] == place[k:]))
+        y = x + k
+        ok = (comp[x] != comp[y]) & (top[x] | top[y])
+        out.append(np.stack([x[ok], y[ok]], 1))
+    close = np.concatenate(out)
+    pairs = np.sort(np.stack([ids[close[:, 0]], ids[close[:, 1]]], 1), 1)
+    pairs, where = np.unique(pairs, axis=0, return_index=True)
+    a, b = close[where, 0], close[where, 1]
+    found = [pairs[bounded_rows([v[i] for i in a.tolist()], n[a], [v[i] for i in b.tolist()], n[b])]] if len(pairs) else []
+    for c in np.flatnonzero(~leaf).tolist():
+        rows = np.arange(edges[c], edges[c + 1])
+        i, j = pdf["i"].iloc[rows[0]], pdf["j"].iloc[rows[0]]
+        got = np.array([*tree_pairs(v, n, rows[block[rows] == i], rows[block[rows] == j], comp)], np.int64).reshape(-1, 2)
+        got = got[top[got[:, 0]] | top[got[:, 1]]]
+        found.append(np.sort(ids[got], 1))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _cells(open_groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """The members (with points) of the cells that hold pairs of different components, dealt to tasks
+    by bytes. Cells with one least member meet in a task, for they share pairs; where those are many, they are salted."""
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
+    sized = open_groups.select("g", "rep", "component").join(reps.select("rep", "n"), "rep").withColumn("band", band)
+    placed = staged(sized.withColumn("cell", F.explode(F.array("band", F.col("band") + 1))), "cell-members")
+    mark = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
+    weight = F.sum(F.least(F.greatest(F.col("n") / 4, F.lit(LEAST_GROUPS)), F.lit(MOST_GROUPS))).alias("bytes")
+    sums = placed.groupBy("g", "cell").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("band").alias("top"), F.count(F.lit(1)).alias("size"), F.min("rep").alias("g1"), weight, *mark)
+    cells = sums.where("c1 <> c2 AND top = cell").groupBy("cell", "size", "g1", "m1", "m2").agg(F.min("g").alias("g"), F.first("bytes").alias("bytes"))
+    cells = staged(cells.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("bytes", F.col("bytes") * F.col("blocks")), "cells")
+    total = cells.groupBy("g1").agg(F.sum("bytes").alias("total"))
+    salt = F.pmod(F.xxhash64("g", "cell"), F.ceil(F.col("total") / TASK_BYTES))
+    dealt = cells.join(total, "g1").select("g", "cell", "g1", "blocks", salt.alias("salt"))
+    met = placed.join(dealt, ["g", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    tasks = max(1, math.ceil((cells.agg(F.sum("bytes")).first()[0] or 0) / TASK_BYTES))
+    task = F.pmod(F.xxhash64("g1", "cell", "salt", "i", "j"), F.lit(tasks)).alias("task")
+    return met.select("g", "cell", "i", "j", "block", "band", F.col("rep").alias("id"), "n", "component", task).join(reps.select(F.col("rep").alias("id"), "n", "v"), ["id", "n"])
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -315,12 +356,10 @@ def link(docs: DataFrame) -> DataFrame:
     shingles = staged(prefixes(rows.where("id IS NOT NULL"), heavy_slots(passed)), "prefixes")
     hubs = shingles.groupBy("s").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi")
     shared = staged(shingles.join(hubs, "s").select("s", "k1", "lo", "hi"), "shared-shingles")
-
-    def named_as(c: str) -> DataFrame:
-        return reps.select(F.col("k1").alias(f"k{c}"), F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"))
+    unstaged(shingles)
 
     stars = shared.select(F.col("k1").alias("ka"), F.explode(F.array("lo", "hi")).alias("kb")).where("ka <> kb").distinct()
-    near = staged(_bounded_pairs(stars.join(named_as("a"), "ka").join(named_as("b"), "kb").where("a <> b")), "star-pairs")
+    near = staged(_allowed(stars, reps.withColumnRenamed("k1", "key")), "star-pairs")
     links = staged(verified(near, rows), "star-links")
     # A doc_id with several texts is one document: its classes are linked.
     own = named.join(reps.select("k1", "k2", "rep"), ["k1", "k2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -341,32 +380,30 @@ def link(docs: DataFrame) -> DataFrame:
     groups = member.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("g1"), *mark)
     groups = groups.groupBy("size", "g1", "m1", "m2").agg(F.min("s").alias("s"))  # shingles with the same members: one group
     grouped = staged(member.join(groups.select("s", "g1", "size"), "s").withColumnRenamed("s", "g"), "groups")
+    unstaged(shared)
 
-    # Further hubs, four a round, for the groups of more than a leaf, for as long as they join components.
+    # Further hubs, four a round, for the larger groups, for as long as they join components.
     before, turn = None, 0
     while True:
-        live = staged(still_open(component_of(grouped.where(F.col("size") > LEAF), "rep")), "open-groups")
+        live = staged(still_open(component_of(grouped.where(F.col("size") > HUBS_ABOVE), "rep")), "open-groups")
         left = live.select("component").distinct().count()
         if not left or before is not None and 10 * left > 9 * before:
             break
         picks = [F.min(F.struct(F.xxhash64("rep", F.lit(4 * turn + k)).alias("h"), "rep", "component")).alias(f"p{k}") for k in range(4)]
         more = live.groupBy("g").agg(*picks).select("g", F.explode(F.array(*[F.col(f"p{k}") for k in range(4)])).alias("p"))
-        pairs = live.join(more, "g").where("component <> p.component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-        point = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("v").alias(f"v{c}"))
-        near = staged(_bounded_pairs(pairs.join(point("a"), "a").join(point("b"), "b")), "hub-pairs")
+        pairs = live.join(more, "g").where("component <> p.component").select(F.least("rep", "p.rep").alias("ka"), F.greatest("rep", "p.rep").alias("kb")).distinct()
+        near = staged(_allowed(pairs, reps.withColumn("key", F.col("rep"))), "hub-pairs")
         links = staged(links.unionByName(verified(near, rows)), "hub-links")
         found = staged(components(links), "hub-components")
+        unstaged(live, near)
         before, turn = left, turn + 1
 
-    placed = still_open(component_of(grouped, "rep")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    paired = placed.select("g", "g1", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("id"), "component")
-    members = staged(paired.join(reps.select(F.col("rep").alias("id"), "n", "v"), "id"), "group-members")
-    tasks = max(1, -(-members.count() // TASK_ROWS))
-    members = members.withColumn("task", F.pmod(F.xxhash64("g1", "i", "j"), F.lit(tasks)))  # groups with one least member meet
-    more = staged(verified(staged(_group_pairs(members), "tree-pairs"), rows), "tree-links")
+    members = _cells(still_open(component_of(grouped, "rep")), reps)
+    searched = staged(members.groupBy("task").applyInPandas(cell_pairs, "a long, b long").distinct(), "tree-pairs")
+    more = staged(verified(searched, rows), "tree-links")
     if not more.isEmpty():
         found = staged(components(links.unionByName(more)), "components")
+    unstaged(grouped, searched)
     joined = sets.join(reps.select("k1", "k2", "rep"), ["k1", "k2"], "left").withColumn("rep", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("rep")).otherwise(F.col("id")))
     return component_of(joined, "rep").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 

@@ -22,7 +22,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     costs no recomputation of what came before."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstaged(*frames: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more: all that was made of them is staged itself."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:

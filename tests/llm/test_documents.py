@@ -52,42 +52,74 @@ def test_jaccard_join(docs, rows):
     assert collected(jaccard_join.link(docs)) == jaccard_components(rows)
 
 
-@pytest.mark.parametrize("leaf", [32, 3])
-def test_jaccard_join_of_families(spark, monkeypatch, leaf):
-    """Near copies at all distances around the threshold, whose links the first hubs alone don't find; with small leaves
-    their groups get further hubs."""
-    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
-    r = np.random.default_rng(5)
-    rows, n = [], 0
-    for family in range(6):
+def families(seed, size, most):
+    """Six families of near copies at all distances around the threshold."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for _ in range(6):
         base = [f"w{x}" for x in r.integers(0, 900, 150)]
-        for _ in range(12):
+        for _ in range(size):
             copy = list(base)
-            for i in r.choice(150, r.integers(0, 9), replace=False):
+            for i in r.choice(150, r.integers(0, most), replace=False):
                 copy[i] = f"z{r.integers(0, 10**6)}"
-            rows.append((n, " ".join(copy)))
-            n += 1
+            rows.append((len(rows), " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("above", [32, 3])
+def test_jaccard_join_of_families(spark, monkeypatch, above):
+    """Near copies whose links the first hubs alone don't find; small groups get further hubs, too."""
+    monkeypatch.setattr(jaccard_join, "HUBS_ABOVE", above)
+    rows = families(5, 12, 9)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert collected(jaccard_join.link(df)) == jaccard_components(rows)
 
 
+def test_trees_are_searched_and_lose_no_link(spark, monkeypatch):
+    """Each document its own component: the cells must give every linked pair, most of them by trees."""
+    rows = families(9, 25, 14)
+    df = spark.createDataFrame(rows, "id long, text string")
+    sets = jaccard_join.classes(df).where("n > 0")
+    reps = sets.selectExpr("k1", "id AS rep", "n", "v")
+    prefix = jaccard_join.prefixes(df, np.zeros(jaccard_join.SLOTS, np.uint8)).distinct()
+    groups = prefix.join(reps, "k1").selectExpr("s AS g", "rep", "rep AS component")
+    members = jaccard_join._cells(groups, reps).toPandas()
+    searched = Counter()
+    search = jaccard_join.CountTree.search
+    monkeypatch.setattr(jaccard_join.CountTree, "search", lambda self, *a: (searched.update(n=1), search(self, *a))[1])
+    pairs = {tuple(x) for _, task in members.groupby("task") for x in jaccard_join.cell_pairs(task)[["a", "b"]].to_numpy().tolist()}
+    shingled = {i: shingles(t) for i, t in rows}
+    linked = {(a, b) for a in shingled for b in shingled if a < b and 100 * len(shingled[a] & shingled[b]) >= 80 * len(shingled[a] | shingled[b])}
+    assert linked <= pairs and len(linked) > 100 and searched["n"] > 500
+    assert {tuple(r) for r in jaccard_join.verified(spark.createDataFrame(sorted(pairs), "a long, b long"), df).collect()} == linked
+
+
 def test_count_tree_finds_what_a_scan_finds():
     r = np.random.default_rng(1)
-    points = r.poisson(3, (500, 32)).astype(np.int64)
+    points = r.poisson(3, (500, 32)).astype(np.int32)
     points[100:140] = points[7] + r.integers(0, 2, (40, 32))
-    sizes = points.sum(1)
-    tree = jaccard_join.CountTree(points, sizes)
+    sizes, comps = points.sum(1), np.arange(500) // 20
+    tree = jaccard_join.CountTree(points, sizes, comps)
     for q in (7, 120, 300):
-        scan = np.flatnonzero(np.minimum(points, points[q]).sum(1) >= jaccard_join.needed(sizes[q], sizes))
-        assert sorted(tree.search(points[q], int(sizes[q]))) == scan.tolist()
+        scan = np.flatnonzero((np.minimum(points, points[q]).sum(1) >= jaccard_join.needed(sizes[q], sizes)) & (comps != comps[q]))
+        assert sorted(tree.search(points[q], int(sizes[q]), int(comps[q]))) == scan.tolist()
 
 
 def test_large_groups_are_searched_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
-    monkeypatch.setattr(jaccard_join, "LEAF", 4)
-    v = [np.full(32, 4, "<u2").tobytes()] * 20
-    n, comp, rows = np.full(20, 128), np.arange(20), np.arange(20)
-    assert len(set(map(tuple, map(sorted, jaccard_join.tree_pairs(v, n, rows, rows, comp))))) == 190
+    rows = [(1, i, i) for i in range(20)]
+    reps = spark.createDataFrame([(i, 128, np.full(32, 4, np.uint8).tobytes()) for i in range(20)], "rep long, n long, v binary")
+    members = jaccard_join._cells(spark.createDataFrame(rows, "g long, rep long, component long"), reps).toPandas()
+    assert members["block"].nunique() == 3
+    pairs = {tuple(x) for _, task in members.groupby("task") for x in jaccard_join.cell_pairs(task).to_numpy().tolist()}
+    assert len(pairs) == 190
+
+
+def test_points_of_large_counts_bound_nothing():
+    v = [np.full(32, 255, np.uint8).tobytes(), np.full(32, 200, np.uint8).tobytes()]
+    n = np.array([9000, 32 * 200 + 900])
+    assert jaccard_join.bounded_rows(v, n, v[::-1], n[::-1]).tolist() == [False, False]
+    assert jaccard_join.bounded_rows(v[:1], np.array([7300]), v[1:], np.array([6400])).tolist() == [True]
 
 
 def test_keep_one(docs, empty):
