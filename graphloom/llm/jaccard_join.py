@@ -186,18 +186,25 @@ class CountTree:
         half = len(rows) // 2
         return corner, least, only, None, (self._node(rows[order[:half]]), self._node(rows[order[half:]]))
 
-    def search(self, point: np.ndarray, size: int, comp: int) -> np.ndarray:
-        """Rows of other components whose sum of coordinate minima with `point` reaches the overlap that a link needs."""
-        found, todo = [], [self.root]
+    def search(self, points: np.ndarray, sizes: np.ndarray, comps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) pairs of different components whose sum of coordinate minima reaches the overlap that a link
+        needs. All queries go down the tree together, each as far as the bound lets it."""
+        out, todo = [np.zeros((2, 0), np.int64)], [(self.root, np.arange(len(points)))]
         while todo:
-            corner, least, only, rows, children = todo.pop()
-            if only == comp or np.minimum(point, corner).sum() < needed(size, least):
-                continue
+            (corner, least, only, rows, children), q = todo.pop()
+            if only is not None:
+                q = q[comps[q] != only]
+            q = q[np.minimum(points[q], corner).sum(1) >= needed(sizes[q], least)]
             if children:
-                todo.extend(children)
-            else:
-                found.append(rows[(np.minimum(self.points[rows], point).sum(1) >= needed(size, self.sizes[rows])) & (self.comps[rows] != comp)])
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+                todo.extend((c, q) for c in children if len(q))
+                continue
+            step = max(1, POINT_BYTES // (len(rows) * len(corner)))
+            for at in range(0, len(q), step):
+                part = q[at : at + step]
+                close = np.minimum(points[part][:, None], self.points[rows]).sum(2) >= needed(sizes[part][:, None], self.sizes[rows])
+                i, j = np.nonzero(close & (comps[part][:, None] != self.comps[rows]))
+                out.append(np.stack([part[i], rows[j]]))
+        return tuple(np.concatenate(out, 1))
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -269,26 +276,21 @@ def _allowed(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return met.select("a", "na", "va", "b", "nb", "vb").mapInArrow(run, "a long, b long").distinct()
 
 
-def tree_pairs(v: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray):
+def tree_pairs(v: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray, comp: np.ndarray) -> np.ndarray:
     """Row pairs of left and right, of different components, that the trees let through. Trees hold points of equal
     coordinates; points of twice as many are folded."""
-    d = np.array([len(x) for x in v])
+    d, out = np.array([len(x) for x in v]), [np.zeros((0, 2), np.int64)]
     point = lambda rows, k: fold(counts_of([v[i] for i in rows.tolist()]), k)
     for k in np.unique(d[right]).tolist():
-        at = right[d[right] == k]
-        small, tree = point(at, k), None
+        at, own = right[d[right] == k], None
         for e in (k // 2, k, 2 * k):
             asked = left[d[left] == e]
-            if not len(asked):
-                continue
-            if e < k:
-                tree_e, queries = CountTree(fold(small, e), n[at], comp[at]), point(asked, e)
-            else:
-                tree = tree or CountTree(small, n[at], comp[at])
-                tree_e, queries = tree, point(asked, k)
-            for q, x in zip(asked.tolist(), queries, strict=True):
-                for g in at[tree_e.search(x, int(n[q]), int(comp[q]))].tolist():
-                    yield q, g
+            if len(asked):
+                tree = CountTree(point(at, e), n[at], comp[at]) if e < k else own or CountTree(point(at, k), n[at], comp[at])
+                own = own if e < k else tree
+                q, r = tree.search(point(asked, min(e, k)), n[asked], comp[asked])
+                out.append(np.stack([asked[q], at[r]], 1))
+    return np.concatenate(out)
 
 
 def cell_pairs(pdf):
@@ -318,7 +320,7 @@ def cell_pairs(pdf):
     for c in np.flatnonzero(~leaf).tolist():
         rows = np.arange(edges[c], edges[c + 1])
         i, j = pdf["i"].iloc[rows[0]], pdf["j"].iloc[rows[0]]
-        got = np.array([*tree_pairs(v, n, rows[block[rows] == i], rows[block[rows] == j], comp)], np.int64).reshape(-1, 2)
+        got = tree_pairs(v, n, rows[block[rows] == i], rows[block[rows] == j], comp)
         got = got[top[got[:, 0]] | top[got[:, 1]]]
         found.append(np.sort(ids[got], 1))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)

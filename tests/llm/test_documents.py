@@ -86,7 +86,7 @@ def test_trees_are_searched_and_lose_no_link(spark, monkeypatch):
     members = jaccard_join._cells(groups, reps).toPandas()
     searched = Counter()
     search = jaccard_join.CountTree.search
-    monkeypatch.setattr(jaccard_join.CountTree, "search", lambda self, *a: (searched.update(n=1), search(self, *a))[1])
+    monkeypatch.setattr(jaccard_join.CountTree, "search", lambda self, *a: (searched.update(n=len(a[0])), search(self, *a))[1])
     pairs = {tuple(x) for _, task in members.groupby("task") for x in jaccard_join.cell_pairs(task)[["a", "b"]].to_numpy().tolist()}
     shingled = {i: shingles(t) for i, t in rows}
     linked = {(a, b) for a in shingled for b in shingled if a < b and 100 * len(shingled[a] & shingled[b]) >= 80 * len(shingled[a] | shingled[b])}
@@ -100,9 +100,11 @@ def test_count_tree_finds_what_a_scan_finds():
     points[100:140] = points[7] + r.integers(0, 2, (40, 32))
     sizes, comps = points.sum(1), np.arange(500) // 20
     tree = jaccard_join.CountTree(points, sizes, comps)
-    for q in (7, 120, 300):
-        scan = np.flatnonzero((np.minimum(points, points[q]).sum(1) >= jaccard_join.needed(sizes[q], sizes)) & (comps != comps[q]))
-        assert sorted(tree.search(points[q], int(sizes[q]), int(comps[q]))) == scan.tolist()
+    asked = np.array([7, 120, 300])
+    q, r = tree.search(points[asked], sizes[asked], comps[asked])
+    for i, x in enumerate(asked):
+        scan = np.flatnonzero((np.minimum(points, points[x]).sum(1) >= jaccard_join.needed(sizes[x], sizes)) & (comps != comps[x]))
+        assert sorted(r[q == i]) == scan.tolist()
 
 
 def test_large_groups_are_searched_in_blocks(spark, monkeypatch):
