@@ -8,12 +8,13 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. Two link
 3. In each such group the classes of least and of greatest key are hubs. Pairs of a class and a hub are bounded by their
    count vectors, verified on their texts, and joined into components. Groups of more than a leaf that still hold several
    components get four further hubs a round, for as long as that joins components. So most near copies link by few pairs.
-4. Groups that still hold several components are cut into cells of like set sizes and searched, cells of the same
-   members once: shingles are hashed into coordinates, about one for eight shingles, each class is the point of its
-   counts, an R-tree holds the cell's points, and a search descends where another component is and where the sum of
-   coordinate minima with a node's upper corner still allows the needed overlap. Points of twice the coordinates are
-   folded to meet. Surviving pairs between components are verified. Cells of one leaf are compared point by point; a
-   large one is searched block against block, so that a task holds a bounded number of points.
+4. Groups that still hold several components are cut into cells of like set sizes, and cells of one least member are
+   one cell, so that a pair meets in few of them. Shingles are hashed into coordinates, about one for eight shingles
+   (in large cells four for each), each class is the point of its counts, an R-tree holds the cell's points, and a search
+   descends where another component is and where the sum of coordinate minima with a node's upper corner still allows
+   the needed overlap. Points of twice the coordinates are folded to meet. Surviving pairs between components are
+   verified. Cells of one leaf are compared point by point; a large one is searched block against block, so that a task
+   holds a bounded number of points.
 
 No link between different components is lost: each pair in a group is bounded by a tree, and bounds never exclude a link.
 
@@ -36,12 +37,12 @@ from graphloom.llm.tokens import slices
 from graphloom.llm.wordhash import Runs, mix, words_of
 
 SHINGLE = 5
-#: Least and most coordinates of a point (powers of two).
-LEAST_GROUPS, MOST_GROUPS = 32, 2048
-#: Slots of the sketch of heavy shingles; points in an R-tree's leaf and in one block; groups above this get more hubs.
-SLOTS, LEAF, BLOCK, HUBS_ABOVE = 1 << 20, 4, 4096, 32
-#: Bytes of points that a task of the group search takes, and that are compared at once.
-TASK_BYTES, POINT_BYTES = 2_000_000, 4_000_000
+#: Shingles for one coordinate of a point, least and most coordinates (powers of two); the same for fine points.
+COARSE, FINE = (8, 32, 2048), (0.25, 128, 8192)
+#: Slots of the sketch of heavy shingles; points in an R-tree's leaf and in one block; larger groups get more hubs and fine points.
+SLOTS, LEAF, BLOCK, LARGE = 1 << 20, 4, 1024, 32
+#: Rows and bytes of points that a task of the cell search takes, and bytes of points that are compared at once.
+TASK_ROWS, TASK_BYTES, POINT_BYTES = 4_000, 2_000_000, 4_000_000
 #: Sets that may link lie in the same or in neighbouring bands of sizes: a band is a little wider than the ratio 1.25.
 BAND = 1.26
 #: A coordinate of a point that doesn't fit bytes: it bounds nothing.
@@ -73,16 +74,17 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def coordinates(n: np.ndarray) -> np.ndarray:
-    """The number of coordinates for a set of n shingles: the power of two from n / 8 on, within bounds. Sets that may
-    link differ by a factor of two at most."""
-    return np.clip(1 << np.ceil(np.log2(np.maximum(n / 8, 1))).astype(np.int64), LEAST_GROUPS, MOST_GROUPS)
+def coordinates(n: np.ndarray, grain=COARSE) -> np.ndarray:
+    """The number of coordinates for a set of n shingles: the power of two from n / grain on, within bounds. Sets that
+    may link differ by a factor of two at most."""
+    per, least, most = grain
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n / per, 1))).astype(np.int64), least, most)
 
 
-def points(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+def points(h: np.ndarray, first: np.ndarray, grain=COARSE) -> list[bytes]:
     """Counts of each set's shingles by group, as bytes. Where a count reaches 255 the whole point is 255s."""
     n = np.diff(first)
-    d = coordinates(n)
+    d = coordinates(n, grain)
     offset = np.append(0, np.cumsum(d))
     own = np.repeat(np.arange(len(n)), n)
     counts = np.bincount(offset[own] + (mix(h, 5) % d[own].astype(np.uint64)).astype(np.int64), minlength=offset[-1])
@@ -207,12 +209,30 @@ class CountTree:
         return tuple(np.concatenate(out, 1))
 
 
+def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of `docs` (id, text) with one of the ids, without a shuffle of the texts where the ids are few."""
+    ids = staged(ids, "text-ids")
+    return docs.select("id", "text").join(F.broadcast(ids) if bounded(ids, BROADCAST_IDS) else ids, "id", "left_semi")
+
+
+def _fine_points(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, n and the fine point v of each text of the ids."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch, SLICE):
+                h, first = sets_of(part["text"])
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(np.diff(first).astype(np.int64)), pa.array(points(h, first, FINE), pa.binary())], ["id", "n", "v"])
+
+    return _texts_of(ids, docs).mapInArrow(run, "id long, n long, v binary")
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) of doc_ids whose texts link, by the shingles of both texts hashed anew. Only the texts
     that occur in a pair move."""
-    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair-ids")
-    side = F.broadcast(ids) if bounded(ids, BROADCAST_IDS) else ids
-    texts = docs.select("id", "text").join(side, "id", "left_semi")
+    texts = _texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs)
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
@@ -294,15 +314,15 @@ def tree_pairs(v: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarra
 
 
 def cell_pairs(pdf):
-    """Pairs (a, b) of ids of different components that points let through, within each cell of a task. Columns: g and
+    """Pairs (a, b) of ids of different components that points let through, within each cell of a task. Columns: g1 and
     cell (the cell), i and j (blocks), block, band, id, n, v, component. Cells of one leaf are compared together."""
     import pandas as pd
 
-    pdf = pdf.sort_values(["g", "cell", "i", "j", "id"]).reset_index(drop=True)
+    pdf = pdf.sort_values(["g1", "cell", "i", "j", "id"]).reset_index(drop=True)
     ids, n, comp, block = (pdf[c].to_numpy() for c in ("id", "n", "component", "block"))
     top = (pdf["band"] == pdf["cell"]).to_numpy()  # a pair is searched in the cell of its greater band
     v = pdf["v"].tolist()
-    place = pdf.groupby(["g", "cell", "i", "j"], sort=False).ngroup().to_numpy()
+    place = pdf.groupby(["g1", "cell", "i", "j"], sort=False).ngroup().to_numpy()
     edges = np.append(np.flatnonzero(np.append(True, place[1:] != place[:-1])), len(place))
     size = np.diff(edges)
     out, leaf = [np.zeros((0, 2), np.int64)], size <= LEAF
@@ -327,25 +347,25 @@ def cell_pairs(pdf):
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
-def _cells(open_groups: DataFrame, reps: DataFrame) -> DataFrame:
-    """The members (with points) of the cells that hold pairs of different components, dealt to tasks
-    by bytes. Cells with one least member meet in a task, for they share pairs; where those are many, they are salted."""
+def _cells(open_groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """The members (with points) of the cells that hold pairs of different components, dealt to tasks by bytes."""
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
     sized = open_groups.select("g", "rep", "component").join(reps.select("rep", "n"), "rep").withColumn("band", band)
-    placed = staged(sized.withColumn("cell", F.explode(F.array("band", F.col("band") + 1))), "cell-members")
-    mark = [F.bit_xor(F.xxhash64("rep", F.lit(k))).alias(f"m{k}") for k in (1, 2)]
-    weight = F.sum(F.least(F.greatest(F.col("n") / 4, F.lit(LEAST_GROUPS)), F.lit(MOST_GROUPS))).alias("bytes")
-    sums = placed.groupBy("g", "cell").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("band").alias("top"), F.count(F.lit(1)).alias("size"), F.min("rep").alias("g1"), weight, *mark)
-    cells = sums.where("c1 <> c2 AND top = cell").groupBy("cell", "size", "g1", "m1", "m2").agg(F.min("g").alias("g"), F.first("bytes").alias("bytes"))
-    cells = staged(cells.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("bytes", F.col("bytes") * F.col("blocks")), "cells")
-    total = cells.groupBy("g1").agg(F.sum("bytes").alias("total"))
-    salt = F.pmod(F.xxhash64("g", "cell"), F.ceil(F.col("total") / TASK_BYTES))
-    dealt = cells.join(total, "g1").select("g", "cell", "g1", "blocks", salt.alias("salt"))
-    met = placed.join(dealt, ["g", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    tasks = max(1, math.ceil((cells.agg(F.sum("bytes")).first()[0] or 0) / TASK_BYTES))
-    task = F.pmod(F.xxhash64("g1", "cell", "salt", "i", "j"), F.lit(tasks)).alias("task")
-    return met.select("g", "cell", "i", "j", "block", "band", F.col("rep").alias("id"), "n", "component", task).join(reps.select(F.col("rep").alias("id"), "n", "v"), ["id", "n"])
+    placed = staged(sized.withColumn("cell", F.explode(F.array("band", F.col("band") + 1))), "placed")
+    split = placed.groupBy("g", "cell").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("band").alias("top"), F.min("rep").alias("g1")).where("c1 <> c2 AND top = cell")
+    met = staged(placed.join(split.select("g", "cell", "g1"), ["g", "cell"]).select("g1", "cell", "rep", "n", "band", "component").distinct(), "cell-members")
+    unstaged(placed)
+    size = met.groupBy("g1", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("most")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("fine", F.col("size") > LARGE)
+    cells = staged(size, "cells")
+    each = F.when(F.col("fine"), F.least(F.col("most") * 4, F.lit(FINE[2]))).otherwise(F.least(F.col("most") / 8, F.lit(COARSE[2])))
+    tasks = max(1, math.ceil(cells.agg(F.sum(F.col("size") * F.col("blocks") * F.greatest(each / TASK_BYTES, F.lit(1 / TASK_ROWS)))).first()[0] or 0))
+    dealt = met.join(cells.drop("size", "most"), ["g1", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    task = F.pmod(F.xxhash64("g1", "cell", "i", "j"), F.lit(tasks)).alias("task")
+    dealt = dealt.select("g1", "cell", "i", "j", "block", "band", F.col("rep").alias("id"), "n", "component", "fine", task)
+    fine = _fine_points(dealt.where("fine").select("id").distinct(), docs)
+    coarse = reps.select(F.col("rep").alias("id"), "n", "v")
+    return dealt.where("NOT fine").join(coarse, ["id", "n"]).unionByName(dealt.where("fine").join(fine, ["id", "n"]))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -387,7 +407,7 @@ def link(docs: DataFrame) -> DataFrame:
     # Further hubs, four a round, for the larger groups, for as long as they join components.
     before, turn = None, 0
     while True:
-        live = staged(still_open(component_of(grouped.where(F.col("size") > HUBS_ABOVE), "rep")), "open-groups")
+        live = staged(still_open(component_of(grouped.where(F.col("size") > LARGE), "rep")), "open-groups")
         left = live.select("component").distinct().count()
         if not left or before is not None and 10 * left > 9 * before:
             break
@@ -400,7 +420,7 @@ def link(docs: DataFrame) -> DataFrame:
         unstaged(live, near)
         before, turn = left, turn + 1
 
-    members = _cells(still_open(component_of(grouped, "rep")), reps)
+    members = _cells(still_open(component_of(grouped, "rep")), reps, rows)
     searched = staged(members.groupBy("task").applyInPandas(cell_pairs, "a long, b long").distinct(), "tree-pairs")
     more = staged(verified(searched, rows), "tree-links")
     if not more.isEmpty():

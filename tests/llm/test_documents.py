@@ -69,7 +69,7 @@ def families(seed, size, most):
 @pytest.mark.parametrize("above", [32, 3])
 def test_jaccard_join_of_families(spark, monkeypatch, above):
     """Near copies whose links the first hubs alone don't find; small groups get further hubs, too."""
-    monkeypatch.setattr(jaccard_join, "HUBS_ABOVE", above)
+    monkeypatch.setattr(jaccard_join, "LARGE", above)
     rows = families(5, 12, 9)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert collected(jaccard_join.link(df)) == jaccard_components(rows)
@@ -83,14 +83,14 @@ def test_trees_are_searched_and_lose_no_link(spark, monkeypatch):
     reps = sets.selectExpr("k1", "id AS rep", "n", "v")
     prefix = jaccard_join.prefixes(df, np.zeros(jaccard_join.SLOTS, np.uint8)).distinct()
     groups = prefix.join(reps, "k1").selectExpr("s AS g", "rep", "rep AS component")
-    members = jaccard_join._cells(groups, reps).toPandas()
+    members = jaccard_join._cells(groups, reps, df).toPandas()
     searched = Counter()
     search = jaccard_join.CountTree.search
     monkeypatch.setattr(jaccard_join.CountTree, "search", lambda self, *a: (searched.update(n=len(a[0])), search(self, *a))[1])
     pairs = {tuple(x) for _, task in members.groupby("task") for x in jaccard_join.cell_pairs(task)[["a", "b"]].to_numpy().tolist()}
     shingled = {i: shingles(t) for i, t in rows}
     linked = {(a, b) for a in shingled for b in shingled if a < b and 100 * len(shingled[a] & shingled[b]) >= 80 * len(shingled[a] | shingled[b])}
-    assert linked <= pairs and len(linked) > 100 and searched["n"] > 500
+    assert linked <= pairs and len(linked) > 100 and searched["n"] > 250
     assert {tuple(r) for r in jaccard_join.verified(spark.createDataFrame(sorted(pairs), "a long, b long"), df).collect()} == linked
 
 
@@ -109,9 +109,10 @@ def test_count_tree_finds_what_a_scan_finds():
 
 def test_large_groups_are_searched_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "LARGE", 20)
     rows = [(1, i, i) for i in range(20)]
     reps = spark.createDataFrame([(i, 128, np.full(32, 4, np.uint8).tobytes()) for i in range(20)], "rep long, n long, v binary")
-    members = jaccard_join._cells(spark.createDataFrame(rows, "g long, rep long, component long"), reps).toPandas()
+    members = jaccard_join._cells(spark.createDataFrame(rows, "g long, rep long, component long"), reps, spark.createDataFrame([], "id long, text string")).toPandas()
     assert members["block"].nunique() == 3
     pairs = {tuple(x) for _, task in members.groupby("task") for x in jaccard_join.cell_pairs(task).to_numpy().tolist()}
     assert len(pairs) == 190
