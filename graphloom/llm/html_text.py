@@ -3,11 +3,14 @@
 A page becomes a tree of elements. Each node has its characters, tags, link characters and link tags; its composite text
 density is characters per tag, weighed down by links. A node's density sum is that of its children's densities. The node
 with the greatest sum is content; the least density on its path to the body is the threshold, and every other subtree
-whose density reaches it gives its own node of greatest sum. Elements that name themselves as page furniture (navigation,
-forms, adverts, comments and so on) are cut before densities are taken; content inside an article widens to the article.
-
-Defined results: null or empty html, or a page without text, gives ''; unclosed and stray tags are tolerated; repeated
-rows are extracted one by one; other columns are ignored.
+whose density reaches it gives its own node of greatest sum. Page furniture is cut before densities are taken: elements
+made for it (nav, footer, form and so on), elements of which a whole class, id or role is a word for it, and those with
+such a word in a compound where most of their text is links or the compound's other parts only say where or what kind of
+box. Content inside an article widens to the article. A page of which nothing is left is read again by elements alone.
+
+Defined results: null or empty html, or a page without text, gives ''; unclosed and stray tags are tolerated; a tag without
+an end is text, and once a quote of an attribute isn't closed, tags end at the next '>'; repeated rows are extracted one by
+one; other columns are ignored. Time is in proportion to the page's length, whatever it holds.
 """
 
 from __future__ import annotations
@@ -15,13 +18,17 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import defaultdict
 
 from pyspark.sql import DataFrame
 
 from graphloom.llm.tokens import slices
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"(?:\b(?:class|id|role|aria-label)\s*=\s*)(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"[^\s/>]*")
+#: What follows a tag's first letter, to its end; quotes count after an equals sign only.
+REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+>")
+NAMES = re.compile(r"(?<![\w-])(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 # Element names of HTML, and names that page furniture goes by.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,72 +39,101 @@ FURNITURE = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu nav navbar navigation newsletter "
     "notice notices popup promo promoted related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+#: What else a compound name of page furniture holds: places, kinds of boxes, and what they list.
+NEUTRAL = frozenset(
+    "area article b bar block bottom box btn button buttons c col column container content fixed form group holder inner item items large left link links list main mobile module "
+    "nav outer page panel pane post posts primary right row secondary section site small sticky slot thread top unit user wide wrap wrapper".split()
+)
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_SELF = frozenset("li dt dd tr td th option p".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "sum")
-
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.children, self.items, self.cut = tag, parent, [], [], cut
+    __slots__ = ("tag", "parent", "children", "items", "cut", "doubtful", "top", "block", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+
+    def __init__(self, tag: str, parent: Node | None, at: int):
+        self.tag, self.parent, self.children, self.items = tag, parent, [], []
+        self.cut, self.doubtful = parent is not None and parent.cut, False
+        #: The outermost article or main around the node, and the place on the stack of the nearest block.
+        self.top = parent.top if parent is not None and parent.top is not None else self if tag in ("article", "main") else None
+        self.block = parent.block if parent is not None and tag in INLINE else at
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in CUT or tag == "header" and not in_article:
-        return True
-    if attrs and tag not in ("body", "html", "main", "article"):
-        for value in NAMES.findall(attrs):
-            if FURNITURE.intersection(re.split(r"[^a-z0-9]+", value.lower())):
-                return True
-    return False
+def furniture(attrs: str) -> tuple[bool, bool]:
+    """(certain, doubtful): whether a name among the attributes is a word for page furniture, or a compound with one."""
+    doubtful = False
+    for value in NAMES.findall(attrs):
+        for name in value.lower().strip("\"'").split():
+            parts = [x for x in re.split(r"[^a-z]+", name) if x]
+            if FURNITURE.intersection(parts):
+                if all(x in FURNITURE or x in NEUTRAL for x in parts):
+                    return True, False
+                doubtful = True
+    return False, doubtful
 
 
-def parse(page: str) -> Node:
+def parse(page: str, by_name: bool = True) -> Node:
     """The page's tree. An element's items are its texts and children, in page order."""
-    root = Node("html", None, False)
-    stack, at, articles = [root], 0, 0
-    while True:
-        m = TAG.search(page, at)
-        if text := page[at : m.start() if m else len(page)]:
-            stack[-1].items.append(html.unescape(text))
-        if not m:
-            return root
-        at = m.end()
-        if not m[2]:
+    root = Node("html", None, 0)
+    stack, opened, at, quoted = [root], defaultdict(list), 0, True
+
+    def close(i: int) -> None:
+        while len(stack) > i:
+            opened[stack.pop().tag].pop()
+
+    opened["html"].append(0)
+    while m := MARKUP.search(page, at):
+        start, kind = m.start(), m[0]
+        if kind in ("<!--", "<![CDATA["):
+            stop = page.find("-->" if kind == "<!--" else "]]>", m.end())
+            stop = stop + 3 if stop >= 0 else len(page)
+        else:
+            rest = REST.match(page, m.end()) if quoted and kind not in ("<!", "<?") else None
+            quoted = quoted and (rest is not None or kind in ("<!", "<?"))
+            stop = rest.end() if rest else page.find(">", m.end()) + 1
+            if not stop:
+                break  # no tag ends any more: the rest is text
+        if start > at:
+            stack[-1].items.append(html.unescape(page[at:start]))
+        at = stop
+        if kind[1] in "!?":
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break  # a stray inline end doesn't close blocks
+        name = NAME.match(page, m.end() - 1)
+        tag, attrs = name[0].lower(), page[name.end() : stop - 1]
+        top = stack[-1]
+        if kind[1] == "/":
+            places = opened[tag]
+            if places and places[-1] > 0 and (tag not in INLINE or places[-1] > top.block):  # a stray inline end doesn't close blocks
+                close(places[-1])
         elif tag in ("html", "body"):
             continue
         elif tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         else:
-            if tag in CLOSES_P or tag in CLOSES_SELF:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag and tag in CLOSES_SELF or stack[i].tag == "p" and tag in CLOSES_P:
-                        del stack[i:]
-                        break
-                    if stack[i].tag not in INLINE:
-                        break
-            top = stack[-1]
+            block = stack[top.block]
+            if top.block and (block.tag == tag and tag in CLOSES_SELF or block.tag == "p" and tag in CLOSES_P):
+                close(top.block)
+                top = stack[-1]
             if tag in VOID:
                 top.items.append(" " if tag in ("br", "hr") else "")
                 continue
-            node = Node(tag, top, top.cut or is_furniture(tag, m[3], any(x.tag == "article" for x in stack)))
+            node = Node(tag, top, len(stack))
+            if tag in CUT or tag == "header" and not opened["article"]:
+                node.cut = True
+            elif by_name and attrs and not node.cut and tag not in ("main", "article"):
+                certain, node.doubtful = furniture(attrs)
+                node.cut = certain
             top.items.append(node)
             top.children.append(node)
-            if not m[3].rstrip().endswith("/"):
+            if not attrs.rstrip().endswith("/"):
                 stack.append(node)
+                opened[tag].append(len(stack) - 1)
+    if at < len(page):
+        stack[-1].items.append(html.unescape(page[at:]))
+    return root
 
 
 def in_order(root: Node) -> list[Node]:
@@ -110,9 +146,8 @@ def in_order(root: Node) -> list[Node]:
     return out
 
 
-def measure(root: Node) -> list[Node]:
-    """Fills in counts, densities and density sums, without what is cut; all nodes, parents first."""
-    nodes = in_order(root)
+def count(nodes: list[Node]) -> None:
+    """Fills in characters, tags and those of links; children come after their parents in `nodes`."""
     for node in reversed(nodes):
         own = [c for c in node.children if not c.cut]
         node.chars = sum(len("".join(x.split())) for x in node.items if isinstance(x, str)) + sum(c.chars for c in own)
@@ -120,6 +155,18 @@ def measure(root: Node) -> list[Node]:
         link = node.tag == "a"
         node.link_chars = node.chars if link else sum(c.link_chars for c in own)
         node.link_tags = node.tags if link else sum(c.link_tags + (c.tag == "a") for c in own)
+
+
+def measure(root: Node) -> list[Node]:
+    """Fills in counts, densities and density sums, without what is cut; all nodes, parents first."""
+    nodes = in_order(root)
+    count(nodes)
+    doubtful = [n for n in nodes if n.doubtful and 2 * n.link_chars > n.chars]
+    if doubtful:
+        for node in doubtful:
+            node.cut = True
+        nodes = in_order(root)
+        count(nodes)
     body = root.link_chars / max(root.chars, 1)
     for node in nodes:
         c, lc = node.chars, node.link_chars
@@ -140,35 +187,25 @@ def content(root: Node) -> list[Node]:
     while node is not None:
         path.append(node)
         node = node.parent
-    threshold = min(n.density for n in path)
+    threshold, above = min(n.density for n in path), {id(n) for n in path[1:]}
     best_in: dict[int, Node] = {}
     for node in reversed(nodes):  # children before parents: the node of greatest sum in each subtree, parents at ties
         best_in[id(node)] = max([node, *(best_in[id(c)] for c in node.children if not c.cut)], key=lambda n: n.sum)
     found, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node is not root and node.density >= threshold and node.chars and node not in path[1:]:
+        if node is not root and node.density >= threshold and node.chars and id(node) not in above:
             found.append(node if node.sum == 0 or node is best else best_in[id(node)])
         elif node is best:
             found.append(node)
         else:
             todo.extend(c for c in reversed(node.children) if not c.cut)
-    wide: list[Node] = []
-    for node in found:
-        x, top = node, node
-        while x is not None:
-            top = x if x.tag in ("article", "main") else top
-            x = x.parent
-        if top not in wide:
-            wide.append(top)
-    return wide
+    return [*{id(top): top for top in (node.top or node for node in found)}.values()]
 
 
-def main_text(page: str | None) -> str:
-    if not page:
-        return ""
+def text_of(root: Node) -> str:
     parts: list[str] = []
-    for top in content(parse(page)):
+    for top in content(root):
         parts.append(" ")
         todo: list = [top]
         while todo:
@@ -181,6 +218,10 @@ def main_text(page: str | None) -> str:
     return " ".join("".join(parts).split())
 
 
+def main_text(page: str | None) -> str:
+    return (text_of(parse(page)) or text_of(parse(page, by_name=False))) if page else ""
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and the page's main text."""
 

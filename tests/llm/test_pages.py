@@ -80,6 +80,76 @@ def test_extract_odd_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["related-study", "header-study", "footer-study", "share-study", "notice-study", "comment-study"])
+def test_names_that_only_hold_a_word_of_furniture_stay(name):
+    inside = f"<article><p>Some words come first here.</p><div class='{name}'><p>A study of many words, and of few links.</p></div></article>"
+    assert html_text.main_text(inside) == "Some words come first here. A study of many words, and of few links."
+    assert html_text.main_text(f"<div id='{name}'><p>All that is here.</p></div>") == "All that is here."
+    assert html_text.main_text(inside.replace(name, name.split("-")[0] + "-list")) == "Some words come first here."
+
+
+def test_what_furniture_is_cut():
+    links = "".join(f"<li><a href='/{i}'>another story {i}</a></li>" for i in range(9))
+    for cut in ("<div class='comments'><p>I like it.</p></div>", "<div class='box sidebar'>x y</div>", f"<div class='related-stories'><ul>{links}</ul></div>", "<p id='cookie-notice'>We bake.</p>", "<aside>x</aside>", "<div role=navigation>x</div>"):
+        assert html_text.main_text(f"<article><p>Words of the story.</p>{cut}</article>") == "Words of the story."
+    assert html_text.main_text("<div class='banner'><p>Nothing else is here.</p></div>") == "Nothing else is here."
+    assert html_text.main_text("<article><p data-id='ad'>Kept.</p><p title=it's>Kept, too.</p></article>") == "Kept. Kept, too."
+
+
+def test_odd_markup_takes_linear_time():
+    import time
+
+    n = 1_000_000
+    pages = {"quotes": '<a href="x ' * (n // 11), "stray": "<div>" * (n // 15) + "</section></b>" * (n // 20), "deep": "<div>" * (n // 5), "inline": "<div>" + "<b>" * (n // 8) + "</i>" * (n // 8), "half": "<p>" + "<!x" * (n // 3), "open": "<p>a" + "<b x='" * (n // 6), "comments": "<!--" * (n // 4), "script": "<p>a<script>" * (n // 12), "lists": "<ul><li>a" * (n // 9)}
+    html_text.main_text(pages["deep"][:10_000])
+    for name, page in pages.items():
+        start = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - start < 6, name  # a second or two; minutes where a scan starts over at each tag
+
+
+def test_densities_against_all_descendants():
+    import math
+    import random
+
+    r = random.Random(4)
+
+    def grown(depth):
+        out = "w" * r.randrange(0, 30)
+        for _ in range(r.randrange(0, 4) if depth else 0):
+            tag = r.choice(["div", "a", "b", "section"])
+            out += f"<{tag}>{grown(depth - 1)}</{tag}>" + "v" * r.randrange(0, 9)
+        return out
+
+    for _ in range(40):
+        root = html_text.parse(grown(4))
+        nodes = html_text.measure(root)
+        below = {id(n): [x for x in nodes if any(p is n for p in ancestors(x))] for n in nodes}
+        chars = lambda n: sum(len(x) for m in [n, *below[id(n)]] for x in m.items if isinstance(x, str))
+        linked = lambda n: [m for m in [n, *below[id(n)]] if any(p.tag == "a" for p in [m, *ancestors(m)][: len(ancestors(m)) + 1 - len(ancestors(n))])]
+        own = lambda m: sum(len(x) for x in m.items if isinstance(x, str))
+        body = sum(map(own, linked(root))) / max(chars(root), 1)
+        for n in nodes:
+            c, t, lc = chars(n), len(below[id(n)]), sum(map(own, linked(n)))
+            inner = [m for m in below[id(n)] if m in linked(n)]
+            lt = t if n.tag == "a" else len(inner)
+            assert (n.chars, n.tags, n.link_chars, n.link_tags) == (c, t, lc, lt)
+            if c:
+                base = math.log(c / max(c - lc, 1) * lc + body * c + math.e)
+                ratio = max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)
+                weight = math.log(ratio) / math.log(base) if base > 1.0 + 1e-9 else math.log(max(c * max(t, 1), 1.0))
+                assert n.density == pytest.approx(c / max(t, 1) * weight)
+            assert n.sum == pytest.approx(sum(m.density for m in n.children))
+
+
+def ancestors(node):
+    out = []
+    while node.parent is not None:
+        node = node.parent
+        out.append(node)
+    return out
+
+
 MESSAGE = "conv_id long, turn long, role string, text string, lines string, own string"
 
 
