@@ -10,7 +10,7 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. Two link
    components get four further hubs a round, for as long as that joins components. So most near copies link by few pairs.
 4. Groups that still hold several components are cut into cells of like set sizes, and cells of one least member are
    one cell, so that a pair meets in few of them. Shingles are hashed into coordinates, about one for eight shingles
-   (in large cells four for each), each class is the point of its counts, an R-tree holds the cell's points, and a search
+   (in large cells two for each), each class is the point of its counts, an R-tree holds the cell's points, and a search
    descends where another component is and where the sum of coordinate minima with a node's upper corner still allows
    the needed overlap. Points of twice the coordinates are folded to meet. Surviving pairs between components are
    verified. Cells of one leaf are compared point by point; a large one is searched block against block, so that a task
@@ -38,17 +38,17 @@ from graphloom.llm.wordhash import Runs, mix, words_of
 
 SHINGLE = 5
 #: Shingles for one coordinate of a point, least and most coordinates (powers of two); the same for fine points.
-COARSE, FINE = (8, 32, 2048), (0.25, 128, 8192)
-#: Slots of the sketch of heavy shingles; points in an R-tree's leaf and in one block; larger groups get more hubs and fine points.
-SLOTS, LEAF, BLOCK, LARGE = 1 << 20, 4, 1024, 32
-#: Rows and bytes of points that a task of the cell search takes, and bytes of points that are compared at once.
-TASK_ROWS, TASK_BYTES, POINT_BYTES = 4_000, 2_000_000, 4_000_000
+COARSE, FINE = (8, 32, 2048), (0.5, 128, 4096)
+#: Slots of the sketch of heavy shingles; points in an R-tree's leaf; groups above this get more hubs, and cells fine points.
+SLOTS, LEAF, LARGE, FINE_ABOVE = 1 << 20, 4, 32, 256
+#: Rows and bytes of points that a task of the cell search takes, and bytes of a block and of what is compared at once.
+TASK_ROWS, TASK_BYTES, BLOCK_BYTES, POINT_BYTES = 4_000, 2_000_000, 1_000_000, 2_000_000
 #: Sets that may link lie in the same or in neighbouring bands of sizes: a band is a little wider than the ratio 1.25.
 BAND = 1.26
 #: A coordinate of a point that doesn't fit bytes: it bounds nothing.
 FULL = 1 << 19
 #: Bytes of text that a task turns into sets at once.
-SLICE = 1_000_000
+SLICE = 250_000
 #: Up to so many doc_ids (8 bytes each) are broadcast to pick their texts; beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -355,11 +355,12 @@ def _cells(open_groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFram
     split = placed.groupBy("g", "cell").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max("band").alias("top"), F.min("rep").alias("g1")).where("c1 <> c2 AND top = cell")
     met = staged(placed.join(split.select("g", "cell", "g1"), ["g", "cell"]).select("g1", "cell", "rep", "n", "band", "component").distinct(), "cell-members")
     unstaged(placed)
-    size = met.groupBy("g1", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("most")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("fine", F.col("size") > LARGE)
-    cells = staged(size, "cells")
-    each = F.when(F.col("fine"), F.least(F.col("most") * 4, F.lit(FINE[2]))).otherwise(F.least(F.col("most") / 8, F.lit(COARSE[2])))
-    tasks = max(1, math.ceil(cells.agg(F.sum(F.col("size") * F.col("blocks") * F.greatest(each / TASK_BYTES, F.lit(1 / TASK_ROWS)))).first()[0] or 0))
-    dealt = met.join(cells.drop("size", "most"), ["g1", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    size = met.groupBy("g1", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("n").alias("most")).withColumn("fine", F.col("size") > FINE_ABOVE)
+    width = lambda grain: F.least(F.greatest(F.col("most") * (2 / grain[0]), F.lit(grain[1])), F.lit(grain[2]))
+    size = size.withColumn("bytes", F.when(F.col("fine"), width(FINE)).otherwise(width(COARSE)) * F.col("size"))
+    cells = staged(size.withColumn("blocks", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")), "cells")
+    tasks = max(1, math.ceil(cells.agg(F.sum(F.col("blocks") * F.greatest(F.col("bytes") / TASK_BYTES, F.col("size") / TASK_ROWS))).first()[0] or 0))
+    dealt = met.join(cells.select("g1", "cell", "blocks", "fine"), ["g1", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
     task = F.pmod(F.xxhash64("g1", "cell", "i", "j"), F.lit(tasks)).alias("task")
     dealt = dealt.select("g1", "cell", "i", "j", "block", "band", F.col("rep").alias("id"), "n", "component", "fine", task)

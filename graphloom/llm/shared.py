@@ -11,6 +11,8 @@ from graphloom.functions.frames import shared_folder
 
 #: White space that separates words: space and TAB to CR, and nothing else.
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
+#: Rows of an Arrow batch while a table is staged: a batch of whole texts stays at some megabytes on both sides.
+ARROW_ROWS, ARROW_CONF = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -21,7 +23,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: lineage ends here, and a lost executor
     costs no recomputation of what came before."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    rows = spark.conf.get(ARROW_CONF)
+    spark.conf.set(ARROW_CONF, str(min(int(rows), ARROW_ROWS) if int(rows) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_CONF, rows)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -75,9 +75,11 @@ def test_jaccard_join_of_families(spark, monkeypatch, above):
     assert collected(jaccard_join.link(df)) == jaccard_components(rows)
 
 
-def test_trees_are_searched_and_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("fine_above", [10, 1000])
+def test_trees_are_searched_and_lose_no_link(spark, monkeypatch, fine_above):
     """Each document its own component: the cells must give every linked pair, most of them by trees."""
     rows = families(9, 25, 14)
+    monkeypatch.setattr(jaccard_join, "FINE_ABOVE", fine_above)
     df = spark.createDataFrame(rows, "id long, text string")
     sets = jaccard_join.classes(df).where("n > 0")
     reps = sets.selectExpr("k1", "id AS rep", "n", "v")
@@ -108,8 +110,7 @@ def test_count_tree_finds_what_a_scan_finds():
 
 
 def test_large_groups_are_searched_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
-    monkeypatch.setattr(jaccard_join, "LARGE", 20)
+    monkeypatch.setattr(jaccard_join, "BLOCK_BYTES", 32 * 8)
     rows = [(1, i, i) for i in range(20)]
     reps = spark.createDataFrame([(i, 128, np.full(32, 4, np.uint8).tobytes()) for i in range(20)], "rep long, n long, v binary")
     members = jaccard_join._cells(spark.createDataFrame(rows, "g long, rep long, component long"), reps, spark.createDataFrame([], "id long, text string")).toPandas()
