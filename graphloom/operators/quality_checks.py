@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# What the generation's columns may hold.
-ALLOWED = {("run", "status"): ("ok", "failed", "partial"), ("call_site", "ref_kind"): ("call", "value", "macro"), ("call_site", "dispatch"): ("static", "virtual", "dynamic", "unknown")}
+# What the generation's columns may hold, which may not be null, and its keys.
+ALLOWED = {
+    ("run", "status"): ("succeeded", "failed"),
+    ("call_site", "ref_kind"): ("call", "value", "macro"),
+    ("call_site", "dispatch"): ("static", "virtual", "dynamic", "unknown"),
+    ("call_target", "method"): ("declared", "cha", "rta", "vta", "jelly", "di-binding", "name-match", "lsp-impl"),
+}
+NOT_NULL = {
+    "run": "run_id provider provider_version args started_at status source_tree".split(),
+    "run_file": "run_id path edge_count".split(),
+    "file": "path content_hash size".split(),
+    "symbol": "id name kind modules external".split(),
+    "call_site": "site_id run_id caller file line col ordinal ref_kind declared_target dispatch source".split(),
+    "call_target": "site_id target method".split(),
+}
 KEYS = {"run": ["run_id"], "run_file": ["run_id", "path"], "file": ["path"], "symbol": ["id"], "call_site": ["site_id"]}
 REFERENCES = [("run_file", "run_id", "run", "run_id"), ("call_site", "run_id", "run", "run_id"), ("call_target", "site_id", "call_site", "site_id")]
 
@@ -41,21 +54,25 @@ def check_call_graph(files: DataFrame, functions: DataFrame, sites: DataFrame, e
 
 
 def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
-    """table, constraint, key of each violated key, reference or list of allowed values, for the tables given."""
+    """table, constraint, key of each violated key, reference, null or list of allowed values, for the tables and columns
+    given. The key of `not null COLUMN` is how many rows have none."""
     out = []
-    row = lambda df, table, rule, key: df.select(F.lit(table).alias("table"), F.lit(rule).alias("constraint"), key.cast("string").alias("key"))
-    for table, keys in KEYS.items():
-        if table in tables:
-            twice = tables[table].groupBy(*keys).count().where("count > 1")
-            out.append(row(twice, table, "primary key", F.concat_ws("/", *keys)))
-            out.append(row(tables[table].where(" OR ".join(f"{k} IS NULL" for k in keys)), table, "not null", F.concat_ws("/", *keys)))
+    row = lambda df, table, rule, key: df.select(F.lit(table).alias("table"), rule.alias("constraint"), key.cast("string").alias("key"))
+    for table, df in tables.items():
+        if table in KEYS:
+            twice = df.dropna(subset=KEYS[table]).groupBy(*KEYS[table]).count().where("count > 1")
+            out.append(row(twice, table, F.lit("primary key"), F.concat_ws("/", *KEYS[table])))
+        filled = [c for c in NOT_NULL.get(table, ()) if c in df.columns]
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in filled])  # one row: one scan counts all columns
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("n")) for c in filled])).alias("x")
+        out.append(row(nulls.select(each).where("x.n > 0"), table, F.concat(F.lit("not null "), F.col("x.c")), F.col("x.n")))
     for table, column, parent, key in REFERENCES:
         if table in tables and parent in tables:
             missing = tables[table].where(F.col(column).isNotNull()).join(tables[parent].select(F.col(key).alias(column)).distinct(), column, "left_anti")
-            out.append(row(missing.select(column).distinct(), table, f"references {parent}", F.col(column)))
+            out.append(row(missing.select(column).distinct(), table, F.lit(f"references {parent}"), F.col(column)))
     for (table, column), allowed in ALLOWED.items():
         if table in tables and column in tables[table].columns:
-            out.append(row(tables[table].where(F.col(column).isNotNull() & ~F.col(column).isin(*allowed)).select(column).distinct(), table, f"check {column}", F.col(column)))
+            out.append(row(tables[table].where(F.col(column).isNotNull() & ~F.col(column).isin(*allowed)).select(column).distinct(), table, F.lit(f"check {column}"), F.col(column)))
     found = out[0]
     for df in out[1:]:
         found = found.union(df)

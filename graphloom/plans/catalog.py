@@ -200,7 +200,7 @@ ENTRIES = {
     "order_report": (lambda r: res.order_report(by_module(r)), f"SELECT * FROM ({BY_MODULE}) ORDER BY language NULLS LAST, package NULLS LAST, module NULLS FIRST"),
     "edge_counts": (lambda r: res.edge_counts(r("run"), r("run_file")), "SELECT provider, path, CAST(sum(edge_count) AS BIGINT) AS edge_count FROM {run_file} JOIN {run} USING (run_id) GROUP BY provider, path"),
     "run_file_counts": (lambda r: res.run_file_counts(r("file"), r("call_site").where("col > 40")), "SELECT f.path, count(s.site_id) AS edge_count FROM {file} f LEFT JOIN {call_site} s ON s.file = f.path AND s.col > 40 GROUP BY f.path"),
-    "run_edges_per_file": (lambda r: res.run_edges_per_file(r("file").select(F.lit(1).alias("run_id"), "path"), 1, r("call_site"), r("call_target").where("method = 'scip'"), 1), "SELECT path, (SELECT count(*) FROM {call_target} t JOIN {call_site} s ON s.site_id = t.site_id WHERE s.file = f.path AND s.run_id = 1 AND t.method = 'scip') AS edge_count FROM {file} f"),
+    "run_edges_per_file": (lambda r: res.run_edges_per_file(r("file").select(F.lit(1).alias("run_id"), "path"), 1, r("call_site"), r("call_target").where("method = 'scip'"), 1), "SELECT path, (SELECT count(*) FROM {call_target} t JOIN {call_site} s ON s.site_id = t.site_id WHERE s.file = f.path AND s.run_id = 1 AND t.method = 'declared') AS edge_count FROM {file} f"),
     "inherit_source_tree": (lambda r: res.inherit_source_tree(r("run").select("run_id", "provider", F.concat(F.lit("tree"), "run_id").alias("source_tree")), 1998, 1996), "SELECT run_id, provider, CASE WHEN run_id = 1998 THEN 'tree1996' ELSE concat('tree', run_id) END AS source_tree FROM {run}"),
     "unresolved_by_module": (lambda r: res.unresolved_by_module(r("call_site"), r("call_target"), r("symbol")), f"SELECT m.module, count(s.site_id) FILTER (WHERE NOT resolved) AS unresolved, count(s.site_id) AS call_sites FROM (SELECT DISTINCT module FROM {{symbol}} WHERE module IS NOT NULL) m LEFT JOIN (SELECT y.module, s.site_id, {RESOLVED} AS resolved FROM {{call_site}} s JOIN {{symbol}} y ON y.id = s.caller) s ON s.module = m.module GROUP BY m.module"),
     # Drops and differences
@@ -282,9 +282,28 @@ ENTRIES = {
     "check_index": (lambda r: chk.check_index(r("file"), r("occurrence").where("line > 99"), r("file").select("path", (F.col("size") > 100).alias("declares"))), "SELECT concat('no occurrences, though a function is declared in ', min(path)) AS error FROM {file} WHERE size > 100"),
     "check_resolved": (lambda r: chk.check_resolved(att.unresolved_sites(occ_sites(r), r("occurrence")).where("reason IS NOT NULL").withColumn("called", F.lit(True))), f"SELECT concat('all ', n, ' called names are unresolved') AS error FROM (SELECT count(*) AS n FROM ({OCC_SITES}) e LEFT JOIN (SELECT o.path, o.line, o.character, bool_or(o.symbol NOT LIKE 'local %' OR d.symbol IS NOT NULL) AS named FROM {{occurrence}} o LEFT JOIN (SELECT DISTINCT path, symbol FROM {{occurrence}} WHERE symbol LIKE 'local %' AND roles & 1 <> 0) d ON d.path = o.path AND d.symbol = o.symbol GROUP BY o.path, o.line, o.character) o ON o.path = e.path AND o.line = e.line AND o.character = e.character WHERE named IS NULL OR NOT named)"),
     "check_call_graph": (lambda r: chk.check_call_graph(r("file"), r("symbol"), r("call_site"), r("call_target").where("method = 'jelly'")), "SELECT 'no function edges' AS error FROM {region} WHERE r_regionkey = 0"),
-    "check_constraints": (lambda r: chk.check_constraints({"call_site": r("call_site").withColumn("dispatch", F.when(F.col("col") == 7, "odd").otherwise(F.col("dispatch"))), "file": r("file").union(r("file").where("size = 50")), "call_target": r("call_target").withColumn("site_id", F.when(F.col("site_id") % 997 == 0, -F.col("site_id")).otherwise(F.col("site_id"))), "run": r("run").select("run_id", F.when(F.col("run_id") == 1999, "lost").otherwise("ok").alias("status")).union(r("run").limit(0).select("run_id", "status"))}), """SELECT 'file' AS "table", 'primary key' AS "constraint", path AS key FROM {file} WHERE size = 50 UNION ALL SELECT DISTINCT 'call_target', 'references call_site', CAST(-site_id AS VARCHAR) FROM {call_target} WHERE site_id % 997 = 0 AND site_id <> 0
-      UNION ALL SELECT DISTINCT 'call_site', 'check dispatch', 'odd' FROM {call_site} WHERE col = 7 UNION ALL SELECT 'run', 'check status', 'lost' FROM {run} WHERE run_id = 1999 UNION ALL SELECT DISTINCT 'call_site', 'references run', CAST(run_id AS VARCHAR) FROM {call_site}"""),
-    "check_declared_targets": (lambda r: chk.check_declared_targets(r("call_site"), r("call_target"), "scip"), "SELECT s.site_id FROM {call_site} s LEFT JOIN {call_target} t ON t.site_id = s.site_id GROUP BY s.site_id HAVING count(t.target) <> 1 OR NOT bool_and(t.target = s.declared_target AND t.method = 'scip')"),
+    "check_constraints": (
+        lambda r: chk.check_constraints(
+            {
+                "run": r("run").withColumn("status", F.when(F.col("run_id") == 1999, "ok").otherwise(F.col("status"))),
+                "file": r("file").union(r("file").where("size = 50")),
+                "call_site": r("call_site").withColumn("dispatch", F.when(F.col("col") == 7, "odd").otherwise(F.col("dispatch"))),
+                "call_target": r("call_target").select(
+                    F.when(F.col("site_id") % 997 == 0, -F.col("site_id")).otherwise(F.col("site_id")).alias("site_id"),
+                    F.when(F.col("site_id") % 991 != 0, F.col("target")).alias("target"),
+                    F.when(F.col("site_id") % 983 == 0, "scip").otherwise(F.col("method")).alias("method"),
+                ),
+            }
+        ),
+        """SELECT 'file' AS "table", 'primary key' AS "constraint", path AS key FROM {file} WHERE size = 50
+          UNION ALL SELECT DISTINCT 'call_target', 'references call_site', CAST(-site_id AS VARCHAR) FROM {call_target} WHERE site_id % 997 = 0 AND site_id <> 0
+          UNION ALL SELECT 'call_target', 'not null target', CAST(count(*) AS VARCHAR) FROM {call_target} WHERE site_id % 991 = 0 HAVING count(*) > 0
+          UNION ALL SELECT DISTINCT 'call_target', 'check method', 'scip' FROM {call_target} WHERE site_id % 983 = 0
+          UNION ALL SELECT DISTINCT 'call_site', 'check dispatch', 'odd' FROM {call_site} WHERE col = 7
+          UNION ALL SELECT 'run', 'check status', 'ok' FROM {run} WHERE run_id = 1999
+          UNION ALL SELECT DISTINCT 'call_site', 'references run', CAST(run_id AS VARCHAR) FROM {call_site}""",
+    ),
+    "check_declared_targets": (lambda r: chk.check_declared_targets(r("call_site"), r("call_target"), "declared"), "SELECT s.site_id FROM {call_site} s LEFT JOIN {call_target} t ON t.site_id = s.site_id GROUP BY s.site_id HAVING count(t.target) <> 1 OR NOT bool_and(t.target = s.declared_target AND t.method = 'declared')"),
     "local_leaks": (lambda r: chk.local_leaks(r("call_site").select("caller", F.when(F.col("col") == 9, F.concat(F.lit("local "), "line")).otherwise(F.col("declared_target")).alias("declared_target")), r("call_target"), r("symbol")), "SELECT concat('local ', line) AS symbol FROM {call_site} WHERE col = 9"),
     # Generations
     "source_tree_hash": (lambda r: gen.source_tree_hash(r("file"), "language"), "SELECT language, sha256(string_agg(concat(path, ' ', content_hash), chr(10) ORDER BY path)) AS source_tree FROM {file} GROUP BY language"),

@@ -17,7 +17,7 @@ RELATIONS = {
     "call_site": """SELECT site_id, CAST(1 AS INT) AS run_id, concat('order:', l_orderkey) AS caller, concat('src/c', o_custkey, '.rs') AS file,
         CAST(l_linenumber AS INT) AS line, CAST(l_quantity AS INT) AS col, CASE WHEN l_tax < 0.04 THEN 'call' ELSE 'value' END AS ref_kind,
         concat('part:', l_partkey) AS declared_target, CASE WHEN l_linestatus = 'F' THEN 'static' ELSE 'virtual' END AS dispatch FROM {line}""",
-    "call_target": """SELECT site_id, concat('part:', l_partkey) AS target, CASE WHEN l_returnflag = 'A' THEN 'name-match' ELSE 'scip' END AS method FROM {line} WHERE l_returnflag <> 'R'
+    "call_target": """SELECT site_id, concat('part:', l_partkey) AS target, CASE WHEN l_returnflag = 'A' THEN 'name-match' ELSE 'declared' END AS method FROM {line} WHERE l_returnflag <> 'R'
         UNION ALL SELECT site_id, concat('part:', l_partkey + 1) AS target, 'name-match' AS method FROM {line} WHERE l_returnflag = 'A' AND l_quantity > 25""",
     "file": """SELECT concat('src/c', c_custkey, '.rs') AS path, CASE WHEN c_nationkey % 7 = 0 THEN NULL ELSE r_name END AS language, c_name AS content_hash, CAST(c_nationkey * 10 AS BIGINT) AS size
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey WHERE c_custkey % 11 <> 3""",
@@ -25,7 +25,7 @@ RELATIONS = {
           CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE concat('shop.', o_orderpriority) END AS module, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderstatus END AS package FROM {orders}
         UNION ALL SELECT concat('part:', p_partkey) AS id, concat('parts.', p_brand, '.', p_name) AS name, CASE WHEN p_size % 3 = 0 THEN 'trait_method' ELSE 'method' END AS kind, concat('src/p', p_partkey % 50, '.rs') AS file,
           CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE concat('parts.', p_brand) END AS module, p_type AS package FROM {part}""",
-    "run": """SELECT CAST(y AS INT) AS run_id, CASE WHEN y % 2 = 0 THEN 'rust' ELSE 'go' END AS provider, 'ok' AS status FROM (SELECT DISTINCT year(l_shipdate) AS y FROM {lineitem}) AS t""",
+    "run": """SELECT CAST(y AS INT) AS run_id, CASE WHEN y % 2 = 0 THEN 'rust' ELSE 'go' END AS provider, 'succeeded' AS status FROM (SELECT DISTINCT year(l_shipdate) AS y FROM {lineitem}) AS t""",
     "run_file": """SELECT CAST(year(l_shipdate) AS INT) AS run_id, concat('src/s', l_suppkey, '.rs') AS path, count(*) AS edge_count FROM {lineitem} GROUP BY year(l_shipdate), l_suppkey""",
     "edges_by_year": """SELECT CAST(year(l_shipdate) AS BIGINT) AS generation, CASE WHEN l_suppkey % 2 = 0 THEN 'rust' ELSE 'go' END AS provider, concat('src/s', l_suppkey, '.rs') AS path,
         CASE WHEN (l_suppkey + year(l_shipdate)) % 5 = 0 THEN count(*) ELSE count(*) * 3 END AS edge_count FROM {lineitem} WHERE (l_suppkey + year(l_shipdate)) % 7 <> 0 GROUP BY year(l_shipdate), l_suppkey""",

@@ -163,10 +163,13 @@ def test_expansion(spark):
 
 
 def test_checks(spark):
-    run = spark.createDataFrame([(1, "ok"), (1, "odd")], "run_id int, status string")
+    run = spark.createDataFrame([(1, "succeeded"), (1, "ok")], "run_id int, status string")
     site = spark.createDataFrame([(1, 1, "call", "static"), (2, 7, "call", "static")], "site_id long, run_id int, ref_kind string, dispatch string")
     got = rows(chk.check_constraints({"run": run, "call_site": site}))
-    assert got == [("call_site", "references run", "7"), ("run", "check status", "odd"), ("run", "primary key", "1")]
+    assert got == [("call_site", "references run", "7"), ("run", "check status", "ok"), ("run", "primary key", "1")]
+    target = spark.createDataFrame([(1, "f", "declared"), (1, "f", "bogus"), (2, None, "cha"), (None, "g", "scip")], "site_id long, target string, method string")
+    got = rows(chk.check_constraints({"call_site": site, "call_target": target}))
+    assert got == [("call_target", "check method", "bogus"), ("call_target", "check method", "scip"), ("call_target", "not null site_id", "1"), ("call_target", "not null target", "1")]
     none = run.limit(0)
     assert rows(chk.check_call_graph(none, run, run, run)) == [("no files",)] and rows(chk.check_call_graph(run, run, run, none)) == [("no function edges",)] and not rows(chk.check_call_graph(run, run, run, run))
     refs = spark.createDataFrame([("b", True), ("a", True), ("0", False)], "path string, callable boolean")
