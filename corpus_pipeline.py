@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, jaccard_join, language_id, packing, substring_dedup
-from graphloom.llm.shared import once, staged
+from graphloom.llm.shared import once, small_batches, staged
 
 #: Packing and the learned language model are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -17,17 +17,20 @@ ORACLE_SQL = None
 
 def identify_language(spark, docs, sf_dir):
     """Documents whose language is told; those without a letter, and those far from every centroid, go."""
+    small_batches(spark)
     return language_id.identify(docs, language_id.fit(docs)).where("NOT rejected").select(*docs.columns)
 
 
 def one_of_each_group(spark, docs, sf_dir):
     """One document of each group of near copies stays, and one of rows that repeat a doc_id (or null) with its text."""
+    small_batches(spark)
     kept = jaccard_join.keep_one(docs)
     return once(staged(kept, "kept-rows"), "doc_id", "text") if not docs.groupBy("doc_id").count().where("count > 1").isEmpty() else kept
 
 
 def drop_repeats(spark, docs, sf_dir):
     """Repeated spans are cut from the texts; documents of which nothing is left go."""
+    small_batches(spark)
     found = substring_dedup.remove_repeats(docs)
     changed = F.col("n_removed") > 0
     text = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
@@ -36,10 +39,12 @@ def drop_repeats(spark, docs, sf_dir):
 
 def decontaminate(spark, docs, sf_dir):
     """Documents that hold a window of the benchmark go."""
+    small_batches(spark)
     return decontamination.remove_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark, docs, sf_dir):
+    small_batches(spark)
     return packing.pack(docs)
 
 

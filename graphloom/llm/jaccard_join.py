@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
 from graphloom.llm.shared import bounded, staged, unstaged
-from graphloom.llm.tokens import slices
+from graphloom.llm.tokens import WordEncoder, slices
 from graphloom.llm.wordhash import Runs, mix, words_of
 
 SHINGLE = 5
@@ -109,6 +109,7 @@ def classes(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        WordEncoder.leave()
         names, count = ["id", "n", "k1", "k2", "v"], np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in slices(batch, SLICE):

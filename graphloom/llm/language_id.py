@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.tokens import slices
+from graphloom.llm.tokens import WordEncoder, slices
 
 #: Hashed n-grams (a power of two), documents a language that k-means sees, and centroids a language.
 DIMS, SAMPLE_PER_LANGUAGE, CENTROIDS = 4096, 300, 4
@@ -95,10 +95,11 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     def run(batches):
         import pyarrow as pa
 
+        WordEncoder.leave()
         df, n = np.zeros(DIMS, np.int64), 0
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                if text:
+            for part in slices(batch):
+                for text in filter(None, part["text"].to_pylist()):
                     df += counts(text) > 0
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS + 1)), pa.array(np.append(df, n))], ["slot", "n"])
@@ -172,6 +173,7 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        WordEncoder.leave()
         for batch in batches:
             for part in slices(batch):
                 lang, score, rejected = zip(*map(model.predict, part["text"].to_pylist()), strict=True)

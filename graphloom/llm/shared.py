@@ -11,10 +11,17 @@ from graphloom.functions.frames import shared_folder
 
 #: White space that separates words: space and TAB to CR, and nothing else.
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
-#: Rows of an Arrow batch while a table is staged: a batch of whole texts stays at some megabytes on both sides.
+#: Rows of an Arrow batch while a table is staged and in the pipeline: a batch of whole texts stays at some megabytes.
 ARROW_ROWS, ARROW_CONF = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def small_batches(spark: SparkSession) -> str:
+    """Holds the session's Arrow batches to ARROW_ROWS rows from here on; gives the setting before."""
+    before = spark.conf.get(ARROW_CONF)
+    spark.conf.set(ARROW_CONF, str(min(int(before), ARROW_ROWS) if int(before) > 0 else ARROW_ROWS))
+    return before
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -23,12 +30,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: lineage ends here, and a lost executor
     costs no recomputation of what came before."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    rows = spark.conf.get(ARROW_CONF)
-    spark.conf.set(ARROW_CONF, str(min(int(rows), ARROW_ROWS) if int(rows) > 0 else ARROW_ROWS))
+    before = small_batches(spark)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(ARROW_CONF, rows)
+        spark.conf.set(ARROW_CONF, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out

@@ -84,6 +84,11 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    @classmethod
+    def leave(cls) -> None:
+        """Lets go of the memos that a reused worker still holds from packing or encoding."""
+        cls._made.clear()
+
     def _forget(self) -> None:
         self.slots: dict[int, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
