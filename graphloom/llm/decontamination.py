@@ -53,29 +53,41 @@ def benchmark_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """One row per document row: doc_id, n_words, spans (array of (p, l), verified occurrences) and items.
+    """One row per document row: doc_id, th, n_words, spans (array of (p, l), verified occurrences) and items.
 
     One scan of the texts: a marker row for each document goes through the broadcast join beside its windows, so that
-    documents without a hit need no second pass; only markers and hits are shuffled, keyed by document."""
+    documents without a hit need no second pass; only markers and hits are shuffled, keyed by document. A benchmark of
+    more windows meets the documents by a shuffle of window hashes, without words, and only the documents with a
+    hash that is met are read again to verify it."""
     windows = benchmark_windows(benchmark, n)
     lengths = sorted(r[0] for r in windows.select("l").distinct().collect())  # 1 to n: at most n rows
     key = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), normal_words(F.col("text")).alias("w"))
     marker = F.array(F.lit(0).cast("long"))
     hashes = let(F.col("w"), lambda w: F.concat(marker, *[_windows(w, k) for k in lengths]))
-    each = key.select("doc_id", "th", "w", F.size("w").alias("n_words"), hashes.alias("hashes")).select("doc_id", "th", "w", "n_words", F.posexplode("hashes").alias("at", "k"))
-    side = F.broadcast(windows) if bounded(windows, BROADCAST_WINDOWS) else windows
-    found = each.join(side, F.col("k") == F.col("h"), "left").where((F.col("at") == 0) | F.col("l").isNotNull())
+    sized = key.select("doc_id", "th", "w", F.size("w").alias("n_words"), hashes.alias("hashes"))
+    spread = F.posexplode("hashes").alias("at", "k")
     before = F.lit(0)  # entries before those of the hit's length; then `at` counts from 1 among them
     for k in lengths:
         before = before + F.when(F.col("l") > k, F.greatest(F.col("n_words") - k + 1, F.lit(0))).otherwise(0)
-    start = F.when(F.col("at") == 0, F.lit(0)).otherwise(F.col("at") - before)
-    hits = found.withColumn("p", start).where((F.col("at") == 0) | ((F.col("p") >= 1) & (F.slice("w", F.greatest(F.col("p"), F.lit(1)), F.coalesce("l", F.lit(0))) == F.col("window"))))
-    hits = hits.select("doc_id", "th", "n_words", "p", F.when(F.col("p") > 0, F.col("l")).alias("l"), F.when(F.col("p") > 0, F.col("items")).alias("items"))
-    # A document's hits are at most its windows, so the lists are bounded by its own text.
+    if bounded(windows, BROADCAST_WINDOWS):
+        met = sized.select("doc_id", "th", "w", "n_words", spread).join(F.broadcast(windows), F.col("k") == F.col("h"), "left").where((F.col("at") == 0) | F.col("l").isNotNull())
+        hits = met.withColumn("p", F.when(F.col("at") == 0, F.lit(0)).otherwise(F.col("at") - before))
+        hits = hits.where((F.col("at") == 0) | ((F.col("p") >= 1) & (F.slice("w", F.greatest(F.col("p"), F.lit(1)), F.coalesce("l", F.lit(0))) == F.col("window"))))
+        hits = hits.select("doc_id", "th", "n_words", (F.col("at") == 0).alias("mark"), F.when(F.col("at") > 0, F.array(F.struct("p", "l"))).alias("spans"), F.when(F.col("at") > 0, F.col("items")).alias("items"))
+    else:
+        slim = sized.select("doc_id", "th", "n_words", spread).where("at > 0").join(windows, F.col("k") == F.col("h")).withColumn("p", F.col("at") - before).where("p >= 1")
+        # A document's hits are at most its windows, so the lists are bounded by its own text.
+        listed = slim.groupBy("doc_id", "th").agg(F.collect_set(F.struct("p", "l", "window", "items")).alias("found")).toDF("hit_id", "hit_th", "found")
+        again = key.join(listed, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")))
+        true = F.filter("found", lambda x: F.slice(F.col("w"), x["p"], x["l"]) == x["window"])
+        proved = again.select("doc_id", "th", F.size("w").alias("n_words"), F.lit(False).alias("mark"), true.alias("true"))
+        proved = proved.select("doc_id", "th", "n_words", "mark", F.transform("true", lambda x: F.struct(x["p"].alias("p"), x["l"].alias("l"))).alias("spans"), F.flatten(F.transform("true", lambda x: x["items"])).alias("items"))
+        none = sized.select("doc_id", "th", "n_words", F.lit(True).alias("mark"))
+        hits = none.unionByName(proved, allowMissingColumns=True)
     per_doc = hits.groupBy("doc_id", "th").agg(
         F.max("n_words").cast("long").alias("n_words"),
-        F.count_if(F.col("p") == 0).alias("copies"),
-        F.sort_array(F.collect_set(F.when(F.col("p") > 0, F.struct("p", "l")))).alias("spans"),
+        F.count_if("mark").alias("copies"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
     return per_doc.select("doc_id", "th", "n_words", "spans", "items", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")

@@ -96,13 +96,17 @@ def document_failures(features: DataFrame) -> DataFrame:
 
 
 def host_verdicts(failures: DataFrame, max_rate: float = 0.5) -> DataFrame:
-    """host, n_docs, n_failed, rate (shrunk), host_failed. The beta prior's mean and variance are those of the hosts'
-    own rates (method of moments); its strength is held between 1 and 10,000 pseudo-documents."""
+    """host, n_docs, n_failed, rate (shrunk), host_failed. The beta prior's mean is the failure rate of all documents; its
+    strength is that of the beta-binomial by moments, with hosts weighted by their documents, so that the noise of small
+    hosts isn't taken for a spread of rates. It is held between 1 and 10,000 pseudo-documents; without any spread beyond
+    noise it is the most."""
     hosts = failures.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("rule_failed").alias("n_failed"))
-    own = F.col("n_failed") / F.col("n_docs")
-    moments = hosts.agg(F.avg(own).alias("m"), F.var_pop(own).alias("v")).first()  # one row: the prior's two numbers
-    m, v = moments["m"] or 0.0, moments["v"] or 0.0
-    strength = min(max(m * (1 - m) / v - 1, 1.0), 10000.0) if v > 0 else 10000.0
+    n, f = F.col("n_docs"), F.col("n_failed")
+    sums = hosts.agg(F.count(F.lit(1)).alias("k"), F.sum(n).alias("n"), F.sum(f).alias("f"), F.sum(f * f / n).alias("ff"), F.sum(n * n).alias("nn")).first()  # one row: the prior's two numbers
+    m = sums["f"] / sums["n"] if sums["n"] else 0.0
+    spread = (sums["ff"] - sums["f"] * m) / (m * (1 - m)) - (sums["k"] - 1) if 0 < m < 1 else 0.0
+    room = sums["n"] - sums["nn"] / sums["n"] - (sums["k"] - 1) if sums["n"] else 0.0
+    strength = min(max(room / spread - 1, 1.0), 10000.0) if spread > 1e-9 and room > 1e-9 else 10000.0
     rate = (m * strength + F.col("n_failed")) / (strength + F.col("n_docs"))
     return hosts.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate > max_rate).alias("host_failed"))
 
@@ -145,8 +149,9 @@ f1 AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fai
 f2 AS (SELECT *, base_failed OR 10 * n_symbols > word_chars OR 10 * n_dup_lines > 3 * n_lines
               OR word_chars > 12 * n_words OR word_chars < 2 * n_words AS rule_failed FROM f1),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (WHERE rule_failed) AS f FROM f2 GROUP BY host),
-m AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM h),
-p AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 10000.0) ELSE 10000.0 END AS s FROM m),
+t AS (SELECT count(*) AS k, sum(n) AS n, sum(f) AS f, sum(f * f / n) AS ff, sum(n * n) AS nn FROM h),
+m AS (SELECT f / n AS m, CASE WHEN f > 0 AND f < n THEN (ff - f * (f / n)) / ((f / n) * (1 - f / n)) - (k - 1) ELSE 0 END AS spread, n - nn / n - (k - 1) AS room FROM t),
+p AS (SELECT m, CASE WHEN spread > 1e-9 AND room > 1e-9 THEN least(greatest(room / spread - 1, 1.0), 10000.0) ELSE 10000.0 END AS s FROM m),
 verdict AS (SELECT host, (m * s + f) / (s + n) > 0.5 AS host_failed FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (host_failed AND rule_failed) AS kept

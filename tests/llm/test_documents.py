@@ -252,7 +252,42 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontamination.find_hits(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def test_decontamination_by_shuffle(spark, docs, empty, monkeypatch):
+    """Beyond the broadcast bound: equal results, and no word array in the shuffle of windows."""
+    bench = spark.createDataFrame([(1, text_part(docs, 1, 20, 45)), (2, text_part(docs, 4, 60, 75)), (3, "one"), (None, text_part(docs, 1, 30, 41)), (5, None)], "item_id long, text string")
+    want = collected(decontamination.find_hits(docs, bench))
+    assert sum(bool(x[3]) for x in want) > 4
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    got = decontamination.find_hits(docs, bench)
+    assert collected(got) == want and decontamination.find_hits(empty, bench).count() == 0
+    assert collected(decontamination.find_hits(docs, bench.limit(0))) == [(*x[:3], [], []) for x in want]
+
+
+def text_part(docs, doc_id, a, b):
+    return " ".join(docs.where(F.col("doc_id") == doc_id).first()["text"].split()[a:b])
+
+
 # Quality rules
+def test_host_verdicts_reach_the_documents(spark):
+    """Failing hosts lose what fails a rule, others only what fails the base rules; small hosts are pulled to the mean."""
+    good, symbols = " ".join(f"word{i}" for i in range(60)), " ".join(f"word{i}#######" for i in range(60))
+    rows, n = [], 0
+    for host, bad, all_ in [("bad", 28, 40), *[(f"fine{i}", 1, 40) for i in range(30)], ("small", 1, 1), *[(f"one{i}", 0, 1) for i in range(9)]]:
+        for i in range(all_):
+            rows.append((n, symbols if i < bad else good, f"https://{host}/x"))
+            n += 1
+    rows.append((n, "too short", "https://fine0/y"))
+    got = {r["doc_id"]: r for r in quality_rules.apply_host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    want = {d: t == good or (t == symbols and "//bad/" not in s) for d, t, s in rows}
+    assert {d: r["kept"] for d, r in got.items()} == want and sum(not x for x in want.values()) == 29
+
+
+def test_hosts_of_one_document_show_no_spread(spark):
+    rows = [(f"h{i}", i % 5 == 0) for i in range(1000)]
+    got = quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, rule_failed boolean"))
+    assert got.where("host_failed").isEmpty() and got.count() == 1000
+
+
 def test_quality_rules(docs, rows, empty):
     want = []
     for r in rows:
