@@ -200,7 +200,7 @@ ENTRIES = {
     "order_report": (lambda r: res.order_report(by_module(r)), f"SELECT * FROM ({BY_MODULE}) ORDER BY language NULLS LAST, package NULLS LAST, module NULLS FIRST"),
     "edge_counts": (lambda r: res.edge_counts(r("run"), r("run_file")), "SELECT provider, path, CAST(sum(edge_count) AS BIGINT) AS edge_count FROM {run_file} JOIN {run} USING (run_id) GROUP BY provider, path"),
     "run_file_counts": (lambda r: res.run_file_counts(r("file"), r("call_site").where("col > 40")), "SELECT f.path, count(s.site_id) AS edge_count FROM {file} f LEFT JOIN {call_site} s ON s.file = f.path AND s.col > 40 GROUP BY f.path"),
-    "run_edges_per_file": (lambda r: res.run_edges_per_file(r("file").select(F.lit(1).alias("run_id"), "path"), 1, r("call_site"), r("call_target").where("method = 'scip'"), 1), "SELECT path, (SELECT count(*) FROM {call_target} t JOIN {call_site} s ON s.site_id = t.site_id WHERE s.file = f.path AND s.run_id = 1 AND t.method = 'declared') AS edge_count FROM {file} f"),
+    "run_edges_per_file": (lambda r: res.run_edges_per_file(r("file").select(F.lit(1).alias("run_id"), "path"), 1, r("call_site"), r("call_target").where("method = 'declared'"), 1), "SELECT path, (SELECT count(*) FROM {call_target} t JOIN {call_site} s ON s.site_id = t.site_id WHERE s.file = f.path AND s.run_id = 1 AND t.method = 'declared') AS edge_count FROM {file} f"),
     "inherit_source_tree": (lambda r: res.inherit_source_tree(r("run").select("run_id", "provider", F.concat(F.lit("tree"), "run_id").alias("source_tree")), 1998, 1996), "SELECT run_id, provider, CASE WHEN run_id = 1998 THEN 'tree1996' ELSE concat('tree', run_id) END AS source_tree FROM {run}"),
     "unresolved_by_module": (lambda r: res.unresolved_by_module(r("call_site"), r("call_target"), r("symbol")), f"SELECT m.module, count(s.site_id) FILTER (WHERE NOT resolved) AS unresolved, count(s.site_id) AS call_sites FROM (SELECT DISTINCT module FROM {{symbol}} WHERE module IS NOT NULL) m LEFT JOIN (SELECT y.module, s.site_id, {RESOLVED} AS resolved FROM {{call_site}} s JOIN {{symbol}} y ON y.id = s.caller) s ON s.module = m.module GROUP BY m.module"),
     # Drops and differences
