@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.frames import checkpointed
+
 #: Lines of a bucket: range joins meet on path and bucket, so a huge file is dealt to many tasks.
 BUCKET_LINES = 64
 
@@ -93,19 +95,41 @@ def first_definition(occ: DataFrame) -> DataFrame:
     return best.select("symbol", "x.path", "x.line", "x.character")
 
 
+def numbered(df: DataFrame, keys: list[str], bucket: list[Column], order: list[str], name: str) -> DataFrame:
+    """Adds `name`: 1, 2, … within `keys`, by `bucket` and then by `order`. Rows are numbered within a bucket, and a
+    running sum over a key's buckets, one row each, gives the bucket's offset: one huge key is dealt to many tasks."""
+    cell = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[b.alias(f"b{i}") for i, b in enumerate(bucket)])
+    dealt = df.withColumn("_cell", cell)
+    sizes = dealt.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*[F.col("_cell")[f"k{i}"] for i in range(len(keys))]).orderBy("_cell")
+    before = sizes.select("_cell", (F.sum("_n").over(upto) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_cell").orderBy(*order))
+    return dealt.withColumn("_own", own).join(before, "_cell").withColumn(name, F.col("_own") + F.col("_before")).drop("_cell", "_own", "_before")
+
+
 def number_sites(site: DataFrame) -> DataFrame:
     """Adds `ordinal`: 1, 2, … per caller by file, line, column and target."""
-    order = Window.partitionBy("caller").orderBy("file", "line", "col", "declared_target", "site_id")
-    return site.withColumn("ordinal", F.row_number().over(order))
+    lines = [F.col("file"), F.floor(F.col("line") / BUCKET_LINES)]
+    out = numbered(site, ["caller"], lines, ["line", "col", "declared_target", "site_id"], "ordinal")
+    return out.withColumn("ordinal", F.col("ordinal").cast("int"))
+
+
+def _offsets(counts: DataFrame, key: str) -> DataFrame:
+    """key, n → key, offset: the sum of n over smaller keys. Keys are dealt by range and written; a task sums its own
+    range, and a running sum over one row per task gives where it starts."""
+    ranged = checkpointed(counts.repartitionByRange(key).withColumn("part", F.spark_partition_id()))
+    tasks = ranged.groupBy("part").agg(F.sum("n").alias("task_n"))
+    starts = tasks.select("part", (F.sum("task_n").over(Window.orderBy("part")) - F.col("task_n")).alias("start"))
+    own = F.sum("n").over(Window.partitionBy("part").orderBy(key)) - F.col("n")
+    return ranged.withColumn("own", own).join(F.broadcast(starts), "part").select(key, (F.col("own") + F.col("start")).alias("offset"))
 
 
 def assign_ids(df: DataFrame, base: int, file: str, order: list[str], name: str = "new_id") -> DataFrame:
-    """Consecutive ids from base + 1 by file, then by `order`. Rows are numbered within their file; a file's offset is a
-    running sum over the files alone, which a window of one row per file gives."""
-    counts = df.groupBy(file).agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select(file, (F.sum("n").over(Window.orderBy(file)) - F.col("n")).alias("offset"))
-    own = F.row_number().over(Window.partitionBy(file).orderBy(*order))
-    return df.withColumn("own", own).join(offsets, file).withColumn(name, F.col("own") + F.col("offset") + base).drop("own", "offset")
+    """Consecutive ids from base + 1 by file, then by `order`, whose first column is a line number. Rows are numbered
+    within their file, and a file's offset is added."""
+    offsets = _offsets(df.groupBy(file).agg(F.count(F.lit(1)).alias("n")), file)
+    own = numbered(df, [file], [F.floor(F.col(order[0]) / BUCKET_LINES)], order, "own")
+    return own.join(offsets, file).withColumn(name, F.col("own") + F.col("offset") + base).drop("own", "offset")
 
 
 def edges_without_occurrence(edges: DataFrame, occ: DataFrame) -> DataFrame:

@@ -35,16 +35,19 @@ def notification_counts(messages: DataFrame) -> DataFrame:
 
 
 SYNC = ("didOpen", "didChange", "didSave", "didClose")
+#: Methods that a step lists one by one (fixed values).
+SYNC_METHODS = (*[f"textDocument/{s}" for s in SYNC], "workspace/didChangeWatchedFiles")
 
 
 def document_sync_pivot(messages: DataFrame) -> DataFrame:
-    """uri with its counts of each document-sync notification."""
+    """uri with its counts of each document-sync notification of the client."""
     short = F.element_at(F.split("method", "/"), -1)
-    return messages.withColumn("what", short).where(F.col("what").isin(*SYNC)).groupBy("uri").agg(*[F.count_if(F.col("what") == s).alias(s) for s in SYNC])
+    return messages.where("sender = 'client'").withColumn("what", short).where(F.col("what").isin(*SYNC)).groupBy("uri").agg(*[F.count_if(F.col("what") == s).alias(s) for s in SYNC])
 
 
 def answers_by_method(exchanges: DataFrame) -> DataFrame:
-    """method, answers: its distinct answers in the order in which they were first seen."""
+    """method, answers: its distinct answers in the order in which they were first seen. A report's list, one row per
+    method; `first_answers` gives the same with a row for each answer."""
     first = exchanges.where("answer IS NOT NULL").groupBy("method", "answer").agg(F.min("pos").alias("pos"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "answer")))
     return first.groupBy("method").agg(F.transform(ordered, lambda x: x["answer"]).alias("answers"))
@@ -75,12 +78,19 @@ def assign_step(messages: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def step_summary(messages: DataFrame, marks: DataFrame) -> DataFrame:
-    """step with requests and notifications: distinct methods in first-seen order, or `none`."""
-    first = assign_step(messages, marks).where("kind IN ('request', 'notification')").groupBy("step", "kind", "method").agg(F.min("pos").alias("pos"))
-    names = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("pos", "method")))), lambda x: x["method"])
-    per = first.groupBy("step").agg(names("request").alias("r"), names("notification").alias("n"))
-    said = lambda c: F.when(F.coalesce(F.size(c), F.lit(0)) > 0, F.array_join(c, ", ")).otherwise("none")
-    return marks.select("step").distinct().join(per, "step", "left").select("step", said("r").alias("requests"), said("n").alias("notifications"))
+    """step with sync, requests and notifications of the client, for `startup` and each mark. sync: document-sync
+    notifications with their uri, in order; the others: distinct methods in first-seen order. Each is `none` where empty.
+    A step's text is as long as its sync notifications, which the report lists one by one."""
+    short = F.element_at(F.split("method", "/"), -1)
+    said = F.when(F.col("method").isin(*SYNC_METHODS), "sync").when(F.col("kind").isin("request", "notification"), F.col("kind"))
+    own = assign_step(messages.where("sender = 'client'"), marks).withColumn("what", said).where("what IS NOT NULL")
+    sync = own.where("what = 'sync'").select("step", "what", F.concat_ws(" ", short, F.coalesce("uri", F.lit("?"))).alias("item"), "pos")
+    other = own.where("what <> 'sync'").groupBy("step", "what", F.col("method").alias("item")).agg(F.min("pos").alias("pos"))
+    listed = sync.unionByName(other).groupBy("step", "what").agg(F.array_sort(F.collect_list(F.struct("pos", "item"))).alias("items"))
+    text = F.array_join(F.transform("items", lambda x: x["item"]), ", ")
+    per = listed.groupBy("step").agg(*[F.max(F.when(F.col("what") == w, text)).alias(c) for w, c in (("sync", "sync"), ("request", "requests"), ("notification", "notifications"))])
+    steps = marks.select("step").union(marks.sparkSession.range(1).select(F.lit("startup"))).distinct()
+    return steps.join(per, "step", "left").select("step", *[F.coalesce(c, F.lit("none")).alias(c) for c in ("sync", "requests", "notifications")])
 
 
 def gap_verdicts(exchanges: DataFrame) -> DataFrame:
@@ -91,5 +101,11 @@ def gap_verdicts(exchanges: DataFrame) -> DataFrame:
     return n.select("method", F.when(F.col("answered") == 0, "NOT OBSERVED").when(F.col("answered") == F.col("unknown"), "CONFIRMED").otherwise("REFUTED").alias("verdict"))
 
 
+def lifecycle_events(events: DataFrame) -> DataFrame:
+    """ts_ms, event, value of the starts, ends of streams, exits and malformed streams of a session, to be read in the
+    order of ts_ms."""
+    return events.where(F.col("event").isin("start", "eof", "exit", "malformed")).select("ts_ms", "event", "value")
+
+
 def session_summary(messages: DataFrame) -> DataFrame:
     return messages.groupBy("sender").agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("kind") == "request").alias("requests"), F.sum("bytes").alias("bytes"))

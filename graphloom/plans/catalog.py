@@ -119,6 +119,23 @@ EXCHANGES = """SELECT q.sender, q.id, q.method, q.pos, q.ts_ms, a.pos AS answer_
 STEPPED = "SELECT m.*, coalesce(b.step, 'startup') AS step FROM {log_message} m LEFT JOIN (SELECT step, ts_ms AS from_ms, lead(ts_ms, 1, 9223372036854775807) OVER (ORDER BY ts_ms, step) AS end_ms FROM {mark}) b ON m.ts_ms >= b.from_ms AND m.ts_ms < b.end_ms"
 
 
+def synced(r):
+    """Sync messages by document; every third comes from the server and doesn't count."""
+    short = F.when(F.col("event_type") == "signup", "didOpen").when(F.col("event_type") == "view", "didChange").when(F.col("event_type") == "error", "didClose").otherwise("hover")
+    sender = F.when(F.col("event_id") % 3 == 0, "server").otherwise("client")
+    return r("events").select(F.concat(F.lit("file:///u"), "user_id").alias("uri"), F.concat(F.lit("textDocument/"), short).alias("method"), sender.alias("sender"))
+
+
+def stepped_messages(r):
+    """Log messages with the document that they are about; those of method m3 open it."""
+    opened = F.col("method").endswith("m3")
+    return r("log_message").withColumn("uri", F.concat(F.lit("u"), F.col("pos") % 3)).withColumn("method", F.when(opened, "textDocument/didOpen").otherwise(F.col("method")))
+
+
+STEP_MESSAGES = f"""SELECT step, pos, kind, concat('u', pos % 3) AS uri, method LIKE '%/m3' AS sync,
+  CASE WHEN method LIKE '%/m3' THEN 'textDocument/didOpen' ELSE method END AS method FROM ({STEPPED}) WHERE sender = 'client'"""
+
+
 def edges(r):
     return gv.call_edges(r("call_site"), r("call_target"), r("symbol"))
 
@@ -199,12 +216,12 @@ ENTRIES = {
     "unresolved_rate": (lambda r: by_module(r).select("language", "package", "module", res.unresolved_rate(F.col("call_sites"), F.col("unresolved")).alias("rate")), f"SELECT language, package, module, unresolved / call_sites AS rate FROM ({BY_MODULE})"),
     "order_report": (lambda r: res.order_report(by_module(r)), f"SELECT * FROM ({BY_MODULE}) ORDER BY language NULLS LAST, package NULLS LAST, module NULLS FIRST"),
     "edge_counts": (lambda r: res.edge_counts(r("run"), r("run_file")), "SELECT provider, path, CAST(sum(edge_count) AS BIGINT) AS edge_count FROM {run_file} JOIN {run} USING (run_id) GROUP BY provider, path"),
-    "run_file_counts": (lambda r: res.run_file_counts(r("file"), r("call_site").where("col > 40")), "SELECT f.path, count(s.site_id) AS edge_count FROM {file} f LEFT JOIN {call_site} s ON s.file = f.path AND s.col > 40 GROUP BY f.path"),
+    "run_file_counts": (lambda r: res.run_file_counts(r("file"), r("call_site")), "SELECT f.path, count(s.site_id) AS edge_count FROM {file} f LEFT JOIN {call_site} s ON s.file = f.path GROUP BY f.path"),
     "run_edges_per_file": (lambda r: res.run_edges_per_file(r("file").select(F.lit(1).alias("run_id"), "path"), 1, r("call_site"), r("call_target").where("method = 'declared'"), 1), "SELECT path, (SELECT count(*) FROM {call_target} t JOIN {call_site} s ON s.site_id = t.site_id WHERE s.file = f.path AND s.run_id = 1 AND t.method = 'declared') AS edge_count FROM {file} f"),
     "inherit_source_tree": (lambda r: res.inherit_source_tree(r("run").select("run_id", "provider", F.concat(F.lit("tree"), "run_id").alias("source_tree")), 1998, 1996), "SELECT run_id, provider, CASE WHEN run_id = 1998 THEN 'tree1996' ELSE concat('tree', run_id) END AS source_tree FROM {run}"),
     "unresolved_by_module": (lambda r: res.unresolved_by_module(r("call_site"), r("call_target"), r("symbol")), f"SELECT m.module, count(s.site_id) FILTER (WHERE NOT resolved) AS unresolved, count(s.site_id) AS call_sites FROM (SELECT DISTINCT module FROM {{symbol}} WHERE module IS NOT NULL) m LEFT JOIN (SELECT y.module, s.site_id, {RESOLVED} AS resolved FROM {{call_site}} s JOIN {{symbol}} y ON y.id = s.caller) s ON s.module = m.module GROUP BY m.module"),
     # Drops and differences
-    "is_drop": (lambda r: year(r, 1996).select("path", reg.is_drop(F.col("edge_count") - 40, F.col("edge_count") % 30).alias("dropped")), "SELECT path, CASE WHEN edge_count - 40 <= 0 THEN FALSE WHEN edge_count % 30 <= 0 THEN TRUE ELSE (edge_count - 40 - edge_count % 30) * 100 > (edge_count - 40) * 50 END AS dropped FROM {edges_by_year} WHERE generation = 1996"),
+    "is_drop": (lambda r: r("edges_by_year").select("generation", "path", reg.is_drop(F.col("edge_count") - 40, F.col("edge_count") % 30).alias("dropped")), "SELECT generation, path, CASE WHEN edge_count - 40 <= 0 THEN FALSE WHEN edge_count % 30 <= 0 THEN TRUE ELSE (edge_count - 40 - edge_count % 30) * 100 > (edge_count - 40) * 50 END AS dropped FROM {edges_by_year}"),
     "edge_regressions": (drops, DROPS),
     "edge_diff": (diffs, DIFFS),
     "previous_generation": (lambda r: reg.previous_generation(gens(r)), f"SELECT n, complete, max(CASE WHEN complete THEN n END) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM ({GENS})"),
@@ -245,7 +262,7 @@ ENTRIES = {
     "name_collisions": (lambda r: nam.name_collisions(r("symbol").select(F.col("id").alias("symbol"), "name")), "SELECT name, list_sort(list(DISTINCT id)) AS symbols FROM {symbol} GROUP BY name HAVING count(DISTINCT id) > 1"),
     "unique_names": (lambda r: nam.unique_names(r("symbol").select(F.col("id").alias("symbol"), "name")), "SELECT name, min(id) AS symbol FROM {symbol} GROUP BY name HAVING count(DISTINCT id) = 1"),
     "union_symbols": (lambda r: nam.union_symbols(r("symbol").select(F.col("id").alias("symbol")), r("call_target").select(F.col("target").alias("symbol"))), "SELECT id AS symbol FROM {symbol} UNION SELECT target FROM {call_target}"),
-    "merge_definitions": (lambda r: nam.merge_definitions(r("occurrence").where("line % 2 = 0").select("symbol", "pos", "path", F.when(F.col("character") > 10, F.col("kind")).alias("kind")), r("occurrence").where("roles = 1").select("symbol", "pos", "path", F.col("line").alias("start_line"), (F.col("line") + 2).alias("end_line"))), """SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(b.path, a.info_file) AS file, a.kind, b.line + 1 AS start_line, b.line + 3 AS end_line FROM (SELECT symbol, arg_min(path, pos) AS info_file, arg_min(CASE WHEN character > 10 THEN kind END, CASE WHEN character > 10 THEN pos END) AS kind FROM {occurrence} WHERE line % 2 = 0 GROUP BY symbol) a
+    "merge_definitions": (lambda r: nam.merge_definitions(r("occurrence").select("symbol", "pos", "path", F.when(F.col("character") > 10, F.col("kind")).alias("kind")), r("occurrence").where("roles = 1").select("symbol", "pos", "path", F.col("line").alias("start_line"), (F.col("line") + 2).alias("end_line"))), """SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(b.path, a.info_file) AS file, a.kind, b.line + 1 AS start_line, b.line + 3 AS end_line FROM (SELECT symbol, arg_min(path, pos) AS info_file, arg_min(CASE WHEN character > 10 THEN kind END, CASE WHEN character > 10 THEN pos END) AS kind FROM {occurrence} GROUP BY symbol) a
       FULL JOIN (SELECT symbol, arg_min(path, pos) AS path, arg_min(line, pos) AS line FROM {occurrence} WHERE roles = 1 GROUP BY symbol) b ON a.symbol = b.symbol"""),
     "is_external": (lambda r: nam.is_external(r("part").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.col("p_type").alias("manager"), F.col("p_brand").alias("package")), r("part").where("p_size < 4").select(F.col("p_type").alias("manager"), F.col("p_brand").alias("package"))).select("id", "external"), "SELECT concat('part:', p_partkey) AS id, NOT EXISTS (SELECT 1 FROM {part} q WHERE q.p_size < 4 AND q.p_type = p.p_type AND q.p_brand = p.p_brand) AS external FROM {part} p"),
     "case_fold_suffixes": (lambda r: nam.case_fold_suffixes(dir_entries(r)), None),
@@ -275,6 +292,10 @@ ENTRIES = {
     "list_call_targets": (lambda r: exp.list_call_targets(r("call_site"), r("call_target"), r("symbol")), "SELECT t.site_id, s.file, s.line, a.name AS caller_name, b.name AS target_name, t.method, t.candidates FROM (SELECT *, count(*) OVER (PARTITION BY site_id, method) AS candidates FROM {call_target}) t JOIN {call_site} s ON s.site_id = t.site_id JOIN {symbol} a ON a.id = s.caller JOIN {symbol} b ON b.id = t.target"),
     "implementers": (lambda r: exp.implementers(r("part").select(F.concat(F.lit("part:"), "p_partkey").alias("symbol"), F.array(F.struct(F.col("p_type").alias("symbol"), (F.col("p_size") > 25).alias("is_implementation")), F.struct(F.col("p_brand").alias("symbol"), F.lit(False).alias("is_implementation"))).alias("relationships"))), "SELECT concat('part:', p_partkey) AS symbol, p_type AS implemented FROM {part} WHERE p_size > 25"),
     "calls_reach": (lambda r: exp.calls_reach(r("call_site").select("file", "line", F.col("declared_target").alias("callee"), F.when(F.col("ref_kind") == "call", "function").otherwise("module").alias("callee_kind"))), "SELECT file, line, list_sort(list(DISTINCT declared_target)) AS callees FROM {call_site} WHERE ref_kind = 'call' GROUP BY file, line"),
+    "has_edge": (
+        lambda r: exp.has_edge(r("call_site").select("file", "line", F.col("declared_target").alias("callee")), r("call_site").select("site_id", "file", "line", F.concat(F.lit("part:"), F.expr("site_id % 50")).alias("callee"))).select("site_id", "found"),
+        "SELECT site_id, (file, line, concat('part:', site_id % 50)) IN (SELECT (file, line, declared_target) FROM {call_site}) AS found FROM {call_site}",
+    ),
     "module_loads": (lambda r: exp.module_loads(r("call_site").select("file", "line", F.col("declared_target").alias("callee"), F.when(F.col("ref_kind") == "call", "function").otherwise("module").alias("callee_kind"))), "SELECT DISTINCT file, line, declared_target AS callee FROM {call_site} WHERE ref_kind <> 'call'"),
     "ingest_summary": (lambda r: exp.ingest_summary(r("file"), r("symbol"), r("call_site"), reasons(r).where("reason IS NOT NULL AND reason <> 'definition'"), nam.name_collisions(r("symbol").select(F.col("id").alias("symbol"), "name"))), f"SELECT (SELECT count(*) FROM {{file}}) AS files, (SELECT count(*) FROM {{symbol}}) AS symbols, (SELECT count(*) FROM {{call_site}}) AS call_sites, (SELECT count(*) FROM ({REASON}) WHERE reason IS NOT NULL AND reason <> 'definition') AS skipped, (SELECT count(*) FROM (SELECT name FROM {{symbol}} GROUP BY name HAVING count(DISTINCT id) > 1)) AS collisions"),
     # Checks
@@ -324,13 +345,23 @@ ENTRIES = {
     "pair_requests": (exchanges, EXCHANGES),
     "latency_stats": (lambda r: ses.latency_stats(exchanges(r)), f"SELECT method, count(*) AS answered, min(latency_ms) AS least, list_sort(list(latency_ms))[count(*) // 2 + 1] AS median, max(latency_ms) AS most FROM ({EXCHANGES}) WHERE latency_ms IS NOT NULL GROUP BY method"),
     "notification_counts": (lambda r: ses.notification_counts(r("log_message")), "SELECT sender, method, count(*) AS n FROM {log_message} WHERE kind = 'notification' GROUP BY sender, method"),
-    "document_sync_pivot": (lambda r: ses.document_sync_pivot(r("events").select(F.concat(F.lit("file:///u"), "user_id").alias("uri"), F.concat(F.lit("textDocument/"), F.when(F.col("event_type") == "signup", "didOpen").when(F.col("event_type") == "view", "didChange").when(F.col("event_type") == "error", "didClose").otherwise("hover")).alias("method"))), "SELECT concat('file:///u', user_id) AS uri, count(*) FILTER (WHERE event_type = 'signup') AS \"didOpen\", count(*) FILTER (WHERE event_type = 'view') AS \"didChange\", CAST(0 AS BIGINT) AS \"didSave\", count(*) FILTER (WHERE event_type = 'error') AS \"didClose\" FROM {events} WHERE event_type IN ('signup', 'view', 'error') GROUP BY user_id"),
-    "answers_by_method": (lambda r: ses.answers_by_method(exchanges(r).withColumn("answer", F.substring("answer", 1, 2))), f"SELECT method, list(answer ORDER BY pos) AS answers FROM (SELECT method, substr(answer, 1, 2) AS answer, min(pos) AS pos FROM ({EXCHANGES}) WHERE answer IS NOT NULL GROUP BY ALL) GROUP BY method"),
+    "document_sync_pivot": (
+        lambda r: ses.document_sync_pivot(synced(r)),
+        """SELECT concat('file:///u', user_id) AS uri, count(*) FILTER (WHERE event_type = 'signup') AS "didOpen", count(*) FILTER (WHERE event_type = 'view') AS "didChange", CAST(0 AS BIGINT) AS "didSave",
+             count(*) FILTER (WHERE event_type = 'error') AS "didClose" FROM {events} WHERE event_type IN ('signup', 'view', 'error') AND event_id % 3 <> 0 GROUP BY user_id""",
+    ),
+    "answers_by_method": (lambda r: ses.answers_by_method(exchanges(r)), f"SELECT method, list(answer ORDER BY pos) AS answers FROM (SELECT method, answer, min(pos) AS pos FROM ({EXCHANGES}) WHERE answer IS NOT NULL GROUP BY ALL) GROUP BY method"),
     "first_answers": (lambda r: ses.first_answers(exchanges(r)), f"SELECT method, answer, min(pos) AS pos FROM ({EXCHANGES}) WHERE answer IS NOT NULL GROUP BY method, answer"),
     "step_bounds": (lambda r: ses.step_bounds(r("mark")), "SELECT ts_ms, step, lead(ts_ms, 1, 9223372036854775807) OVER (ORDER BY ts_ms, step) AS end_ms FROM {mark}"),
     "assign_step": (lambda r: ses.assign_step(r("log_message"), r("mark")).select("pos", "step"), f"SELECT pos, step FROM ({STEPPED})"),
-    "step_summary": (lambda r: ses.step_summary(r("log_message"), r("mark")), f"""SELECT m.step, coalesce((SELECT string_agg(method, ', ' ORDER BY pos) FROM (SELECT step, method, min(pos) AS pos FROM ({STEPPED}) WHERE kind = 'request' GROUP BY step, method) x WHERE x.step = m.step), 'none') AS requests,
-      coalesce((SELECT string_agg(method, ', ' ORDER BY pos) FROM (SELECT step, method, min(pos) AS pos FROM ({STEPPED}) WHERE kind = 'notification' GROUP BY step, method) x WHERE x.step = m.step), 'none') AS notifications FROM (SELECT DISTINCT step FROM {{mark}}) m"""),
+    "step_summary": (
+        lambda r: ses.step_summary(stepped_messages(r), r("mark")),
+        f"""SELECT m.step,
+             coalesce((SELECT string_agg(concat(replace(method, 'textDocument/', ''), ' ', uri), ', ' ORDER BY pos) FROM ({STEP_MESSAGES}) x WHERE x.step = m.step AND sync), 'none') AS sync,
+             coalesce((SELECT string_agg(method, ', ' ORDER BY pos) FROM (SELECT step, method, min(pos) AS pos FROM ({STEP_MESSAGES}) WHERE NOT sync AND kind = 'request' GROUP BY step, method) x WHERE x.step = m.step), 'none') AS requests,
+             coalesce((SELECT string_agg(method, ', ' ORDER BY pos) FROM (SELECT step, method, min(pos) AS pos FROM ({STEP_MESSAGES}) WHERE NOT sync AND kind = 'notification' GROUP BY step, method) x WHERE x.step = m.step), 'none') AS notifications
+           FROM (SELECT step FROM {{mark}} UNION SELECT 'startup') m""",
+    ),
     "gap_verdicts": (lambda r: ses.gap_verdicts(exchanges(r).withColumn("answer", F.when(F.col("method").endswith("m1"), "error -32601").when(~F.col("method").endswith("m2"), F.col("answer")))), f"SELECT method, CASE WHEN method LIKE '%m2' THEN 'NOT OBSERVED' WHEN method LIKE '%m1' THEN 'CONFIRMED' WHEN count(answer) = 0 THEN 'NOT OBSERVED' ELSE 'REFUTED' END AS verdict FROM ({EXCHANGES}) GROUP BY method"),
     "session_summary": (lambda r: ses.session_summary(r("log_message")), "SELECT sender, count(*) AS messages, count(*) FILTER (WHERE kind = 'request') AS requests, CAST(sum(bytes) AS BIGINT) AS bytes FROM {log_message} GROUP BY sender"),
     # Facets
@@ -342,7 +373,7 @@ ENTRIES = {
     # Graph views and tags
     "derive_facets": (lambda r: gv.derive_facets(r("file"), r("symbol"), r("call_site")), "SELECT * FROM (SELECT concat('file:', path) AS item, 'lang' AS key, language AS value FROM {file} UNION ALL SELECT concat('file:', path), 'dir', 'src' FROM {file} UNION ALL SELECT concat('sym:', id), 'kind', kind FROM {symbol} UNION ALL SELECT concat('sym:', id), 'module', module FROM {symbol} UNION ALL SELECT concat('sym:', id), 'file', file FROM {symbol} UNION ALL SELECT concat('site:', site_id), 'caller', caller FROM {call_site} UNION ALL SELECT concat('site:', site_id), 'target', declared_target FROM {call_site} UNION ALL SELECT concat('site:', site_id), 'dispatch', dispatch FROM {call_site}) WHERE value IS NOT NULL"),
     "module_edges": (graph, GRAPH),
-    "module_drilldown": (lambda r: gv.module_drilldown(edges(r).where("to_module < 'parts.Brand#15'"), "parts.Brand#1"), f"SELECT CASE WHEN from_module = 'parts.Brand#1' THEN caller ELSE from_module END AS source, CASE WHEN to_module = 'parts.Brand#1' THEN target ELSE to_module END AS sink, count(DISTINCT site_id) AS calls, bool_and(method = 'lsp-impl') AS expansion_only FROM ({EDGES}) WHERE to_module < 'parts.Brand#15' AND (from_module = 'parts.Brand#1' OR to_module = 'parts.Brand#1') GROUP BY ALL"),
+    "module_drilldown": (lambda r: gv.module_drilldown(edges(r), "parts.Brand#1"), f"SELECT CASE WHEN from_module = 'parts.Brand#1' THEN caller ELSE from_module END AS source, CASE WHEN to_module = 'parts.Brand#1' THEN target ELSE to_module END AS sink, count(DISTINCT site_id) AS calls, bool_and(method = 'lsp-impl') AS expansion_only FROM ({EDGES}) WHERE from_module = 'parts.Brand#1' OR to_module = 'parts.Brand#1' GROUP BY ALL"),
     "collapse_modules": (lambda r: gv.collapse_modules(graph(r), 1), f"SELECT string_split(from_module, '.')[1] AS from_module, string_split(to_module, '.')[1] AS to_module, CAST(sum(calls) AS BIGINT) AS calls FROM ({GRAPH}) GROUP BY 1, 2 HAVING string_split(from_module, '.')[1] <> string_split(to_module, '.')[1]".replace("GROUP BY 1, 2 HAVING string_split(from_module, '.')[1] <> string_split(to_module, '.')[1]", "WHERE string_split(from_module, '.')[1] <> string_split(to_module, '.')[1] GROUP BY 1, 2")),
     "result_set_callgraph": (lambda r: gv.result_set_callgraph(edges(r), fac.select_items(r("tag"), FLAG).select(F.col("item").alias("id"))), f"SELECT CASE WHEN c.item IS NOT NULL THEN caller ELSE from_module END AS source, CASE WHEN t.item IS NOT NULL THEN target ELSE to_module END AS sink, count(DISTINCT site_id) AS calls FROM ({EDGES}) e LEFT JOIN ({FLAG_SQL}) c ON c.item = caller LEFT JOIN ({FLAG_SQL}) t ON t.item = target WHERE c.item IS NOT NULL OR t.item IS NOT NULL GROUP BY ALL"),
     "heaviest_edges": (lambda r: gv.heaviest_edges(graph(r), 10), f"SELECT * FROM ({GRAPH}) ORDER BY calls DESC, from_module, to_module LIMIT 10"),

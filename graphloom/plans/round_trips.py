@@ -37,11 +37,11 @@ def jsonl(r):
 
 
 def call_graph(r):
-    """One graph per customer nation: functions are orders, calls are lines of orders."""
-    o = r("orders").join(r("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").where("c_nationkey < 5")
+    """One graph per customer: functions are orders, calls are lines of orders."""
+    o = r("orders").select("o_custkey", "o_orderkey")
     place = F.concat_ws(":", F.lit("0"), *[F.col("o_orderkey") % k + 1 for k in (97, 31, 89, 29)])
-    graphs = o.groupBy("c_nationkey").agg(F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), place))).alias("functions"), F.collect_list(F.array("o_orderkey", "o_orderkey")).alias("call2fun"))
-    rows = graphs.select(F.to_json(F.struct(F.array(F.concat(F.lit("n"), "c_nationkey")).alias("files"), "functions", F.col("functions").alias("calls"), "call2fun")).alias("value"))
+    graphs = o.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct(F.col("o_orderkey").cast("string"), place))).alias("functions"), F.collect_list(F.array("o_orderkey", "o_orderkey")).alias("call2fun"))
+    rows = graphs.select(F.to_json(F.struct(F.array(F.concat(F.lit("c"), "o_custkey")).alias("files"), "functions", F.col("functions").alias("calls"), "call2fun")).alias("value"))
     got = readers.read_call_graph_maps(rows)
     return got["functions"].select("path", "id", "is_module", "start_line", "start_character")
 
@@ -65,7 +65,7 @@ def session_log(r):
 
 def baseline(r):
     to = folder(r, "baseline")
-    snapshots.write_text(readers.edge_baseline_text(r("edges_by_year").where("generation = 1997").select("provider", "path", "edge_count")), to)
+    snapshots.write_text(readers.edge_baseline_text(r("edges_by_year").select(F.concat_ws("@", "provider", "generation").alias("provider"), "path", "edge_count")), to)
     return readers.read_edge_baseline(r("region").sparkSession.read.text(to, wholetext=True))
 
 
@@ -125,10 +125,10 @@ def guard_stream(r):
 ENTRIES = {
     "flatten_index": (flatten_index, "SELECT concat('src/', path) AS path, CAST(row_number() OVER (PARTITION BY path ORDER BY pos) - 1 AS INT) AS pos, symbol, line, roles FROM {occurrence}"),
     "read_jsonl_strict": (jsonl, "SELECT site_id, caller, line FROM {call_site}"),
-    "read_call_graph_maps": (call_graph, "SELECT concat('n', c_nationkey) AS path, o_orderkey AS id, o_orderkey = max(o_orderkey) OVER (PARTITION BY c_nationkey) AS is_module, CAST(o_orderkey % 97 AS INT) AS start_line, CAST(o_orderkey % 31 AS INT) AS start_character FROM {orders} JOIN {customer} ON c_custkey = o_custkey WHERE c_nationkey < 5"),
+    "read_call_graph_maps": (call_graph, "SELECT concat('c', o_custkey) AS path, o_orderkey AS id, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_custkey) AS is_module, CAST(o_orderkey % 97 AS INT) AS start_line, CAST(o_orderkey % 31 AS INT) AS start_character FROM {orders}"),
     "read_call_graph_maps_of_all": (call_graph_of_all, "SELECT concat('b', o_orderkey // 256) AS path, o_orderkey AS id, o_orderkey = max(o_orderkey) OVER (PARTITION BY o_orderkey // 256) AS is_module, CAST(o_orderkey % 97 AS INT) AS start_line, CAST(o_orderkey % 31 AS INT) AS start_character FROM {orders}"),
     "read_session_log": (session_log, "SELECT ts_ms, sender, kind, method, concat('\"', id, '\"') AS id, bytes FROM {log_message}"),
-    "edge_baseline": (baseline, "SELECT provider, path, edge_count FROM {edges_by_year} WHERE generation = 1997"),
+    "edge_baseline": (baseline, "SELECT concat(provider, '@', generation) AS provider, path, edge_count FROM {edges_by_year}"),
     "file_table": (files, "SELECT n_regionkey AS region, 'text' AS language, concat('sha256:', sha256(s)) AS content_hash, CAST(length(s) AS BIGINT) AS size FROM (SELECT n_regionkey, concat(string_agg(n_name, chr(10) ORDER BY n_name), chr(10)) AS s FROM {nation} GROUP BY n_regionkey)"),
     "publish_generation": (generation, "SELECT t.site_id, t.target, t.method, s.file FROM {call_target} t JOIN {call_site} s ON s.site_id = t.site_id"),
     "write_call_targets": (appended_targets, "SELECT CAST(CASE WHEN method = 'declared' THEN 1 ELSE 2 END AS INT) AS run_id, count(*) AS targets FROM {call_target} GROUP BY 1"),

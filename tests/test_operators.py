@@ -204,7 +204,21 @@ def test_sessions(spark):
     assert rows(ses.answers_by_method(pairs)) == [("a", ["x", "w"]), ("b", ["y"])]
     marks = spark.createDataFrame([(15, "one"), (35, "two"), (900, "none")], "ts_ms long, step string")
     assert dict(rows(ses.assign_step(m, marks), "pos", "step")) == {1: "startup", 2: "one", 3: "one", 4: "one", 5: "one", 6: "one", 7: "two", 8: "two"}
-    assert rows(ses.step_summary(m, marks)) == [("none", "none", "none"), ("one", "a, b", "none"), ("two", "a", "none")]
+    opened = spark.createDataFrame([(n, ts, sender, "notification", "textDocument/didOpen", uri) for n, ts, sender, uri in ((9, 42, "client", "y"), (10, 41, "client", "x"), (11, 43, "server", "z"))], "pos long, ts_ms long, sender string, kind string, method string, uri string")
+    said = m.unionByName(opened, allowMissingColumns=True)
+    assert rows(ses.step_summary(said, marks)) == [("none", "none", "none", "none"), ("one", "none", "a", "none"), ("startup", "none", "a", "none"), ("two", "didOpen y, didOpen x", "a", "none")]
+    assert rows(ses.document_sync_pivot(said), "uri", "didOpen") == [("x", 1), ("y", 1)]
+    life = spark.createDataFrame([(1, "start", "{}"), (2, "exit", "{}"), (3, "note", "{}")], "ts_ms long, event string, value string")
+    assert rows(ses.lifecycle_events(life), "event") == [("exit",), ("start",)]
+
+
+def test_numbers_of_huge_keys(spark):
+    sites = spark.range(3000).selectExpr("id AS site_id", "if(id % 7 = 0, 'b', 'a') AS caller", "if(id % 2 = 0, 'y', 'x') AS file", "cast(id * 37 % 1000 AS int) AS line", "cast(id % 5 AS int) AS col", "'t' AS declared_target")
+    made = [(r["caller"], r["file"], r["line"], r["col"], r["site_id"], r["ordinal"]) for r in att.number_sites(sites).collect()]
+    for caller in "ab":
+        assert [r[-1] for r in sorted(r for r in made if r[0] == caller)] == list(range(1, 1 + sum(r[0] == caller for r in made)))
+    ids = sorted((r["file"], r["line"], r["col"], r["site_id"], r["new_id"]) for r in att.assign_ids(sites, 10, "file", ["line", "col", "site_id"]).collect())
+    assert [r[-1] for r in ids] == list(range(11, 3011))
 
 
 def test_facets(spark):
