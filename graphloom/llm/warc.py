@@ -13,6 +13,8 @@ input are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import new_folder
 
 CRLF = "\r\n"
-#: A compressed archive file is read whole by one task; this bounds its records.
-RECORDS_PER_FILE = 20_000
+#: Records of an archive file. A task that reads one holds it compressed and inflates it piece by piece.
+RECORDS_PER_FILE = 4_000
+#: Bytes that are inflated at a time.
+PIECE = 1 << 20
 
 
 def headers(pages: DataFrame) -> DataFrame:
@@ -41,8 +45,9 @@ def resolve(heads: DataFrame, least_bytes: int = 1000) -> DataFrame:
     return large.join(first, "payload_digest").where(later).select("page_id", "payload_digest", "refers_to").dropDuplicates(["page_id", "payload_digest"])
 
 
-def record_id(page_id: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null"))))
+def record_id(page_id: Column, digest: Column) -> Column:
+    """An id of page and payload, so that a page's other payloads have their own and a revisit can name its response."""
+    h = F.md5(F.concat(F.lit("page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(":"), digest))
     cut = [F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
@@ -55,13 +60,13 @@ def record(date: str) -> Column:
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"))),
+        F.concat(F.lit("WARC-Record-ID: "), record_id(F.col("page_id"), F.col("payload_digest"))),
         F.lit(f"WARC-Date: {date}"),
         F.when(F.col("url").isNotNull(), F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", "[\\r\\n]", ""))),
         F.when(F.col("page_id").isNotNull(), F.concat(F.lit("X-Page-ID: "), F.col("page_id"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to"), F.col("payload_digest")))),
         F.when(revisit, F.concat(F.lit("X-Refers-To-Page: "), F.col("refers_to"))),
         F.when(revisit, F.lit(f"WARC-Refers-To-Date: {date}")),
         F.lit("Content-Type: application/http; msgtype=response"),
@@ -70,8 +75,10 @@ def record(date: str) -> Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), block)
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, date: str = "2025-01-01T00:00:00Z") -> None:
-    """Writes one record per row to gzip archives under `folder`. Payloads are shuffled once, by page."""
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, date: str | None = None) -> None:
+    """Writes one record per row to gzip archives under `folder`, dated `date` (now, unless told). Payloads are shuffled
+    once, by page."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     heads = headers(pages)
     found = resolve(heads, least_bytes).select(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d"), "refers_to")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
@@ -81,18 +88,46 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, date:
     rows.select(record(date).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
 
 
-def records(raw: bytes):
-    """(headers, block) of each record of an archive's bytes. Blocks are taken by length, never by their content."""
-    at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode("utf-8", "replace").split(CRLF)
+def inflated(content) -> Iterator[bytes]:
+    """An archive's bytes in pieces of at most PIECE; members of a gzip file follow one another."""
+    left = memoryview(content)
+    while len(left):
+        stream = zlib.decompressobj(47)
+        while not stream.eof:
+            piece = stream.decompress(left[:PIECE], PIECE)
+            taken = len(left[:PIECE]) - len(stream.unconsumed_tail) - len(stream.unused_data)
+            if not piece and not taken:
+                raise ValueError("an archive ends within its compressed data")
+            left = left[taken:]
+            yield piece
+
+
+def records(pieces: Iterable[bytes]) -> Iterator[tuple[dict, bytes]]:
+    """(headers, block) of each record of an archive that comes in pieces; one record and one piece are held. Blocks are
+    taken by length, never by their content."""
+    held, more = bytearray(), iter(pieces)
+
+    def reach(n: int) -> bool:
+        while len(held) < n:
+            if (piece := next(more, None)) is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while reach(1):
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not reach(len(held) + 1):
+                raise ValueError("an archive ends within a record's headers")
+        lines = held[:end].decode("utf-8", "replace").split(CRLF)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record begins with {lines[0][:40]!r}")
         head = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
-        size = int(head["content-length"])
-        yield head, raw[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+        stop = end + 4 + int(head["content-length"])
+        if not reach(stop):
+            raise ValueError("an archive ends within a record")
+        yield head, bytes(held[end + 4 : stop])
+        reach(stop + 4)
+        del held[: stop + 4]
 
 
 def read_archives(spark, folder: str) -> DataFrame:
@@ -108,7 +143,7 @@ def read_archives(spark, folder: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 rows, held = [], 0
-                for head, block in records(zlib.decompress(content.as_buffer(), 47)):
+                for head, block in records(inflated(content.as_buffer())):
                     top, _, payload = block.partition(b"\r\n\r\n")
                     revisit = head["warc-type"] == "revisit"
                     size = int(top.rpartition(b"Content-Length: ")[2]) if revisit else len(payload)

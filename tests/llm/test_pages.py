@@ -39,10 +39,25 @@ def test_warc_round_trip(spark, pages):
         want.append((r["page_id"], len(raw), sha1(raw).hexdigest(), "response" if to is None else "revisit", to, raw if to is None else None))
     assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in got), key=repr) == sorted(want, key=repr)
     raw = b"".join(gzip.open(f).read() for f in glob(folder.removeprefix("file://") + "/*.gz"))
-    heads = [h for h, _ in warc.records(raw)]
+    heads = [h for h, _ in warc.records([raw])]
     assert len(heads) == len(rows) and all(h["warc-record-id"].startswith("<urn:uuid:") for h in heads)
 
 
+def test_warc_records_in_pieces():
+    record = lambda n, body: b"WARC/1.1\r\nX: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (n, len(body), body)
+    bodies = [b"", b"\r\n\r\nWARC/1.1", bytes(3_000_000), b"end"]
+    raw = b"".join(record(n, b) for n, b in enumerate(bodies))
+    whole = gzip.compress(raw[:50]) + gzip.compress(raw[50:])
+    assert max(map(len, warc.inflated(whole))) <= warc.PIECE
+    for pieces in (warc.inflated(whole), [raw], (raw[i : i + 7] for i in range(0, len(raw), 7))):
+        assert [(h["x"], b) for h, b in warc.records(pieces)] == [(str(n), b) for n, b in enumerate(bodies)]
+    for cut in (3, len(raw) - 6):
+        with pytest.raises(ValueError):
+            list(warc.records([raw[:cut]]))
+    with pytest.raises(ValueError):
+        list(warc.inflated(whole[:-20]))
+
+
 def test_warc_of_nothing(spark, pages):
     folder = new_folder(spark, "warc")
     warc.write_archives(pages.limit(0), folder)
