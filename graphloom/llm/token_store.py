@@ -14,6 +14,7 @@ table gives an empty store; other columns of the input are ignored.
 from __future__ import annotations
 
 import struct
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,6 +26,10 @@ from graphloom.llm.tokens import WordEncoder, default_tokenizer, slices
 MARK = b"IDSHARD1"
 #: Keys in a part of the index, on average.
 PART_KEYS = 40_000
+#: Bytes of text to a shard; small inputs have a shard for each shuffle partition.
+SHARD_BYTES = 256 << 20
+#: An index of more parts than the first is read by the parts that are asked for, where these are at most the second.
+WHOLE_INDEX_PARTS, PRUNED_PARTS = 64, 1_000
 #: Bits per remaining key in each bit array of the cascade, and how many arrays there are.
 GAMMA, LEVELS = 2.0, 24
 
@@ -101,6 +106,8 @@ SLOT = np.dtype([("shard", "<i4"), ("offset", "<i8"), ("n", "<i8"), ("fp", "<u4"
 
 
 def build_part(kh: np.ndarray, fp: np.ndarray, shard, offset, n) -> bytes:
+    if len(np.unique(kh)) < len(kh):
+        raise ValueError("two keys of one part have the same 64-bit hash")
     ph = PerfectHash.build(kh)
     table = np.zeros(len(kh), SLOT)
     slot = ph.slot_of(kh)
@@ -135,6 +142,15 @@ class TokenStore:
         for s, _, n in shards:
             self.bases[s], total = total, total + n
 
+    def _index(self, keyed: DataFrame) -> DataFrame:
+        """The index, or of a large one the parts that a few keys need: its files are ranges of parts, so Parquet's
+        bounds leave out the rest."""
+        index = self.spark.read.schema("part int, blob binary").parquet(f"{self.folder}/index")
+        if self.n_parts <= WHOLE_INDEX_PARTS:
+            return index
+        parts = [r["part"] for r in keyed.select("part").distinct().limit(PRUNED_PARTS + 1).collect()]
+        return index.where(F.col("part").isin(parts)) if len(parts) <= PRUNED_PARTS else index
+
     def locate(self, keys: DataFrame) -> DataFrame:
         """keys (doc_id, nth) → doc_id, nth, shard (-1: not held), offset and n, in ids."""
 
@@ -148,8 +164,8 @@ class TokenStore:
             got = look_up(right["blob"].iloc[0], left["kh"].to_numpy().view(np.uint64), left["fp"].to_numpy().astype(np.int32).view(np.uint32))
             return left[["doc_id", "nth"]].assign(shard=got["shard"], offset=got["offset"], n=got["n"])
 
-        index = self.spark.read.schema("part int, blob binary").parquet(f"{self.folder}/index")
         keyed = _keyed(keys, self.n_parts)
+        index = self._index(keyed)
         # doc_id travels as text: pandas has no whole numbers beside nulls.
         keyed = keyed.withColumn("doc_id", F.col("doc_id").cast("string"))
         found = keyed.groupBy("part").cogroup(index.groupBy("part")).applyInPandas(run, "doc_id string, nth int, shard int, offset long, n long")
@@ -193,32 +209,38 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
     end = np.array([end_id], dtype).tobytes()
     if max(end) > 127:
         raise ValueError(f"end id {end_id} has a byte over 127")
-    n_shards = n_shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if n_shards is None:
+        n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > n_shards * SHARD_BYTES:
+            size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # the estimate may be far off; this is exact
+            n_shards = max(n_shards, -(-size // SHARD_BYTES))
 
     def encode(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder, offset, doc, nth, starts, sizes = WordEncoder.of(path), 0, [], [], [], []
+        encoder, offset, last, doc, nth, starts, sizes = WordEncoder.of(path), 0, None, [], array("i"), array("q"), array("q")
         for batch in batches:
             for part in slices(batch):
                 raw = encoder.ids(part["text"], dtype)
+                doc.append(part["doc_id"])
                 for d, ids in zip(part["doc_id"].to_pylist(), raw, strict=True):
-                    nth.append(nth[-1] + 1 if doc and doc[-1] == d else 0)
-                    doc.append(d)
+                    nth.append(nth[-1] + 1 if nth and last == d else 0)
+                    last = d
                     starts.append(offset)
                     sizes.append(len(ids) // width + 1)
                     offset += sizes[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["payload"])
-        if doc:
-            table = pa.table({"doc_id": pa.array(doc, pa.int64()), "nth": pa.array(nth, pa.int32()), "offset": pa.array(starts, pa.int64()), "n": pa.array(sizes, pa.int64())})
+        if nth:
+            table = pa.table({"doc_id": pa.chunked_array(doc, pa.int64()), "nth": pa.array(nth, pa.int32()), "offset": pa.array(starts, pa.int64()), "n": pa.array(sizes, pa.int64())})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as out:
                 out.write_table(table)
             foot = sink.getvalue().to_pybytes()
             yield pa.RecordBatch.from_arrays([pa.array([foot + struct.pack("<QQ", len(foot), TaskContext.get().partitionId()) + MARK], pa.binary())], ["payload"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n_shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = rows.repartitionByRange(n_shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     written = ordered.mapInArrow(encode, "payload binary").select(F.col("payload").cast("string").alias("value"))
     written.write.option("lineSep", end.decode()).text(f"{folder}/shards")
 
@@ -261,8 +283,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str | None = None, end_
         blob = build_part(pdf["kh"].to_numpy().view(np.uint64), pdf["fp"].to_numpy().astype(np.int32).view(np.uint32), pdf["shard"], pdf["offset"], pdf["n"])
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "blob": [blob]})
 
-    rows = _keyed(files.mapInArrow(entries, "doc_id long, nth int, offset long, n long, shard int"), n_parts).drop("doc_id", "nth")
-    rows.groupBy("part").applyInPandas(build, "part int, blob binary").write.parquet(f"{folder}/index")
+    held = _keyed(files.mapInArrow(entries, "doc_id long, nth int, offset long, n long, shard int"), n_parts).drop("doc_id", "nth")
+    held.repartitionByRange("part").groupBy("part").applyInPandas(build, "part int, blob binary").write.parquet(f"{folder}/index")
     return TokenStore(spark, folder, dtype, n_parts, [s[:3] for s in shards])
 
 

@@ -393,6 +393,27 @@ def test_end_id_must_fit_the_separator(spark, docs):
         token_store.write_store(docs, new_folder(spark, "store"), end_id=200)
 
 
+def test_token_store_reads_the_parts_it_needs(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_store, "PART_KEYS", 2)
+    monkeypatch.setattr(token_store, "WHOLE_INDEX_PARTS", 1)
+    monkeypatch.setattr(token_store, "SHARD_BYTES", 200)
+    store = token_store.write_store(docs, new_folder(spark, "store"))
+    assert store.n_parts > 3 and len(store.paths) > 4  # more shards than shuffle partitions
+    keys = token_store.document_keys(docs)
+    one = keys.limit(1)
+    plan = store.locate(one)._jdf.queryExecution().toString()
+    assert re.search(r"PushedFilters: \[[^]]*(EqualTo\(part|In\(part)", plan)
+    assert [tuple(r) for r in store.read(one).select("doc_id", "nth").collect()] == [tuple(one.first())]
+    got, want = ({(r["doc_id"], r["nth"]): (r["start"], bytes(r["ids"])) for r in s.read(keys).collect()} for s in (store, token_store.write_store(docs, new_folder(spark, "store"), n_shards=3)))
+    assert got == want and len(got) == keys.count()
+
+
+def test_token_store_refuses_equal_hashes():
+    two = np.array([5, 5], np.uint64)
+    with pytest.raises(ValueError, match="same 64-bit hash"):
+        token_store.build_part(two, np.array([1, 2], np.uint32), [0, 0], [0, 1], [1, 1])
+
+
 # Language ID
 def test_language_id(spark, docs, rows, empty):
     r = np.random.default_rng(7)
