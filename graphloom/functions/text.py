@@ -94,7 +94,7 @@ def is_name(text: Column, start: Column, end: Column) -> Column:
 def is_called(after: Column) -> Column:
     """Whether the text after a name begins, past white space and one balanced `::<…>`, with `(`. The flat case is a
     regular expression; nested brackets are counted."""
-    rest = F.ltrim(F.translate(after, "\n\r\t", "   "))
+    rest = F.regexp_replace(F.ltrim(F.translate(after, "\n\r\t", "   ")), "^:: +", "::")
     generic = rest.startswith("::<")
     step = lambda a, c: F.struct(
         F.when(a["done"] > 0, a["depth"]).otherwise(a["depth"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)).alias("depth"),

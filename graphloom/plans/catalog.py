@@ -5,6 +5,7 @@ An entry is (query, SQL): the query takes `r`, which gives relations of `inputs`
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import symbols as sym
@@ -15,6 +16,7 @@ from graphloom.operators import expansion as exp
 from graphloom.operators import facets as fac
 from graphloom.operators import generations as gen
 from graphloom.operators import graph_views as gv
+from graphloom.operators import ingest as ing
 from graphloom.operators import names as nam
 from graphloom.operators import quality_checks as chk
 from graphloom.operators import regressions as reg
@@ -136,6 +138,27 @@ STEP_MESSAGES = f"""SELECT step, pos, kind, concat('u', pos % 3) AS uri, method
   CASE WHEN method LIKE '%/m3' THEN 'textDocument/didOpen' ELSE method END AS method FROM ({STEPPED}) WHERE sender = 'client'"""
 
 
+OWN, OTHER = "rust-analyzer cargo shop 1 ", "rust-analyzer cargo parts 1 "
+
+
+def code_index(r):
+    """An index of one file per customer: orders are functions, their lines are calls, values and operators of parts."""
+    c = r("code_line")
+    name = F.when(F.col("flag") == "def", F.concat(F.lit("o"), "o_orderkey")).otherwise(F.concat(F.lit("p"), "partkey"))
+    text = F.when(F.col("flag") == "def", F.concat(F.lit("fn "), name, F.lit("() {"))).when(F.col("flag") == "A", F.concat(F.lit("  "), name, F.lit("(x);"))).when(F.col("flag") == "N", F.concat(F.lit("  "), name, F.lit(";"))).otherwise("  ++;")
+    width = F.when(F.col("flag") == "R", 2).otherwise(F.length(name))
+    start = F.when(F.col("flag") == "def", 3).otherwise(2)
+    last = F.max("no").over(Window.partitionBy("o_orderkey"))
+    defined = F.col("flag") == "def"
+    occ = c.withColumn("last", last).select(
+        "path", F.lit(0).alias("doc_pos"), F.col("no").alias("pos"), F.concat(F.when(defined, OWN).otherwise(OTHER), name, F.lit("().")).alias("symbol"),
+        F.array("no", start, start + width).alias("range"), F.when(defined, F.array("no", F.lit(0), "last", F.lit(99))).alias("enclosing_range"), defined.cast("int").alias("roles"),
+    )
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", text.alias("text")))), lambda x: x["text"]), "\n")
+    info = occ.where("roles = 1").select("path", "doc_pos", "pos", "symbol", F.lit("Function").alias("kind"))
+    return ing.analyze(occ, info, c.groupBy("path").agg(whole.alias("text")))
+
+
 def edges(r):
     return gv.call_edges(r("call_site"), r("call_target"), r("symbol"))
 
@@ -292,6 +315,18 @@ ENTRIES = {
     "list_call_targets": (lambda r: exp.list_call_targets(r("call_site"), r("call_target"), r("symbol")), "SELECT t.site_id, s.file, s.line, a.name AS caller_name, b.name AS target_name, t.method, t.candidates FROM (SELECT *, count(*) OVER (PARTITION BY site_id, method) AS candidates FROM {call_target}) t JOIN {call_site} s ON s.site_id = t.site_id JOIN {symbol} a ON a.id = s.caller JOIN {symbol} b ON b.id = t.target"),
     "implementers": (lambda r: exp.implementers(r("part").select(F.concat(F.lit("part:"), "p_partkey").alias("symbol"), F.array(F.struct(F.col("p_type").alias("symbol"), (F.col("p_size") > 25).alias("is_implementation")), F.struct(F.col("p_brand").alias("symbol"), F.lit(False).alias("is_implementation"))).alias("relationships"))), "SELECT concat('part:', p_partkey) AS symbol, p_type AS implemented FROM {part} WHERE p_size > 25"),
     "calls_reach": (lambda r: exp.calls_reach(r("call_site").select("file", "line", F.col("declared_target").alias("callee"), F.when(F.col("ref_kind") == "call", "function").otherwise("module").alias("callee_kind"))), "SELECT file, line, list_sort(list(DISTINCT declared_target)) AS callees FROM {call_site} WHERE ref_kind = 'call' GROUP BY file, line"),
+    "ingest_sites": (
+        lambda r: code_index(r)["sites"],
+        f"""SELECT concat('{OWN}o', o_orderkey, '().') AS caller, path AS file, no + 1 AS line, 3 AS col, CASE WHEN flag = 'A' THEN 'call' ELSE 'value' END AS ref_kind, concat('{OTHER}p', partkey, '().') AS declared_target,
+              'static' AS dispatch, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY no) AS INT) AS ordinal FROM {{code_line}} WHERE flag IN ('A', 'N')""",
+    ),
+    "ingest_skipped": (lambda r: code_index(r)["skipped"], "SELECT 'operator' AS reason, count(*) AS n FROM {code_line} WHERE flag = 'R' HAVING count(*) > 0"),
+    "symbol_table": (
+        lambda r: code_index(r)["symbols"],
+        f"""SELECT concat('{OWN}o', o_orderkey, '().') AS symbol, concat('shop.o', o_orderkey) AS name, 'function' AS kind, min(path) AS file, CAST(min(no) + 1 AS INT) AS start_line, CAST(max(no) + 1 AS INT) AS end_line,
+              CAST([] AS VARCHAR[]) AS modules, 'shop' AS package, FALSE AS external FROM {{code_line}} GROUP BY o_orderkey
+            UNION ALL SELECT DISTINCT concat('{OTHER}p', partkey, '().'), concat('parts.p', partkey), 'function', NULL, NULL, NULL, CAST([] AS VARCHAR[]), 'parts', TRUE FROM {{code_line}} WHERE flag IN ('A', 'N')""",
+    ),
     "has_edge": (
         lambda r: exp.has_edge(r("call_site").select("file", "line", F.col("declared_target").alias("callee")), r("call_site").select("site_id", "file", "line", F.concat(F.lit("part:"), F.expr("site_id % 50")).alias("callee"))).select("site_id", "found"),
         "SELECT site_id, (file, line, concat('part:', site_id % 50)) IN (SELECT (file, line, declared_target) FROM {call_site}) AS found FROM {call_site}",
