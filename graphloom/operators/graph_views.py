@@ -88,6 +88,12 @@ def symbol_card(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return out.union(back).join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def site_card(site: DataFrame, target: DataFrame, ids: DataFrame) -> DataFrame:
+    """site_id, caller, declared_target, target, method: all targets of the sites in ids; null target: it has none."""
+    some = site.join(ids.select("site_id").distinct(), "site_id", "left_semi").select("site_id", "caller", "declared_target")
+    return some.join(target.select("site_id", "target", "method"), "site_id", "left")
+
+
 def orphan_tags(tags: DataFrame, items: DataFrame) -> DataFrame:
     return tags.join(items.select("item").distinct(), "item", "left_anti")
 

@@ -414,6 +414,10 @@ ENTRIES = {
     "heaviest_edges": (lambda r: gv.heaviest_edges(graph(r), 10), f"SELECT * FROM ({GRAPH}) ORDER BY calls DESC, from_module, to_module LIMIT 10"),
     "elided_edges": (lambda r: gv.elided_edges(graph(r), 10), f"SELECT (SELECT count(*) FROM ({GRAPH})) - 10 AS edges, CAST((SELECT sum(calls) FROM ({GRAPH})) - (SELECT sum(calls) FROM (SELECT calls FROM ({GRAPH}) ORDER BY calls DESC, from_module, to_module LIMIT 10)) AS BIGINT) AS calls"),
     "skeleton_rows": (lambda r: gv.skeleton_rows(r("symbol"), r("call_site"), r("call_target")).select("site_id", "ordinal", "target", "also"), "SELECT s.site_id, CAST(ordinal AS INT) AS ordinal, t.target, coalesce(k > 1, FALSE) AS also FROM (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY line, col, site_id) AS ordinal FROM {call_site}) s JOIN {symbol} y ON y.id = s.caller LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY target, method) AS k FROM {call_target}) t ON t.site_id = s.site_id"),
+    "site_card": (
+        lambda r: gv.site_card(r("call_site"), r("call_target"), r("call_site").where("dispatch = 'virtual'").select("site_id")),
+        "SELECT s.site_id, s.caller, s.declared_target, t.target, t.method FROM {call_site} s LEFT JOIN {call_target} t ON t.site_id = s.site_id WHERE s.dispatch = 'virtual'",
+    ),
     "symbol_card": (lambda r: gv.symbol_card(edges(r), r("part").where("p_size = 5").select(F.concat(F.lit("part:"), "p_partkey").alias("id"))), f"SELECT * FROM (SELECT caller AS id, 'calls' AS direction, target AS other, count(DISTINCT site_id) AS sites FROM ({EDGES}) GROUP BY caller, target UNION ALL SELECT target, 'called-by', caller, count(DISTINCT site_id) FROM ({EDGES}) GROUP BY caller, target) WHERE id IN (SELECT concat('part:', p_partkey) FROM {{part}} WHERE p_size = 5)"),
     "orphan_tags": (lambda r: gv.orphan_tags(r("tag"), r("part").where("p_size > 3").select(F.concat(F.lit("part:"), "p_partkey").alias("item"))), "SELECT item, key, value FROM {tag} WHERE item NOT IN (SELECT concat('part:', p_partkey) FROM {part} WHERE p_size > 3)"),
     "check_tags": (lambda r: gv.check_tags(tag_lines(r)), f"""SELECT line_no, 'reserved-key kind' AS violation FROM ({TAG_LINES}) WHERE starts_with(tags[2], 'kind=') UNION ALL SELECT line_no, 'bad-item' FROM ({TAG_LINES}) WHERE starts_with(item, 'bad:') UNION ALL SELECT line_no, concat('duplicate-item of line ', f) FROM (SELECT line_no, min(line_no) OVER (PARTITION BY item) AS f FROM ({TAG_LINES})) WHERE line_no > f
