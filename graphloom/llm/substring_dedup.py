@@ -10,8 +10,8 @@ smaller doc_id, or earlier in the same document). In short:
 3. The others, different regions with one anchor hash, are dealt to shards by that hash. Each shard builds the suffix
    automaton of its regions in document order and streams each region through it first: where the matching statistic
    reaches 20 words, an earlier region holds that window. Shards have a bounded number of regions.
-4. An anchor hash with more different regions than a shard may hold is resolved window by window instead: windows are
-   grouped by hash, summed before the shuffle, and joined to their first occurrence.
+4. An anchor hash with more regions than HOT_REGIONS, counted before anything is gathered by it, is resolved window by
+   window instead: windows are grouped by hash, summed before the shuffle, and joined to their first occurrence.
 
 All shards of a corpus of any size can't be broadcast to all documents, so regions travel to the shard of their anchor.
 
@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from graphloom.llm.shared import once, staged
+from graphloom.llm.shared import once, staged, unstaged
 from graphloom.llm.tokens import slices
 from graphloom.llm.wordhash import Runs, mix, words_of
 
 #: Words of a window, and of an anchor.
 WINDOW, ANCHOR = 20, 6
-#: Regions that a task combines before they are shuffled, regions in a shard on average, and the most of one anchor hash.
+#: Regions that a task combines before they are shuffled, regions in a shard on average, and the most of one anchor
+#: hash that meet in a task (after equal regions are combined where they are made).
 COMBINE, SHARD_REGIONS, HOT_REGIONS = 400_000, 4_000, 20_000
 
 
@@ -191,13 +192,18 @@ SPANS = "id long, th long, lo int, end int"
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """docs: id, th, text, one row for each (id, th). The spans (id, th, lo, end) of words to remove; they may overlap."""
-    regions = anchored(docs)
-    same = Window.partitionBy("h", "rh").orderBy("id", "th", "lo")
-    alike = Window.partitionBy("h")
-    ranked = regions.withColumn("nth", F.row_number().over(same)).withColumn("kinds", F.sum(F.when((F.col("nth") == 1) & ~F.col("sure"), 1)).over(alike))
-    flagged = staged(ranked.where(F.col("sure") | (F.col("nth") > 1) | (F.col("kinds") > 1)), "regions")
+    regions = staged(anchored(docs), "anchored")
+    # An anchor hash of very many regions isn't gathered: its regions are dealt by their own hashes and are all doubtful.
+    hot = regions.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_REGIONS).select("h", F.lit(True).alias("hot"))
+    dealt = regions.join(staged(hot, "hot-anchors"), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    dealt = dealt.withColumn("own", F.when(F.col("hot"), F.col("rh")).otherwise(F.lit(0))).repartition("h", "own")  # serves both windows
+    same = Window.partitionBy("h", "own", "rh").orderBy("id", "th", "lo")
+    alike = Window.partitionBy("h", "own")
+    ranked = dealt.withColumn("nth", F.row_number().over(same)).withColumn("kinds", F.sum(F.when((F.col("nth") == 1) & ~F.col("sure"), 1)).over(alike))
+    flagged = staged(ranked.where(F.col("sure") | (F.col("nth") > 1) | (F.col("kinds") > 1) | F.col("hot")).drop("own", "kinds"), "regions")
+    unstaged(regions)
     whole = flagged.where(F.col("sure") | (F.col("nth") > 1)).select("id", "th", "lo", (F.col("hi") + WINDOW).alias("end"))
-    doubtful = flagged.where(~F.col("sure") & (F.col("nth") == 1)).select("h", "id", "th", "lo", "hi", (F.col("kinds") > HOT_REGIONS).alias("hot"))
+    doubtful = flagged.where(~F.col("sure") & (F.col("nth") == 1)).select("h", "id", "th", "lo", "hi", "hot")
     n_shards = max(1, -(-doubtful.count() // SHARD_REGIONS))
     per_doc = doubtful.groupBy("id", "th").agg(F.collect_list(F.struct("h", "lo", "hi", "hot")).alias("regions"))  # bounded by the document
 
