@@ -187,6 +187,21 @@ def nodes(r):
     return r("node").withColumn("parent_id", F.lit(None).cast("long")).withColumn("field", F.lit(None).cast("string"))
 
 
+def callees(r):
+    """The callee of each call node: its first 300 places."""
+    return r("node").where("kind = 'call_expression'").select("node_id", "start", (F.col("start") + 300).alias("end_at"))
+
+
+def arguments(r):
+    """Each line of an order as an argument of its call: a quoted string, with an interpolation in it where the tax is
+    low, or a number."""
+    line = r("line")
+    text = F.when(F.col("l_returnflag") == "A", F.concat(F.lit('"it\'s '), "l_partkey", F.lit('"'))).otherwise(F.concat(F.lit("'part "), "l_partkey", F.lit("'")))
+    strings = line.select(F.col("site_id").alias("node_id"), F.col("l_orderkey").alias("parent_id"), F.when(F.col("l_linestatus") == "F", "string").otherwise("number").alias("kind"), F.col("site_id").alias("start"), text.alias("text"))
+    mixed = line.where("l_tax < 0.03").select((-F.col("site_id")).alias("node_id"), F.col("site_id").alias("parent_id"), F.lit("interpolation").alias("kind"), F.col("site_id").alias("start"), F.lit("{x}").alias("text"))
+    return strings.unionByName(mixed)
+
+
 def dir_entries(r):
     name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
     return r("part").select("p_brand", F.concat(name, (F.col("p_partkey") % 40).cast("string")).alias("name"), F.concat(F.lit("part:"), "p_partkey").alias("id")).withColumnRenamed("p_brand", "dir")
@@ -431,6 +446,21 @@ ENTRIES = {
     "control_context": (lambda r: syn.control_context(sites_at(r), nodes(r), r("control_kind"), ("function_item",)).select("site_id", F.array_join("controls", ",").alias("controls")), f"""SELECT s.site_id, coalesce(string_agg(k.control, ',' ORDER BY n.start DESC, n.end_at, n.node_id), '') AS controls FROM ({SITES_AT}) s LEFT JOIN (SELECT * FROM (SELECT s.site_id, n.start AS def_start, n.end_at AS def_end, row_number() OVER (PARTITION BY s.site_id ORDER BY n.start DESC, n.end_at) AS k FROM ({SITES_AT}) s JOIN {{node}} n ON n.file = s.file AND n.start <= at_ AND at_ < n.end_at AND n.kind = 'function_item') WHERE k = 1) d ON d.site_id = s.site_id
       LEFT JOIN (SELECT n.*, k.control FROM {{node}} n JOIN {{control_kind}} k ON k.kind = n.kind) n ON n.file = s.file AND n.start <= at_ AND at_ < n.end_at AND (def_start IS NULL OR n.start > def_start OR n.start = def_start AND n.end_at < def_end) LEFT JOIN {{control_kind}} k ON k.kind = n.kind GROUP BY s.site_id"""),
     "site_call": (lambda r: syn.site_call(sites_at(r), nodes(r), ("call_expression",)), f"SELECT site_id, call FROM (SELECT s.site_id, n.node_id AS call, row_number() OVER (PARTITION BY s.site_id ORDER BY n.start DESC, n.end_at, n.node_id DESC) AS k FROM ({SITES_AT}) s JOIN {{node}} n ON n.file = s.file AND n.start <= at_ AND at_ < n.end_at AND n.kind = 'call_expression') WHERE k = 1"),
+    "resolution_lines": (
+        lambda r: reg.resolution_lines(res.resolution_rollup(by_module(r))),
+        f"""SELECT concat(CASE WHEN g = 1 THEN 'total' ELSE coalesce(language, 'unknown') END, ' ', n, ' ', u, ' ', printf('%.1f', u / n * 100), '%') AS line
+  FROM (SELECT grouping(language) AS g, language, CAST(sum(call_sites) AS BIGINT) AS n, CAST(sum(unresolved) AS BIGINT) AS u FROM ({BY_MODULE}) GROUP BY ROLLUP (language))""",
+    ),
+    "site_call_in_callee": (
+        lambda r: syn.site_call(sites_at(r), nodes(r), ("call_expression",), callees(r)),
+        f"""SELECT site_id, call FROM (SELECT s.site_id, n.node_id AS call, at_ < n.start + 300 AS named, row_number() OVER (PARTITION BY s.site_id ORDER BY n.start DESC, n.end_at, n.node_id DESC) AS k
+  FROM ({SITES_AT}) s JOIN {{node}} n ON n.file = s.file AND n.start <= at_ AND at_ < n.end_at AND n.kind = 'call_expression') WHERE k = 1 AND named""",
+    ),
+    "literal_arguments": (
+        lambda r: syn.literal_arguments(r("orders").where("o_orderkey % 5 <> 2").select(F.col("o_orderkey").alias("call")), arguments(r), ("string",), ("interpolation",)).select("call", F.array_join("literals", ",").alias("literals")),
+        """SELECT l_orderkey AS call, string_agg(CASE WHEN l_returnflag = 'A' THEN concat('it', chr(39), 's ', l_partkey) ELSE concat('part ', l_partkey) END, ',' ORDER BY site_id) AS literals
+  FROM {line} WHERE l_orderkey % 5 <> 2 AND l_linestatus = 'F' AND l_tax >= 0.03 GROUP BY l_orderkey""",
+    ),
 }
 
 
