@@ -1,6 +1,8 @@
 """Operators over pages and conversations, and the pipeline."""
 
 import gzip
+import os
+import random
 from collections import defaultdict
 from glob import glob
 from hashlib import sha1
@@ -270,3 +272,80 @@ def test_pipeline_keeps_nothing_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert jaccard_join.keep_one(empty).select(F.count("*")).first()[0] == 0
+
+
+def linked_by_scan(rows):
+    """n_quotes, n_linked, parent, root, depth and text of (conv_id, turn, role, text), by scans of each conversation."""
+    import re
+
+    import regex
+
+    han = r"[\p{Han}\p{Hiragana}\p{Katakana}]"
+    tokens = lambda t: regex.findall(rf"{han}|(?:(?!{han})[\p{{L}}\p{{M}}\p{{N}}_])+|\S", t.lower())
+    normal = lambda t: re.sub(r"[ \t\n\x0b\f\r]+", " ", t.lower()).strip(" ")
+    says = {}
+    for conv, turn, _, text in rows:
+        marked = [re.match(r"((?:[ \t]*>)+)[ \t]?", line) for line in text.split("\n")]
+        lines = [(m[1].count(">"), line[m.end() :]) if m else (0, line) for m, line in zip(marked, text.split("\n"), strict=True)]
+        announces = [bool(re.search(r"(?i)\bwrote\s*:\s*$", x)) and i + 1 < len(lines) and lines[i + 1][0] > 0 for i, (_, x) in enumerate(lines)]
+        says[conv, turn] = lines, [x for (level, x), a in zip(lines, announces, strict=True) if level == 0 and not a]
+
+    texts = {k: {*map(normal, own), normal(" ".join(own))} for k, (_, own) in says.items()}
+
+    def equal(conv, turn, t):
+        return min((u for (c, u), held_texts in texts.items() if c == conv and u < turn and t and t in held_texts), default=None)
+
+    spaced = lambda ws: " " + " ".join(ws) + " "  # noqa: E731 no token holds a space
+    held = {k: spaced(tokens(" ".join(own))) for k, (_, own) in says.items()}
+
+    def part(conv, turn, t):
+        w = tokens(t)
+        return min((u for (c, u), text in held.items() if c == conv and u < turn and w and spaced(w) in text), default=None)
+
+    first = lambda *xs: next((x for x in xs if x is not None), None)
+    out, parents = {}, {}
+    for (conv, turn), (lines, own) in says.items():
+        passages, previous = [], 0
+        for level, x in lines:
+            if level and level == previous:
+                passages[-1][1].append(x)
+            elif level:
+                passages.append((level, [x]))
+            previous = level
+        sources = []
+        for level, quoted in passages:
+            whole = normal(" ".join(quoted))
+            each = [first(equal(conv, turn, q), part(conv, turn, q) if len(q) >= 12 else None) for q in map(normal, quoted)]
+            by_line = max((s for s in each if s is not None), default=None)
+            sources.append((level, first(equal(conv, turn, whole), part(conv, turn, whole), by_line)))
+        parents[conv, turn] = max((s for level, s in sources if level == 1 and s is not None), default=None)
+        out[conv, turn] = len(sources), sum(s is not None for _, s in sources), parents[conv, turn], "\n".join(own).strip(" ")
+    got = []
+    for (conv, turn), (n, linked, parent, text) in out.items():
+        root, depth = turn, 0
+        while parents[conv, root] is not None:
+            root, depth = parents[conv, root], depth + 1
+        got.append((conv, turn, n, linked, parent, root, depth, text))
+    return sorted(got, key=lambda r: (r[0], r[5], r[1]))
+
+
+def test_quotations_of_the_given_conversations(spark):
+    """Each turn of the given table quotes turns before it, whole, in part, rewrapped, nested or altered."""
+    path = "/root/testdata/sf0.01/conversations.parquet"
+    if not os.path.isfile(path):
+        pytest.skip("no test tables here")
+    r, told, rows = random.Random(5), {}, []
+    for x in spark.read.parquet(path).orderBy("conv_id", "turn").collect():
+        before, text = told.setdefault(x["conv_id"], []), x["text"] or ""
+        for _ in range(r.choice([0, 1, 1, 2]) if before else 0):
+            source = r.choice(before)
+            w = source[:3000].split(" ")
+            at, n = r.randrange(len(w)), r.choice([1, 3, 7, 8, 9, 25, 400])
+            piece = [source[:3000], " ".join(w[at : at + n]), " ".join(w[at : at + n]).upper(), "\n".join(" ".join(w[i : i + 6]) for i in range(at, min(at + n, len(w)), 6)), " ".join([*w[at : at + n], "zzz"])][r.randrange(5)]
+            text = r.choice(["", "A wrote:\n"]) + "\n".join("> " + line for line in piece.split("\n")) + "\n" + r.choice(["", "\n"]) + text
+        before.append(text)
+        rows.append((x["conv_id"], x["turn"], x["role"], text))
+    got = quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)).collect()
+    got = [(x["conv_id"], x["turn"], x["n_quotes"], x["n_linked"], x["parent_turn"], x["root_turn"], x["depth"], x["text"]) for x in got]
+    assert got == linked_by_scan(rows)
+    assert sum(x[3] for x in got) > len(rows) // 3 and any(x[3] < x[2] for x in got) and max(x[6] for x in got) > 2
