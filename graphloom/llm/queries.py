@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe_words, decontamination, html_text, jaccard_join, language_id, packing, quality_rules, quotations, substring_dedup, token_store, warc
+from graphloom.llm import bpe_words, decontamination, html_text, jaccard_join, language_id, packing, prefix_trie, quality_rules, quotations, substring_dedup, token_store, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_token_store": token_store.op8_token_store,
         "op9_html_text": html_text.op9_html_text,
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+        "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_bpe_words": bpe_words.op12_bpe_words,
     }
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict:
         "op5_quality_rules": quality_rules.ORACLE_SQL,
         "op7_decontamination": decontamination.ORACLE_SQL,
         "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op11_prefix_trie": prefix_trie.ORACLE_SQL,
     }
