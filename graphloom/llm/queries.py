@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe_words, decontamination, html_text, jaccard_join, language_id, packing, prefix_trie, quality_rules, quotations, substring_dedup, token_store, warc
+from graphloom.llm import bpe_words, decontamination, html_text, jaccard_join, language_id, packing, prefix_trie, quality_rules, quotations, substring_dedup, token_store, warc, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_substring_dedup": substring_dedup.op10_substring_dedup,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_bpe_words": bpe_words.op12_bpe_words,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
