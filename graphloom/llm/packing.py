@@ -2,9 +2,14 @@
 
 Each partition is an online stream. A document's full windows are cut off its front; the rest goes to the open window
 whose fill level minimises the sum of squared counts of partially filled windows, read from an array of counts by fill
-level. Ties take the fullest window. The stream holds at most `max_open` open windows: beyond that, and at its end, the
-open windows are joined and cut anew into full ones, so padding stays near none whatever the sizes are. What then
-remains, less than one window, leaves as sequences whose lengths are powers of two, which need no padding.
+level. Ties take the fullest window. The pieces of windows that are open at the end of a stream are placed again, in streams
+over the leftovers of all: round by round there are fewer, until one stream of at most `stream_pieces` is left, or a round
+places less than half. What is then open in a stream is joined and cut anew into full windows, so padding stays near none
+whatever the sizes are, and what remains, less than one window, leaves as sequences whose lengths are powers of two, which
+need no padding. A stream holds at most `max_open` open windows; beyond that they are joined as at the end.
+
+The column `how` says how a piece came into its sequence: `whole` (a full window of one document), `placed` (by sum of
+squares) or `joined` (cut anew).
 
 Defined results: null or empty text is the end id alone; null and repeated doc_ids are packed row by row; an empty
 table gives no piece; other columns of the input are ignored.
@@ -16,9 +21,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import staged
 from graphloom.llm.tokens import WordEncoder, default_tokenizer, slices
 
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, how string"
+#: Bits of a sequence_id below the round's and below the stream's number.
+ROUND_BITS, STREAM_BITS = 58, 34
 
 
 class SumOfSquares:
@@ -55,7 +63,7 @@ class SumOfSquares:
         if level + size == self.width:
             return [window]
         self._keep(window, level + size)
-        return self.join() if self.n_open > self.max_open else []
+        return []
 
     def _keep(self, window: list, level: int) -> None:
         self.open.setdefault(level, []).append(window)
@@ -72,10 +80,16 @@ class SumOfSquares:
             self._keep(rest, sum(p[2] for p in rest))
         return full
 
+    def leave(self) -> list[list]:
+        """All open windows as they are."""
+        out, self.open, self.n_open = [w for ws in self.open.values() for w in ws], {}, 0
+        self.counts[:] = 0
+        return out
+
     def finish(self) -> list[list]:
         """All that is still open: full windows, then sequences of powers of two."""
         out = self.join()
-        rest = [p for ws in self.open.values() for w in ws for p in w]
+        rest = [p for w in self.leave() for p in w]
         left = sum(p[2] for p in rest)
         while left:
             size = 1 << (left.bit_length() - 1)
@@ -114,49 +128,90 @@ def cut(pieces: list, width: int) -> tuple[list[list], list]:
     return full, current
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, width: int = 2048, max_open: int = 1024) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian u32), doc_tokens, sequence_id, offset."""
-    path = tokenizer or default_tokenizer()
+class Stream:
+    """One task's stream: pieces in, batches of finished pieces out."""
 
-    def run(batches):
-        import pyarrow as pa
+    def __init__(self, width: int, max_open: int, round_: int):
         from pyspark import TaskContext
 
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
-        encoder, packer = WordEncoder.of(path), SumOfSquares(width, max_open)
-        end, sequence = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 40
-
-        def rows(windows):
-            nonlocal sequence
-            out = []
-            for window in windows:
-                offset = 0
-                for doc, start, size, ids, total in window:
-                    out.append((doc, start, size, ids, total, sequence, offset))
-                    offset += size
-                sequence += 1
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema) if out else None
+        self.packer, self.width, self.max_open = SumOfSquares(width, max_open), width, max_open
+        self.sequence, self.rows = (round_ << ROUND_BITS) + (TaskContext.get().partitionId() << STREAM_BITS), []
+
+    def add(self, windows: list[list], how: str | None) -> None:
+        """Finished windows; with `how` None, windows that are open for the next round."""
+        for window in windows:
+            offset = 0
+            for doc, start, size, ids, total in window:
+                self.rows.append((doc, start, size, ids, total, self.sequence, offset, how))
+                offset += size
+            self.sequence += 1
+
+    def document(self, doc, ids: bytes) -> None:
+        total, step = len(ids) // 4, self.width
+        whole = total - total % step
+        self.add([[(doc, at, step, ids[at * 4 : (at + step) * 4], total)] for at in range(0, whole, step)], "whole")
+        if whole < total:
+            self.place((doc, whole, total - whole, ids[whole * 4 :], total))
+
+    def place(self, piece: tuple) -> None:
+        self.add(self.packer.place(piece), "placed")
+        if self.packer.n_open > self.max_open:
+            self.add(self.packer.join(), "joined")
+
+    def batch(self):
+        import pyarrow as pa
+
+        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("how", pa.string())])
+        columns, self.rows = [*zip(*self.rows, strict=True)] or [[]] * len(schema), []
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
 
+def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, width: int = 2048, max_open: int = 8192, stream_pieces: int = 16_384) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids (little-endian u32), doc_tokens, sequence_id, offset, how."""
+    path = tokenizer or default_tokenizer()
+
+    def first_round(batches):
+        encoder, stream = WordEncoder.of(path), Stream(width, max_open, 0)
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
-                windows = []
                 for doc, ids in zip(part["doc_id"].to_pylist(), encoder.ids(part["text"]), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    whole = total - total % width
-                    windows.extend([(doc, at, width, ids[at * 4 : (at + width) * 4], total)] for at in range(0, whole, width))
-                    if whole < total:
-                        windows.extend(packer.place((doc, whole, total - whole, ids[whole * 4 :], total)))
-                if (made := rows(windows)) is not None:
-                    yield made
-        if (made := rows(packer.finish())) is not None:
-            yield made
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+                    stream.document(doc, ids + end)
+                yield stream.batch()
+        stream.add(stream.packer.leave(), None)
+        yield stream.batch()
+
+    def again(round_: int, last: bool):
+        def run(batches):
+            stream = Stream(width, max_open, round_)
+            for batch in batches:
+                for part in slices(batch, column="ids"):
+                    for row in part.to_pylist():
+                        stream.place(tuple(row[c] for c in ("doc_id", "start", "length", "ids", "doc_tokens")))
+                    yield stream.batch()
+            if last:
+                stream.add(stream.packer.finish(), "joined")
+            else:
+                stream.add(stream.packer.leave(), None)
+            yield stream.batch()
+
+        return run
+
+    pieces = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(first_round, SCHEMA), "pieces")
+    done, round_, before = pieces.where("how IS NOT NULL"), 0, None
+    while True:
+        left, round_ = pieces.where("how IS NULL"), round_ + 1
+        n = left.count()
+        streams = max(-(-n // stream_pieces), 1)
+        last = streams == 1 or before is not None and n > before / 2
+        pieces, before = staged(left.coalesce(streams).mapInArrow(again(round_, last), SCHEMA), "pieces"), n
+        done = done.unionByName(pieces.where("how IS NOT NULL"))
+        if last:
+            return done
 
 
 def pieces_digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "how")
 
 
 def op6_packing(spark, sf_dir):

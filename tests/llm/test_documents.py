@@ -345,9 +345,28 @@ def check_pieces(pieces, rows, encode):
 def test_packing(docs, rows, empty, encode):
     check_pieces(packing.pack(docs).collect(), rows, encode)
     check_pieces(packing.pack(docs, max_open=2).collect(), rows, encode)
+    check_pieces(packing.pack(docs, stream_pieces=2).collect(), rows, encode)
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(10, 10), (1100, 1300), (1, 2047)])
+def test_packing_in_rounds(spark, encode, sizes):
+    """Streams of few windows each, where all, none or most fit; whatever the sizes, padding is none."""
+    r = np.random.default_rng(8)
+    rows = [(i, "a " * int(r.integers(sizes[0], sizes[1] + 1) - 1)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    check_pieces(packing.pack(docs, stream_pieces=20).collect(), rows, encode)
+
+
+def test_most_windows_are_placed_by_sum_of_squares(spark):
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.isfile(path):
+        pytest.skip("no test tables here")
+    pieces = packing.pack(spark.read.parquet(path).repartition(8))
+    how = {r["how"]: r["n"] for r in pieces.groupBy("how").agg(F.countDistinct("sequence_id").alias("n")).collect()}
+    assert how["placed"] > 4 * how["joined"]
+
+
 def test_sum_of_squares_takes_the_best_level():
     r = np.random.default_rng(4)
     p = packing.SumOfSquares(64, 10**6)
