@@ -28,7 +28,7 @@ from graphloom.llm.tokens import WordEncoder, default_tokenizer, slices
 from graphloom.llm.wordhash import word_spans
 
 #: Bytes of text in a slice (a longer text is a slice of its own), and buckets of words per shuffle partition.
-SLICE_BYTES, BUCKETS_PER_PARTITION = 8_000_000, 4
+SLICE_BYTES, BUCKETS_PER_PARTITION = 4_000_000, 4
 #: One row of a slice: the words of one of its buckets, their ids, or (bucket LAYOUT) the places of all its words.
 PART, LAYOUT = "slice binary, bucket int, sizes binary, body binary, doc_ids array<long>, doc_words binary", 2**31 - 1
 
