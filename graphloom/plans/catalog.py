@@ -23,9 +23,8 @@ from graphloom.operators import regressions as reg
 from graphloom.operators import resolution as res
 from graphloom.operators import sessions as ses
 from graphloom.operators import syntax_context as syn
-from graphloom.plans import round_trips
+from graphloom.plans import change_streams, round_trips
 from graphloom.plans.inputs import oracle, relation
-from graphloom.streaming import coalesce as stream
 
 RESOLVED = "EXISTS (SELECT 1 FROM {call_target} t WHERE t.site_id = s.site_id AND t.method <> 'name-match')"
 BY_MODULE = f"""SELECT f.language, y.package, y.module, count(*) AS call_sites, count(*) FILTER (WHERE {RESOLVED}) AS resolved, count(*) - count(*) FILTER (WHERE {RESOLVED}) AS unresolved
@@ -390,7 +389,6 @@ ENTRIES = {
     "classify_path": (lambda r: r("url").select("page_id", chg.classify_path(F.regexp_replace("url", "^[a-z]+://", ""), ["ththre.example.com"], ["en"]).alias("class")), "SELECT page_id, CASE WHEN p = 'ththre.example.com' OR starts_with(p, 'ththre.example.com/') OR list_contains(string_split(p, '/'), 'en') THEN 'excluded' ELSE 'watched' END AS class FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM {url})"),
     "classify_change": (lambda r: chg.classify_change(r("snapshot_new"), r("snapshot_old").where("not is_dir")), "SELECT b.path, CASE WHEN a.path IS NULL THEN 'created' WHEN a.is_dir <> b.is_dir THEN 'deleted' ELSE 'changed' END AS kind FROM {snapshot_new} b LEFT JOIN (SELECT * FROM {snapshot_old} WHERE NOT is_dir) a ON a.path = b.path WHERE a.path IS NULL OR a.is_dir <> b.is_dir OR NOT b.is_dir AND (a.len <> b.len OR a.modified <> b.modified) UNION ALL SELECT b.path, 'created' FROM {snapshot_new} b JOIN {snapshot_old} a ON a.path = b.path WHERE NOT a.is_dir AND b.is_dir"),
     "advance_baseline": (lambda r: chg.advance_baseline(r("snapshot_old"), chg.snapshot_diff(r("snapshot_old"), r("snapshot_new")), r("snapshot_new")), "SELECT path, is_dir, len, modified FROM {snapshot_new} WHERE path NOT IN (SELECT a.path FROM {snapshot_old} a JOIN {snapshot_new} b ON a.path = b.path WHERE a.is_dir AND b.is_dir) UNION ALL SELECT a.path, a.is_dir, a.len, a.modified FROM {snapshot_old} a JOIN {snapshot_new} b ON a.path = b.path WHERE a.is_dir AND b.is_dir"),
-    "coalesce_batch": (lambda r: stream.coalesce_batch(r("change_event"), 60_000, 600_000), None),
     # Sessions
     "pair_requests": (exchanges, EXCHANGES),
     "latency_stats": (lambda r: ses.latency_stats(exchanges(r)), f"SELECT method, count(*) AS answered, min(latency_ms) AS least, list_sort(list(latency_ms))[count(*) // 2 + 1] AS median, max(latency_ms) AS most FROM ({EXCHANGES}) WHERE latency_ms IS NOT NULL GROUP BY method"),
@@ -469,8 +467,8 @@ def _query(build):
 
 
 def queries() -> dict:
-    return {name: _query(build) for name, (build, _) in (ENTRIES | round_trips.ENTRIES).items()}
+    return {name: _query(build) for name, (build, _) in (ENTRIES | round_trips.ENTRIES | change_streams.ENTRIES).items()}
 
 
 def oracle_sql() -> dict:
-    return {name: oracle(sql) for name, (_, sql) in ENTRIES.items() if sql} | round_trips.oracle_sql()
+    return {name: oracle(sql) for name, (_, sql) in ENTRIES.items() if sql} | round_trips.oracle_sql() | change_streams.oracle_sql()

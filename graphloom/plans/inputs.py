@@ -35,6 +35,8 @@ RELATIONS = {
     "occurrence": """SELECT concat('c', o_custkey) AS path, site_id AS pos, CASE WHEN l_linenumber = 7 THEN concat('local ', l_suppkey) ELSE concat('part:', l_partkey) END AS symbol, CAST(l_linenumber AS INT) AS line, CAST(l_quantity AS INT) AS character,
         CAST(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS INT) AS roles, CASE WHEN l_linestatus = 'F' THEN 'method' ELSE 'struct' END AS kind, CASE WHEN l_tax < 0.02 THEN NULL ELSE l_tax > 0.04 END AS is_name FROM {line}""",
     "change_event": """SELECT concat('root', user_id % 5) AS root, event_id, ts, concat('/p', user_id) AS path, CASE WHEN event_type = 'signup' THEN 'created' WHEN event_type = 'error' THEN 'deleted' ELSE 'changed' END AS kind FROM {events}""",
+    "watch_event": """SELECT root, event_id, ts, path, CASE WHEN event_id % 97 = 0 THEN 'lock' WHEN event_id % 97 = 9 THEN 'unlock' WHEN event_id % 211 = 5 THEN 'rescan' ELSE kind END AS kind,
+        CASE WHEN event_id % 422 = 5 THEN concat('/p', event_id % 13, '=created,/q', event_id % 17, '=deleted') END AS found FROM {change_event}""",
     "snapshot_old": """SELECT concat('d', c_nationkey, '/f', c_custkey) AS path, c_custkey % 9 = 0 AS is_dir, CAST(c_custkey % 100 AS BIGINT) AS len, CAST(c_nationkey AS BIGINT) AS modified FROM {customer} WHERE c_custkey % 5 <> 0""",
     "snapshot_new": """SELECT concat('d', c_nationkey, '/f', c_custkey) AS path, c_custkey % 18 = 0 AS is_dir, CAST(CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 50 ELSE c_custkey % 100 END AS BIGINT) AS len, CAST(c_nationkey AS BIGINT) AS modified FROM {customer} WHERE c_custkey % 7 <> 0""",
     "log_message": """SELECT conv_id * 100 + turn AS pos, conv_id * 1000 + turn * 37 AS ts_ms, CASE WHEN role = 'user' THEN 'client' ELSE 'server' END AS sender, CASE WHEN role = 'user' THEN 'request' WHEN role = 'assistant' THEN 'response' ELSE 'notification' END AS kind,

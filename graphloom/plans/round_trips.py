@@ -107,11 +107,6 @@ def streamed(r, events, run, schema: str):
     return spark.read.schema(schema).parquet(f"{at}/out")
 
 
-def coalesce_stream(r):
-    events = r("change_event").withColumn("ts", F.col("ts").cast("timestamp"))
-    return streamed(r, events, lambda s: coalesce.coalesce_stream(s, 60_000, 600_000), coalesce.BATCH)
-
-
 def filtered_stream(r):
     events = r("change_event").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("path", F.when(F.col("event_id") % 50 == 0, ".git/index.lock").otherwise(F.substring("path", 2, 99)))
     return streamed(r, events, lambda s: coalesce.filter_stream(s, ["p1"], ["p7"]).select("event_id", "path", "kind"), "event_id long, path string, kind string")
@@ -133,7 +128,6 @@ ENTRIES = {
     "publish_generation": (generation, "SELECT t.site_id, t.target, t.method, s.file FROM {call_target} t JOIN {call_site} s ON s.site_id = t.site_id"),
     "write_call_targets": (appended_targets, "SELECT CAST(CASE WHEN method = 'declared' THEN 1 ELSE 2 END AS INT) AS run_id, count(*) AS targets FROM {call_target} GROUP BY 1"),
     "report_json": (report, "SELECT concat('{{\"generation\":', generation, ',\"totals\":{{\"edges\":', CAST(sum(edge_count) AS BIGINT), ',\"files\":', count(*), '}}}}') AS value FROM {edges_by_year} GROUP BY generation".replace("{{", "{").replace("}}", "}")),
-    "coalesce_stream": (coalesce_stream, None),
     "filter_stream": (filtered_stream, "SELECT event_id, path, CASE WHEN path = '.git/index.lock' THEN CASE WHEN kind = 'deleted' THEN 'unlock' ELSE 'lock' END ELSE kind END AS kind FROM (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN '.git/index.lock' ELSE substr(path, 2) END AS path, kind FROM {change_event}) WHERE path NOT IN ('p1', 'p7')"),
     "guard_stream": (guard_stream, None),
 }

@@ -1,23 +1,32 @@
-"""Streaming change coalescing, with keyed state per root.
-
-Events arrive as (root, ts, event_id, path, kind), kind being created, changed, deleted, lock, unlock or rescan. A
-root's pending changes are merged per path and flushed when `quiet` has passed since the last or `max_wait` since the
-first. While a lock is held nothing is flushed until `lock_cap` has passed since it was taken; its release flushes at
-once. A rescan's changes (its `diff`, with its cause as path) replace what is pending, and its batch is flushed when due
-even if empty, marked with the cause. Late events, older than the
-watermark, are dropped by the watermark; within it the order is (ts, event_id).
+"""Coalescing of file changes, with keyed state per root.
+
+Events are (root, ts, event_id, path, kind, diff), kind being created, changed, deleted, lock, unlock or rescan. A root's
+pending changes are merged per path and flushed when `quiet` has passed since the last or `max_wait` since the first. While
+a lock is held nothing is flushed until `lock_cap` has passed since it was taken; its release flushes at once. A rescan's
+changes (its `diff`, with its cause as path) replace what is pending, and its batch is flushed when due even if empty,
+marked with the cause.
+
+Events are applied in the order of (ts, event_id, path, kind), whatever batches they come in: the stream holds them until
+the watermark has passed them. An event that comes when the watermark has reached its time is late; it changes nothing and
+leaves by the side output. The bounded form gives the same batches from a table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 QUIET_MS, MAX_WAIT_MS, LOCK_CAP_MS = 200, 2_000, 30_000
 BATCH = "root string, flushed_ms long, cause string, path string, kind string"
+#: A stream's rows: those of batches, and late events with their time and id, which batches don't have.
+OUTPUT = f"{BATCH}, late_ms long, event_id long"
+DIFF = "array<struct<path:string, kind:string>>"
+#: Events of a part of a bounded table, as far as quiet gaps allow.
+PART_EVENTS = 4096
+ORDER = ["ts_ms", "event_id", "path", "kind"]
 
 
 def merge(previous: str | None, following: str) -> str | None:
@@ -30,18 +39,17 @@ def merge(previous: str | None, following: str) -> str | None:
 
 
 class Pending:
-    """A root's pending changes and clocks, in milliseconds."""
+    """A root's pending changes, a mapping of paths to kinds, and its clocks in milliseconds."""
 
-    def __init__(self, state: tuple | None, quiet: int, max_wait: int, lock_cap: int):
-        paths, kinds, self.first, self.last, self.lock, self.cause = state or ([], [], None, None, None, None)
-        self.changes = dict(zip(paths, kinds, strict=True))
+    def __init__(self, changes, clocks: tuple | None, quiet: int, max_wait: int, lock_cap: int):
+        self.changes, (self.first, self.last, self.lock, self.cause) = changes, clocks or (None, None, None, None)
         self.quiet, self.max_wait, self.lock_cap = quiet, max_wait, lock_cap
 
-    def state(self) -> tuple:
-        return list(self.changes), list(self.changes.values()), self.first, self.last, self.lock, self.cause
+    def clocks(self) -> tuple:
+        return self.first, self.last, self.lock, self.cause
 
     def has_batch(self) -> bool:
-        return bool(self.changes) or self.cause is not None
+        return len(self.changes) > 0 or self.cause is not None
 
     def due(self) -> int | None:
         """When the next flush is, or None with nothing pending."""
@@ -67,7 +75,8 @@ class Pending:
 
     def flush(self, at: int) -> list[tuple]:
         out = [(at, self.cause, p, k) for p, k in sorted(self.changes.items())] or [(at, self.cause, None, None)]
-        self.changes, self.first, self.last, self.cause = {}, None, None, None
+        self.changes.clear()
+        self.first = self.last = self.cause = None
         return out
 
     def advance(self, now: int) -> list[tuple]:
@@ -84,7 +93,9 @@ class Pending:
             self.lock = None
             out += self.flush(ts) if self.has_batch() else []
         elif kind == "rescan":
-            self.changes = {d["path"]: d["kind"] for d in diff or []}
+            self.changes.clear()
+            for d in [] if diff is None else diff:
+                self.changes[d["path"]] = d["kind"]
             self.cause = path or "rescan"
             self.touch(ts)
         elif kind != "unlock":
@@ -92,48 +103,161 @@ class Pending:
         return out
 
 
+class StoredChanges:
+    """Pending changes kept in a map state, of which only the paths that events name are read and written."""
+
+    def __init__(self, state, size: int):
+        self.state, self.size, self.near = state, size, {}
+
+    def get(self, path: str) -> str | None:
+        if path not in self.near:
+            found = self.state.getValue((path,)) if self.size and self.state.containsKey((path,)) else None
+            self.near[path] = found[0] if found else None
+        return self.near[path]
+
+    def __setitem__(self, path: str, kind: str) -> None:
+        before = self.get(path)
+        self.size += before is None
+        if kind != before:
+            self.near[path] = kind
+            self.state.updateValue((path,), (kind,))
+
+    def pop(self, path: str, _) -> None:
+        if self.get(path) is not None:
+            self.near[path] = None
+            self.state.removeKey((path,))
+            self.size -= 1
+
+    def items(self) -> list[tuple]:
+        return [(k[0], v[0]) for k, v in self.state.iterator()] if self.size else []
+
+    def clear(self) -> None:
+        if self.size:
+            self.state.clear()
+        self.size, self.near = 0, {}
+
+    def __len__(self) -> int:
+        return self.size
+
+
+class Coalescer(StatefulProcessor):
+    """A root's state: events held until the watermark passes them, pending changes, clocks, and a timer for whichever
+    of the earliest held event and the next flush comes first."""
+
+    def __init__(self, quiet: int, max_wait: int, lock_cap: int):
+        self.limits = quiet, max_wait, lock_cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "ts_ms long, event_id long, path string, kind string", f"diff {DIFF}")
+        self.pending = handle.getMapState("pending", "path string", "kind string")
+        self.clocks = handle.getValueState("clocks", "first long, last long, lock long, cause string, size int")
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        watermark, earliest, late = timerValues.getCurrentWatermarkInMs(), None, []
+        for part in rows:
+            diffs = part["diff"] if "diff" in part else [None] * len(part)
+            for ts, event, path, kind, diff in zip(part["ts_ms"].tolist(), part["event_id"].tolist(), part["path"], part["kind"], diffs, strict=True):
+                if ts <= watermark:
+                    late.append((key[0], None, None, path, kind, ts, event))
+                    continue
+                self.held.updateValue((ts, event, path or "", kind), (None if diff is None else [(d["path"], d["kind"]) for d in diff],))
+                earliest = ts if earliest is None else min(earliest, ts)
+        if earliest is not None:
+            self.handle.registerTimer(earliest)
+        yield output(late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        *clocks, size = self.clocks.get() if self.clocks.exists() else (None, None, None, None, 0)
+        pending = Pending(StoredChanges(self.pending, size), tuple(clocks), *self.limits)
+        held = sorted((tuple(k), v[0]) for k, v in self.held.iterator()) if self.held.exists() else []
+        after = next((n for n, (k, _) in enumerate(held) if k[0] > now), len(held))
+        for (ts, event, path, kind), diff in held[:after]:
+            out += pending.take(ts, path, kind, None if diff is None else [{"path": d[0], "kind": d[1]} for d in diff])
+            self.held.removeKey((ts, event, path, kind))
+        out += pending.advance(now)
+        self.clocks.update((*pending.clocks(), len(pending.changes)))
+        waits = [x for x in (held[after][0][0] if after < len(held) else None, pending.due()) if x is not None]
+        if waits:
+            self.handle.registerTimer(min(waits))
+        yield output([(key[0], *row, None, None) for row in out])
+
+    def close(self) -> None:
+        pass
+
+
+def output(rows: list[tuple]):
+    import pandas as pd
+
+    frame = pd.DataFrame(rows, columns=["root", "flushed_ms", "cause", "path", "kind", "late_ms", "event_id"], dtype=object)
+    return frame.astype({"flushed_ms": "Int64", "late_ms": "Int64", "event_id": "Int64"})
+
+
+def in_ms(events: DataFrame) -> DataFrame:
+    diff = [F.col("diff").cast(DIFF).alias("diff")] if "diff" in events.columns else []
+    return events.select("root", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_id").cast("long").alias("event_id"), F.coalesce("path", F.lit("")).alias("path"), "kind", *diff)
+
+
 def coalesce_stream(events: DataFrame, quiet_ms: int = QUIET_MS, max_wait_ms: int = MAX_WAIT_MS, lock_cap_ms: int = LOCK_CAP_MS, watermark: str = "1 second") -> DataFrame:
-    """Batches (root, flushed_ms, cause, path, kind) of a stream of events with a timestamp ts. Timers run in event time,
-    so that a replay gives the same batches."""
+    """OUTPUT rows of a stream of events with a timestamp ts: batches, and late events beside them. Timers run in event
+    time, so that a replay gives the same batches. Its state is kept in RocksDB."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = in_ms(events.withWatermark("ts", watermark))  # without ts, late events reach the processor
+    return rows.groupBy("root").transformWithStateInPandas(Coalescer(quiet_ms, max_wait_ms, lock_cap_ms), OUTPUT, "append", "eventTime")
 
-    def run(key: tuple, parts: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
 
-        pending = Pending(state.get if state.exists else None, quiet_ms, max_wait_ms, lock_cap_ms)
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            out += pending.advance(state.getCurrentWatermarkMs())
-        else:
-            rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-            times = (rows["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist()
-            diffs = rows["diff"].tolist() if "diff" in rows else [None] * len(rows)
-            for ts, path, kind, diff in zip(times, rows["path"], rows["kind"], diffs, strict=True):
-                out += pending.take(ts, path, kind, None if diff is None else list(diff))
-            out += pending.advance(state.getCurrentWatermarkMs())
-        state.update(pending.state())
-        if (due := pending.due()) is not None:
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=["root", "flushed_ms", "cause", "path", "kind"])
+def batches(out: DataFrame) -> DataFrame:
+    return out.where("late_ms IS NULL").select("root", "flushed_ms", "cause", "path", "kind")
 
-    held = "paths array<string>, kinds array<string>, first long, last long, lock long, cause string"
-    return events.withWatermark("ts", watermark).groupBy("root").applyInPandasWithState(run, BATCH, held, "append", GroupStateTimeout.EventTimeTimeout)
 
+def late_events(out: DataFrame) -> DataFrame:
+    """The side output: root, late_ms, event_id, path, kind of late events."""
+    return out.where("late_ms IS NOT NULL").select("root", "late_ms", "event_id", "path", "kind")
 
-def coalesce_batch(events: DataFrame, quiet_ms: int = QUIET_MS, max_wait_ms: int = MAX_WAIT_MS, lock_cap_ms: int = LOCK_CAP_MS) -> DataFrame:
-    """The same batches from a bounded table: each root's events are replayed in order."""
 
-    def run(pdf):
+def write_coalesced(out: DataFrame, folder: str, checkpoint: str):
+    """A writer of both outputs of coalesce_stream(): batches under `folder`/batches, late events under `folder`/late, each
+    as one numbered part per micro-batch, which a replay of the micro-batch writes anew."""
+
+    def write(df: DataFrame, n: int) -> None:
+        df.persist()
+        for name, rows in (("batches", batches(df)), ("late", late_events(df))):
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/part={n}")
+        df.unpersist()
+
+    return out.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def coalesce_batch(events: DataFrame, quiet_ms: int = QUIET_MS, max_wait_ms: int = MAX_WAIT_MS, lock_cap_ms: int = LOCK_CAP_MS) -> DataFrame:
+    """The same batches from a bounded table, with what is pending at its end. A root's events are cut where all that came
+    before has been flushed for certain (a quiet gap, at the end of which no lock holds it back), some thousands of events
+    to a part; each part is replayed on its own from the lock that is held then."""
+    rows = in_ms(events)
+    if "diff" not in rows.columns:
+        rows = rows.withColumn("diff", F.lit(None).cast(DIFF))
+    before = Window.partitionBy("root").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    since_unlock = Window.partitionBy("root", "unlocks").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("unlocks", F.count(F.when(F.col("kind") == "unlock", 1)).over(before)).withColumn("lock_ms", F.min(F.when(F.col("kind") == "lock", F.col("ts_ms"))).over(since_unlock))
+    last = F.lag("ts_ms").over(Window.partitionBy("root").orderBy(*ORDER))
+    starts = (F.col("ts_ms") >= last + quiet_ms) & (F.col("lock_ms").isNull() | (F.col("ts_ms") >= F.col("lock_ms") + lock_cap_ms))
+    in_order = Window.partitionBy("root").orderBy(*ORDER)
+    rows = rows.withColumn("start", F.when(F.coalesce(starts, F.lit(True)), F.row_number().over(in_order)))
+    rows = rows.withColumn("part", F.expr(f"max(start) OVER (PARTITION BY root ORDER BY {', '.join(ORDER)}) DIV {PART_EVENTS}")).drop("unlocks", "start")
+
+    def run(key, pdf):
         import pandas as pd
 
-        pending, out = Pending(None, quiet_ms, max_wait_ms, lock_cap_ms), []
-        rows = pdf.sort_values(["ts", "event_id"])
-        for ts, path, kind in zip((rows["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist(), rows["path"], rows["kind"], strict=True):
-            out += pending.take(ts, path, kind)
+        pdf = pdf.sort_values(ORDER)
+        lock = pdf["lock_ms"].iloc[0]
+        pending, out = Pending({}, (None, None, None if pd.isna(lock) else int(lock), None), quiet_ms, max_wait_ms, lock_cap_ms), []
+        for ts, path, kind, diff in zip(pdf["ts_ms"].tolist(), pdf["path"], pdf["kind"], pdf["diff"], strict=True):
+            out += pending.take(ts, path, kind, diff)
         if (due := pending.due()) is not None:
             out += pending.flush(due)
-        return pd.DataFrame([(pdf["root"].iloc[0], *r) for r in out], columns=["root", "flushed_ms", "cause", "path", "kind"])
+        return pd.DataFrame([(key[0], *r) for r in out], columns=["root", "flushed_ms", "cause", "path", "kind"])
 
-    return events.groupBy("root").applyInPandas(run, BATCH)
+    return rows.groupBy("root", "part").applyInPandas(run, BATCH)
 
 
 def filter_stream(events: DataFrame, excluded_prefixes: list[str], excluded_components: list[str]) -> DataFrame:
@@ -145,13 +269,37 @@ def filter_stream(events: DataFrame, excluded_prefixes: list[str], excluded_comp
     return rows.where("class <> 'excluded'").withColumn("kind", kind).drop("class")
 
 
-def write_baselines(batches: DataFrame, folder: str, observed: DataFrame, checkpoint: str):
-    """Applies each flushed batch to the baseline snapshot kept under `folder`, as one numbered folder per batch."""
+def versions(spark, folder: str) -> list[int]:
+    """The numbers of the complete versions under `folder`, rising."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+
+
+def read_baseline(spark, folder: str, n: int | None = None) -> DataFrame:
+    """The newest baseline, or that after micro-batch `n`."""
+    return spark.read.parquet(f"{folder}/{versions(spark, folder)[-1] if n is None else n}")
+
+
+def write_baselines(batches: DataFrame, folder: str, observed: DataFrame, checkpoint: str, keep: int = 2):
+    """A writer that applies each micro-batch of flushed changes to the baseline snapshot: version n is made of the newest
+    version below n, so a replay of micro-batch n after a failure writes the same version again. The newest `keep`
+    versions stay, two at least, for a replay needs the one before it."""
     from graphloom.operators.changes import advance_baseline
 
     def apply(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
-        before = spark.read.parquet(f"{folder}/{n - 1}") if n > 0 else observed.limit(0)
-        advance_baseline(before, df.where("path IS NOT NULL").select("path", "kind"), observed).write.mode("overwrite").parquet(f"{folder}/{n}")
+        before = [v for v in versions(spark, folder) if v < n]
+        baseline = spark.read.parquet(f"{folder}/{before[-1]}") if before else observed.limit(0)
+        advance_baseline(baseline, last_changes(df), observed).write.mode("overwrite").parquet(f"{folder}/{n}")
+        root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        for old in [*before, n][: -max(keep, 2)]:
+            root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{old}"), True)
 
     return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def last_changes(flushed: DataFrame) -> DataFrame:
+    """path, kind: each path's latest change among flushed batches (root, flushed_ms, path, kind)."""
+    return flushed.where("path IS NOT NULL").groupBy("path").agg(F.max_by("kind", F.struct("flushed_ms", "kind")).alias("kind"))

@@ -73,7 +73,7 @@ def test_snapshots(spark, tmp_path):
 
 def replay(events, **clocks):
     """(root's) batches of a list of (ms, path, kind), with a last look far ahead."""
-    p = coalesce.Pending(None, clocks.get("quiet", 200), clocks.get("max_wait", 2000), clocks.get("cap", 30_000))
+    p = coalesce.Pending({}, None, clocks.get("quiet", 200), clocks.get("max_wait", 2000), clocks.get("cap", 30_000))
     out = []
     for ts, path, kind, *diff in events:
         out += p.take(ts, path, kind, diff[0] if diff else None)
@@ -91,18 +91,110 @@ def test_coalescing_clocks():
     assert replay([(0, "", "lock"), (10, "o", "rescan", []), (500, "", "unlock")]) == [(500, "o", None, None)]
 
 
+#: Merges of two changes of a path, in fixed order: first, second, what is flushed.
+MERGES = [("created", "deleted", None), ("created", "changed", "created"), ("created", "created", "created"), ("deleted", "created", "changed"), ("deleted", "changed", "changed"), ("deleted", "deleted", "deleted"), ("changed", "deleted", "deleted"), ("changed", "changed", "changed"), ("changed", "created", "created")]
+WATCHED = "root string, t long, event_id long, path string, kind string, diff array<struct<path:string, kind:string>>"
+BASE = 1_700_000_000_000
+
+
+def watched(spark, rows):
+    """Events of (root, ms, path, kind[, diff]), numbered in order."""
+    made = [(r, t, i, p, k, diff[0] if diff else None) for i, (r, t, p, k, *diff) in enumerate(rows)]
+    return spark.createDataFrame(made, WATCHED).select("root", F.timestamp_millis(F.col("t") + BASE).alias("ts"), "event_id", "path", "kind", "diff")
+
+
+def coalesced(spark, folder, parts, **clocks):
+    """(batches, late events) of a stream that gets `parts` one by one, and then an event an hour later."""
+    for k, part in enumerate([*parts, watched(spark, [("end", 3_600_000 * 24, "", "unlock")])]):
+        part.coalesce(1).write.parquet(f"{folder}/in/{k}")
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    assert coalesce.write_coalesced(coalesce.coalesce_stream(stream, **clocks), f"{folder}/out", f"{folder}/state").trigger(availableNow=True).start().awaitTermination(300)
+    return [sorted((tuple(r) for r in spark.read.parquet(f"{folder}/out/{x}").drop("part").collect()), key=repr) for x in ("batches", "late")]
+
+
 def test_streamed_batches_equal_replayed_ones(spark, tmp_path):
-    rows = [("r", 1_700_000_000.0 + t / 1000, i, p, k) for i, (t, p, k) in enumerate([(0, "a", "created"), (100, "b", "changed"), (1000, "a", "deleted"), (1050, "a", "created"), (60_000, "z", "changed"), (120_000, "z", "changed")])]
-    rows += [("q", 1_700_000_000.5, 9, "x", "created")]
-    events = spark.createDataFrame(rows, "root string, t double, event_id long, path string, kind string").select("root", F.timestamp_seconds("t").alias("ts"), "event_id", "path", "kind")
-    for k, part in enumerate([events.where("event_id < 3 OR event_id = 9"), events.where("event_id IN (3, 4)"), events.where("event_id = 5")]):
-        part.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    query = coalesce.coalesce_stream(stream).writeStream.format("memory").queryName("batches").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = {tuple(r) for r in spark.table("batches").collect()}
-    want = {tuple(r) for r in coalesce.coalesce_batch(events).collect()}
-    assert got <= want and {r for r in want if r[1] < 1_700_000_100_000} <= got
+    """Each case of merging and timing in a root of its own: locks, caps, rescans, cancelled changes, longest waits."""
+    diff = [("b", "created"), ("c", "deleted")]
+    cases = [[(0, "x", a), (10, "x", b)] for a, b, _ in MERGES]
+    cases += [
+        [(0, "n", "created"), (10, "n", "deleted"), (20, "n", "created")],
+        [(0, "a", "changed"), (5, "b", "deleted"), (6, "c", "created")],
+        [(t, f"p{t}", "changed") for t in range(0, 700, 90)],
+        [(0, "", "lock"), (10, "a", "changed"), (20, "b", "deleted"), (5001, "", "unlock"), (5002, "c", "changed")],
+        [(0, "", "lock"), (10, "a", "changed"), (9000, "b", "changed")],
+        [(0, "", "lock"), (10, "", "unlock"), (20, "", "unlock"), (30, "a", "changed")],
+        [(0, "a", "changed"), (10, "b", "created"), (20, "overflow", "rescan", diff), (400, "b", "deleted")],
+        [(0, "overflow", "rescan", diff), (10, "b", "deleted"), (20, "d", "changed")],
+        [(0, "a", "changed"), (20, "moved", "rescan", None)],
+        [(0, "", "lock"), (10, "moved", "rescan", []), (500, "", "unlock")],
+    ]
+    rows = [(f"r{n:02}", *e) for n, case in enumerate(cases) for e in case]
+    clocks = {"quiet_ms": 100, "max_wait_ms": 300, "lock_cap_ms": 2000}
+    events = watched(spark, rows)
+    want = sorted(((f"r{n:02}", at + BASE, cause, p, k) for n, case in enumerate(cases) for at, cause, p, k in replay([(t, p, k, *([[{"path": x, "kind": y} for x, y in d[0] or []]] if d else [])) for t, p, k, *d in case], quiet=100, max_wait=300, cap=2000)), key=repr)
+    assert [k for _, _, k in MERGES if k] == [r[4] for n in range(9) for r in want if r[0] == f"r{n:02}"]
+    got, late = coalesced(spark, tmp_path, [events], **clocks)
+    assert got == want and late == []
+    assert sorted(map(tuple, coalesce.coalesce_batch(events, **clocks).collect()), key=repr) == want
+
+
+def test_rows_in_batches_and_late_rows_are_all_rows(spark, tmp_path):
+    """Disorder within the watermark changes nothing; what is older leaves by the side output and nowhere else."""
+    rows = [("r", t * 400, f"p{t % 7}", "changed" if t % 3 else "created") for t in range(40)]
+    events = watched(spark, rows)
+    parts = [events.where("event_id IN (1, 0, 3, 8)"), events.where("event_id IN (2, 7, 9, 5)"), events.where("event_id > 9 AND event_id < 30 OR event_id = 6"), events.where("event_id = 4"), events.where("event_id >= 30 OR event_id = 12")]
+    got, late = coalesced(spark, tmp_path, parts, quiet_ms=100, max_wait_ms=1000)
+    gone = {r[2] for r in late}
+    assert gone == {2, 4, 5, 12} or gone == {2, 4, 5, 6, 12}
+    kept = events.where(~F.col("event_id").isin(*(gone - {12})))  # 12 came twice, in time and late
+    assert got == sorted(map(tuple, coalesce.coalesce_batch(kept, 100, 1000).collect()), key=repr)
+    assert len(got) + len(late) == 41  # each event is a batch of its own here
+
+
+def test_batch_parts_are_independent(spark, monkeypatch):
+    import random
+
+    r, rows, t = random.Random(2), [], 0
+    for _ in range(600):
+        t += r.choice([1, 5, 20, 90, 250, 900])
+        kind = r.choice(["created", "changed", "deleted"] * 6 + ["lock", "unlock", "unlock"])
+        rows.append(("r", t, f"p{r.randrange(4)}", kind))
+    events = watched(spark, rows)
+    want = sorted(((("r"), at + BASE, c, p, k) for at, c, p, k in replay([x[1:] for x in rows], quiet=100, max_wait=300, cap=1500)), key=repr)
+    for size in (1, 50, 4096):
+        monkeypatch.setattr(coalesce, "PART_EVENTS", size)
+        assert sorted(map(tuple, coalesce.coalesce_batch(events, 100, 300, 1500).collect()), key=repr) == want
+
+
+def test_baselines_survive_a_restart(spark, tmp_path):
+    """A stream that fails after a version is written, and is started again, ends at the baseline of one replay."""
+    flushed = [("r", 10, None, "a", "created"), ("r", 10, None, "b", "created")], [("r", 20, None, "a", "deleted"), ("r", 20, None, "c", "changed")], [("r", 30, None, "a", "created"), ("r", 30, "scan", None, None)], [("r", 40, None, "b", "deleted")]
+    observed = spark.createDataFrame([("a", False, 1, 1), ("b", False, 2, 2), ("c", False, 3, 3)], "path string, is_dir boolean, len long, modified long")
+    for k, rows in enumerate(flushed):
+        spark.createDataFrame(rows, coalesce.BATCH).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = lambda: spark.readStream.schema(coalesce.BATCH).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    real, calls = coalesce.last_changes, []
+
+    def failing(df):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("killed")
+        return real(df)
+
+    folder, start = f"{tmp_path}/baselines", lambda: coalesce.write_baselines(stream(), f"{tmp_path}/baselines", observed, f"{tmp_path}/state").trigger(availableNow=True).start()
+    coalesce.last_changes = failing
+    try:
+        with pytest.raises(Exception, match="killed"):
+            start().awaitTermination(120)
+    finally:
+        coalesce.last_changes = real
+    assert coalesce.versions(spark, folder) == [0, 1]
+    start().awaitTermination(120)
+    assert coalesce.versions(spark, folder) == [2, 3]  # older versions are deleted
+    assert sorted(r["path"] for r in coalesce.read_baseline(spark, folder).collect()) == ["a", "c"]
+    again = coalesce.write_baselines(stream(), f"{tmp_path}/again", observed, f"{tmp_path}/state2").trigger(availableNow=True).start()
+    again.awaitTermination(120)
+    assert coalesce.read_baseline(spark, f"{tmp_path}/again").exceptAll(coalesce.read_baseline(spark, folder)).isEmpty()
 
 
 def test_guard():
