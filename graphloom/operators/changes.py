@@ -5,24 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def merge_kinds(previous: Column, following: Column) -> Column:
-    """Two changes of one path as one: `none` when they cancel."""
-    return (
-        F.when(previous.isNull() | (previous == "none"), following)
-        .when((previous == "created") & (following == "deleted"), "none")
-        .when(previous == "created", "created")
-        .when((previous == "deleted") & (following == "created"), "changed")
-        .otherwise(following)
-    )
+from graphloom.operators.folds import folded, state_of, table_of
 
 
 def merge_events(events: DataFrame) -> DataFrame:
-    """root, path, kind: each path's changes in order of ts and event_id, merged; those that cancel are left out. A
-    path's events of one batch are folded in one row."""
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "kind")))
-    fold = F.aggregate(ordered, F.lit(None).cast("string"), lambda a, e: merge_kinds(a, e["kind"]))
-    return events.groupBy("root", "path").agg(fold.alias("kind")).where("kind <> 'none'")
+    """root, path, kind: each path's changes in order of ts and event_id, merged; those that cancel are left out. Changes
+    are composed stretch by stretch (see folds), so no path's history is gathered."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = folded(events.withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp"))), ["root", "path"], ms, ["_us", "event_id"], table_of(F.col("kind")))
+    return rows.select("root", "path", state_of(F.col("table")).alias("kind")).where("kind <> 'none'")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -67,21 +67,25 @@ def _atoms(f: Facet) -> list[Facet]:
     return [a for p in f.parts for a in _atoms(p)] if f.parts else [f]
 
 
+def _told(f: Facet, atoms: list[Facet]) -> Column:
+    """Whether a predicate holds for an item with a column a0, a1, ... for each atom."""
+    if not f.parts:
+        return F.col(f"a{atoms.index(f)}")
+    parts = [_told(p, atoms) for p in f.parts]
+    if f.op == "not":
+        return ~parts[0]
+    return parts[0] & parts[1] if f.op == "and" else parts[0] | parts[1]
+
+
+def _per_item(tags: DataFrame, atoms: list[Facet]) -> DataFrame:
+    return tags.groupBy("item").agg(*[F.bool_or(_holds(a)).alias(f"a{i}") for i, a in enumerate(atoms)])
+
+
 def select_items(tags: DataFrame, predicate: Facet) -> DataFrame:
     """The items for which the predicate holds. All atoms are told in one pass over the tags; a key with several values
     holds when any of them does; `not` is taken over all items."""
     atoms = list(dict.fromkeys(_atoms(predicate)))
-    per_item = tags.groupBy("item").agg(*[F.bool_or(_holds(a)).alias(f"a{i}") for i, a in enumerate(atoms)])
-
-    def tell(f: Facet) -> Column:
-        if not f.parts:
-            return F.col(f"a{atoms.index(f)}")
-        parts = [tell(p) for p in f.parts]
-        if f.op == "not":
-            return ~parts[0]
-        return parts[0] & parts[1] if f.op == "and" else parts[0] | parts[1]
-
-    return per_item.where(tell(predicate)).select("item")
+    return _per_item(tags, atoms).where(_told(predicate, atoms)).select("item")
 
 
 def facet_counts(tags: DataFrame) -> DataFrame:
@@ -90,9 +94,10 @@ def facet_counts(tags: DataFrame) -> DataFrame:
 
 
 def notify(batch: DataFrame, consumers: list[tuple[str, Facet]]) -> DataFrame:
-    """consumer, item: the items of a batch of facets (item, key, value) that each consumer's predicate selects."""
-    found = [select_items(batch, p).select(F.lit(name).alias("consumer"), "item") for name, p in consumers]
-    out = found[0]
-    for df in found[1:]:
-        out = out.union(df)
-    return out
+    """consumer, item: the items of a batch of facets (item, key, value) that each consumer's predicate selects. The atoms
+    of all predicates are told in one pass, and an item is written once for each consumer that gets it."""
+    if not consumers:
+        return batch.limit(0).select(F.lit("").alias("consumer"), "item")
+    atoms = list(dict.fromkeys(a for _, p in consumers for a in _atoms(p)))
+    gets = F.array_compact(F.array(*[F.when(_told(p, atoms), F.lit(name)) for name, p in consumers]))
+    return _per_item(batch, atoms).select(F.explode(gets).alias("consumer"), "item")

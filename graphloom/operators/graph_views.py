@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.changes import ancestors
+from graphloom.operators.folds import decayed_counts
 
 EXPANSION = "lsp-impl"
 
@@ -98,18 +99,40 @@ def orphan_tags(tags: DataFrame, items: DataFrame) -> DataFrame:
     return tags.join(items.select("item").distinct(), "item", "left_anti")
 
 
-def check_tags(lines: DataFrame, reserved: tuple[str, ...] = ("kind", "lang", "file")) -> DataFrame:
-    """line_no, violation of tag lines (line_no, item, tags): reserved-key, bad-item, duplicate-item (with the first
-    line), unsorted, duplicate-tag. The check for order looks at the line before, which the numbers give by a join."""
-    each = lines.select("line_no", F.explode("tags").alias("tag"))
-    key = F.substring_index("tag", "=", 1)
-    out = each.where(key.isin(*reserved)).select("line_no", F.concat(F.lit("reserved-key "), key).alias("violation")).distinct()
-    out = out.union(lines.where(~F.col("item").rlike(r"^(file|sym):\S")).select("line_no", F.lit("bad-item").alias("violation")))
+#: Lines of a tag file that are put in order in one task.
+LINES = 4096
+
+
+def line_before(lines: DataFrame) -> DataFrame:
+    """lines with `previous`, the item of the entry before, whatever its number. Ranges of LINES numbers are ordered on
+    their own, and each range's last entry is handed to the next range that has one."""
+    rows = lines.withColumn("_range", F.floor(F.col("line_no") / LINES))
+    last = rows.groupBy("_range").agg(F.max_by("item", "line_no").alias("_last"))
+    handed = last.select("_range", F.lag("_last").over(Window.orderBy("_range")).alias("_handed"))  # a row per range
+    within = F.lag("item").over(Window.partitionBy("_range").orderBy("line_no"))
+    return rows.withColumn("_previous", within).join(handed, "_range").withColumn("previous", F.coalesce("_previous", "_handed")).drop("_range", "_previous", "_handed")
+
+
+def check_tags(lines: DataFrame, items: DataFrame, reserved: tuple[str, ...] = ("kind", "lang", "file")) -> DataFrame:
+    """line_no, violation of the entries of a tag file (line_no, item, tags); lines without an entry have no row. `items`
+    are those that exist. Violations of a line by itself: bad-kind, symbol-item, bad-path (not normalised), no-tags,
+    bad-tag, bad-value, reserved-key, duplicate-tag, tags-unsorted; of a line among others: duplicate-item (with the first
+    line), unsorted (less than the entry before), orphan."""
+    item, tags = F.col("item"), F.coalesce("tags", F.expr("cast(array() as array<string>)"))
+    path, key = F.regexp_replace(item, "^file:", ""), lambda t: F.substring_index(t, "=", 1)
+    is_file = item.startswith("file:")
+    one = lambda test, text: F.when(test, F.array(F.lit(text))).otherwise(F.expr("cast(array() as array<string>)"))
+    each = lambda test, name, of: F.transform(F.filter(F.array_distinct(tags), test), lambda t: F.concat(F.lit(name + " "), of(t)))
+    own = F.concat(
+        one(~is_file & ~item.startswith("sym:"), "bad-kind"), one(item.startswith("sym:"), "symbol-item"), one(is_file & path.rlike(r"^$|^/|/$|//|(^|/)\.\.?(/|$)"), "bad-path"), one(F.size(tags) == 0, "no-tags"),
+        each(lambda t: ~t.rlike(r"^[\w:.-]+(=.*)?$"), "bad-tag", lambda t: t), each(lambda t: t.rlike("^[^=]*=.*/"), "bad-value", lambda t: t), F.array_distinct(each(lambda t: key(t).isin(*reserved), "reserved-key", key)),
+        F.transform(F.filter(F.array_distinct(tags), lambda t: F.size(F.filter(tags, lambda u: u == t)) > 1), lambda t: F.concat(F.lit("duplicate-tag "), t)), one(tags != F.array_sort(tags), "tags-unsorted"),
+    )
+    out = lines.select("line_no", F.explode(own).alias("violation"))
     first = lines.groupBy("item").agg(F.min("line_no").alias("first"))
     out = out.union(lines.join(first, "item").where("line_no > first").select("line_no", F.concat(F.lit("duplicate-item of line "), F.col("first").cast("string")).alias("violation")))
-    before = lines.select((F.col("line_no") + 1).alias("line_no"), F.col("item").alias("previous"))
-    out = out.union(lines.join(before, "line_no").where("item < previous").select("line_no", F.lit("unsorted").alias("violation")))
-    return out.union(each.groupBy("line_no", "tag").count().where("count > 1").select("line_no", F.concat(F.lit("duplicate-tag "), "tag").alias("violation")))
+    out = out.union(line_before(lines).where("item < previous").select("line_no", F.lit("unsorted").alias("violation")))
+    return out.union(orphan_tags(lines, items).select("line_no", F.lit("orphan").alias("violation")))
 
 
 def apply_tag_ops(tags: DataFrame, ops: DataFrame) -> DataFrame:
@@ -136,14 +159,39 @@ def merge_tags(base: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return rows.select("item", F.when(conflict, none).when(x != b, x).otherwise(y).alias("tags"), conflict.alias("conflict")).where((F.size("tags") > 0) | F.col("conflict"))
 
 
+#: Symbols and sites of one simple name that meet in one task; of more, each is dealt to several.
+NAME_TILE = 1024
+
+
+def name_candidates(named: DataFrame, symbol: DataFrame) -> DataFrame:
+    """site_id, name, candidates: how many symbols have an unresolved name (site_id, name) as their simple name. Counted in
+    an index of names, without a row for each candidate."""
+    index = simple_names(symbol).groupBy("name").agg(F.count(F.lit(1)).alias("candidates"))
+    return named.select("site_id", "name").distinct().join(index, "name").select("site_id", "name", "candidates")
+
+
+def simple_names(symbol: DataFrame) -> DataFrame:
+    return symbol.select(F.col("id").alias("target"), F.element_at(F.split("name", r"\."), -1).alias("name")).distinct()
+
+
+def name_matches(named: DataFrame, symbol: DataFrame) -> DataFrame:
+    """site_id, target, candidates: each unresolved name with all symbols of that simple name. Symbols and sites of a name
+    meet in tiles of NAME_TILE by NAME_TILE, so a name with very many of both is dealt to many tasks."""
+    own, sites = simple_names(symbol), named.select("site_id", "name").distinct()
+    rows = own.groupBy("name").agg(F.count(F.lit(1)).alias("candidates")).join(sites.groupBy("name").agg(F.count(F.lit(1)).alias("sites")), "name")
+    tiles = rows.select("name", "candidates", F.ceil(F.col("candidates") / NAME_TILE).alias("across"), F.ceil(F.col("sites") / NAME_TILE).alias("down"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = own.join(tiles.drop("candidates"), "name").select("name", "target", F.pmod(F.xxhash64("target"), "across").alias("x"), each("down").alias("y"))
+    sites = sites.join(tiles, "name").select("name", "site_id", "candidates", F.pmod(F.xxhash64("site_id"), "down").alias("y"), each("across").alias("x"))
+    return sites.join(own, ["name", "x", "y"]).select("site_id", "target", "candidates")
+
+
 def union_call_edges(site: DataFrame, position_edges: DataFrame, named: DataFrame, symbol: DataFrame) -> DataFrame:
     """site_id, target, method, candidates: edges by position (file, line, col, callee, method) become targets of the
-    site there; unresolved names (site_id, name) get every symbol of that simple name as a name-match."""
-    by_position = site.select("site_id", "file", "line", "col").join(position_edges, ["file", "line", "col"]).select("site_id", F.col("callee").alias("target"), "method")
-    simple = symbol.select(F.col("id").alias("target"), F.element_at(F.split("name", r"\."), -1).alias("name"))
-    by_name = named.join(simple, "name").select("site_id", "target", F.lit("name-match").alias("method"))
-    rows = by_position.union(by_name).distinct()
-    return rows.withColumn("candidates", F.count(F.lit(1)).over(Window.partitionBy("site_id", "method")))
+    site there; unresolved names (site_id, name; one to a site) get every symbol of that simple name as a name-match."""
+    by_position = site.select("site_id", "file", "line", "col").join(position_edges, ["file", "line", "col"]).select("site_id", F.col("callee").alias("target"), "method").distinct()
+    counts = by_position.groupBy("site_id", "method").agg(F.count(F.lit(1)).alias("candidates"))
+    return by_position.join(counts, ["site_id", "method"]).select("site_id", "target", "method", "candidates").unionByName(name_matches(named, symbol).withColumn("method", F.lit("name-match")))
 
 
 def change_facets(batch: DataFrame) -> DataFrame:
@@ -152,13 +200,21 @@ def change_facets(batch: DataFrame) -> DataFrame:
     return batch.select(item.alias("item"), F.lit("change").alias("key"), F.col("kind").alias("value")).union(batch.select(item.alias("item"), F.lit("dir").alias("key"), F.explode(ancestors(F.col("path"))).alias("value")))
 
 
+def guarded(ops: DataFrame, half_life: float, trip: float) -> DataFrame:
+    """ops with c, the actor's count after each, and tripped: whether a count of `trip` has been reached since it was last
+    under a quarter of that."""
+    rows = decayed_counts(ops, half_life).withColumn("c", F.col("before") + 1)
+    at = F.struct("ts", "op_id")
+    so_far = Window.partitionBy("actor").orderBy("ts", "op_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tripped, cleared = F.max(F.when(F.col("c") >= trip, at)).over(so_far), F.max(F.when(F.col("before") < trip / 4, at)).over(so_far)
+    return rows.withColumn("tripped", tripped.isNotNull() & (cleared.isNull() | (tripped >= cleared))).drop("before")
+
+
 def decay_guard(ops: DataFrame, half_life: float, trip: float) -> DataFrame:
-    """actor, ops, c, tripped after an actor's ops: each adds 1 to a count that halves every `half_life` seconds. The
-    streaming form, which also clears, is streaming.guards."""
-    log = F.array_sort(F.collect_list(F.struct(F.col("ts").cast("double").alias("ts"), "op_id")))
-    step = lambda a, x: F.struct(
-        (a["c"] * F.pow(F.lit(2.0), -(x["ts"] - F.coalesce(a["ts"], x["ts"])) / half_life) + 1).alias("c"), x["ts"].alias("ts")
-    )
-    folded = ops.groupBy("actor").agg(log.alias("log"))
-    last = F.aggregate("log", F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("double").alias("ts")), step)
-    return folded.select("actor", F.size("log").cast("long").alias("ops"), last["c"].alias("c"), (last["c"] >= trip).alias("tripped"))
+    """actor, ops, c, tripped after all of an actor's ops (actor, ts in seconds, op_id): each adds 1 to a count that halves
+    every `half_life` seconds. The guard trips at a count of `trip` and clears where an op finds less than a quarter of it;
+    it is tripped if it last tripped at or after it last cleared, so extremes tell it and no log is gathered."""
+    at = F.struct("ts", "op_id")
+    rows = decayed_counts(ops, half_life).withColumn("c", F.col("before") + 1)
+    last = rows.groupBy("actor").agg(F.count(F.lit(1)).alias("ops"), F.max_by("c", at).alias("c"), F.max(F.when(F.col("c") >= trip, at)).alias("tripped_at"), F.max(F.when(F.col("before") < trip / 4, at)).alias("cleared_at"))
+    return last.select("actor", "ops", "c", (F.col("tripped_at").isNotNull() & (F.col("cleared_at").isNull() | (F.col("tripped_at") >= F.col("cleared_at")))).alias("tripped"))

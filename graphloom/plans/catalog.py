@@ -23,7 +23,7 @@ from graphloom.operators import regressions as reg
 from graphloom.operators import resolution as res
 from graphloom.operators import sessions as ses
 from graphloom.operators import syntax_context as syn
-from graphloom.plans import change_streams, round_trips
+from graphloom.plans import change_streams, round_trips, tag_files
 from graphloom.plans.inputs import oracle, relation
 
 RESOLVED = "EXISTS (SELECT 1 FROM {call_target} t WHERE t.site_id = s.site_id AND t.method <> 'name-match')"
@@ -206,13 +206,6 @@ def dir_entries(r):
     return r("part").select("p_brand", F.concat(name, (F.col("p_partkey") % 40).cast("string")).alias("name"), F.concat(F.lit("part:"), "p_partkey").alias("id")).withColumnRenamed("p_brand", "dir")
 
 
-def tag_lines(r):
-    return r("part").select(F.col("p_partkey").alias("line_no"), F.concat(F.when(F.col("p_partkey") % 50 == 0, "bad:").otherwise("sym:"), "p_name").alias("item"), F.array(F.concat(F.lit("brand="), "p_brand"), F.concat(F.when(F.col("p_size") == 7, "kind=").otherwise("type="), "p_type"), F.concat(F.lit("brand="), F.when(F.col("p_size") == 9, F.col("p_brand")).otherwise("none"))).alias("tags"))
-
-
-TAG_LINES = "SELECT p_partkey AS line_no, concat(CASE WHEN p_partkey % 50 = 0 THEN 'bad:' ELSE 'sym:' END, p_name) AS item, [concat('brand=', p_brand), concat(CASE WHEN p_size = 7 THEN 'kind=' ELSE 'type=' END, p_type), concat('brand=', CASE WHEN p_size = 9 THEN p_brand ELSE 'none' END)] AS tags FROM {part}"
-
-
 def tags3(r, extra):
     """A tag set per part; `extra` tells which parts a side has changed."""
     t = r("part").select(F.concat(F.lit("sym:p"), "p_partkey").alias("item"), F.explode(F.array(F.col("p_type"), F.when(F.expr(extra), F.lit("new-" + extra[:9])).otherwise(F.col("p_brand")))).alias("tag"))
@@ -433,13 +426,11 @@ ENTRIES = {
     ),
     "symbol_card": (lambda r: gv.symbol_card(edges(r), r("part").where("p_size = 5").select(F.concat(F.lit("part:"), "p_partkey").alias("id"))), f"SELECT * FROM (SELECT caller AS id, 'calls' AS direction, target AS other, count(DISTINCT site_id) AS sites FROM ({EDGES}) GROUP BY caller, target UNION ALL SELECT target, 'called-by', caller, count(DISTINCT site_id) FROM ({EDGES}) GROUP BY caller, target) WHERE id IN (SELECT concat('part:', p_partkey) FROM {{part}} WHERE p_size = 5)"),
     "orphan_tags": (lambda r: gv.orphan_tags(r("tag"), r("part").where("p_size > 3").select(F.concat(F.lit("part:"), "p_partkey").alias("item"))), "SELECT item, key, value FROM {tag} WHERE item NOT IN (SELECT concat('part:', p_partkey) FROM {part} WHERE p_size > 3)"),
-    "check_tags": (lambda r: gv.check_tags(tag_lines(r)), f"""SELECT line_no, 'reserved-key kind' AS violation FROM ({TAG_LINES}) WHERE starts_with(tags[2], 'kind=') UNION ALL SELECT line_no, 'bad-item' FROM ({TAG_LINES}) WHERE starts_with(item, 'bad:') UNION ALL SELECT line_no, concat('duplicate-item of line ', f) FROM (SELECT line_no, min(line_no) OVER (PARTITION BY item) AS f FROM ({TAG_LINES})) WHERE line_no > f
-      UNION ALL SELECT line_no, 'unsorted' FROM (SELECT line_no, item, lag(item) OVER (ORDER BY line_no) AS p FROM ({TAG_LINES})) WHERE item < p UNION ALL SELECT line_no, concat('duplicate-tag ', tags[1]) FROM ({TAG_LINES}) WHERE tags[1] = tags[3]"""),
     "apply_tag_ops": (lambda r: gv.apply_tag_ops(tags3(r, "FALSE"), r("part").where("p_size = 11").select(F.lit("tag").alias("op"), F.concat(F.lit("sym:p"), "p_partkey").alias("item"), F.lit("extra").alias("arg")).union(r("part").where("p_size = 12").select(F.lit("untag"), F.concat(F.lit("sym:p"), "p_partkey"), F.col("p_type"))).union(r("part").where("p_size = 13").select(F.lit("mv"), F.concat(F.lit("sym:p"), "p_partkey"), F.concat(F.lit("sym:moved/p"), "p_partkey")))), f"SELECT DISTINCT CASE WHEN p_size = 13 THEN concat('sym:moved/p', p_partkey) ELSE item END AS item, tag FROM (SELECT concat('sym:p', p_partkey) AS item, p_partkey, p_size, unnest([p_type, p_brand, CASE WHEN p_size = 11 THEN 'extra' ELSE p_brand END]) AS tag, p_type FROM {{part}}) WHERE NOT (p_size = 12 AND tag = p_type)"),
     "merge_tags": (lambda r: gv.merge_tags(tags3(r, "FALSE"), tags3(r, "p_size % 4 = 0"), tags3(r, "p_size % 6 = 0")), MERGE),
     "union_call_edges": (lambda r: gv.union_call_edges(r("call_site"), r("call_site").where("col % 2 = 0").select("file", "line", "col", F.col("declared_target").alias("callee"), F.lit("vta").alias("method")).distinct(), r("call_site").where("col % 5 = 1").select("site_id", F.concat(F.lit("o"), F.col("line") * 7).alias("name")), r("symbol")), "SELECT *, count(*) OVER (PARTITION BY site_id, method) AS candidates FROM (SELECT s.site_id, e.declared_target AS target, 'vta' AS method FROM {call_site} s JOIN {call_site} e ON e.file = s.file AND e.line = s.line AND e.col = s.col AND e.col % 2 = 0 UNION SELECT s.site_id, y.id, 'name-match' FROM {call_site} s JOIN {symbol} y ON string_split(y.name, '.')[-1] = concat('o', s.line * 7) WHERE s.col % 5 = 1)"),
+    "name_candidates": (lambda r: gv.name_candidates(r("call_site").select("site_id", F.concat(F.lit("o"), F.col("line") * 7).alias("name")), r("symbol")), "SELECT s.site_id, concat('o', s.line * 7) AS name, y.n AS candidates FROM {call_site} s JOIN (SELECT string_split(name, '.')[-1] AS name, count(DISTINCT id) AS n FROM {symbol} GROUP BY 1) y ON y.name = concat('o', s.line * 7)"),
     "change_facets": (lambda r: gv.change_facets(chg.snapshot_diff(r("snapshot_old"), r("snapshot_new"))), "SELECT concat('file:', path) AS item, k AS key, CASE k WHEN 'change' THEN kind ELSE string_split(path, '/')[1] END AS value FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'created' WHEN b.path IS NULL THEN 'deleted' WHEN a.is_dir <> b.is_dir OR NOT b.is_dir AND (a.len <> b.len OR a.modified <> b.modified) THEN 'changed' END AS kind FROM {snapshot_old} a FULL JOIN {snapshot_new} b ON a.path = b.path), (VALUES ('change'), ('dir')) AS v(k) WHERE kind IS NOT NULL"),
-    "decay_guard": (lambda r: gv.decay_guard(r("events").select(F.col("user_id").alias("actor"), F.col("ts").cast("timestamp").cast("double").alias("ts"), F.col("event_id").alias("op_id")), 86_400.0, 3.0).withColumn("c", F.round("c", 6)), "SELECT user_id AS actor, count(*) AS ops, round(sum(pow(2.0, -(m - t) / 86400.0)), 6) AS c, sum(pow(2.0, -(m - t) / 86400.0)) >= 3.0 AS tripped FROM (SELECT user_id, epoch_us(ts) / 1e6 AS t, max(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id) AS m FROM {events}) GROUP BY user_id"),
     # Syntax context
     "control_context": (lambda r: syn.control_context(sites_at(r), nodes(r), r("control_kind"), ("function_item",)).select("site_id", F.array_join("controls", ",").alias("controls")), f"""SELECT s.site_id, coalesce(string_agg(k.control, ',' ORDER BY n.start DESC, n.end_at, n.node_id), '') AS controls FROM ({SITES_AT}) s LEFT JOIN (SELECT * FROM (SELECT s.site_id, n.start AS def_start, n.end_at AS def_end, row_number() OVER (PARTITION BY s.site_id ORDER BY n.start DESC, n.end_at) AS k FROM ({SITES_AT}) s JOIN {{node}} n ON n.file = s.file AND n.start <= at_ AND at_ < n.end_at AND n.kind = 'function_item') WHERE k = 1) d ON d.site_id = s.site_id
       LEFT JOIN (SELECT n.*, k.control FROM {{node}} n JOIN {{control_kind}} k ON k.kind = n.kind) n ON n.file = s.file AND n.start <= at_ AND at_ < n.end_at AND (def_start IS NULL OR n.start > def_start OR n.start = def_start AND n.end_at < def_end) LEFT JOIN {{control_kind}} k ON k.kind = n.kind GROUP BY s.site_id"""),
@@ -467,8 +458,8 @@ def _query(build):
 
 
 def queries() -> dict:
-    return {name: _query(build) for name, (build, _) in (ENTRIES | round_trips.ENTRIES | change_streams.ENTRIES).items()}
+    return {name: _query(build) for name, (build, _) in (ENTRIES | round_trips.ENTRIES | change_streams.ENTRIES | tag_files.ENTRIES).items()}
 
 
 def oracle_sql() -> dict:
-    return {name: oracle(sql) for name, (_, sql) in ENTRIES.items() if sql} | round_trips.oracle_sql() | change_streams.oracle_sql()
+    return {name: oracle(sql) for name, (_, sql) in ENTRIES.items() if sql} | round_trips.oracle_sql() | change_streams.oracle_sql() | tag_files.oracle_sql()

@@ -1,12 +1,13 @@
-"""Registered queries over file changes: coalescing in a stream and in a table."""
+"""Registered queries over file changes and bursts of them: coalescing and the guard, in a stream and in a table."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.operators import graph_views
 from graphloom.plans.inputs import oracle
 from graphloom.plans.round_trips import streamed
-from graphloom.streaming import coalesce
+from graphloom.streaming import coalesce, guards
 
 #: Quiet window, longest wait and cap of a lock, in milliseconds.
 WINDOWS = (60_000, 600_000, 1_800_000)
@@ -41,9 +42,31 @@ def coalesce_stream(r):
     return coalesce.batches(streamed(r, events.unionByName(end), lambda s: coalesce.coalesce_stream(s, *WINDOWS), coalesce.OUTPUT))
 
 
+#: Half-life in seconds, and the count at which the guard trips.
+GUARD = (86_400.0, 3.0)
+#: Each op with the count before it, by all pairs of an actor's ops; rank is the order of ops.
+GUARDED = """WITH o AS (SELECT user_id, event_id, TIME AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS n FROM {events}),
+  c AS (SELECT b.user_id, b.event_id, b.t, b.n, sum(pow(2.0, -(b.t - a.t) / 86400.0)) AS c FROM o a JOIN o b ON b.user_id = a.user_id AND a.n <= b.n GROUP BY ALL),
+  g AS (SELECT *, coalesce(max(CASE WHEN c >= 3.0 THEN n END) OVER w, 0) AS tripped_at, coalesce(max(CASE WHEN c - 1 < 0.75 THEN n END) OVER w, 0) AS cleared_at FROM c WINDOW w AS (PARTITION BY user_id ORDER BY n))
+  """
+BY_US, BY_MS = GUARDED.replace("TIME", "epoch_us(ts) / 1e6"), GUARDED.replace("TIME", "(epoch_us(ts) // 1000) / 1e3")
+
+
+def ops(r):
+    return r("events").select(F.col("user_id").alias("actor"), F.col("ts").cast("timestamp").cast("double").alias("ts"), F.col("event_id").alias("op_id"))
+
+
+def guard_stream(r):
+    rows = r("events").select(F.col("user_id").cast("string").alias("actor"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("op_id"))
+    return streamed(r, rows, lambda s: guards.decay_guard(s, GUARD[0] * 1000, GUARD[1]), "actor string, ts_ms long, c double, tripped boolean").withColumn("c", F.round("c", 6))
+
+
 ENTRIES = {
     "coalesce_batch": (lambda r: coalesce.coalesce_batch(watched(r), *WINDOWS), COALESCED),
     "coalesce_stream": (coalesce_stream, COALESCED),
+    "guarded_ops": (lambda r: graph_views.guarded(ops(r), *GUARD).select("actor", "op_id", F.round("c", 6).alias("c"), "tripped"), f"{BY_US} SELECT user_id AS actor, event_id AS op_id, round(c, 6) AS c, tripped_at > 0 AND tripped_at >= cleared_at AS tripped FROM g"),
+    "decay_guard": (lambda r: graph_views.decay_guard(ops(r), *GUARD).withColumn("c", F.round("c", 6)), f"{BY_US} SELECT user_id AS actor, max(n) AS ops, round(max_by(c, n), 6) AS c, max_by(tripped_at > 0 AND tripped_at >= cleared_at, n) AS tripped FROM g GROUP BY user_id"),
+    "guard_stream": (guard_stream, f"{BY_MS} SELECT CAST(user_id AS VARCHAR) AS actor, CAST(round(t * 1000) AS BIGINT) AS ts_ms, round(c, 6) AS c, tripped_at > 0 AND tripped_at >= cleared_at AS tripped FROM g"),
 }
 
 

@@ -44,6 +44,9 @@ RELATIONS = {
     "mark": """SELECT conv_id * 1000 AS ts_ms, concat('step', conv_id) AS step FROM (SELECT DISTINCT conv_id FROM {conversations} WHERE conv_id % 10 = 3) AS t""",
     "tag": """SELECT concat('part:', p_partkey) AS item, 'brand' AS key, p_brand AS value FROM {part} UNION ALL SELECT concat('part:', p_partkey), 'type', p_type FROM {part}
         UNION ALL SELECT concat('part:', p_partkey), 'size', CAST(p_size AS VARCHAR(20)) FROM {part} UNION ALL SELECT concat('part:', l_partkey), 'flag', l_returnflag FROM {lineitem} WHERE l_quantity > 45 GROUP BY l_partkey, l_returnflag""",
+    "tag_line": """SELECT p_partkey * 3 + p_partkey % 2 AS line_no, CASE p_partkey % 29 WHEN 0 THEN 'dir:src' WHEN 1 THEN concat('sym:', p_name) WHEN 2 THEN concat('file:./src/', p_partkey) WHEN 3 THEN concat('file:src//', p_partkey)
+          WHEN 4 THEN concat('file:/src/', p_partkey) WHEN 5 THEN concat('file:src/../', p_partkey) WHEN 6 THEN 'file:' ELSE concat('file:src/', lpad(CAST(p_partkey - CASE WHEN p_partkey % 31 = 0 THEN 40 ELSE 0 END AS VARCHAR(20)), 9, '0'), '.rs') END AS item,
+        CASE WHEN p_size = 5 THEN '' ELSE concat('area=', p_brand, '|', CASE p_size WHEN 7 THEN 'kind=function' WHEN 8 THEN 'a<b' WHEN 9 THEN 'owner=core' WHEN 11 THEN 'area=x/y' ELSE concat('type=', p_type) END, CASE p_size WHEN 9 THEN '|owner=core' WHEN 13 THEN '|kind=a|kind=b' ELSE '' END) END AS tags FROM {part}""",
     "symbol_string": """SELECT CASE WHEN p_partkey % 6 = 0 THEN concat('local ', p_partkey) WHEN p_partkey % 6 = 1 THEN concat('rust-analyzer cargo my-shop 1.0 ', replace(lower(p_brand), '#', '_'), '/Item#') WHEN p_partkey % 6 = 2 THEN concat('rust-analyzer cargo my-shop 1.0 ', replace(lower(p_brand), '#', '_'), '/Item#run().')
         WHEN p_partkey % 6 = 3 THEN concat('scip-go gomod shop . `a/', replace(lower(p_brand), '#', '_'), '`/Item#') WHEN p_partkey % 6 = 4 THEN concat('scip-go gomod shop . `a/', replace(lower(p_brand), '#', '_'), '`/item().') ELSE concat('rust-analyzer cargo my-shop 1.0 ', replace(lower(p_brand), '#', '_'), '/Item.') END AS symbol, p_partkey AS n FROM {part}""",
     "node": """SELECT concat('c', o_custkey) AS file, o_orderkey AS node_id, CAST(datediff('1995', o_orderdate) * 10 AS BIGINT) AS start, CAST(datediff('1995', o_orderdate) * 10 + 200 + o_orderkey % 2000 AS BIGINT) AS end_at,

@@ -11,6 +11,7 @@ from graphloom.operators import attribution as att
 from graphloom.operators import changes as chg
 from graphloom.operators import expansion as exp
 from graphloom.operators import facets as fac
+from graphloom.operators import folds
 from graphloom.operators import graph_views as gv
 from graphloom.operators import names as nam
 from graphloom.operators import quality_checks as chk
@@ -178,7 +179,7 @@ def test_checks(spark):
 
 @pytest.mark.parametrize(("a", "b", "both"), [("created", "changed", "created"), ("created", "deleted", "none"), ("changed", "changed", "changed"), ("changed", "deleted", "deleted"), ("deleted", "created", "changed"), ("deleted", "deleted", "deleted"), ("created", "created", "created"), ("changed", "created", "created"), ("deleted", "changed", "changed")])
 def test_merge_kinds(spark, a, b, both):
-    assert one(spark, chg.merge_kinds(F.lit(a), F.lit(b))) == both
+    assert one(spark, folds.state_of(folds.compose(folds.table_of(F.lit(a)), folds.table_of(F.lit(b))))) == both
 
 
 def test_changes(spark):
