@@ -116,25 +116,20 @@ def line_offsets(files: DataFrame) -> DataFrame:
 
 def byte_offset(lines: DataFrame, positions: DataFrame, encoding: str = "utf-8") -> DataFrame:
     """positions: path, line, column in bytes (utf-8) or UTF-16 units. Adds `byte`; null past the end of the line, or
-    inside a character for UTF-16 units."""
+    inside a character."""
     joined = positions.join(lines, ["path", "line"], "left")
+    return joined.withColumn("byte", F.col("offset") + byte_in_line(F.col("text"), F.col("column"), encoding)).drop("text", "offset")
+
+
+def byte_in_line(text: Column, column: Column, encoding: str = "utf-8") -> Column:
+    """The bytes before a column of a line, null past its end. In UTF-16 the units before the column are decoded by
+    themselves; it is null where the last of them opens a pair, inside a character."""
     if encoding == "utf-8":
-        return joined.withColumn("byte", F.when(F.col("column") <= F.octet_length("text"), F.col("offset") + F.col("column"))).drop("text", "offset")
-
-    @F.pandas_udf("long")
-    def units(text, column):
-        import pandas as pd
-
-        out = []
-        for t, c in zip(text, column, strict=True):
-            raw = t.encode("utf-16-le") if t is not None else None
-            try:
-                out.append(len(raw[: 2 * int(c)].decode("utf-16-le").encode()) if raw is not None and 2 * c <= len(raw) else None)
-            except UnicodeDecodeError:
-                out.append(None)
-        return pd.Series(out, dtype="Int64")
-
-    return joined.withColumn("byte", F.col("offset") + units("text", "column")).drop("text", "offset")
+        return F.when((column >= 0) & (column <= F.octet_length(text)), column)
+    units = F.encode(text, "UTF-16BE")
+    opens = F.hex(F.substring(units, 2 * column - 1, F.lit(1))).between("D8", "DB") & (column > 0)
+    inside = (column >= 0) & (2 * column <= F.octet_length(units)) & ~opens
+    return F.when(inside, F.octet_length(F.decode(F.when(inside, F.substring(units, F.lit(1), 2 * column)), "UTF-16BE")))
 
 
 def json_path(value: Column, path: str) -> Column:

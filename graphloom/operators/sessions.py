@@ -101,6 +101,44 @@ def gap_verdicts(exchanges: DataFrame) -> DataFrame:
     return n.select("method", F.when(F.col("answered") == 0, "NOT OBSERVED").when(F.col("answered") == F.col("unknown"), "CONFIRMED").otherwise("REFUTED").alias("verdict"))
 
 
+#: Requests of a server of which a report tells whether the client knows them (fixed values).
+SERVER_REQUESTS = ("client/registerCapability", "window/workDoneProgress/create", "workspace/configuration")
+WATCHED_FILES = "workspace.didChangeWatchedFiles"
+
+
+def session_verdicts(messages: DataFrame) -> DataFrame:
+    """session, check, verdict, detail of each session of messages (session, pos, sender, kind, method, id, msg as JSON).
+    The checks: the client doesn't say that it can watch files; its root is null; each of SERVER_REQUESTS is answered as
+    unknown; no opened document is changed after it was opened. Sessions are told apart by extremes and counts, so none
+    is gathered."""
+    rows = messages.withColumn("msg", F.try_parse_json("msg"))
+    client, said = F.col("sender") == "client", lambda m: (F.col("method") == m)
+    sessions = messages.select("session").distinct()
+
+    first = rows.where(client & said("initialize")).groupBy("session").agg(F.min_by(F.to_json("msg"), "pos").alias("init"))
+    at = lambda p: F.try_variant_get(F.parse_json("init"), "$.params." + p, "variant")
+    watched, root, none = at("capabilities." + WATCHED_FILES), at("rootUri"), F.lit(None).cast("string")
+    checks = sessions.join(first, "session", "left").select("session", F.explode(F.array(
+        F.struct(F.lit(WATCHED_FILES).alias("check"), F.when(F.col("init").isNull(), "NOT OBSERVED").when(watched.isNull(), "CONFIRMED").otherwise("REFUTED").alias("verdict"), F.coalesce(F.to_json(watched), F.when(F.col("init").isNull(), "no initialize").otherwise("absent")).alias("detail")),
+        F.struct(F.lit("rootUri").alias("check"), F.when(F.col("init").isNull(), "NOT OBSERVED").when(root.isNull() | F.is_variant_null(root), "CONFIRMED").otherwise("REFUTED").alias("verdict"), F.coalesce(F.to_json(root), F.when(F.col("init").isNull(), "no initialize").otherwise("absent")).alias("detail")),
+    )).alias("c")).select("session", "c.*")
+
+    code = F.try_variant_get("msg", "$.error.code", "long")
+    answers = rows.where((F.col("kind") == "response") & client).groupBy("session", "id").agg(F.min_by(F.coalesce(code == int(METHOD_NOT_FOUND), F.lit(False)), "pos").alias("unknown"))
+    asked = rows.where((F.col("kind") == "request") & (F.col("sender") == "server") & F.col("method").isin(*SERVER_REQUESTS)).select("session", "id", "method")
+    counts = asked.join(answers, ["session", "id"], "left").groupBy("session", "method").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("unknown")).alias("unknown"))
+    every = sessions.select("session", F.explode(F.array(*map(F.lit, SERVER_REQUESTS))).alias("method")).join(counts, ["session", "method"], "left")
+    part = F.concat_ws(" of ", F.col("unknown").cast("string"), F.col("n").cast("string"))
+    requests = every.select("session", F.col("method").alias("check"), F.when(F.col("n").isNull(), "NOT OBSERVED").when(F.col("n") == F.col("unknown"), "CONFIRMED").otherwise("REFUTED").alias("verdict"), F.when(F.col("n").isNull(), none).otherwise(part).alias("detail"))
+
+    uri = F.coalesce(F.try_variant_get("msg", "$.params.textDocument.uri", "string"), F.lit(""))
+    opened = rows.where(client & F.col("method").isin("textDocument/didOpen", "textDocument/didChange")).groupBy("session", uri.alias("uri")).agg(F.min(F.when(said("textDocument/didOpen"), F.col("pos"))).alias("open"), F.max(F.when(said("textDocument/didChange"), F.col("pos"))).alias("change"))
+    changed = opened.where("open IS NOT NULL").groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("change") > F.col("open")).alias("changed"))
+    part = F.concat_ws(" of ", F.col("changed").cast("string"), F.col("n").cast("string"))
+    last = sessions.join(changed, "session", "left").select("session", F.lit("didChange after didOpen").alias("check"), F.when(F.col("n").isNull(), "NOT OBSERVED").when(F.col("changed") == 0, "CONFIRMED").otherwise("REFUTED").alias("verdict"), F.when(F.col("n").isNull(), none).otherwise(part).alias("detail"))
+    return checks.unionByName(requests).unionByName(last)
+
+
 def lifecycle_events(events: DataFrame) -> DataFrame:
     """ts_ms, event, value of the starts, ends of streams, exits and malformed streams of a session, to be read in the
     order of ts_ms."""

@@ -23,7 +23,7 @@ from graphloom.operators import regressions as reg
 from graphloom.operators import resolution as res
 from graphloom.operators import sessions as ses
 from graphloom.operators import syntax_context as syn
-from graphloom.plans import change_streams, round_trips, tag_files
+from graphloom.plans import change_streams, reports, round_trips, tag_files
 from graphloom.plans.inputs import oracle, relation
 
 RESOLVED = "EXISTS (SELECT 1 FROM {call_target} t WHERE t.site_id = s.site_id AND t.method <> 'name-match')"
@@ -307,7 +307,6 @@ ENTRIES = {
     "declares_function": (lambda r: r("source_line").select("doc_id", txt.declares_function(F.lit("python"), F.concat(F.when(F.col("doc_id") % 3 == 0, "def ").otherwise("undef "), "text")).alias("declares")), "SELECT doc_id, regexp_matches(concat(CASE WHEN doc_id % 3 = 0 THEN 'def ' ELSE 'undef ' END, text), '(^|[^\\p{L}\\p{N}_])def\\s+[\\p{L}_]') AS declares FROM {source_line}"),
     "is_name": (lambda r: r("source_line").select("doc_id", txt.is_name(F.col("text"), F.lit(40), F.lit(42)).alias("named")), "SELECT doc_id, CASE WHEN length(text) >= 42 THEN regexp_matches(substr(text, 41, 2), '[\\p{L}\\p{N}_]') END AS named FROM {source_line}"),
     "is_called": (lambda r: r("part").select("p_partkey", txt.is_called(F.when(F.col("p_size") % 4 == 0, " (x)").when(F.col("p_size") % 4 == 1, "::<A<B>, C> (x)").when(F.col("p_size") % 4 == 2, "::<A>").otherwise(".x()")).alias("called")), "SELECT p_partkey, p_size % 4 IN (0, 1) AS called FROM {part}"),
-    "byte_offset": (lambda r: txt.byte_offset(txt.line_offsets(r("source_line").select(F.col("doc_id").alias("path"), "text")), r("source_line").select(F.col("doc_id").alias("path"), F.lit(1).alias("line"), F.lit(3).alias("column")), "utf-16").select("path", "byte"), "SELECT doc_id AS path, CASE WHEN len(l) > 1 AND length(l[2]) >= 3 THEN strlen(l[1]) + 1 + strlen(substr(l[2], 1, 3)) END AS byte FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM {source_line})"),
     "json_path": (lambda r: r("events").select("event_id", txt.json_path(F.col("props"), "k").alias("k")), "SELECT event_id, json_extract_string(props, '$.k') AS k FROM {events}"),
     "describe_response": (lambda r: r("events").select("event_id", txt.describe_response(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"error":{"code":-32601,"message":"'), "event_type", F.lit('"}}'))).otherwise(F.concat(F.lit('{"result":'), "props", F.lit("}")))).alias("said")), "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN concat('error -32601 ', event_type) ELSE concat('result ', json(props)) END AS said FROM {events}"),
     "log_failures": (lambda r: txt.log_failures(r("events").select(F.when(F.col("event_type") == "error", F.concat(F.lit("Error: "), "event_id")).when(F.col("event_type") == "view", F.concat(F.lit("Analysis errors: "), F.col("event_id") % 2)).when(F.col("event_type") == "click", F.concat(F.lit("info: skipping file 'f"), "event_id", F.lit("' because it is large"))).otherwise("fine").alias("line"))), "SELECT * FROM (SELECT CASE event_type WHEN 'error' THEN concat('Error: ', event_id) WHEN 'view' THEN concat('Analysis errors: ', event_id % 2) WHEN 'click' THEN concat('info: skipping file ''f', event_id, ''' because it is large') END AS line, CASE event_type WHEN 'click' THEN concat('f', event_id) END AS skipped_file FROM {events} WHERE event_type IN ('error', 'click') OR event_type = 'view' AND event_id % 2 = 1)"),
@@ -458,8 +457,8 @@ def _query(build):
 
 
 def queries() -> dict:
-    return {name: _query(build) for name, (build, _) in (ENTRIES | round_trips.ENTRIES | change_streams.ENTRIES | tag_files.ENTRIES).items()}
+    return {name: _query(build) for name, (build, _) in (ENTRIES | round_trips.ENTRIES | change_streams.ENTRIES | tag_files.ENTRIES | reports.ENTRIES).items()}
 
 
 def oracle_sql() -> dict:
-    return {name: oracle(sql) for name, (_, sql) in ENTRIES.items() if sql} | round_trips.oracle_sql() | change_streams.oracle_sql() | tag_files.oracle_sql()
+    return {name: oracle(sql) for name, (_, sql) in ENTRIES.items() if sql} | round_trips.oracle_sql() | change_streams.oracle_sql() | tag_files.oracle_sql() | reports.oracle_sql()

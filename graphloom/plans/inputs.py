@@ -41,6 +41,11 @@ RELATIONS = {
     "snapshot_new": """SELECT concat('d', c_nationkey, '/f', c_custkey) AS path, c_custkey % 18 = 0 AS is_dir, CAST(CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 50 ELSE c_custkey % 100 END AS BIGINT) AS len, CAST(c_nationkey AS BIGINT) AS modified FROM {customer} WHERE c_custkey % 7 <> 0""",
     "log_message": """SELECT conv_id * 100 + turn AS pos, conv_id * 1000 + turn * 37 AS ts_ms, CASE WHEN role = 'user' THEN 'client' ELSE 'server' END AS sender, CASE WHEN role = 'user' THEN 'request' WHEN role = 'assistant' THEN 'response' ELSE 'notification' END AS kind,
         concat('textDocument/m', conv_id % 7) AS method, concat(CAST(conv_id AS VARCHAR(20)), ':', CAST(turn - turn % 2 AS VARCHAR(20))) AS id, CAST(length(text) AS BIGINT) AS bytes, text AS body FROM {conversations}""",
+    "session_message": """SELECT conv_id AS session, turn AS pos, CASE WHEN turn % 2 = 0 THEN 'client' ELSE 'server' END AS sender, CASE WHEN turn IN (0, 1, 3) THEN 'request' WHEN turn = 2 OR turn = 5 THEN 'response' ELSE 'notification' END AS kind,
+          CASE turn WHEN 0 THEN CASE WHEN conv_id % 5 = 4 THEN 'shutdown' ELSE 'initialize' END WHEN 1 THEN 'workspace/configuration' WHEN 3 THEN CASE WHEN conv_id % 3 = 0 THEN 'client/registerCapability' ELSE 'workspace/configuration' END WHEN 4 THEN CASE WHEN conv_id % 7 = 0 THEN 'textDocument/didChange' ELSE 'textDocument/didOpen' END WHEN 6 THEN CASE WHEN conv_id % 2 = 0 THEN 'textDocument/didChange' ELSE 'textDocument/didOpen' END ELSE '' END AS method,
+          CASE WHEN turn IN (1, 2) THEN '1' WHEN turn = 3 THEN '2' ELSE concat('x', turn) END AS id,
+          translate(CASE WHEN turn = 0 THEN concat('<"params":<"capabilities":<"workspace":<', CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN '"didChangeWatchedFiles":<"dynamicRegistration":true>' ELSE '"didChangeWatchedFiles":null' END, '>>', CASE conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN ',"rootUri":null' ELSE concat(',"rootUri":"file:///p', conv_id, '"') END, '>>')
+            WHEN turn = 2 THEN CASE WHEN conv_id % 2 = 0 THEN '<"error":<"code":-32601,"message":"no">>' ELSE '<"result":null>' END WHEN turn IN (4, 6) THEN concat('<"params":<"textDocument":<"uri":"file:///d', CASE WHEN conv_id % 11 = 0 THEN turn ELSE 0 END, '">>>') ELSE '<>' END, '<>', concat(chr(123), chr(125))) AS msg FROM {conversations}""",
     "mark": """SELECT conv_id * 1000 AS ts_ms, concat('step', conv_id) AS step FROM (SELECT DISTINCT conv_id FROM {conversations} WHERE conv_id % 10 = 3) AS t""",
     "tag": """SELECT concat('part:', p_partkey) AS item, 'brand' AS key, p_brand AS value FROM {part} UNION ALL SELECT concat('part:', p_partkey), 'type', p_type FROM {part}
         UNION ALL SELECT concat('part:', p_partkey), 'size', CAST(p_size AS VARCHAR(20)) FROM {part} UNION ALL SELECT concat('part:', l_partkey), 'flag', l_returnflag FROM {lineitem} WHERE l_quantity > 45 GROUP BY l_partkey, l_returnflag""",

@@ -93,11 +93,6 @@ def appended_targets(r):
     return r("region").sparkSession.read.parquet(to).groupBy("run_id").agg(F.count(F.lit(1)).alias("targets"))
 
 
-def report(r):
-    rows = r("edges_by_year").groupBy("generation").agg(F.sum("edge_count").alias("edges"), F.count(F.lit(1)).alias("files"))
-    return readers.report_json(rows.select("generation", F.struct("edges", "files").alias("totals")))
-
-
 def streamed(r, events, run, schema: str):
     """The rows that a stream over `events`, read from written files in one go, gives."""
     spark, at = events.sparkSession, folder(r, "stream")
@@ -122,7 +117,6 @@ ENTRIES = {
     "file_table": (files, "SELECT n_regionkey AS region, 'text' AS language, concat('sha256:', sha256(s)) AS content_hash, CAST(length(s) AS BIGINT) AS size FROM (SELECT n_regionkey, concat(string_agg(n_name, chr(10) ORDER BY n_name), chr(10)) AS s FROM {nation} GROUP BY n_regionkey)"),
     "publish_generation": (generation, "SELECT t.site_id, t.target, t.method, s.file FROM {call_target} t JOIN {call_site} s ON s.site_id = t.site_id"),
     "write_call_targets": (appended_targets, "SELECT CAST(CASE WHEN method = 'declared' THEN 1 ELSE 2 END AS INT) AS run_id, count(*) AS targets FROM {call_target} GROUP BY 1"),
-    "report_json": (report, "SELECT concat('{{\"generation\":', generation, ',\"totals\":{{\"edges\":', CAST(sum(edge_count) AS BIGINT), ',\"files\":', count(*), '}}}}') AS value FROM {edges_by_year} GROUP BY generation".replace("{{", "{").replace("}}", "}")),
     "filter_stream": (filtered_stream, "SELECT event_id, path, CASE WHEN path = '.git/index.lock' THEN CASE WHEN kind = 'deleted' THEN 'unlock' ELSE 'lock' END ELSE kind END AS kind FROM (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN '.git/index.lock' ELSE substr(path, 2) END AS path, kind FROM {change_event}) WHERE path NOT IN ('p1', 'p7')"),
 }
 
