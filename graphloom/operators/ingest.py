@@ -71,27 +71,120 @@ def symbol_table(defined: DataFrame, targets: DataFrame, parsed: DataFrame) -> D
     return nam.is_external(named, own).select("symbol", "name", "kind", "file", "start_line", "end_line", "modules", "package", "external")
 
 
-def analyze(occ: DataFrame, info: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
-    """symbols, sites, skipped (reason, n) and collisions of a flattened index and its files' texts.
-
-    occ: path, doc_pos, pos, symbol, range, enclosing_range, roles; info: path, doc_pos, pos, symbol, kind; sources: path,
-    text. References go to the innermost definition at their start that is neither a module nor an impl block; lines and
-    columns of sites count from 1. A symbol that can't be parsed fails the analysis."""
-    parsed = checkpointed(sym.parse_symbols(occ.select("symbol").union(info.select("symbol")).distinct()))
-    if (bad := sym.malformed(parsed).first()) is not None:
-        raise BadInput(f"{bad['symbol']}: {bad['error']}")
-    defined = checkpointed(definitions(occ, info, parsed))
-    p, kind = F.col("parsed"), F.col("kind")
-    facts = parsed.join(defined.select("symbol", "kind"), "symbol", "left").select("symbol", usable(p).alias("usable"), sym.is_callable(p, kind).alias("callable"), (sym.is_module(p, kind) | sym.is_impl_block(p)).alias("container"), sym.is_macro(p, kind).alias("macro"), sym.dispatch_class(p).alias("dispatch"))
-
+class Symbols:
+    """What an index says of its symbols: parsed (symbol, parsed), defined (`definitions`) and facts, which judge
+    references: symbol, usable, callable, container (module or impl block), macro, dispatch. A symbol that can't be parsed
+    fails."""
+
+    def __init__(self, occ: DataFrame, info: DataFrame):
+        self.parsed = checkpointed(sym.parse_symbols(occ.select("symbol").union(info.select("symbol")).distinct()))
+        if (bad := sym.malformed(self.parsed).first()) is not None:
+            raise BadInput(f"{bad['symbol']}: {bad['error']}")
+        self.defined = checkpointed(definitions(occ, info, self.parsed))
+        p, kind = F.col("parsed"), F.col("kind")
+        facts = self.parsed.join(self.defined.select("symbol", "kind"), "symbol", "left")
+        self.facts = checkpointed(facts.select("symbol", usable(p).alias("usable"), sym.is_callable(p, kind).alias("callable"), (sym.is_module(p, kind) | sym.is_impl_block(p)).alias("container"), sym.is_macro(p, kind).alias("macro"), sym.dispatch_class(p).alias("dispatch")))
+
+
+def judge(occ: DataFrame, facts: DataFrame, sources: DataFrame) -> DataFrame:
+    """path, doc_pos, pos, symbol, r (the range), roles, caller, is_name and called of each occurrence: all that depends on
+    its file's text and ranges. References go to the innermost definition at their start that is neither a module nor an
+    impl block."""
     decoded = lambda c: att.decode_range(F.lit(None).cast(RANGE), F.col(c))
-    rows = occ.join(facts, "symbol").withColumn("ref_id", F.struct("path", "doc_pos", "pos"))
+    rows = occ.join(facts.select("symbol", "usable", "container"), "symbol").withColumn("ref_id", F.struct("path", "doc_pos", "pos"))
     callers = rows.where(att.is_definition(F.col("roles")) & F.col("usable") & ~F.col("container") & F.col("enclosing_range").isNotNull()).select("path", "symbol", decoded("enclosing_range").alias("r")).select("path", "symbol", "r.*")
     open_ = rows.where(F.col("usable") & ~att.is_definition(F.col("roles"))).select("ref_id", "path", decoded("range").alias("r")).select("ref_id", "path", "r.*")
     inside = att.attribute_innermost(open_.select("ref_id", "path", F.col("start_line").alias("line"), F.col("start_character").alias("character")), callers)
-    judged = rows.join(source_facts(open_, sources), "ref_id", "left").join(inside, "ref_id", "left")
+    told = rows.join(source_facts(open_, sources), "ref_id", "left").join(inside, "ref_id", "left")
+    return told.select("path", "doc_pos", "pos", "symbol", decoded("range").alias("r"), "roles", "caller", "is_name", "called")
+
+
+def conclude(judged: DataFrame, symbols: Symbols) -> dict[str, DataFrame]:
+    """symbols, sites, skipped (reason, n) and collisions of judged occurrences."""
     reason = att.skip_reason(F.when(F.col("usable"), F.col("symbol")).otherwise(att.LOCAL), F.col("roles"), F.col("is_name"), F.col("callable"), F.col("caller").isNotNull())
-    judged = checkpointed(judged.withColumn("reason", reason).select("ref_id", "path", "symbol", decoded("range").alias("r"), "roles", "macro", "dispatch", "called", "caller", "reason"))
-    sites = judged.where("reason IS NULL").select(F.col("ref_id").alias("site_id"), "caller", F.col("path").alias("file"), (F.col("r.start_line") + 1).alias("line"), (F.col("r.start_character") + 1).alias("col"), sym.ref_kind(F.col("macro"), F.col("called")).alias("ref_kind"), F.col("symbol").alias("declared_target"), "dispatch")
-    symbols = symbol_table(defined, sites.select(F.col("declared_target").alias("symbol")), parsed)
-    return {"symbols": symbols, "sites": att.number_sites(sites).drop("site_id"), "skipped": att.skip_counts(judged), "collisions": nam.name_collisions(symbols)}
+    rows = checkpointed(judged.join(symbols.facts, "symbol").withColumn("reason", reason))
+    place = [F.col("path").alias("file"), (F.col("r.start_line") + 1).alias("line"), (F.col("r.start_character") + 1).alias("col")]
+    sites = rows.where("reason IS NULL").select(F.struct("path", "doc_pos", "pos").alias("site_id"), "caller", *place, sym.ref_kind(F.col("macro"), F.col("called")).alias("ref_kind"), F.col("symbol").alias("declared_target"), "dispatch")
+    table = symbol_table(symbols.defined, sites.select(F.col("declared_target").alias("symbol")), symbols.parsed)
+    return {"symbols": table, "sites": att.number_sites(sites).drop("site_id"), "skipped": att.skip_counts(rows), "collisions": nam.name_collisions(table)}
+
+
+def analyze(occ: DataFrame, info: DataFrame, sources: DataFrame) -> dict[str, DataFrame]:
+    """symbols, sites, skipped (reason, n) and collisions of a flattened index and its files' texts.
+
+    occ: path, doc_pos, pos, symbol, range, enclosing_range, roles; info: path, doc_pos, pos, symbol, kind; sources: path,
+    text. Lines and columns of sites count from 1. A symbol that can't be parsed fails the analysis."""
+    symbols = Symbols(occ, info)
+    return conclude(judge(occ, symbols.facts, sources), symbols)
+
+
+def file_states(occ: DataFrame, files: DataFrame) -> DataFrame:
+    """path, content_hash and a digest of the file's occurrences, whatever their order; files: path, content_hash."""
+    row = F.xxhash64("doc_pos", "pos", "symbol", F.to_json("range"), F.to_json("enclosing_range"), "roles")
+    per_file = occ.groupBy("path").agg(F.count(F.lit(1)).alias("occurrences"), F.bit_xor(row).alias("digest"))
+    return files.select("path", "content_hash").join(per_file, "path", "left")
+
+
+#: Tables that a generation keeps for the next one, besides those of its schema.
+STATE = ("judged", "fact", "file_state")
+
+
+def generation(occ: DataFrame, info: DataFrame, sources, files: DataFrame, run: DataFrame, source: str, previous: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """All tables of a generation, ready for publish_generation(), of an index, its files' texts, their file table (path,
+    language, content_hash, size) and the run (one row: run_id, provider, provider_version, args, started_at, finished_at,
+    status).
+
+    With the `previous` generation's tables only some files are judged anew: those whose content or occurrences changed,
+    and those with an occurrence of a symbol of which other facts hold now. The rows of the others are carried forward, and
+    a site that stays where it was keeps its id. The tables equal those of a generation without a previous one, but for the
+    ids. `sources` may be a function that reads the texts of a table of paths (see readers.source_texts): then no others
+    are read."""
+    symbols = Symbols(occ, info)
+    states = checkpointed(file_states(occ, files))
+    if previous is None:
+        judged = judge(occ, symbols.facts, sources(states.select("path")) if callable(sources) else sources)
+    else:
+        names, same = symbols.facts.columns[1:], lambda c: F.col(f"now.{c}").eqNullSafe(F.col(f"was.{c}"))
+        known = states.alias("now").join(previous["file_state"].alias("was"), "path").where(same("content_hash") & same("occurrences") & same("digest")).select("path")
+        pairs = symbols.facts.alias("now").join(previous["fact"].alias("was"), "symbol")
+        other = pairs.where(~F.forall(F.array(*map(same, names)), lambda x: x)).select("symbol")
+        touched = occ.join(other, "symbol", "left_semi").select("path").distinct()
+        kept = checkpointed(known.join(touched, "path", "left_anti"))
+        fresh = lambda df: df.join(kept, "path", "left_anti")
+        texts = sources(fresh(states.select("path"))) if callable(sources) else fresh(sources)
+        judged = previous["judged"].join(kept, "path", "left_semi").unionByName(judge(fresh(occ), symbols.facts, texts))
+    judged = checkpointed(judged)
+    found = conclude(judged, symbols)
+    run_id = run.first()["run_id"]
+    sites = with_ids(found["sites"], previous["call_site"] if previous else None)
+    call_site = sites.select("site_id", F.lit(run_id).cast("int").alias("run_id"), "caller", "file", F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"), "ordinal", "ref_kind", F.lit(None).cast("string").alias("receiver_text"), "declared_target", "dispatch", F.lit(source).alias("source"))
+    call_site = checkpointed(call_site)
+    language = files.select(F.col("path").alias("file"), F.col("language").alias("lang"))
+    symbol = found["symbols"].join(language, "file", "left").select(F.col("symbol").alias("id"), "name", "lang", "kind", "file", "start_line", "end_line", F.lit(None).cast("string").alias("signature"), F.try_element_at("modules", F.lit(-1)).alias("module"), "modules", "package", "external")
+    counts = call_site.groupBy(F.col("file").alias("path")).agg(F.count(F.lit(1)).alias("edge_count"))
+    run_file = files.select("path").join(counts, "path", "left").select(F.lit(run_id).cast("int").alias("run_id"), "path", F.coalesce("edge_count", F.lit(0)).cast("long").alias("edge_count"))
+    return {
+        "run": run, "run_file": run_file, "file": files.select("path", "language", "content_hash", "size"), "symbol": symbol, "call_site": call_site, "call_target": call_site.select("site_id", F.col("declared_target").alias("target"), F.lit("declared").alias("method")),
+        "judged": judged, "fact": symbols.facts, "file_state": states,
+    }
+
+
+def with_ids(sites: DataFrame, previous: DataFrame | None) -> DataFrame:
+    """sites with site_id: that of the previous site of the same caller, place and target, or else consecutive ones above
+    all that were given."""
+    key, order = ["caller", "file", "line", "col", "declared_target"], ["line", "col", "declared_target", "caller"]
+    if previous is None:
+        return att.assign_ids(sites, 0, "file", order, "site_id")
+    old = checkpointed(sites.join(previous.groupBy(*key).agg(F.min("site_id").alias("site_id")), key, "left"))
+    top = previous.agg(F.max("site_id")).first()[0] or 0
+    new = att.assign_ids(old.where("site_id IS NULL").drop("site_id"), top, "file", order, "site_id")
+    return old.where("site_id IS NOT NULL").unionByName(new)
+
+
+def summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """files, symbols, sites and collisions of a generation's tables, in one row."""
+    n = lambda df, c: df.select(F.count(F.lit(1)).alias(c))
+    names = tables["symbol"].groupBy("name").count().where("count > 1")
+    parts = [n(tables["file"], "files"), n(tables["symbol"], "symbols"), n(tables["call_site"], "sites"), n(names, "collisions")]
+    rows = [p.select(F.lit(p.columns[0]).alias("what"), F.col(p.columns[0]).alias("n")) for p in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).groupBy().pivot("what", [p.columns[0] for p in parts]).sum("n")

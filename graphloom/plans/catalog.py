@@ -25,6 +25,7 @@ from graphloom.operators import sessions as ses
 from graphloom.operators import syntax_context as syn
 from graphloom.plans import change_streams, reports, round_trips, tag_files
 from graphloom.plans.inputs import oracle, relation
+from graphloom.sources import snapshots
 
 RESOLVED = "EXISTS (SELECT 1 FROM {call_target} t WHERE t.site_id = s.site_id AND t.method <> 'name-match')"
 BY_MODULE = f"""SELECT f.language, y.package, y.module, count(*) AS call_sites, count(*) FILTER (WHERE {RESOLVED}) AS resolved, count(*) - count(*) FILTER (WHERE {RESOLVED}) AS unresolved
@@ -141,8 +142,11 @@ OWN, OTHER = "rust-analyzer cargo shop 1 ", "rust-analyzer cargo parts 1 "
 
 
 def code_index(r):
+    return ing.analyze(*code_files(r("code_line")))
+
+
+def code_files(c):
     """An index of one file per customer: orders are functions, their lines are calls, values and operators of parts."""
-    c = r("code_line")
     name = F.when(F.col("flag") == "def", F.concat(F.lit("o"), "o_orderkey")).otherwise(F.concat(F.lit("p"), "partkey"))
     text = F.when(F.col("flag") == "def", F.concat(F.lit("fn "), name, F.lit("() {"))).when(F.col("flag") == "A", F.concat(F.lit("  "), name, F.lit("(x);"))).when(F.col("flag") == "N", F.concat(F.lit("  "), name, F.lit(";"))).otherwise("  ++;")
     width = F.when(F.col("flag") == "R", 2).otherwise(F.length(name))
@@ -155,7 +159,23 @@ def code_index(r):
     )
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", text.alias("text")))), lambda x: x["text"]), "\n")
     info = occ.where("roles = 1").select("path", "doc_pos", "pos", "symbol", F.lit("Function").alias("kind"))
-    return ing.analyze(occ, info, c.groupBy("path").agg(whole.alias("text")))
+    return occ, info, c.groupBy("path").agg(whole.alias("text"))
+
+
+def code_generation(c, run_id, previous=None):
+    occ, info, sources = code_files(c)
+    files = sources.select("path", F.lit("rust").alias("language"), F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("content_hash"), F.octet_length("text").cast("long").alias("size"))
+    run = c.sparkSession.range(1).select(F.lit(run_id).alias("run_id"), F.lit("rust").alias("provider"), F.lit("1").alias("provider_version"), F.expr("cast(array() as array<string>)").alias("args"), *[F.timestamp_seconds(F.lit(0)).alias(x) for x in ("started_at", "finished_at")], F.lit("succeeded").alias("status"))
+    return ing.generation(occ, info, sources, files, run, "scip@rust-1", previous)
+
+
+def incremental(r):
+    """A generation published after one of an older tree, in which a tenth of the files had values for calls."""
+    spark, root = r("region").sparkSession, round_trips.folder(r, "incremental")
+    older = F.when((F.crc32("path") % 10 == 0) & (F.col("flag") == "A"), "N").otherwise(F.col("flag"))
+    snapshots.publish_generation(spark, code_generation(r("code_line").withColumn("flag", older), 1), root)
+    snapshots.publish_generation(spark, code_generation(r("code_line"), 2, snapshots.read_generation(spark, root)), root)
+    return snapshots.read_generation(spark, root)
 
 
 def edges(r):
@@ -326,6 +346,15 @@ ENTRIES = {
         f"""SELECT concat('{OWN}o', o_orderkey, '().') AS caller, path AS file, no + 1 AS line, 3 AS col, CASE WHEN flag = 'A' THEN 'call' ELSE 'value' END AS ref_kind, concat('{OTHER}p', partkey, '().') AS declared_target,
               'static' AS dispatch, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY no) AS INT) AS ordinal FROM {{code_line}} WHERE flag IN ('A', 'N')""",
     ),
+    "incremental_sites": (
+        lambda r: incremental(r)["call_site"].select("run_id", "caller", "file", "line", "col", "ordinal", "ref_kind", "declared_target", "dispatch", "source"),
+        f"""SELECT CAST(2 AS INT) AS run_id, concat('{OWN}o', o_orderkey, '().') AS caller, path AS file, no + 1 AS line, 3 AS col, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY no) AS INT) AS ordinal, CASE WHEN flag = 'A' THEN 'call' ELSE 'value' END AS ref_kind,
+              concat('{OTHER}p', partkey, '().') AS declared_target, 'static' AS dispatch, 'scip@rust-1' AS source FROM {{code_line}} WHERE flag IN ('A', 'N')""",
+    ),
+    "generation_run_files": (
+        lambda r: code_generation(r("code_line"), 7)["run_file"],
+        "SELECT CAST(7 AS INT) AS run_id, path, count(*) FILTER (WHERE flag IN ('A', 'N')) AS edge_count FROM {code_line} GROUP BY path",
+    ),
     "ingest_skipped": (lambda r: code_index(r)["skipped"], "SELECT 'operator' AS reason, count(*) AS n FROM {code_line} WHERE flag = 'R' HAVING count(*) > 0"),
     "symbol_table": (
         lambda r: code_index(r)["symbols"],

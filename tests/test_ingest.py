@@ -5,6 +5,7 @@ import pytest
 from graphloom.operators import ingest
 from graphloom.sources.readers import BadInput
 
+# A text, and below it the places of its names, which have every reason for a skip.
 SOURCE = """mod m {
     use crate::f;
     pub fn outer() {
@@ -64,3 +65,84 @@ def test_colliding_names_are_kept_and_told(spark):
 def test_a_broken_symbol_fails(spark):
     with pytest.raises(BadInput, match="broken"):
         ingest.analyze(*index(spark, [("broken", [8, 0, 1], None, 0)]))
+
+
+RUN = "run_id int, provider string, provider_version string, args array<string>, started_at timestamp, finished_at timestamp, status string"
+NAMES = ("run_file", "file", "symbol", "call_site", "call_target")
+
+
+def tree(spark, texts, kinds=()):
+    """An index of files of one function each, `fn NAME() { CALLS }`, with the kinds of symbols; and its file table."""
+    occ, info = [], [(path, 0, n, OWN + s, k) for n, (path, s, k) in enumerate(kinds)]
+    for path, (name, calls) in texts.items():
+        own = OWN + name + "()."
+        occ.append((path, 0, 0, own, [0, 3, 3 + len(name)], [0, 0, 9, 0], 1))
+        info.append((path, 0, 100, own, "Function"))
+        for n, call in enumerate(calls):
+            occ.append((path, 0, n + 1, OWN + call.rstrip("(;") + "().", [n + 1, 2, 2 + len(call.rstrip("(;"))], None, 0))
+    whole = [(path, f"fn {name}() {{\n" + "".join(f"  {c}\n" for c in calls) + "}\n") for path, (name, calls) in texts.items()]
+    sources = spark.createDataFrame(whole, "path string, text string")
+    files = sources.selectExpr("path", "'rust' AS language", "sha2(text, 256) AS content_hash", "cast(length(text) as long) AS size")
+    return spark.createDataFrame(occ, OCC), spark.createDataFrame(info, INFO), sources, files
+
+
+def generation(spark, built, number, previous=None, sources=None):
+    run = spark.createDataFrame([(number, "rust", "1", [], None, None, "succeeded")], RUN)
+    occ, info, texts, files = built
+    return ingest.generation(occ, info, sources or texts, files, run, "scip@rust", previous)
+
+
+def rows_of(df, without=()):
+    return sorted((tuple(r) for r in df.drop(*without).collect()), key=repr)
+
+
+OLD = {"a.rs": ("a", ["f(", "g;", "h("]), "b.rs": ("b", ["f(", "x("]), "c.rs": ("c", ["g("])}
+NEW = {"a.rs": ("a", ["f(", "g(", "k(", "h("]), "b.rs": ("b", ["f(", "x("]), "d.rs": ("d", ["a("])}
+
+
+def test_incremental_generations_equal_whole_ones(spark, tmp_path):
+    from graphloom.sources import snapshots
+
+    root = f"{tmp_path}/gens"
+    snapshots.publish_generation(spark, generation(spark, tree(spark, OLD), 1), root)
+    before = snapshots.read_generation(spark, root)
+    asked = []
+    built = tree(spark, NEW)
+    got = generation(spark, built, 2, before, lambda paths: asked.extend(sorted(r["path"] for r in paths.collect())) or built[2].join(paths, "path", "left_semi"))
+    assert asked == ["a.rs", "d.rs"]
+    snapshots.publish_generation(spark, got, root)
+    got, want = snapshots.read_generation(spark, root), generation(spark, built, 2)
+    for name in NAMES:
+        assert rows_of(got[name], ["site_id"]) == rows_of(want[name], ["site_id"]), name
+    for name in ingest.STATE:
+        assert rows_of(got[name]) == rows_of(want[name]), name
+    ids = lambda t: {(r["file"], r["line"], r["declared_target"]): r["site_id"] for r in t["call_site"].collect()}
+    old, new = ids(before), ids(got)
+    assert all(new[k] == old[k] for k in new.keys() & old.keys()) and len(new.keys() & old.keys()) == 4  # f and g of a.rs, all of b.rs
+    assert min(new[k] for k in new.keys() - old.keys()) > max(old.values()) and len({*new.values()}) == len(new)
+    assert ingest.summary(got).first().asDict() == {"files": 3, "symbols": 8, "sites": 7, "collisions": 0}
+    assert ingest.nam.name_collisions(want["symbol"].select(ingest.F.col("id").alias("symbol"), "name")).isEmpty()
+
+
+def test_other_facts_of_a_symbol_reach_unchanged_files(spark):
+    first = generation(spark, tree(spark, OLD), 1)
+    kinds = [("e.rs", "x().", "Macro")]
+    built, asked = tree(spark, OLD, kinds), []
+    got = generation(spark, built, 2, first, lambda paths: asked.extend(sorted(r["path"] for r in paths.collect())) or built[2].join(paths, "path", "left_semi"))
+    want = generation(spark, built, 2)
+    assert asked == ["b.rs"]
+    assert all(rows_of(got[n], ["site_id"]) == rows_of(want[n], ["site_id"]) for n in NAMES)
+    assert [r["ref_kind"] for r in got["call_site"].where(f"declared_target = '{OWN}x().'").collect()] == ["macro"]
+
+
+def test_texts_are_read_by_name(spark, tmp_path):
+    from graphloom.sources import readers
+
+    for name, text in (("src/a.rs", "fn é"), ("src/b.rs", "b"), ("c d.rs", "c")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    paths = spark.createDataFrame([("src/a.rs",)], "path string")
+    got = readers.source_texts(spark, f"file://{tmp_path}", paths)
+    assert [tuple(r) for r in got.collect()] == [("src/a.rs", "fn é")]
+    assert [f.rsplit("/", 1)[1] for f in got.inputFiles()] == ["a.rs"]
+    assert readers.source_texts(spark, str(tmp_path), paths.limit(0)).count() == 0
