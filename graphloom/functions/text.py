@@ -137,6 +137,12 @@ def json_path(value: Column, path: str) -> Column:
     return F.try_variant_get(F.try_parse_json(value), "$." + path, "string")
 
 
+def json_presence(value: Column, path: str) -> Column:
+    """`absent`, `null` or `present`: what a dotted path of a JSON text holds; absent, too, where the text isn't JSON."""
+    found = F.try_variant_get(F.try_parse_json(value), "$." + path, "variant")
+    return F.when(found.isNull(), "absent").when(F.is_variant_null(found), "null").otherwise("present")
+
+
 def describe_response(body: Column) -> Column:
     """`error <code> <message>`, `result (N bytes)` over 120 bytes, or `result <json>`."""
     v = F.try_parse_json(body)

@@ -76,3 +76,12 @@ def unresolved_by_module(site: DataFrame, target: DataFrame, symbol: DataFrame)
     modules = symbol.select("module").where("module IS NOT NULL").distinct()
     zero = F.lit(0).cast("long")
     return modules.join(per, "module", "left").select("module", F.coalesce("unresolved", zero).alias("unresolved"), F.coalesce("call_sites", zero).alias("call_sites"))
+
+
+def unresolved_list(site: DataFrame, target: DataFrame, symbol: DataFrame) -> DataFrame:
+    """module, file, line, caller, declared_target, dispatch, candidates: the sites that unresolved_by_module counts, with
+    how many guesses each has; sort by module, file and line to print them."""
+    guesses = target.groupBy("site_id").agg(F.count(F.lit(1)).alias("candidates"), F.bool_or(F.col("method") != "name-match").alias("known"))
+    callers = symbol.select(F.col("id").alias("caller"), "module")
+    rows = site.join(guesses, "site_id", "left").where("NOT coalesce(known, false)").join(callers, "caller").where("module IS NOT NULL")
+    return rows.select("site_id", "module", "file", "line", "caller", "declared_target", "dispatch", F.coalesce("candidates", F.lit(0)).alias("candidates"))

@@ -23,7 +23,7 @@ from graphloom.operators import regressions as reg
 from graphloom.operators import resolution as res
 from graphloom.operators import sessions as ses
 from graphloom.operators import syntax_context as syn
-from graphloom.plans import change_streams, reports, round_trips, tag_files
+from graphloom.plans import change_streams, details, reports, round_trips, tag_files
 from graphloom.plans.inputs import oracle, relation
 from graphloom.sources import snapshots
 
@@ -221,11 +221,6 @@ def arguments(r):
     return strings.unionByName(mixed)
 
 
-def dir_entries(r):
-    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
-    return r("part").select("p_brand", F.concat(name, (F.col("p_partkey") % 40).cast("string")).alias("name"), F.concat(F.lit("part:"), "p_partkey").alias("id")).withColumnRenamed("p_brand", "dir")
-
-
 def tags3(r, extra):
     """A tag set per part; `extra` tells which parts a side has changed."""
     t = r("part").select(F.concat(F.lit("sym:p"), "p_partkey").alias("item"), F.explode(F.array(F.col("p_type"), F.when(F.expr(extra), F.lit("new-" + extra[:9])).otherwise(F.col("p_brand")))).alias("tag"))
@@ -315,8 +310,6 @@ ENTRIES = {
     "merge_definitions": (lambda r: nam.merge_definitions(r("occurrence").select("symbol", "pos", "path", F.when(F.col("character") > 10, F.col("kind")).alias("kind")), r("occurrence").where("roles = 1").select("symbol", "pos", "path", F.col("line").alias("start_line"), (F.col("line") + 2).alias("end_line"))), """SELECT coalesce(a.symbol, b.symbol) AS symbol, coalesce(b.path, a.info_file) AS file, a.kind, b.line + 1 AS start_line, b.line + 3 AS end_line FROM (SELECT symbol, arg_min(path, pos) AS info_file, arg_min(CASE WHEN character > 10 THEN kind END, CASE WHEN character > 10 THEN pos END) AS kind FROM {occurrence} GROUP BY symbol) a
       FULL JOIN (SELECT symbol, arg_min(path, pos) AS path, arg_min(line, pos) AS line FROM {occurrence} WHERE roles = 1 GROUP BY symbol) b ON a.symbol = b.symbol"""),
     "is_external": (lambda r: nam.is_external(r("part").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), F.col("p_type").alias("manager"), F.col("p_brand").alias("package")), r("part").where("p_size < 4").select(F.col("p_type").alias("manager"), F.col("p_brand").alias("package"))).select("id", "external"), "SELECT concat('part:', p_partkey) AS id, NOT EXISTS (SELECT 1 FROM {part} q WHERE q.p_size < 4 AND q.p_type = p.p_type AND q.p_brand = p.p_brand) AS external FROM {part} p"),
-    "case_fold_suffixes": (lambda r: nam.case_fold_suffixes(dir_entries(r)), None),
-    "fnv24": (lambda r: r("part").select("p_partkey", nam.fnv24(F.concat(F.lit("part:"), "p_partkey"), (F.col("p_partkey") % 3).cast("int")).alias("hash")), None),
     # Text
     "normalize_path": (lambda r: r("url").select("page_id", txt.normalize_path(F.replace("url", F.lit("/"), F.lit("\\"))).alias("path")), "SELECT page_id, url AS path FROM {url}"),
     "windows_names": (lambda r: r("url").select("page_id", txt.to_windows_name(F.col("url")).alias("name"), (txt.from_windows_name(txt.to_windows_name(F.col("url"))) == F.col("url")).alias("round_trip")), "SELECT page_id, translate(url, '<>:\"|?*', concat(chr(61500), chr(61502), chr(61498), chr(61474), chr(61564), chr(61503), chr(61482))) AS name, TRUE AS round_trip FROM {url}"),
@@ -486,8 +479,8 @@ def _query(build):
 
 
 def queries() -> dict:
-    return {name: _query(build) for name, (build, _) in (ENTRIES | round_trips.ENTRIES | change_streams.ENTRIES | tag_files.ENTRIES | reports.ENTRIES).items()}
+    return {name: _query(build) for name, (build, _) in (ENTRIES | round_trips.ENTRIES | change_streams.ENTRIES | tag_files.ENTRIES | reports.ENTRIES | details.ENTRIES).items()}
 
 
 def oracle_sql() -> dict:
-    return {name: oracle(sql) for name, (_, sql) in ENTRIES.items() if sql} | round_trips.oracle_sql() | change_streams.oracle_sql() | tag_files.oracle_sql() | reports.oracle_sql()
+    return {name: oracle(sql) for name, (_, sql) in ENTRIES.items() if sql} | round_trips.oracle_sql() | change_streams.oracle_sql() | tag_files.oracle_sql() | reports.oracle_sql() | details.oracle_sql()

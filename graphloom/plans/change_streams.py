@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph_views
+from graphloom.operators import changes, graph_views
 from graphloom.plans.inputs import oracle
-from graphloom.plans.round_trips import streamed
+from graphloom.plans.round_trips import folder, streamed
 from graphloom.streaming import coalesce, guards
 
 #: Quiet window, longest wait and cap of a lock, in milliseconds.
@@ -61,9 +61,24 @@ def guard_stream(r):
     return streamed(r, rows, lambda s: guards.decay_guard(s, GUARD[0] * 1000, GUARD[1]), "actor string, ts_ms long, c double, tripped boolean").withColumn("c", F.round("c", 6))
 
 
+def baseline_stream(r):
+    """The changes between two snapshots as flushed batches, two micro-batches of them, applied to the first snapshot."""
+    spark, at = r("region").sparkSession, folder(r, "baselines")
+    flushed = changes.snapshot_diff(r("snapshot_old"), r("snapshot_new")).select(F.lit("r").alias("root"), (F.crc32("path") % 2).alias("flushed_ms"), F.lit(None).cast("string").alias("cause"), "path", "kind")
+    for n in range(2):
+        flushed.where(f"flushed_ms = {n}").coalesce(1).write.parquet(f"{at}/in/{n}")
+    stream = spark.readStream.schema(coalesce.BATCH).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+    coalesce.write_baselines(stream, f"{at}/out", r("snapshot_new"), f"{at}/state", start=r("snapshot_old")).trigger(availableNow=True).start().awaitTermination()
+    return coalesce.read_baseline(spark, f"{at}/out")
+
+
+#: What stays is in both, as a directory; all else is as the new snapshot has it.
+BASELINE = "SELECT b.path, CASE WHEN a.is_dir AND b.is_dir THEN a.is_dir ELSE b.is_dir END AS is_dir, CASE WHEN a.is_dir AND b.is_dir THEN a.len ELSE b.len END AS len, CASE WHEN a.is_dir AND b.is_dir THEN a.modified ELSE b.modified END AS modified FROM {snapshot_new} b LEFT JOIN {snapshot_old} a ON a.path = b.path"
+
 ENTRIES = {
     "coalesce_batch": (lambda r: coalesce.coalesce_batch(watched(r), *WINDOWS), COALESCED),
     "coalesce_stream": (coalesce_stream, COALESCED),
+    "baseline_stream": (baseline_stream, BASELINE),
     "guarded_ops": (lambda r: graph_views.guarded(ops(r), *GUARD).select("actor", "op_id", F.round("c", 6).alias("c"), "tripped"), f"{BY_US} SELECT user_id AS actor, event_id AS op_id, round(c, 6) AS c, tripped_at > 0 AND tripped_at >= cleared_at AS tripped FROM g"),
     "decay_guard": (lambda r: graph_views.decay_guard(ops(r), *GUARD).withColumn("c", F.round("c", 6)), f"{BY_US} SELECT user_id AS actor, max(n) AS ops, round(max_by(c, n), 6) AS c, max_by(tripped_at > 0 AND tripped_at >= cleared_at, n) AS tripped FROM g GROUP BY user_id"),
     "guard_stream": (guard_stream, f"{BY_MS} SELECT CAST(user_id AS VARCHAR) AS actor, CAST(round(t * 1000) AS BIGINT) AS ts_ms, round(c, 6) AS c, tripped_at > 0 AND tripped_at >= cleared_at AS tripped FROM g"),

@@ -56,6 +56,7 @@ RELATIONS = {
         WHEN p_partkey % 6 = 3 THEN concat('scip-go gomod shop . `a/', replace(lower(p_brand), '#', '_'), '`/Item#') WHEN p_partkey % 6 = 4 THEN concat('scip-go gomod shop . `a/', replace(lower(p_brand), '#', '_'), '`/item().') ELSE concat('rust-analyzer cargo my-shop 1.0 ', replace(lower(p_brand), '#', '_'), '/Item.') END AS symbol, p_partkey AS n FROM {part}""",
     "node": """SELECT concat('c', o_custkey) AS file, o_orderkey AS node_id, CAST(datediff('1995', o_orderdate) * 10 AS BIGINT) AS start, CAST(datediff('1995', o_orderdate) * 10 + 200 + o_orderkey % 2000 AS BIGINT) AS end_at,
         CASE WHEN o_orderpriority LIKE '1%' THEN 'function_item' WHEN o_orderpriority LIKE '2%' THEN 'if_expression' WHEN o_orderpriority LIKE '3%' THEN 'while_expression' WHEN o_orderpriority LIKE '4%' THEN 'call_expression' ELSE 'block' END AS kind FROM {orders}""",
+    "linked_node": """SELECT file, node_id, start, end_at, kind, lag(node_id) OVER (PARTITION BY file ORDER BY start, node_id) AS parent_id, CASE node_id % 3 WHEN 0 THEN 'body' WHEN 1 THEN 'condition' END AS field FROM {node}""",
     "code_line": """SELECT concat('c', o_custkey, '.rs') AS path, o_orderkey, seq, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, seq) - 1 AS INT) AS no, flag, partkey FROM
         (SELECT o_custkey, o_orderkey, CAST(0 AS BIGINT) AS seq, 'def' AS flag, CAST(NULL AS BIGINT) AS partkey FROM {orders}
          UNION ALL SELECT o_custkey, l_orderkey, site_id % 1000, l_returnflag, CAST(l_partkey AS BIGINT) FROM {line}) AS t""",

@@ -282,16 +282,16 @@ def read_baseline(spark, folder: str, n: int | None = None) -> DataFrame:
     return spark.read.parquet(f"{folder}/{versions(spark, folder)[-1] if n is None else n}")
 
 
-def write_baselines(batches: DataFrame, folder: str, observed: DataFrame, checkpoint: str, keep: int = 2):
-    """A writer that applies each micro-batch of flushed changes to the baseline snapshot: version n is made of the newest
-    version below n, so a replay of micro-batch n after a failure writes the same version again. The newest `keep`
+def write_baselines(batches: DataFrame, folder: str, observed: DataFrame, checkpoint: str, keep: int = 2, start: DataFrame | None = None):
+    """A writer that applies each micro-batch of flushed changes to the baseline snapshot, `start` or an empty one at first:
+    version n is made of the newest version below n, so a replay of micro-batch n after a failure writes the same version again. The newest `keep`
     versions stay, two at least, for a replay needs the one before it."""
     from graphloom.operators.changes import advance_baseline
 
     def apply(df: DataFrame, n: int) -> None:
         spark = df.sparkSession
         before = [v for v in versions(spark, folder) if v < n]
-        baseline = spark.read.parquet(f"{folder}/{before[-1]}") if before else observed.limit(0)
+        baseline = spark.read.parquet(f"{folder}/{before[-1]}") if before else observed.limit(0) if start is None else start
         advance_baseline(baseline, last_changes(df), observed).write.mode("overwrite").parquet(f"{folder}/{n}")
         root = spark._jvm.org.apache.hadoop.fs.Path(folder)
         for old in [*before, n][: -max(keep, 2)]:
