@@ -22,27 +22,29 @@ from pyspark.sql import functions as F
 from graphloom.llm.shared import new_folder
 
 CRLF = "\r\n"
-#: Records of an archive file. A task that reads one holds it compressed and inflates it piece by piece.
-RECORDS_PER_FILE = 4_000
+#: Bytes of payloads in an archive file at most, unless one is longer, and its records. A task that reads a file holds it
+#: compressed and inflates it piece by piece. Payloads over SMALL are written by class of size, each class up to four
+#: times the one before.
+FILE_BYTES, RECORDS_PER_FILE, SMALL = 1 << 30, 4_000, 1 << 18
 #: Bytes that are inflated at a time.
 PIECE = 1 << 20
 
 
 def headers(pages: DataFrame) -> DataFrame:
-    """page_id, payload_digest (hex SHA-1) and payload_bytes, without the payloads."""
+    """page_id, url, payload_digest (hex SHA-1) and payload_bytes, without the payloads."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    return pages.select("page_id", F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+    return pages.select("page_id", "url", F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
 
 
 def resolve(heads: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """The headers that become revisits, one per (page_id, payload_digest), with refers_to.
+    """The headers that become revisits, one per (page_id, payload_digest), with refers_to and the response's refers_url.
 
     Groups are summed before the shuffle, and only groups of several come to the join, whose large partitions Spark
     splits."""
     large = heads.where(F.col("payload_bytes") >= least_bytes)
-    first = large.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    first = large.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.max_by("url", "page_id").alias("refers_url"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
     later = F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to"))
-    return large.join(first, "payload_digest").where(later).select("page_id", "payload_digest", "refers_to").dropDuplicates(["page_id", "payload_digest"])
+    return large.join(first, "payload_digest").where(later).select("page_id", "payload_digest", "refers_to", "refers_url").dropDuplicates(["page_id", "payload_digest"])
 
 
 def record_id(page_id: Column, digest: Column) -> Column:
@@ -53,7 +55,7 @@ def record_id(page_id: Column, digest: Column) -> Column:
 
 
 def record(date: str) -> Column:
-    """A record's text up to its payload's end, from page_id, url, html, payload_digest, payload_bytes, refers_to."""
+    """A record's text up to its payload's end, from page_id, url, html, payload_digest, payload_bytes, refers_to, refers_url."""
     revisit = F.col("revisit")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes"), F.lit(CRLF * 2))
     block = F.when(revisit, http).otherwise(F.concat(http, F.coalesce("html", F.lit(""))))
@@ -68,6 +70,7 @@ def record(date: str) -> Column:
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), record_id(F.col("refers_to"), F.col("payload_digest")))),
         F.when(revisit, F.concat(F.lit("X-Refers-To-Page: "), F.col("refers_to"))),
+        F.when(revisit & F.col("refers_url").isNotNull(), F.concat(F.lit("WARC-Refers-To-Target-URI: "), F.regexp_replace("refers_url", "[\\r\\n]", ""))),
         F.when(revisit, F.lit(f"WARC-Refers-To-Date: {date}")),
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(block)),
@@ -80,12 +83,21 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, date:
     once, by page."""
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     heads = headers(pages)
-    found = resolve(heads, least_bytes).select(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d"), "refers_to")
+    found = resolve(heads, least_bytes).select(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d"), "refers_to", "refers_url")
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     full = pages.select("page_id", "url", "html", F.sha1(payload).alias("payload_digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     rows = full.join(found, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("payload_digest") == F.col("_d")), "left")
     rows = rows.withColumn("revisit", F.col("refers_to").isNotNull())
-    rows.select(record(date).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
+    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0  # one number
+    size, top = F.octet_length(F.coalesce("html", F.lit(""))), SMALL
+    while True:  # one class of sizes for all but very long pages
+        last = largest <= top
+        some = rows if last and top == SMALL else rows.where((size <= top) & (size > (0 if top == SMALL else top // 4)) | (size == 0) & F.lit(top == SMALL))
+        writer = some.select(record(date).alias("value")).write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip")
+        writer.option("maxRecordsPerFile", max(1, min(RECORDS_PER_FILE, FILE_BYTES // top))).text(folder)
+        if last:
+            return
+        top *= 4
 
 
 def inflated(content) -> Iterator[bytes]:
