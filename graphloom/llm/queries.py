@@ -8,6 +8,7 @@ from graphloom.llm import bpe_words, decontamination, html_text, jaccard_join, l
 def queries() -> dict:
     return {
         "op1_quotations": quotations.op1_quotations,
+        "quotations_derived": quotations.quotations_derived,
         "op2_warc": warc.op2_warc,
         "op3_language_id": language_id.op3_language_id,
         "op4_jaccard_join": jaccard_join.op4_jaccard_join,

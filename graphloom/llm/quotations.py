@@ -4,7 +4,8 @@ Lines that begin with '>' marks are quoted, and their number is the nested level
 passages; their normalised text is hashed and joined to the earliest message of the conversation that holds it, as its
 whole own text or as one of its lines. What no message holds so is looked for as a run of tokens (words, ideographs and
 marks) in the messages' own texts, whatever their line breaks: runs of up to 8 tokens meet by themselves, longer ones by
-their 8-token run of least hash, and are then compared. A message replies to the latest message that its level-1 passages come from.
+the 8-token run of theirs that the conversation holds least often, and are then compared. Each text that a conversation
+quotes is looked for once, however many of its messages quote it. A message replies to the latest message that its level-1 passages come from.
 Messages leave in reply order, without quotes: by conversation, by the first message of their thread, by turn.
 
 Defined results: null text is the empty message; a passage that no earlier message of its conversation holds is counted
@@ -52,25 +53,31 @@ def tokens(text: Column) -> Column:
 
 def held_parts(base: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: conv_id, turn, t. Adds part_turn, the earliest turn before whose message's own text holds t's tokens in a
-    row; rows without one go. Only conversations in `wanted` are cut into runs, of the lengths asked for there."""
+    row; rows without one go. Only conversations in `wanted` are cut into runs, of the lengths asked for there. The
+    earliest message of all that holds a text tells it for every turn that wants it, so texts are looked for by
+    conversation, not by turn."""
     run = lambda w, at, k: F.array_join(F.slice(w, at + 1, k), " ")
-    want = wanted.distinct().withColumn("w", tokens(F.col("t"))).withColumn("n", F.size("w")).where("n > 0").withColumn("k", F.least("n", F.lit(ANCHOR)))
-    places = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("k")), lambda i: F.struct(F.xxhash64(run(F.col("w"), i, F.col("k"))).alias("h"), i.alias("at")))
-    want = want.withColumn("at", F.array_min(places)["at"]).withColumn("gram", run(F.col("w"), F.col("at"), F.col("k")))
+    runs = lambda w, k: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: run(w, i, k))
+    want = wanted.select("conv_id", "t").distinct().withColumn("w", tokens(F.col("t"))).withColumn("n", F.size("w")).where("n > 0").withColumn("k", F.least("n", F.lit(ANCHOR)))
     want = staged(want, "quoted-parts")
 
     needs = want.groupBy("conv_id").agg(F.collect_set("k").alias("ks"))  # at most ANCHOR numbers
     held = base.join(needs, "conv_id").select("mid", "conv_id", F.col("turn").alias("part_turn"), "ks", tokens(F.array_join("own", " ")).alias("held"))
     dealt = held.select("mid", "conv_id", "part_turn", "held", F.explode("ks").alias("k")).where(F.size("held") >= F.col("k"))
-    grams = dealt.select("mid", "conv_id", "part_turn", "k", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("held") - F.col("k")), lambda i: run(F.col("held"), i, F.col("k")))).alias("pos", "gram"))
+    grams = dealt.select("mid", "conv_id", "part_turn", "k", F.posexplode(runs(F.col("held"), F.col("k"))).alias("pos", "gram"))
 
     keys = ["conv_id", "k", "gram"]
     firsts = grams.groupBy(*keys).agg(F.min("part_turn").alias("part_turn"))
-    short = want.where(F.col("n") <= ANCHOR).join(firsts, keys).where("part_turn < turn").select("conv_id", "turn", "t", "part_turn")
-    met = want.where(F.col("n") > ANCHOR).join(grams, keys).where("part_turn < turn AND pos >= at")
-    met = met.join(held.select("mid", "held"), "mid").where(F.slice("held", F.greatest(F.col("pos") - F.col("at"), F.lit(0)) + 1, F.col("n")) == F.col("w"))
-    long = met.groupBy("conv_id", "turn", "t").agg(F.min("part_turn").alias("part_turn"))
-    return short.unionByName(long)
+    short = want.where(F.col("n") <= ANCHOR).withColumn("gram", run(F.col("w"), F.lit(0), F.col("k"))).join(firsts, keys).select("conv_id", "t", "part_turn")
+
+    # A longer text meets the messages at its run that is held least often; a run that none holds rules it out.
+    places = grams.where(F.col("k") == ANCHOR).groupBy("conv_id", "gram").agg(F.count(F.lit(1)).alias("places"))
+    long = want.where(F.col("n") > ANCHOR).select("conv_id", "t", F.posexplode(runs(F.col("w"), F.lit(ANCHOR))).alias("at", "gram")).join(places, ["conv_id", "gram"], "left")
+    rarest = long.groupBy("conv_id", "t").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "at", "gram")).alias("anchor")).where("anchor.places > 0")
+    anchored = want.join(rarest, ["conv_id", "t"]).select("conv_id", "t", "w", "n", F.lit(ANCHOR).alias("k"), "anchor.at", "anchor.gram")
+    met = anchored.join(grams, keys).where("pos >= at").join(held.select("mid", "held"), "mid")
+    met = met.where(F.slice("held", F.col("pos") - F.col("at") + 1, F.col("n")) == F.col("w")).groupBy("conv_id", "t").agg(F.min("part_turn").alias("part_turn"))
+    return wanted.distinct().join(short.unionByName(met), ["conv_id", "t"]).where("part_turn < turn").select("conv_id", "turn", "t", "part_turn")
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:
@@ -118,3 +125,20 @@ def link_quotations(messages: DataFrame) -> DataFrame:
 
 def op1_quotations(spark, sf_dir):
     return link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def derived_quotes(conversations: DataFrame) -> DataFrame:
+    """`conversations` whose messages quote the message before them: by turn the whole text, its last line, or its first
+    120 characters in lines of 40, below an announcement or between the message's own lines."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = conversations.withColumn("before", before)
+    first = F.substring("before", 1, 120)
+    pick = F.when(F.col("turn") % 3 == 1, F.col("before")).when(F.col("turn") % 3 == 2, F.element_at(F.split("before", "\n"), -1)).otherwise(F.regexp_replace(first, "(.{40})", "$1\n"))
+    quoted = F.array_join(F.transform(F.split(pick, "\n"), lambda x: F.concat(F.lit("> "), x)), "\n")
+    text = F.when(F.col("before").isNull(), F.col("text")).otherwise(F.concat(F.when(F.col("turn") % 2 == 0, "A wrote:\n").otherwise(""), quoted, F.lit("\n"), F.coalesce("text", F.lit(""))))
+    return rows.withColumn("text", text).drop("before")
+
+
+def quotations_derived(spark, sf_dir):
+    """Linking over messages that do quote: the given table's hold no quotes."""
+    return link_quotations(derived_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet")))

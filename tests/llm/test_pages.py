@@ -45,6 +45,25 @@ def test_warc_round_trip(spark, pages):
     assert len(heads) == len(rows) and all(h["warc-record-id"].startswith("<urn:uuid:") for h in heads)
 
 
+def test_warc_files_are_bounded_by_bytes(spark, pages, tmp_path, monkeypatch):
+    """Several files of one task, each of few bytes of payloads or of one long one; all is read back."""
+    import random
+
+    monkeypatch.setattr(warc, "SMALL", 1_000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 8_000)
+    r = random.Random(3)
+    rows = [(i, f"http://a/{i % 50}", "".join(r.choice("abc ") for _ in range(r.choice([0, 10, 900, 1000, 1001, 3000, 5000, 20_000])))) for i in range(200)] + [(500, "u", "x" * 40_000), (501, "v", "x" * 40_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, f"{tmp_path}/w")
+    got = {x["page_id"]: x for x in warc.read_archives(spark, f"{tmp_path}/w").collect()}
+    assert {i: len(x["payload"]) for i, x in got.items() if i != 500} == {i: len(h) for i, _, h in rows if i != 500} and got[500]["refers_to"] == 501
+    files = [gzip.open(f).read() for f in glob(f"{tmp_path}/w/*.gz")]
+    heads = [[(h, len(b)) for h, b in warc.records([f])] for f in files]
+    assert all(len(x) == 1 or sum(n for _, n in x) < 8_000 + 200 * len(x) for x in heads) and len(heads) > 20
+    revisit = next(h for x in heads for h, _ in x if h["warc-type"] == "revisit")
+    assert revisit["warc-refers-to-target-uri"] == "v"
+
+
 def test_warc_records_in_pieces():
     record = lambda n, body: b"WARC/1.1\r\nX: %d\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (n, len(body), body)
     bodies = [b"", b"\r\n\r\nWARC/1.1", bytes(3_000_000), b"end"]
@@ -387,6 +406,25 @@ def linked_by_scan(rows):
     return sorted(got, key=lambda r: (r[0], r[5], r[1]))
 
 
+def test_quotations_of_a_common_line(spark):
+    """Every turn quotes one phrase, within other words and by itself; the phrase is looked for once."""
+    phrase = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    rows = [(1, 0, "u", f"start {phrase} end")] + [(1, t, "u", f"> {phrase}\nword{t} {phrase} tail{t}\n> {phrase} tail{t - 1}") for t in range(1, 60)]
+    rows += [(2, 0, "u", "x"), (2, 1, "u", f"> {phrase}\nnobody said so {phrase}"), (2, 2, "u", f"> so {phrase}")]
+    got = quotations.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    got = [(x["conv_id"], x["turn"], x["n_quotes"], x["n_linked"], x["parent_turn"], x["root_turn"], x["depth"], x["text"]) for x in got]
+    assert got == linked_by_scan(rows)
+
+
+def test_derived_quotes_link(spark):
+    path = "/root/testdata/sf0.001"
+    if not os.path.isdir(path):
+        pytest.skip("no test tables here")
+    rows = [tuple(r) for r in quotations.derived_quotes(spark.read.parquet(f"{path}/conversations.parquet")).select("conv_id", "turn", "role", "text").collect()]
+    got = [(x["conv_id"], x["turn"], x["n_quotes"], x["n_linked"], x["parent_turn"], x["root_turn"], x["depth"], x["text"]) for x in quotations.quotations_derived(spark, path).collect()]
+    assert got == linked_by_scan(rows) and sum(x[3] for x in got) > len(rows) // 2
+
+
 def test_quotations_of_the_given_conversations(spark):
     """Each turn of the given table quotes turns before it, whole, in part, rewrapped, nested or altered."""
     path = "/root/testdata/sf0.01/conversations.parquet"
