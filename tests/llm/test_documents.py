@@ -506,3 +506,69 @@ def test_held_out_is_by_crc(spark):
 def test_kept_sha_of_nothing(docs):
     got = substring_dedup.remove_repeats(docs).where("doc_id = 6").select(F.sha2("kept", 256)).first()[0]
     assert got == sha256(b"").hexdigest()
+
+
+def grams_by_hand(text):
+    """How often each hashed n-gram of a text occurs, byte by byte."""
+    mask, out = 2**32 - 1, np.zeros(language_id.DIMS)
+    raw = [x if x >= 128 or 97 <= x <= 122 else 32 for x in text.lower().encode()]
+    b = [32]
+    for x in [*raw, 32]:
+        if x != 32 or b[-1] != 32:
+            b.append(x)
+    for i in range(len(b)):
+        two = (b[i] * 0x9E3779B1 + b[i + 1] * 0x85EBCA77) & mask if i + 1 < len(b) else None
+        for h in (b[i] * 0x27D4EB2F & mask, two, (two + b[i + 2] * 0xC2B2AE3D) & mask if i + 2 < len(b) else None):
+            if h is not None:
+                out[((h ^ h >> 15) * 0x2C1B3C6D & mask) >> 20] += 1
+    return out
+
+
+def test_language_id_against_plain_numpy(spark):
+    """Document frequencies, centroids, radii and verdicts of the smallest table, each text taken by itself."""
+    from zlib import crc32
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.isfile(path):
+        pytest.skip("no test tables here")
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(path).select("doc_id", "text", "lang").collect()]
+    held = lambda d: crc32(str(d).encode()) % 5 == 0
+    learn = [(t, lang) for d, t, lang in docs if not held(d) and lang is not None]
+    letter = lambda t: bool(t) and any(c.isalpha() for c in t)
+    tf = {t: grams_by_hand(t) for _, t, _ in docs if t}
+    n, df = sum(1 for t, _ in learn if t), sum((tf[t] > 0).astype(int) for t, _ in learn if t)
+    idf = np.log((1 + n) / (1 + df)) + 1
+    unit = lambda v: np.log1p(v) * idf / max(np.linalg.norm(np.log1p(v) * idf), 1e-12)
+    band = lambda v: min(int(np.log2(max(v.sum(), 1))) // 2, language_id.BANDS - 1)
+    centroids, radius = {}, {}
+    for lang in sorted({lang for _, lang in learn}):
+        x = [unit(tf[t]) for t, own in learn if own == lang and letter(t)]
+        order = sorted(range(len(x)), key=lambda i: x[i].astype(np.float32).tobytes())
+        x = np.stack([x[i] for i in order])
+        c = language_id.spherical_kmeans(x.astype(np.float32), language_id.CENTROIDS).astype(float)
+        near = (x @ c.T).argmax(1)
+        for j in range(len(c)):  # each is the mean of those nearest to it, or was before a last small step
+            mean = x[near == j].mean(0)
+            assert c[j] @ mean / np.linalg.norm(mean) > 0.98
+        cos, bands = [], []
+        for t, own in learn:
+            if own == lang and letter(t):
+                starts = [(crc32(t[:64].encode()) % (len(t) - k), k) for k in language_id.PIECES if k < len(t)]
+                for part in [t, *[t[a : a + k] for a, k in starts if letter(t[a : a + k])]]:
+                    v = grams_by_hand(part)
+                    cos.append(max(c @ unit(v)))
+                    bands.append(band(v))
+        centroids[lang], radius[lang] = c, language_id.radii(np.array(cos), np.array(bands))
+    want = {}
+    for d, t, _ in docs:
+        if not letter(t):
+            want[d] = ("und", 0.0, True)
+            continue
+        score, lang = max((max(c @ unit(tf[t])), lang) for lang, c in centroids.items())
+        want[d] = (lang, min(max(score, 0.0), 1.0), score < radius[lang][band(tf[t])])
+    model = language_id.fit(spark.read.parquet(path).where(~language_id.held_out(F.col("doc_id"))))
+    assert np.allclose(model.idf, idf) and model.languages == [lang for lang, c in centroids.items() for _ in c]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["rejected"]) for r in language_id.identify(spark.read.parquet(path), model).collect()}
+    assert got.keys() == want.keys() and all(got[d][::2] == want[d][::2] and got[d][1] == pytest.approx(want[d][1], abs=1e-5) for d in want)
+    query = {r["doc_id"]: r for r in language_id.op3_language_id(spark, "/root/testdata/sf0.001").collect()}
+    assert all((query[d]["lang_pred"], query[d]["held_out"]) == (want[d][0], held(d)) for d in want)
