@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def shared_folder(spark) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); only where it is unset, a new local one."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset and all runs on this machine, a new local one;
+    on a cluster its lack is an error, for executors don't see each other's folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
