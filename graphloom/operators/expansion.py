@@ -44,8 +44,10 @@ def list_call_sites(site: DataFrame, symbol: DataFrame) -> DataFrame:
 
 
 def list_call_targets(site: DataFrame, target: DataFrame, symbol: DataFrame) -> DataFrame:
+    """site_id, file, line, caller_name, target_name, method, candidates. Targets are dealt by site once, for the window and
+    the join."""
     names = symbol.select("id", "name")
-    rows = candidate_count(target).join(site.select("site_id", "file", "line", "caller"), "site_id")
+    rows = candidate_count(target.repartition("site_id")).join(site.select("site_id", "file", "line", "caller"), "site_id")
     return rows.join(names.toDF("caller", "caller_name"), "caller").join(names.toDF("target", "target_name"), "target").select("site_id", "file", "line", "caller_name", "target_name", "method", "candidates")
 
 

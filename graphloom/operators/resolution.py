@@ -28,9 +28,10 @@ def unresolved_rate(call_sites, unresolved):
 
 
 def resolution_by_module(site: DataFrame, target: DataFrame, file: DataFrame, symbol: DataFrame) -> DataFrame:
-    """language, package, module, call_sites, resolved, unresolved. Null dimensions are groups of their own."""
-    rows = site_dimensions(resolved_flag(site, target), file, symbol)
-    out = rows.groupBy("language", "package", "module").agg(F.count(F.lit(1)).alias("call_sites"), F.count_if("resolved").alias("resolved"))
+    """language, package, module, call_sites, resolved, unresolved. Null dimensions are groups of their own. Sites are summed
+    by caller and file once it is known which are resolved, so the dimensions are joined to sums and not to sites."""
+    sums = resolved_flag(site, target).groupBy("file", "caller").agg(F.count(F.lit(1)).alias("call_sites"), F.count_if("resolved").alias("resolved"))
+    out = site_dimensions(sums, file, symbol).groupBy("language", "package", "module").agg(F.sum("call_sites").alias("call_sites"), F.sum("resolved").alias("resolved"))
     return out.withColumn("unresolved", F.col("call_sites") - F.col("resolved"))
 
 
