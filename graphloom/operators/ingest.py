@@ -45,6 +45,20 @@ def source_facts(refs: DataFrame, sources: DataFrame) -> DataFrame:
     return told.unionByName(far.select("ref_id", *_facts(span, after)))
 
 
+def ranges_in_bytes(occ: DataFrame, sources: DataFrame) -> DataFrame:
+    """Occurrences whose characters count UTF-16 units, with ranges in bytes as the analysis takes them. A place that isn't
+    one of its line's stays as it is. Each place meets its own line, so files of any size are dealt to many tasks."""
+    columns, key = ("range", "enclosing_range"), ["path", "doc_pos", "pos"]
+    whole = lambda c: F.when(F.size(c) == 3, F.array(F.get(c, 0), F.get(c, 1), F.get(c, 0), F.get(c, 2))).when(F.size(c) == 4, F.col(c))
+    ends = F.array(*[F.struct(F.lit(f"{c}{n}").alias("end"), F.get(whole(c), n).alias("line"), F.get(whole(c), n + 1).alias("column")) for c in columns for n in (0, 2)])
+    places = occ.select(*key, F.explode(ends).alias("e")).select(*key, "e.*").where("line IS NOT NULL")
+    met = places.join(txt.line_offsets(sources).drop("offset"), ["path", "line"], "left")
+    met = met.withColumn("column", F.coalesce(txt.byte_in_line(F.col("text"), F.col("column"), "utf-16").cast("int"), "column"))
+    found = met.groupBy(*key).agg(*[F.first(F.when(F.col("end") == f"{c}{n}", F.array("line", "column")), ignorenulls=True).alias(f"{c}{n}") for c in columns for n in (0, 2)])
+    made = {c: F.when(F.col(f"{c}0").isNotNull(), F.concat(f"{c}0", f"{c}2")).otherwise(F.col(c)) for c in columns}
+    return occ.join(found, key, "left").select(*[made.get(c, F.col(c)).alias(c) for c in occ.columns])
+
+
 def usable(p: Column) -> Column:
     """Whether a symbol is global: neither a local nor a parameter."""
     return p["local"].isNull() & ~F.exists(p["descriptors"], lambda d: d["suffix"] == "parameter")

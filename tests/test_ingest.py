@@ -135,6 +135,27 @@ def test_other_facts_of_a_symbol_reach_unchanged_files(spark):
     assert [r["ref_kind"] for r in got["call_site"].where(f"declared_target = '{OWN}x().'").collect()] == ["macro"]
 
 
+def test_ranges_in_utf16(spark):
+    """Names behind characters of two and four bytes, one of them of two UTF-16 units; the same sites as by bytes."""
+    lines = ["fn a() {", "  /* é\U0001f600 */ f(1);", "  \U0001f600\U0001f600g;", "}"]
+    spot = lambda n, name, unit: next(len(lines[n][:i].encode(unit)) // (2 if "16" in unit else 1) for i in range(len(lines[n])) if lines[n].startswith(name, i))
+    own = OWN + "a()."
+
+    def index_in(unit):
+        found = [("a.rs", 0, 0, own, [0, 3, 4], [0, 0, 3, 1], 1), *[("a.rs", 0, n, OWN + name + "().", [n, spot(n, name, unit), spot(n, name, unit) + 1], None, 0) for n, name in ((1, "f"), (2, "g"))]]
+        return spark.createDataFrame([*found, ("a.rs", 0, 9, OWN + "h().", [9, 5, 6], None, 0)], OCC)
+
+    sources = spark.createDataFrame([("a.rs", "\n".join(lines))], "path string, text string")
+    info = spark.createDataFrame([("a.rs", 0, 0, own, "Function")], INFO)
+    units, raw = index_in("utf-16-le"), index_in("utf-8")
+    got = ingest.ranges_in_bytes(units, sources)
+    assert got.columns == raw.columns
+    full = lambda df: sorted((r["pos"], [r["range"][0], r["range"][1], r["range"][2] if len(r["range"]) == 4 else r["range"][0], r["range"][-1]], r["enclosing_range"]) for r in df.collect())
+    assert full(got) == full(raw) != full(units)
+    sites = ingest.analyze(got, info, sources)["sites"]
+    assert sorted((r["line"], r["ref_kind"]) for r in sites.collect()) == [(2, "call"), (3, "value")]
+
+
 def test_texts_are_read_by_name(spark, tmp_path):
     from graphloom.sources import readers
 
