@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import components
-from graphloom.llm.shared import bounded, staged, unstaged
+from graphloom.llm.shared import bounded, give_back, light_batches, staged, unstaged
 from graphloom.llm.tokens import WordEncoder, slices
 from graphloom.llm.wordhash import Runs, mix, words_of
 
@@ -110,6 +110,7 @@ def classes(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         WordEncoder.leave()
+        give_back()
         names, count = ["id", "n", "k1", "k2", "v"], np.zeros(SLOTS, np.int64)
         for batch in batches:
             for part in slices(batch, SLICE):
@@ -140,6 +141,7 @@ def prefixes(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         weight = np.unpackbits(np.frombuffer(packed[0], np.uint8)).astype(np.uint8)
         weight[weight > 0] = np.frombuffer(packed[1], np.uint8)
         seen: set[int] = set()
@@ -239,6 +241,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         for batch in batches:
             for part in slices(batch, SLICE, "ta"):
                 for half in slices(part, SLICE, "tb"):
@@ -372,6 +375,7 @@ def _cells(open_groups: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFram
 
 def link(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id."""
+    light_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     passed = staged(classes(rows), "sets")
     sets = passed.where("n >= 0")

@@ -13,6 +13,8 @@ from graphloom.functions.frames import shared_folder
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 #: Rows of an Arrow batch while a table is staged and in the pipeline: a batch of whole texts stays at some megabytes.
 ARROW_ROWS, ARROW_CONF = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch where rows hold whole texts, of which some may be very long.
+ARROW_BYTES, ARROW_BYTES_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> str:
@@ -22,6 +24,24 @@ def small_batches(spark: SparkSession) -> str:
     return before
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to ARROW_BYTES from here on, besides their rows: a few very long texts don't
+    make a batch of hundreds of megabytes, in the JVM and once more in Python."""
+    spark.conf.set(ARROW_BYTES_CONF, str(ARROW_BYTES))
+
+
+def give_back() -> None:
+    """In a task: memory that this reused worker has freed goes back to the system, as far as its allocators can tell."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
