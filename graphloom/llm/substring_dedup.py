@@ -28,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from graphloom.llm.shared import once, staged, unstaged
-from graphloom.llm.tokens import slices
+from graphloom.llm.shared import give_back, light_batches, once, staged, unstaged
+from graphloom.llm.tokens import WordEncoder, slices
 from graphloom.llm.wordhash import Runs, mix, words_of
 
 #: Words of a window, and of an anchor.
 WINDOW, ANCHOR = 20, 6
 #: Regions that a task combines before they are shuffled, regions in a shard on average, and the most of one anchor
 #: hash that meet in a task (after equal regions are combined where they are made).
-COMBINE, SHARD_REGIONS, HOT_REGIONS = 400_000, 4_000, 20_000
+COMBINE, SHARD_REGIONS, HOT_REGIONS = 250_000, 2_000, 20_000
 
 
 def regions_of(words: np.ndarray, first: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR):
@@ -81,6 +81,8 @@ def anchored(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        WordEncoder.leave()
+        give_back()
         names = ["h", "rh", "id", "th", "lo", "hi", "sure"]
 
         def combined(held):
@@ -210,6 +212,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def cut(batches):
         import pyarrow as pa
 
+        give_back()
         for batch in batches:
             for part in slices(batch):
                 rows = []
@@ -243,6 +246,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with all their columns and n_words, n_removed and kept (the kept words joined by one space)."""
+    light_batches(docs.sparkSession)
     own = docs.columns
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.col("text").alias("text"))
     repeats = rows.groupBy("id").count().where("count > 1").limit(1).count() > 0
@@ -259,6 +263,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        give_back()
         for batch in batches:
             for part in slices(batch):
                 n_words, n_removed, kept = [], [], []
