@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, jaccard_join, language_id, packing, substring_dedup
-from graphloom.llm.shared import once, small_batches, staged
+from graphloom.llm.shared import light_batches, once, small_batches, staged
 
 #: Packing and the learned language model are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -18,6 +18,7 @@ ORACLE_SQL = None
 def identify_language(spark, docs, sf_dir):
     """Documents whose language is told; those without a letter, and those far from every centroid, go."""
     small_batches(spark)
+    light_batches(spark)
     return language_id.identify(docs, language_id.fit(docs)).where("NOT rejected").select(*docs.columns)
 
 
@@ -45,6 +46,7 @@ def decontaminate(spark, docs, sf_dir):
 
 def pack(spark, docs, sf_dir):
     small_batches(spark)
+    light_batches(spark)
     return packing.pack(docs)
 
 
