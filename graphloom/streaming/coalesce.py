@@ -13,6 +13,8 @@ leaves by the side output. The bounded form gives the same batches from a table.
 
 from __future__ import annotations
 
+import heapq
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
@@ -26,6 +28,8 @@ OUTPUT = f"{BATCH}, late_ms long, event_id long"
 DIFF = "array<struct<path:string, kind:string>>"
 #: Events of a part of a bounded table, as far as quiet gaps allow.
 PART_EVENTS = 4096
+#: Held events to an entry of the state, paths that a root's changes keep in memory, and rows to a frame of output.
+RUN_EVENTS, NEAR_PATHS, OUT_ROWS = 256, 10_000, 10_000
 ORDER = ["ts_ms", "event_id", "path", "kind"]
 
 
@@ -104,14 +108,18 @@ class Pending:
 
 
 class StoredChanges:
-    """Pending changes kept in a map state, of which only the paths that events name are read and written."""
+    """Pending changes kept in a map state, of which only the paths that events name are read. Changes stay in memory until
+    store(), or until NEAR_PATHS paths are held; what is flushed before is never written."""
 
     def __init__(self, state, size: int):
-        self.state, self.size, self.near = state, size, {}
+        self.state, self.size, self.stored, self.near, self.dirty = state, size, size > 0, {}, set()
 
     def get(self, path: str) -> str | None:
         if path not in self.near:
-            found = self.state.getValue((path,)) if self.size and self.state.containsKey((path,)) else None
+            if len(self.near) >= NEAR_PATHS:
+                self.store()
+                self.near = {}
+            found = self.state.getValue((path,)) if self.stored and self.state.containsKey((path,)) else None
             self.near[path] = found[0] if found else None
         return self.near[path]
 
@@ -120,21 +128,31 @@ class StoredChanges:
         self.size += before is None
         if kind != before:
             self.near[path] = kind
-            self.state.updateValue((path,), (kind,))
+            self.dirty.add(path)
 
     def pop(self, path: str, _) -> None:
         if self.get(path) is not None:
             self.near[path] = None
-            self.state.removeKey((path,))
+            self.dirty.add(path)
             self.size -= 1
 
     def items(self) -> list[tuple]:
-        return [(k[0], v[0]) for k, v in self.state.iterator()] if self.size else []
+        kept = {k[0]: v[0] for k, v in self.state.iterator()} if self.stored else {}
+        return [x for x in (kept | {p: self.near[p] for p in self.dirty}).items() if x[1] is not None] if self.size else []
 
     def clear(self) -> None:
-        if self.size:
+        if self.stored:
             self.state.clear()
-        self.size, self.near = 0, {}
+        self.size, self.stored, self.near, self.dirty = 0, False, {}, set()
+
+    def store(self) -> None:
+        """Writes what has changed since the last time."""
+        for path in self.dirty:
+            if self.near[path] is not None:
+                self.state.updateValue((path,), (self.near[path],))
+            elif self.stored:
+                self.state.removeKey((path,))
+        self.stored, self.dirty = self.size > 0, set()
 
     def __len__(self) -> int:
         return self.size
@@ -142,45 +160,80 @@ class StoredChanges:
 
 class Coalescer(StatefulProcessor):
     """A root's state: events held until the watermark passes them, pending changes, clocks, and a timer for whichever
-    of the earliest held event and the next flush comes first."""
+    of the earliest held event and the next flush comes first. Held events lie in sorted runs, one to an input batch, cut
+    in parts of RUN_EVENTS; due parts of all runs are merged, and one part of each run is in memory at a time."""
 
     def __init__(self, quiet: int, max_wait: int, lock_cap: int):
         self.limits = quiet, max_wait, lock_cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "ts_ms long, event_id long, path string, kind string", f"diff {DIFF}")
+        self.held = handle.getMapState("held", "run long, part long, first_ms long", "events string")
+        self.runs = handle.getValueState("runs", "n long")
         self.pending = handle.getMapState("pending", "path string", "kind string")
         self.clocks = handle.getValueState("clocks", "first long, last long, lock long, cause string, size int")
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        watermark, earliest, late = timerValues.getCurrentWatermarkInMs(), None, []
+        watermark, earliest = timerValues.getCurrentWatermarkInMs(), None
+        began = run = self.runs.get()[0] if self.runs.exists() else 0
         for part in rows:
-            diffs = part["diff"] if "diff" in part else [None] * len(part)
-            for ts, event, path, kind, diff in zip(part["ts_ms"].tolist(), part["event_id"].tolist(), part["path"], part["kind"], diffs, strict=True):
-                if ts <= watermark:
-                    late.append((key[0], None, None, path, kind, ts, event))
-                    continue
-                self.held.updateValue((ts, event, path or "", kind), (None if diff is None else [(d["path"], d["kind"]) for d in diff],))
-                earliest = ts if earliest is None else min(earliest, ts)
+            late = part["ts_ms"] <= watermark
+            if late.any():
+                yield output([(key[0], None, None, path, kind, ts, event) for ts, event, path, kind in zip(*(part[late][c].tolist() for c in ORDER), strict=True)])
+            events = part[~late].sort_values(ORDER, kind="stable")
+            if len(events):
+                diffs = [None if d is None else [(x["path"], x["kind"]) for x in d] for d in events["diff"]] if "diff" in events else [None] * len(events)
+                events = list(zip(*(events[c].tolist() for c in ORDER), diffs, strict=True))
+                for n, at in enumerate(range(0, len(events), RUN_EVENTS)):
+                    self.held.updateValue((run, n, events[at][0]), (json.dumps(events[at : at + RUN_EVENTS]),))
+                earliest, run = events[0][0] if earliest is None else min(earliest, events[0][0]), run + 1
         if earliest is not None:
             self.handle.registerTimer(earliest)
-        yield output(late)
+        if run > began:
+            self.runs.update((run,))
+
+    def take_part(self, key: tuple, now: int, waiting: list[int]) -> list:
+        """A part's events up to `now`, which leave the state; those after it are held on, from the time put in `waiting`."""
+        events = json.loads(self.held.getValue(key)[0])
+        self.held.removeKey(key)
+        n = next((n for n, e in enumerate(events) if e[0] > now), len(events))
+        if n < len(events):
+            self.held.updateValue((*key[:2], events[n][0]), (json.dumps(events[n:]),))
+            waiting.append(events[n][0])
+        return events[:n]
+
+    def due_events(self, now: int, waiting: list[int]) -> Iterator[list]:
+        """Held events up to `now` in order. Of equal ones the last that came counts."""
+        runs: dict[int, list[tuple]] = {}
+        for run, part, first in sorted(tuple(k) for k in self.held.keys()) if self.held.exists() else []:
+            if first > now:
+                waiting.append(first)
+            else:
+                runs.setdefault(run, []).append((run, part, first))
+        streams = [(e for key in keys for e in self.take_part(key, now, waiting)) for keys in map(tuple, runs.values())]
+        before = None
+        for event in heapq.merge(*streams, key=lambda e: e[:4]):
+            if before is not None and before[:4] != event[:4]:
+                yield before
+            before = event
+        if before is not None:
+            yield before
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        now, out = timerValues.getCurrentWatermarkInMs(), []
+        now, out, waiting = timerValues.getCurrentWatermarkInMs(), [], []
         *clocks, size = self.clocks.get() if self.clocks.exists() else (None, None, None, None, 0)
         pending = Pending(StoredChanges(self.pending, size), tuple(clocks), *self.limits)
-        held = sorted((tuple(k), v[0]) for k, v in self.held.iterator()) if self.held.exists() else []
-        after = next((n for n, (k, _) in enumerate(held) if k[0] > now), len(held))
-        for (ts, event, path, kind), diff in held[:after]:
+        for ts, _, path, kind, diff in self.due_events(now, waiting):
             out += pending.take(ts, path, kind, None if diff is None else [{"path": d[0], "kind": d[1]} for d in diff])
-            self.held.removeKey((ts, event, path, kind))
+            if len(out) >= OUT_ROWS:
+                yield output([(key[0], *row, None, None) for row in out])
+                out = []
         out += pending.advance(now)
+        pending.changes.store()
         self.clocks.update((*pending.clocks(), len(pending.changes)))
-        waits = [x for x in (held[after][0][0] if after < len(held) else None, pending.due()) if x is not None]
-        if waits:
-            self.handle.registerTimer(min(waits))
+        waiting += [x for x in [pending.due()] if x is not None]
+        if waiting:
+            self.handle.registerTimer(min(waiting))
         yield output([(key[0], *row, None, None) for row in out])
 
     def close(self) -> None:

@@ -166,6 +166,61 @@ def test_batch_parts_are_independent(spark, monkeypatch):
         assert sorted(map(tuple, coalesce.coalesce_batch(events, 100, 300, 1500).collect()), key=repr) == want
 
 
+class Kept:
+    """A value or map state that counts its calls."""
+
+    calls = 0
+
+    def __init__(self, *_):
+        self.data = {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            Kept.calls += 1
+            if name in ("updateValue", "update"):
+                self.data[tuple(args[0]) if len(args) > 1 else None] = args[-1]
+                return None
+            if name == "removeKey":
+                return self.data.pop(tuple(args[0]), None)
+            return {"exists": lambda: bool(self.data), "containsKey": lambda k: tuple(k) in self.data, "getValue": lambda k: self.data.get(tuple(k)), "get": lambda: self.data[None], "keys": lambda: list(self.data), "iterator": lambda: list(self.data.items()), "clear": self.data.clear}[name](*args)
+
+        return call
+
+
+class KeptHandle:
+    getMapState = getValueState = lambda self, *_: Kept()
+    registerTimer = lambda self, at: None
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_a_held_event_costs_no_call_of_the_state(monkeypatch):
+    """20,000 events of a root in disorder, some held twice, and a watermark that passes them in two steps."""
+    import random
+
+    import pandas as pd
+
+    monkeypatch.setattr(coalesce, "NEAR_PATHS", 50)
+    r = random.Random(1)
+    rows = [(n * 20, n, f"p{r.randrange(90)}" if n % 7 else "end", r.choice(["created", "changed", "deleted"])) for n in range(1, 20_001)]
+    mixed = r.sample(rows, len(rows)) + rows[:100]
+    one = coalesce.Coalescer(100, 1000, 5000)
+    one.init(KeptHandle())
+    Kept.calls = 0
+    frames = [pd.DataFrame(mixed[at : at + 4000], columns=coalesce.ORDER) for at in range(0, len(mixed), 4000)]
+    out = [f for f in one.handleInputRows(("r",), iter(frames), Clock(0))]
+    for now in (rows[9_000][0], rows[-1][0] + 5000):
+        out += one.handleExpiredTimer(("r",), Clock(now), None)
+    got = [tuple(x) for f in out for x in f[["flushed_ms", "cause", "path", "kind"]].itertuples(index=False)]
+    want = coalesce.Pending({}, None, 100, 1000, 5000)
+    expected = [x for ts, _, path, kind in rows for x in want.take(ts, path, kind)]
+    assert got == expected + want.flush(want.due())
+    assert Kept.calls < 2 * len(rows)  # six and more a held event before, were each an entry
+
+
 def test_baselines_survive_a_restart(spark, tmp_path):
     """A stream that fails after a version is written, and is started again, ends at the baseline of one replay."""
     flushed = [("r", 10, None, "a", "created"), ("r", 10, None, "b", "created")], [("r", 20, None, "a", "deleted"), ("r", 20, None, "c", "changed")], [("r", 30, None, "a", "created"), ("r", 30, "scan", None, None)], [("r", 40, None, "b", "deleted")]
