@@ -298,19 +298,34 @@ def coalesce_batch(events: DataFrame, quiet_ms: int = QUIET_MS, max_wait_ms: int
     rows = rows.withColumn("start", F.when(F.coalesce(starts, F.lit(True)), F.row_number().over(in_order)))
     rows = rows.withColumn("part", F.expr(f"max(start) OVER (PARTITION BY root ORDER BY {', '.join(ORDER)}) DIV {PART_EVENTS}")).drop("unlocks", "start")
 
-    def run(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(ORDER)
-        lock = pdf["lock_ms"].iloc[0]
-        pending, out = Pending({}, (None, None, None if pd.isna(lock) else int(lock), None), quiet_ms, max_wait_ms, lock_cap_ms), []
-        for ts, path, kind, diff in zip(pdf["ts_ms"].tolist(), pdf["path"], pdf["kind"], pdf["diff"], strict=True):
-            out += pending.take(ts, path, kind, diff)
-        if (due := pending.due()) is not None:
-            out += pending.flush(due)
-        return pd.DataFrame([(key[0], *r) for r in out], columns=["root", "flushed_ms", "cause", "path", "kind"])
-
-    return rows.groupBy("root", "part").applyInPandas(run, BATCH)
+    def run(frames):
+        """The parts of a task one after the other; only the pending changes of one are in memory."""
+        of, pending, out = None, None, []
+
+        def ended() -> list[tuple]:
+            due = None if pending is None else pending.due()
+            return [] if due is None else [(of[0], *row) for row in pending.flush(due)]
+
+        for pdf in frames:
+            columns = (pdf[c].tolist() for c in ("root", "part", "ts_ms", "path", "kind"))
+            for root, part, ts, path, kind, lock, diff in zip(*columns, pdf["lock_ms"], pdf["diff"], strict=True):
+                if (root, part) != of:
+                    out += ended()
+                    of, held = (root, part), None if lock is None or lock != lock else int(lock)
+                    pending = Pending({}, (None, None, held, None), quiet_ms, max_wait_ms, lock_cap_ms)
+                out += [(root, *row) for row in pending.take(ts, path, kind, diff)]
+                if len(out) >= OUT_ROWS:
+                    yield batch_rows(out)
+                    out = []
+        yield batch_rows(out + ended())
+
+    return rows.repartition("root", "part").sortWithinPartitions("root", "part", *ORDER).mapInPandas(run, BATCH)
+
+
+def batch_rows(rows: list[tuple]):
+    import pandas as pd
+
+    return pd.DataFrame(rows, columns=["root", "flushed_ms", "cause", "path", "kind"], dtype=object).astype({"flushed_ms": "Int64"})
 
 
 def filter_stream(events: DataFrame, excluded_prefixes: list[str], excluded_components: list[str]) -> DataFrame:

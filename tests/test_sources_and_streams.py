@@ -221,6 +221,20 @@ def test_a_held_event_costs_no_call_of_the_state(monkeypatch):
     assert Kept.calls < 2 * len(rows)  # six and more a held event before, were each an entry
 
 
+def test_a_root_without_gaps_is_read_in_batches(spark):
+    """A root's part that no quiet gap cuts is streamed, not gathered in one group."""
+    rows = [("r", t * 50, f"p{t % 40}", "changed") for t in range(2_000)] + [("s", 0, "a", "created")]
+    got = coalesce.coalesce_batch(watched(spark, rows), 100, 1000)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        found = sorted(map(tuple, got.collect()), key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [("r", at + BASE, c, p, k) for at, c, p, k in replay([x[1:] for x in rows[:-1]], quiet=100, max_wait=1000)]
+    assert found == sorted([*want, ("s", 100 + BASE, None, "a", "created")], key=repr)
+
+
 def test_baselines_survive_a_restart(spark, tmp_path):
     """A stream that fails after a version is written, and is started again, ends at the baseline of one replay."""
     flushed = [("r", 10, None, "a", "created"), ("r", 10, None, "b", "created")], [("r", 20, None, "a", "deleted"), ("r", 20, None, "c", "changed")], [("r", 30, None, "a", "created"), ("r", 30, "scan", None, None)], [("r", 40, None, "b", "deleted")]
