@@ -167,3 +167,34 @@ def test_texts_are_read_by_name(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [("src/a.rs", "fn é")]
     assert [f.rsplit("/", 1)[1] for f in got.inputFiles()] == ["a.rs"]
     assert readers.source_texts(spark, str(tmp_path), paths.limit(0)).count() == 0
+
+
+def test_occurrences_are_dealt_by_symbol_once_and_by_place_once(spark, monkeypatch):
+    """No frame of the analysis shuffles more often than its inputs and those two steps ask for, with nothing broadcast."""
+    shuffles, real = [], ingest.checkpointed
+
+    def counted(df):
+        shuffles.append(df._jdf.queryExecution().sparkPlan().toString().count("Join") + df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return real(df)
+
+    monkeypatch.setattr(ingest, "checkpointed", counted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sites = ingest.analyze(*index(spark))["sites"]
+        assert sites.count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(shuffles) <= 12  # 4 joins and 7 shuffles of all inputs
+
+
+def test_a_generation_without_carried_facts_can_be_followed(spark):
+    """Judged occurrences of a generation that was written before they carried facts of their symbols."""
+    from pyspark.sql import functions as F
+
+    occ, info, sources = index(spark)
+    files = sources.select("path", F.lit("rust").alias("language"), F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size"))
+    run = spark.range(1).select(F.lit(1).alias("run_id"))
+    first = ingest.generation(occ, info, sources, files, run, "scip@x")
+    older = first | {"judged": first["judged"].drop(*ingest.CARRIED)}
+    again = ingest.generation(occ, info, sources, files, run, "scip@x", older)
+    assert sorted(map(tuple, again["call_site"].collect())) == sorted(map(tuple, first["call_site"].collect()))
