@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text
 from graphloom.operators import graph_views, names, resolution, syntax_context
-from graphloom.plans.inputs import oracle
+from graphloom.plans.inputs import lines_once, oracle
 
 
 def hashed(id_: str, attempt: str) -> str:
@@ -54,7 +54,7 @@ ENTRIES = {
     "control_context_fields": (control_fields, CONTROLS),
     "json_presence": (lambda r: r("session_message").select("session", "pos", text.json_presence(F.col("msg"), "params.rootUri").alias("root")), PRESENT),
     "unresolved_list": (lambda r: resolution.unresolved_list(r("call_site"), r("call_target"), r("symbol")), UNRESOLVED),
-    "derive_call_facets": (lambda r: graph_views.derive_call_facets(r("call_site"), r("call_target"), r("symbol")), FACETS),
+    "derive_call_facets": (lambda r: graph_views.derive_call_facets(*map(lines_once(r), ("call_site", "call_target", "symbol"))), FACETS),
 }
 
 

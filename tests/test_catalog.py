@@ -60,3 +60,10 @@ def test_answers_are_whole(spark):
 def test_is_called_reads_long_generics(spark):
     after = F.concat(F.lit("::<"), F.repeat(F.lit("a"), 1_000_100), F.lit(">("))
     assert spark.range(1).select(is_called(after).alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize("name", ["unresolved_rate", "module_edges", "result_set_callgraph", "list_call_targets", "derive_call_facets"])
+def test_lines_are_numbered_once(spark, name):
+    """Sites and targets of a query come from one written table of lines."""
+    plan = catalog.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
