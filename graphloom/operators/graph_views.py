@@ -30,20 +30,21 @@ def derive_facets(file: DataFrame, symbol: DataFrame, site: DataFrame) -> DataFr
 def derive_call_facets(site: DataFrame, target: DataFrame, symbol: DataFrame) -> DataFrame:
     """item, key, value of what calls tell, beside derive_facets: for symbols, calls (each distinct target of their sites,
     expansions included) and each of their `modules` where they have such a list; for sites, kind, line, file, the caller's
-    module, target (each), prov:source and prov:method. A site and its targets are joined once."""
+    module, target (each), prov:source and prov:method. Rows of sites are dealt by site once, where they meet their targets
+    and repeats are dropped; only pairs of a caller and a target are dealt anew."""
     has = lambda c: F.col(c) if c in site.columns else F.lit(None).cast("string")
     modules = symbol.select(F.col("id").alias("caller"), F.col("module").alias("_module"))
-    rows = site.join(modules, "caller", "left").select("site_id", "caller", F.col("line").cast("string").alias("line"), "file", "_module", has("source").alias("source"))
-    at = F.concat(F.lit("site:"), F.col("site_id").cast("string")).alias("item")
+    rows = site.join(modules, "caller", "left").select("site_id", "caller", F.col("line").cast("string").alias("line"), "file", "_module", has("source").alias("source")).repartition("site_id")
     pairs = lambda *kv: F.explode(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in kv])).alias("x")
-    own = rows.select(at, pairs(("kind", F.lit("callsite")), ("line", F.col("line")), ("file", F.col("file")), ("module", F.col("_module")), ("prov:source", F.col("source"))))
-    met = rows.select("site_id", "caller").join(target.select("site_id", "target", "method"), "site_id")
-    each = met.select(at, F.concat(F.lit("sym:"), "caller").alias("caller"), "target", "method")
-    told = each.select("item", pairs(("target", F.col("target")), ("prov:method", F.col("method")))).unionByName(each.select(F.col("caller").alias("item"), pairs(("calls", F.col("target")))))
-    out = own.unionByName(told).select("item", "x.key", "x.value")
+    each = lambda df, *kv: df.select("site_id", pairs(*kv)).select("site_id", "x.*").where("value IS NOT NULL").distinct().select(F.concat(F.lit("site:"), F.col("site_id").cast("string")).alias("item"), "key", "value")
+    own = each(rows, ("kind", F.lit("callsite")), ("line", F.col("line")), ("file", F.col("file")), ("module", F.col("_module")), ("prov:source", F.col("source")))
+    met = rows.join(target.select("site_id", "target", "method"), "site_id")
+    calls = met.select("caller", "target").where("target IS NOT NULL").distinct().select(F.concat(F.lit("sym:"), "caller").alias("item"), F.lit("calls").alias("key"), F.col("target").alias("value"))
+    out = own.unionByName(each(met, ("target", F.col("target")), ("prov:method", F.col("method")))).unionByName(calls)
     if "modules" in symbol.columns:
-        out = out.unionByName(symbol.select(F.concat(F.lit("sym:"), "id").alias("item"), F.lit("modules").alias("key"), F.explode("modules").alias("value")))
-    return out.where("value IS NOT NULL").distinct()
+        listed = symbol.select(F.concat(F.lit("sym:"), "id").alias("item"), F.lit("modules").alias("key"), F.explode("modules").alias("value"))
+        out = out.unionByName(listed.where("value IS NOT NULL").distinct())
+    return out
 
 
 def call_edges(site: DataFrame, target: DataFrame, symbol: DataFrame) -> DataFrame:

@@ -67,3 +67,8 @@ def test_lines_are_numbered_once(spark, name):
     """Sites and targets of a query come from one written table of lines."""
     plan = catalog.queries()[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan
+
+
+def test_call_facets_are_not_dealt_by_their_text(spark):
+    plan = catalog.queries()["derive_call_facets"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(item" not in plan and "hashpartitioning(site_id" in plan
