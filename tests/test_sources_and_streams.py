@@ -218,7 +218,7 @@ def test_a_held_event_costs_no_call_of_the_state(monkeypatch):
     want = coalesce.Pending({}, None, 100, 1000, 5000)
     expected = [x for ts, _, path, kind in rows for x in want.take(ts, path, kind)]
     assert got == expected + want.flush(want.due())
-    assert Kept.calls < 2 * len(rows)  # six and more a held event before, were each an entry
+    assert Kept.calls < len(rows)  # 71,990 when each held event was an entry
 
 
 def test_a_root_without_gaps_is_read_in_batches(spark):
