@@ -83,3 +83,13 @@ def test_tag_files(spark, monkeypatch):
         9: {"unsorted"}, 10: {"no-tags"}, 30: {"duplicate-item of line 10", "duplicate-tag a", "tags-unsorted"}, 31: {"symbol-item", "orphan"}, 33: {"bad-kind", "orphan", "unsorted"}, 40: paths, 50: paths, 51: paths | {"unsorted"}, 52: paths | {"unsorted"},
         53: {"bad-tag a<b", "bad-value area=a/b", "reserved-key kind", "orphan"}, 54: {"no-tags"},
     }
+
+
+def test_name_matches_are_dealt_by_their_number(spark):
+    """A few small tiles give many rows: AQE, which sees their bytes, must not put all of them into one task."""
+    named = spark.range(400).selectExpr("id AS site_id", "concat('n', id % 40) AS name")
+    symbol = spark.range(400).selectExpr("concat('m.', id, '.n', id % 40) AS id", "concat('m.n', id % 40) AS name")
+    got = gv.name_matches(named, symbol).withColumn("task", F.spark_partition_id())
+    rows = got.collect()
+    assert len(rows) == 40 * 10 * 10 and len({(x.site_id, x.target) for x in rows}) == 4000 and {x.candidates for x in rows} == {10}
+    assert len({x.task for x in rows}) == 4
