@@ -25,3 +25,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/frame-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task sorts or joins, about, where a table is dealt by its size.
+TASK_ROWS = 250_000
+
+
+def dealer(table: DataFrame):
+    """A function that deals frames, of about as many rows as `table`, by keys to as many tasks as its rows ask for: of a
+    larger table a task doesn't get more, whatever the session's number of partitions and however well its rows compress.
+    Small tables stay as they are. `table` is counted, so it should be a plain or written one."""
+    rows, least = table.count(), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lambda df, *keys: df.repartition(max(least, -(-rows // TASK_ROWS)), *keys) if rows > 4 * TASK_ROWS else df

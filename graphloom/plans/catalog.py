@@ -25,7 +25,7 @@ from graphloom.operators import resolution as res
 from graphloom.operators import sessions as ses
 from graphloom.operators import syntax_context as syn
 from graphloom.plans import change_streams, details, reports, round_trips, tag_files
-from graphloom.plans.inputs import lines_once, oracle, relation
+from graphloom.plans.inputs import lines_once, lines_upto, oracle, relation
 from graphloom.sources import snapshots
 
 RESOLVED = "EXISTS (SELECT 1 FROM {call_target} t WHERE t.site_id = s.site_id AND t.method <> 'name-match')"
@@ -348,7 +348,7 @@ ENTRIES = {
       AND (d.start_line < r.line OR d.start_line = r.line AND d.start_character <= r.character) AND (r.line < d.end_line OR r.line = d.end_line AND r.character < d.end_character)) JOIN {symbol} y ON y.id = replace(symbol, 'sym:', 'order:') AND y.module IS NOT NULL WHERE n = 1)"""),
     "expansion_summary": (lambda r: exp.expansion_summary(expanded(r), exp.called_trait_methods(r("call_site"), r("symbol"), 1)), f"SELECT (SELECT count(DISTINCT s.declared_target) FROM {{call_site}} s JOIN {{symbol}} y ON y.id = s.declared_target AND y.kind = 'trait_method') AS methods, count(DISTINCT target) AS implementations, count(*) AS target_rows, count(DISTINCT site_id) AS sites FROM ({EXPANDED})"),
     "candidate_count": (lambda r: exp.candidate_count(r("call_target")), "SELECT site_id, target, method, count(*) OVER (PARTITION BY site_id, method) AS candidates FROM {call_target}"),
-    "list_call_sites": (lambda r: exp.list_call_sites(r("call_site"), r("symbol")), "SELECT s.site_id, s.file, s.line, s.col, a.name AS caller_name, b.name AS target_name FROM {call_site} s JOIN {symbol} a ON a.id = s.caller JOIN {symbol} b ON b.id = s.declared_target"),
+    "list_call_sites": (lambda r: exp.list_call_sites(*map(lines_upto(r, "l_quantity"), ("call_site", "symbol"))), "SELECT s.site_id, s.file, s.line, s.col, a.name AS caller_name, b.name AS target_name FROM {call_site} s JOIN {symbol} a ON a.id = s.caller JOIN {symbol} b ON b.id = s.declared_target"),
     "list_call_targets": (lambda r: exp.list_call_targets(*map(lines_once(r), ("call_site", "call_target", "symbol"))), "SELECT t.site_id, s.file, s.line, a.name AS caller_name, b.name AS target_name, t.method, t.candidates FROM (SELECT *, count(*) OVER (PARTITION BY site_id, method) AS candidates FROM {call_target}) t JOIN {call_site} s ON s.site_id = t.site_id JOIN {symbol} a ON a.id = s.caller JOIN {symbol} b ON b.id = t.target"),
     "implementers": (lambda r: exp.implementers(r("part").select(F.concat(F.lit("part:"), "p_partkey").alias("symbol"), F.array(F.struct(F.col("p_type").alias("symbol"), (F.col("p_size") > 25).alias("is_implementation")), F.struct(F.col("p_brand").alias("symbol"), F.lit(False).alias("is_implementation"))).alias("relationships"))), "SELECT concat('part:', p_partkey) AS symbol, p_type AS implemented FROM {part} WHERE p_size > 25"),
     "calls_reach": (lambda r: exp.calls_reach(r("call_site").select("file", "line", F.col("declared_target").alias("callee"), F.when(F.col("ref_kind") == "call", "function").otherwise("module").alias("callee_kind"))), "SELECT file, line, list_sort(list(DISTINCT declared_target)) AS callees FROM {call_site} WHERE ref_kind = 'call' GROUP BY file, line"),
@@ -493,7 +493,7 @@ ENTRIES = {
 
 
 def _query(build):
-    return lambda spark, sf_dir: build(lambda name, given=None: relation(spark, sf_dir, name, given))
+    return lambda spark, sf_dir: build(lambda name, given=None, text=None: relation(spark, sf_dir, name, given, text))
 
 
 def queries() -> dict:

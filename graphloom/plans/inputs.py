@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame
 
-from graphloom.functions.frames import checkpointed
+from graphloom.functions.frames import checkpointed, dealer
 
 TABLES = frozenset("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split())
 
@@ -79,24 +79,39 @@ def needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{([a-z_]+)\}", text)))
 
 
-def relation(spark, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
-    """A table or relation; those in `given` are taken as they are."""
+def relation(spark, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None, text: str | None = None) -> DataFrame:
+    """A table or relation; those in `given` are taken as they are, and so is `text` for the relation's own."""
     if given and name in given:
         return given[name]
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = _sql(name, "spark")
+    text = text or _sql(name, "spark")
     frames = {x: relation(spark, sf_dir, x, given) for x in needs(text)}
+    if name == "line":  # joined and numbered by order, in tasks of bounded rows
+        frames["lineitem"] = dealer(frames["lineitem"])(frames["lineitem"], "l_orderkey")
     text = re.sub(r"\{([a-z_]+)\}\.\*", lambda m: m[1] + "_.*", text)  # a table's own columns
     for x in frames:
         text = text.replace("{" + x + "}", "{" + x + "} AS " + x + "_", 1) if f"{x}_.*" in text else text
     return spark.sql(text, **frames)
 
 
+#: The columns that order the lines of an order.
+LINE_ORDER = re.search(r"ORDER BY (.*?)\)", RELATIONS["line"])[1]
+
+
+def lines_upto(r, last: str):
+    """`r` for queries that read no column of lines after `last` in their order. Lines that tie up to it are equal in all
+    that such a query reads, so it gives the same rows whichever of them comes first: they are numbered without the columns
+    after it, which are then not shuffled."""
+    columns = LINE_ORDER.split(", ")
+    line = r("line", text=RELATIONS["line"].replace(LINE_ORDER, ", ".join(columns[: columns.index(last) + 1])))
+    return lambda name: r(name, {"line": line})
+
+
 def lines_once(r):
     """`r` for queries that read both sites and targets: the numbered lines under them are joined and numbered once and
     written, not once for each reader."""
-    line = checkpointed(r("line").drop("l_suppkey", "l_extendedprice", "l_discount", "l_shipdate"))
+    line = checkpointed(lines_upto(r, "l_linestatus")("line").drop("l_suppkey", "l_extendedprice", "l_discount", "l_shipdate"))
     return lambda name: r(name, {"line": line})
 
 

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions import frames
 from graphloom.functions.text import is_called
 from graphloom.plans import catalog
 from graphloom.plans.inputs import TABLES
@@ -72,3 +73,21 @@ def test_lines_are_numbered_once(spark, name):
 def test_call_facets_are_not_dealt_by_their_text(spark):
     plan = catalog.queries()["derive_call_facets"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(item" not in plan and "hashpartitioning(site_id" in plan
+
+
+def test_listed_sites_are_numbered_without_what_they_do_not_show(spark):
+    """Lines are numbered by the columns up to the last that is read; those after it aren't shuffled."""
+    plan = catalog.queries()["list_call_sites"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "row_number" in x and "Window" in x]
+    assert windows and all("l_quantity" in x and "l_tax" not in x and "l_shipdate" not in x for x in windows)
+
+
+def test_large_tables_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(frames, "TASK_ROWS", 100)
+    table = spark.range(1_000).selectExpr("id", "id % 7 AS k")
+    deal = frames.dealer(table)
+    assert deal(table, "id").rdd.getNumPartitions() == 10
+    assert frames.dealer(table.limit(300))(table, "id") is table
+    line = catalog.relation(spark, DIR, "line")
+    most = line.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 500 < line.count() / 8
