@@ -35,8 +35,7 @@ BY_MODULE = BY_MODULE.replace(RESOLVED, "resolved").replace("{call_site} s", "(S
 
 
 def by_module(r):
-    r = lines_once(r)
-    return res.resolution_by_module(r("call_site"), r("call_target"), r("file"), r("symbol"))
+    return reports.by_module(lines_once(r))
 
 
 def union_call_edges(r):

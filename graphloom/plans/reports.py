@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
+from graphloom.functions.frames import checkpointed, dealer
 from graphloom.operators import regressions, resolution, sessions
-from graphloom.plans.inputs import oracle
+from graphloom.plans.inputs import lines_once, oracle
 from graphloom.plans.round_trips import folder
 from graphloom.sources import reports
 
@@ -18,8 +19,17 @@ def of_year(r, y):
     return r("edges_by_year").where(F.col("generation") == y).drop("generation")
 
 
+def by_module(r):
+    """resolution_by_module of an `r` of lines_once. Sites and targets are dealt by site in tasks of bounded rows,
+    and so are files and symbols, which sums of sites then meet."""
+    deal = dealer(r("line"))
+    return resolution.resolution_by_module(*[deal(r(name), key) for name, key in (("call_site", "site_id"), ("call_target", "site_id"), ("file", "path"), ("symbol", "id"))])
+
+
 def report_lines(r):
-    modules = resolution.resolution_by_module(r("call_site"), r("call_target"), r("file"), r("symbol"))
+    """Sums by module and edge counts are read many times over, so they are written."""
+    modules, edges = checkpointed(by_module(lines_once(r))), checkpointed(r("edges_by_year"))
+    read, r = r, lambda name: edges if name == "edges_by_year" else read(name)
     figures = [F.sum(c).alias(c) for c in ("call_sites", "resolved", "unresolved")]
     paths = r("supplier").where("s_suppkey % 9 <> 4").select(F.concat(F.lit("src/s"), "s_suppkey", F.lit(".rs")).alias("path"))
     drops = regressions.edge_regressions(of_year(r, BEFORE), of_year(r, NOW), paths)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import frames
 from graphloom.functions.text import is_called
-from graphloom.plans import catalog
+from graphloom.plans import catalog, inputs, reports
 from graphloom.plans.inputs import TABLES
 
 DIR = "/root/testdata/sf0.001"
@@ -91,3 +91,16 @@ def test_large_tables_are_dealt_to_tasks_of_bounded_rows(spark, monkeypatch):
     line = catalog.relation(spark, DIR, "line")
     most = line.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert most < 500 < line.count() / 8
+
+
+@pytest.mark.parametrize("name", ["resolution_by_module", "report_json", "union_call_edges"])
+def test_lines_are_written_once_and_dealt(spark, monkeypatch, name):
+    """Lines are numbered in one place, and large ones are joined by site in more tasks than the session has partitions."""
+    monkeypatch.setattr(frames, "TASK_ROWS", 500, raising=False)
+    seen, plan = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (inputs, reports):
+        monkeypatch.setattr(module, "checkpointed", lambda df: (seen.append(plan(df)), frames.checkpointed(df))[1], raising=False)
+    seen.append(plan(catalog.queries()[name](spark, DIR)))
+    assert sum(x.count("row_number() windowspec") for x in seen) == 1
+    if name != "union_call_edges":
+        assert any("REPARTITION_BY_NUM" in x and "hashpartitioning(site_id" in x for x in seen)
