@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions.frames import checkpointed, dealer
 from graphloom.operators import changes, graph_views
 from graphloom.plans.inputs import oracle
 from graphloom.plans.round_trips import folder, streamed
@@ -62,12 +63,15 @@ def guard_stream(r):
 
 
 def baseline_stream(r):
-    """The changes between two snapshots as flushed batches, two micro-batches of them, applied to the first snapshot."""
-    spark, at = r("region").sparkSession, folder(r, "baselines")
-    flushed = changes.snapshot_diff(r("snapshot_old"), r("snapshot_new")).select(F.lit("r").alias("root"), (F.crc32("path") % 2).alias("flushed_ms"), F.lit(None).cast("string").alias("cause"), "path", "kind")
+    """The changes between two snapshots as flushed batches, two micro-batches of them, applied to the first snapshot. A
+    batch is written and read by many tasks; a micro-batch takes as many files as the larger of the two has."""
+    spark, at, deal = r("region").sparkSession, folder(r, "baselines"), dealer(r("customer"))
+    found = changes.snapshot_diff(deal(r("snapshot_old"), "path"), deal(r("snapshot_new"), "path"))
+    flushed = checkpointed(found.select(F.lit("r").alias("root"), (F.crc32("path") % 2).alias("flushed_ms"), F.lit(None).cast("string").alias("cause"), "path", "kind"))
     for n in range(2):
-        flushed.where(f"flushed_ms = {n}").coalesce(1).write.parquet(f"{at}/in/{n}")
-    stream = spark.readStream.schema(coalesce.BATCH).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        flushed.where(f"flushed_ms = {n}").write.parquet(f"{at}/in/{n}")
+    files = max(1, *[len(spark.read.schema(coalesce.BATCH).parquet(f"{at}/in/{n}").inputFiles()) for n in range(2)])
+    stream = spark.readStream.schema(coalesce.BATCH).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(f"{at}/in")
     coalesce.write_baselines(stream, f"{at}/out", r("snapshot_new"), f"{at}/state", start=r("snapshot_old")).trigger(availableNow=True).start().awaitTermination()
     return coalesce.read_baseline(spark, f"{at}/out")
 

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.plans import catalog
+from graphloom.functions import frames
+from graphloom.plans import catalog, change_streams, inputs, round_trips
 from graphloom.sources import readers, snapshots
 from graphloom.streaming import coalesce, guards
 
@@ -282,3 +283,19 @@ def test_filter_stream(spark):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_baseline_batches_are_written_by_many_tasks(spark, monkeypatch):
+    """Neither the difference of snapshots nor a batch of it passes one task, and two micro-batches take all files."""
+    at, made = "/root/testdata/sf0.01", []
+    monkeypatch.setattr(frames, "TASK_ROWS", 100, raising=False)
+    monkeypatch.setattr(change_streams, "folder", lambda r, name: (made.append(folder(r, name)), made[-1])[1])
+    r = lambda name, given=None: inputs.relation(spark, at, name, given)
+    folder = round_trips.folder
+    got = change_streams.baseline_stream(r)
+    assert all(len(spark.read.parquet(f"{made[0]}/in/{n}").inputFiles()) > 1 for n in range(2))
+    assert coalesce.versions(spark, f"{made[0]}/out") == [0, 1]
+    a, b = r("snapshot_old").toDF("path", "d", "l", "m"), r("snapshot_new")
+    stays = F.coalesce(F.col("d") & F.col("is_dir"), F.lit(False))
+    want = b.join(a, "path", "left").select("path", *[F.when(stays, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("d", "is_dir"), ("l", "len"), ("m", "modified"))])
+    assert got.count() == want.count() and got.exceptAll(want.select(got.columns)).isEmpty()
