@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import frames
 from graphloom.functions.text import is_called
+from graphloom.operators import names
 from graphloom.plans import catalog, inputs, reports
 from graphloom.plans.inputs import TABLES
 
@@ -104,3 +105,14 @@ def test_lines_are_written_once_and_dealt(spark, monkeypatch, name):
     assert sum(x.count("row_number() windowspec") for x in seen) == 1
     if name != "union_call_edges":
         assert any("REPARTITION_BY_NUM" in x and "hashpartitioning(site_id" in x for x in seen)
+
+
+def test_a_summary_gathers_no_symbols(spark):
+    plan = catalog.queries()["ingest_summary"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_" not in plan
+
+
+def test_collided_names_have_several_symbols(spark):
+    rows = [("a", "n"), ("b", "n"), ("a", "n"), ("c", "m"), ("c", "m"), ("d", None), ("e", None), (None, "m")]
+    df = spark.createDataFrame(rows, "symbol string, name string")
+    assert [x["name"] for x in names.collided_names(df).collect()] == ["n"] == [x["name"] for x in names.name_collisions(df).collect()]
