@@ -55,29 +55,29 @@ def held_parts(base: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted: conv_id, turn, t. Adds part_turn, the earliest turn before whose message's own text holds t's tokens in a
     row; rows without one go. Only conversations in `wanted` are cut into runs, of the lengths asked for there. The
     earliest message of all that holds a text tells it for every turn that wants it, so texts are looked for by
-    conversation, not by turn."""
-    run = lambda w, at, k: F.array_join(F.slice(w, at + 1, k), " ")
-    runs = lambda w, k: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: run(w, i, k))
+    conversation, not by turn. Runs meet by their hashes, and what meets is compared by its tokens."""
+    hashed = lambda w, at, k: F.xxhash64(F.slice(w, at + 1, k))
+    runs = lambda w, k: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: hashed(w, i, k))
     want = wanted.select("conv_id", "t").distinct().withColumn("w", tokens(F.col("t"))).withColumn("n", F.size("w")).where("n > 0").withColumn("k", F.least("n", F.lit(ANCHOR)))
-    want = staged(want, "quoted-parts")
+    want = staged(want.withColumn("wid", F.monotonically_increasing_id()), "quoted-parts")
 
     needs = want.groupBy("conv_id").agg(F.collect_set("k").alias("ks"))  # at most ANCHOR numbers
-    held = base.join(needs, "conv_id").select("mid", "conv_id", F.col("turn").alias("part_turn"), "ks", tokens(F.array_join("own", " ")).alias("held"))
+    held = staged(base.join(needs, "conv_id").select("mid", "conv_id", F.col("turn").alias("part_turn"), "ks", tokens(F.array_join("own", " ")).alias("held")), "held-tokens")
     dealt = held.select("mid", "conv_id", "part_turn", "held", F.explode("ks").alias("k")).where(F.size("held") >= F.col("k"))
-    grams = dealt.select("mid", "conv_id", "part_turn", "k", F.posexplode(runs(F.col("held"), F.col("k"))).alias("pos", "gram"))
-
-    keys = ["conv_id", "k", "gram"]
-    firsts = grams.groupBy(*keys).agg(F.min("part_turn").alias("part_turn"))
-    short = want.where(F.col("n") <= ANCHOR).withColumn("gram", run(F.col("w"), F.lit(0), F.col("k"))).join(firsts, keys).select("conv_id", "t", "part_turn")
-
-    # A longer text meets the messages at its run that is held least often; a run that none holds rules it out.
-    places = grams.where(F.col("k") == ANCHOR).groupBy("conv_id", "gram").agg(F.count(F.lit(1)).alias("places"))
-    long = want.where(F.col("n") > ANCHOR).select("conv_id", "t", F.posexplode(runs(F.col("w"), F.lit(ANCHOR))).alias("at", "gram")).join(places, ["conv_id", "gram"], "left")
-    rarest = long.groupBy("conv_id", "t").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "at", "gram")).alias("anchor")).where("anchor.places > 0")
-    anchored = want.join(rarest, ["conv_id", "t"]).select("conv_id", "t", "w", "n", F.lit(ANCHOR).alias("k"), "anchor.at", "anchor.gram")
-    met = anchored.join(grams, keys).where("pos >= at").join(held.select("mid", "held"), "mid")
-    met = met.where(F.slice("held", F.col("pos") - F.col("at") + 1, F.col("n")) == F.col("w")).groupBy("conv_id", "t").agg(F.min("part_turn").alias("part_turn"))
-    return wanted.distinct().join(short.unionByName(met), ["conv_id", "t"]).where("part_turn < turn").select("conv_id", "turn", "t", "part_turn")
+    grams = lambda df: df.select("mid", "conv_id", "part_turn", "k", F.posexplode(runs(F.col("held"), F.col("k"))).alias("pos", "gram"))
+
+    # A short text meets the messages as a whole, a longer one at its run that is held least often; a run that none holds
+    # rules it out.
+    short = want.where(F.col("n") <= ANCHOR).select("wid", "conv_id", "k", F.lit(0).alias("at"), hashed(F.col("w"), F.lit(0), F.col("k")).alias("gram"))
+    places = grams(dealt.where(F.col("k") == ANCHOR)).groupBy("conv_id", "gram").agg(F.count(F.lit(1)).alias("places"))
+    long = want.where(F.col("n") > ANCHOR).select("wid", "conv_id", F.posexplode(runs(F.col("w"), F.lit(ANCHOR))).alias("at", "gram")).join(places.hint("merge"), ["conv_id", "gram"], "left")  # many more than their table's bytes tell
+    rank = F.coalesce("places", F.lit(0)) * F.lit(1 << 31) + F.col("at")  # fewest places, then first; one number is the least without a sort
+    rarest = long.groupBy("wid").agg(F.min(rank).alias("rank")).where(F.col("rank") >= 1 << 31).select("wid", F.expr("cast(rank & 2147483647 as int)").alias("at"))
+    anchored = short.unionByName(want.join(rarest, "wid").select("wid", "conv_id", F.lit(ANCHOR).alias("k"), "at", hashed(F.col("w"), F.col("at"), F.lit(ANCHOR)).alias("gram")))
+    met = anchored.join(grams(dealt), ["conv_id", "k", "gram"]).where("pos >= at").select("mid", "wid", "part_turn", (F.col("pos") - F.col("at")).alias("start"))
+    met = met.join(want.select("wid", "conv_id", "t", "w", "n").hint("merge"), "wid").join(held.select("mid", "held").hint("merge"), "mid")
+    met = met.where(F.slice("held", F.col("start") + 1, F.col("n")) == F.col("w")).groupBy("conv_id", "t").agg(F.min("part_turn").alias("part_turn"))
+    return wanted.distinct().join(met, ["conv_id", "t"]).where("part_turn < turn").select("conv_id", "turn", "t", "part_turn")
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:

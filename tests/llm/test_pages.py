@@ -445,3 +445,13 @@ def test_quotations_of_the_given_conversations(spark):
     got = [(x["conv_id"], x["turn"], x["n_quotes"], x["n_linked"], x["parent_turn"], x["root_turn"], x["depth"], x["text"]) for x in got]
     assert got == linked_by_scan(rows)
     assert sum(x[3] for x in got) > len(rows) // 3 and any(x[3] < x[2] for x in got) and max(x[6] for x in got) > 2
+
+
+def test_runs_of_quoted_parts_meet_by_hashes_of_tokens_cut_once(spark):
+    """Texts are cut into tokens once, runs aren't built as strings, and counts of runs aren't broadcast."""
+    base = spark.createDataFrame([(1, 1, 0, ["a b c d e f g h i j"]), (2, 1, 1, ["x"])], "mid long, conv_id long, turn long, own array<string>")
+    wanted = spark.createDataFrame([(1, 1, t) for t in ("c d", "b c d e f g h i j", "b c d e f g h i x")], "conv_id long, turn long, t string")
+    got = quotations.held_parts(base, wanted)
+    assert sorted(x["t"] for x in got.collect()) == ["b c d e f g h i j", "c d"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and "regexp_extract_all" not in plan and "strategy=merge" in plan
