@@ -93,3 +93,17 @@ def test_name_matches_are_dealt_by_their_number(spark):
     rows = got.collect()
     assert len(rows) == 40 * 10 * 10 and len({(x.site_id, x.target) for x in rows}) == 4000 and {x.candidates for x in rows} == {10}
     assert len({x.task for x in rows}) == 4
+
+
+def test_copies_of_name_lists_are_not_broadcast(spark, monkeypatch):
+    """Few symbols, whose lists are copied for each tile of sites: the copies are shuffled with the sites."""
+    monkeypatch.setattr(gv, "SITE_TILE", 8)
+    named = spark.range(1_000).selectExpr("id AS site_id", "concat('n', id % 2) AS name")
+    symbol = spark.range(4_000).selectExpr("concat('m.', id) AS id", "concat('m.n', id % 2) AS name")
+    got = gv.name_matches(named, symbol)
+    rows = got.collect()
+    assert len(rows) == len({(r["site_id"], r["target"]) for r in rows}) == 1_000 * 2_000
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    joins = [x for x in plan.splitlines() if "Join" in x and "x#" in x and "y#" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+    assert {r["candidates"] for r in rows} == {2_000}
