@@ -116,3 +116,14 @@ def test_collided_names_have_several_symbols(spark):
     rows = [("a", "n"), ("b", "n"), ("a", "n"), ("c", "m"), ("c", "m"), ("d", None), ("e", None), (None, "m")]
     df = spark.createDataFrame(rows, "symbol string, name string")
     assert [x["name"] for x in names.collided_names(df).collect()] == ["n"] == [x["name"] for x in names.name_collisions(df).collect()]
+
+
+def test_indexes_over_the_same_lines_share_their_last_lines(spark, monkeypatch):
+    """What the flags of lines don't change is told once and written with them, not for each index over them."""
+    r = lambda name, given=None, text=None: catalog.relation(spark, DIR, name, given, text)
+    lines = catalog.code_lines(r)
+    written = []
+    monkeypatch.setattr(catalog, "checkpointed", lambda df: (written.append(df.columns), frames.checkpointed(df))[1])
+    occ, info, _ = catalog.code_files(lines)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (occ, info)]
+    assert "Window" not in plans[0] + plans[1] and written == [["path", "text"]]

@@ -198,3 +198,16 @@ def test_a_generation_without_carried_facts_can_be_followed(spark):
     older = first | {"judged": first["judged"].drop(*ingest.CARRIED)}
     again = ingest.generation(occ, info, sources, files, run, "scip@x", older)
     assert sorted(map(tuple, again["call_site"].collect())) == sorted(map(tuple, first["call_site"].collect()))
+
+
+def test_plain_symbols_are_split_as_others_are_parsed():
+    from graphloom.functions import symbols as sym
+
+    plain = [OUTER, INNER, F_, "s . . . a/b#c:d!e.f(+1).", "s m p v $-_+9#", "locals m p v a."]
+    other = [ADD, "local 0", "local x!", "local m p v a.", "s  x m p v a.", "s m p v `a b`.", "s m p v a", "s m p v a(.", "s m p v ", "s m p", "", " m p v a.", "s m p v é.", "s m p v a.(x)", "s m p v a[b]", "s m p v a(é)."]
+    for s in plain + other:
+        row = sym.parse_symbol(s)
+        *fields, error, parts = sym._parsed(s)
+        assert dict(zip(sym.FIELDS, fields, strict=True)) == {c: row[c] for c in sym.FIELDS} and error == row["error"], s
+        assert [dict(zip(sym.PARTS, x, strict=True)) for x in parts] == row["descriptors"], s
+    assert all(sym.PLAIN.fullmatch(s) for s in plain) and not any(sym.PLAIN.fullmatch(s) for s in other)
