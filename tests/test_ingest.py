@@ -211,3 +211,9 @@ def test_plain_symbols_are_split_as_others_are_parsed():
         assert dict(zip(sym.FIELDS, fields, strict=True)) == {c: row[c] for c in sym.FIELDS} and error == row["error"], s
         assert [dict(zip(sym.PARTS, x, strict=True)) for x in parts] == row["descriptors"], s
     assert all(sym.PLAIN.fullmatch(s) for s in plain) and not any(sym.PLAIN.fullmatch(s) for s in other)
+
+
+def test_a_generation_describes_its_symbols_once(spark):
+    """Names of symbols are made before they are written, not for each reader of the described symbols."""
+    plan = generation(spark, tree(spark, OLD), 1)["symbol"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and "lambda" not in plan
